@@ -174,7 +174,11 @@ def value_totals(
     span = df.groupBy(*keys).agg(
         F.min(value).alias("lo"), F.max(value).alias("hi"), *[F.sum(w).alias(f"all_{w}") for w in weights]
     )
-    ranged = join_small(df, span, keys, n_keys)
+    # Without keys the span is a single row; a constant key keeps this an equi-join.
+    on = keys or ["whole"]
+    if not keys:
+        df, span = df.withColumn("whole", F.lit(0)), span.withColumn("whole", F.lit(0))
+    ranged = join_small(df, span, on, n_keys).drop("whole")
     position = F.when(
         F.col("hi") > F.col("lo"), F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * chunks)
     ).otherwise(F.lit(0))
