@@ -130,31 +130,39 @@ def runs(signal: DataFrame, chunk_samples: int | None = None, min_event_length:
     return merged.join(long_enough, ["record_id", "event_id"], "left_semi")
 
 
-def run_lengths(signal: DataFrame, key: str = "record_id", chunk_samples: int | None = None) -> DataFrame:
+def run_lengths(signal: DataFrame, key: Column | str = "record_id", chunk_samples: int | None = None) -> DataFrame:
     """How many runs of each length: (key, state, run_len, n), over all events.
 
+    ``key`` is record_id or an aliased expression on it, such as a class.
+
     Whole runs combine before the exchange; only pieces of runs that cross a chunk
     edge travel under their own key.
     """
     pieces = chunk_runs(signal, chunk_samples)
     cut = F.col("link").isNotNull()
-    return (
+    group = F.col(key) if isinstance(key, str) else key
+    counted = (
         pieces.select(
-            "record_id",
+            group,
             "state",
             "run_len",
-            "link",
             F.when(~cut, F.col("run_len")).alias("whole_len"),
+            F.when(cut, F.col("record_id")).alias("cut_record"),
+            "link",
         )
-        .groupBy("record_id", "state", "whole_len", "link")
+    )
+    name = counted.columns[0]
+    whole = F.col("whole_len").isNotNull()
+    return (
+        counted.groupBy(name, "state", "whole_len", "cut_record", "link")
         .agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("run_len").alias("pieces_len"))
         .select(
-            key,
+            name,
             "state",
             F.coalesce("whole_len", "pieces_len").alias("run_len"),
-            F.when(F.col("whole_len").isNotNull(), F.col("n_pieces")).otherwise(F.lit(1).cast("long")).alias("n"),
+            F.when(whole, F.col("n_pieces")).otherwise(F.lit(1).cast("long")).alias("n"),
         )
-        .groupBy(key, "state", "run_len")
+        .groupBy(name, "state", "run_len")
         .agg(F.sum("n").alias("n"))
     )
 
