@@ -40,14 +40,16 @@ def confusion_wide(cells: DataFrame, n_classes: int) -> DataFrame:
     )
 
 
-def per_class(cells: DataFrame) -> DataFrame:
-    """(label, precision, recall, f1, support, predicted) from confusion cells.
+def per_class(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(label, precision, recall, f1, support, predicted) from confusion cells, within
+    ``by``.
 
     Each cell counts once for its true and once for its predicted class.
     """
     hit = F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(F.lit(0).cast("long"))
     zero = F.lit(0).cast("long")
     sides = cells.select(
+        *by,
         F.explode(
             F.array(
                 F.struct(
@@ -57,12 +59,13 @@ def per_class(cells: DataFrame) -> DataFrame:
                     F.col("pred").alias("cls"), zero.alias("support"), F.col("n").alias("predicted"), zero.alias("tp")
                 ),
             )
-        ).alias("s")
-    ).select("s.*")
-    totals = sides.groupBy(F.col("cls").alias("label")).agg(
+        ).alias("s"),
+    ).select(*by, "s.*")
+    totals = sides.groupBy(*by, F.col("cls").alias("label")).agg(
         F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("predicted").alias("predicted")
     )
     return totals.select(
+        *by,
         "label",
         share(F.col("tp"), F.col("predicted")).alias("precision"),
         share(F.col("tp"), F.col("support")).alias("recall"),
@@ -73,10 +76,10 @@ def per_class(cells: DataFrame) -> DataFrame:
     )
 
 
-def macro_metrics(cells: DataFrame) -> DataFrame:
+def macro_metrics(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Accuracy and unweighted means over the labels seen in truth or prediction."""
-    seen = per_class(cells).filter((F.col("support") > 0) | (F.col("predicted") > 0))
-    return seen.agg(
+    seen = per_class(cells, by).filter((F.col("support") > 0) | (F.col("predicted") > 0))
+    return seen.groupBy(*by).agg(
         share(F.sum("tp"), F.sum("support")).alias("accuracy"),
         F.avg("precision").alias("macro_precision"),
         F.avg("recall").alias("macro_recall"),

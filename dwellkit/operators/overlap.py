@@ -14,9 +14,15 @@ from dwellkit.operators.prefix import join_small, value_totals
 BINS = 50
 
 
-def long_features(events: DataFrame, features: Sequence[str] = tuple(FEATURES_10)) -> DataFrame:
-    """(label, feature, value): one row per event and feature, made in the scan's stage."""
-    slim = events.select("label", *[F.col(f).cast("double").alias(f) for f in features])
+def long_features(
+    events: DataFrame, features: Sequence[str] = tuple(FEATURES_10), digits: int = 9
+) -> DataFrame:
+    """(label, feature, value): one row per event and feature, made in the scan's stage.
+
+    Values are rounded to ``digits``: a variance may differ in its last bit with the
+    order of its sum, and a value on a bin edge must not change bins for that.
+    """
+    slim = events.select("label", *[F.round(F.col(f).cast("double"), digits).alias(f) for f in features])
     return slim.unpivot(["label"], list(features), "feature", "value")
 
 

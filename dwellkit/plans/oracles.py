@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from dwellkit.operators.features import FEATURES_10, FEATURES_12, FEATURES_13, FEATURES_20
 from dwellkit.operators.metrics import THRESHOLDS
-from dwellkit.plans.queries import DOWNSAMPLE, MIXTURE, MIXTURE_NAMES, MIXTURE_TOTAL, N_CLASSES, PAD_LENGTH, PAIRS, WINDOW
+from dwellkit.plans.queries import (
+    CONFIDENCE,
+    DOWNSAMPLE,
+    MIXTURE,
+    MIXTURE_NAMES,
+    MIXTURE_TOTAL,
+    N_CLASSES,
+    PAD_LENGTH,
+    PAIRS,
+    WINDOW,
+)
 from dwellkit.sources.tables import SCORE_CLASSES
 
-D = "CAST({} AS DOUBLE)"
-
 
 def d(x: float) -> str:
     return f"CAST({x!r} AS DOUBLE)"
@@ -109,7 +117,7 @@ SCORES = f"""scores AS (
 preds AS (
   SELECT id, label, list_max(probs) AS top, CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS best
   FROM scores),
-gated AS (SELECT id, label, CASE WHEN top >= {d(0.2)} THEN best END AS pred FROM preds)"""
+gated AS (SELECT id, label, CASE WHEN top >= {d(CONFIDENCE)} THEN best END AS pred FROM preds)"""
 
 CELLS = f"""ids AS (SELECT CAST(range AS INTEGER) AS i FROM range({SCORE_CLASSES})),
 cells AS (
@@ -171,11 +179,12 @@ MIXED = f"""ids AS (SELECT CAST(range AS INTEGER) AS i FROM range({SCORE_CLASSES
 mixed AS (
   SELECT i AS label,
     (SELECT count(*) FROM gated WHERE label = i) / (SELECT count(*) FROM gated)::DOUBLE AS actual,
-    (SELECT count(*) FROM gated WHERE pred = i) / (SELECT count(pred) FROM gated)::DOUBLE AS predicted
+    coalesce((SELECT count(*) FROM gated WHERE pred = i) / nullif((SELECT count(pred) FROM gated), 0)::DOUBLE, 0.0)
+      AS predicted
   FROM ids)"""
 
 LONG = "long AS (" + " UNION ALL ".join(
-    f"SELECT label, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM ev" for f in FEATURES_10
+    f"SELECT label, '{f}' AS feature, round(CAST({f} AS DOUBLE), 9) AS value FROM ev" for f in FEATURES_10
 ) + ")"
 
 PCT = f"""pct AS (
@@ -457,3 +466,4 @@ SELECT label, kind, {r6("t", "p")} FROM c""",
 p AS (SELECT label, n0 / n AS probability_0, (n - n0) / n AS probability_1 FROM c)
 SELECT label, {r6("probability_0", "probability_1")} FROM p""",
 }
+ORACLES["stream_segment_events"] = ORACLES["event_features"]
