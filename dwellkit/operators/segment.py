@@ -25,13 +25,19 @@ def chunked(signal: DataFrame, chunk_samples: int | None = None) -> DataFrame:
     """The samples that matter, with their chunk.
 
     A source may bring its own ``chunk`` (any BIGINT that never falls along
-    sample_idx); it is kept unless ``chunk_samples`` asks for another cut.
+    sample_idx); it is kept unless ``chunk_samples`` asks for another cut. Samples of
+    no recording are left out here, for both uses of the result: a join would add that
+    filter to one of them only and keep them from sharing an exchange.
     """
     if "chunk" in signal.columns and chunk_samples is None:
         chunk: Column = F.col("chunk")
     else:
         chunk = F.floor(F.col("sample_idx") / (chunk_samples or CHUNK_SAMPLES)).cast("long")
-    return signal.filter(F.col("state") <= OPEN_STATE).select("record_id", chunk.alias("chunk"), "sample_idx", "state")
+    return (
+        signal.filter((F.col("state") <= OPEN_STATE) & F.col("record_id").isNotNull())
+        .select("record_id", chunk.alias("chunk"), "sample_idx", "state")
+        .filter(F.col("chunk").isNotNull())
+    )
 
 
 def chunk_links(samples: DataFrame) -> DataFrame:

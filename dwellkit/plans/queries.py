@@ -71,8 +71,21 @@ def labelled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.event_features(samples(spark, sf_dir)).withColumn("label", record_label())
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write once to the shared folder and read back, where several jobs follow."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def event_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled event set as a table: what samples, splits and distributions read
+    several times is segmented once."""
+    return stored(labelled_events(spark, sf_dir), "events")
+
+
 def long_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.long_features(labelled_events(spark, sf_dir))
+    return overlap.long_features(event_set(spark, sf_dir))
 
 
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +209,7 @@ def _(spark, sf):
 
 @query("event_features_20")
 def _(spark, sf):
-    full = features.with_record_features(features.event_features(samples(spark, sf)))
+    full = features.with_record_features(event_set(spark, sf))
     return rounded(full.select("record_id", "event_id", *features.FEATURES_20))
 
 
@@ -205,19 +218,19 @@ def _(spark, sf):
 
 @query("downsample_by_class")
 def _(spark, sf):
-    kept = sampling.downsample(labelled_events(spark, sf), DOWNSAMPLE, CLASS_NAMES)
+    kept = sampling.downsample(event_set(spark, sf), DOWNSAMPLE, CLASS_NAMES)
     return kept.select("record_id", "event_id", "label")
 
 
 @query("stratified_split")
 def _(spark, sf):
-    split = sampling.stratified_split(labelled_events(spark, sf), n_classes=N_CLASSES)
+    split = sampling.stratified_split(event_set(spark, sf), n_classes=N_CLASSES)
     return split.select("record_id", "event_id", "label", "is_test")
 
 
 @query("validation_split")
 def _(spark, sf):
-    return sampling.validation_split(labelled_events(spark, sf)).select("record_id", "event_id", "is_validation")
+    return sampling.validation_split(event_set(spark, sf)).select("record_id", "event_id", "is_validation")
 
 
 @query("mixture_sample")
@@ -233,7 +246,7 @@ def _(spark, sf):
 
 @query("shuffle_column")
 def _(spark, sf):
-    shuffled = sampling.permute_column(labelled_events(spark, sf), "avg_dwell_0")
+    shuffled = sampling.permute_column(event_set(spark, sf), "avg_dwell_0")
     return rounded(shuffled.select("record_id", "event_id", "avg_dwell_0"))
 
 
@@ -244,7 +257,7 @@ def _(spark, sf):
 
 @query("max_sequence_length")
 def _(spark, sf):
-    split = sampling.stratified_split(labelled_events(spark, sf), n_classes=N_CLASSES)
+    split = sampling.stratified_split(event_set(spark, sf), n_classes=N_CLASSES)
     return sampling.max_sequence_length(split.filter(~F.col("is_test")))
 
 
@@ -273,7 +286,7 @@ def _(spark, sf):
 
 @query("standardize_apply")
 def _(spark, sf):
-    events = labelled_events(spark, sf)
+    events = event_set(spark, sf)
     scaler = scaling.fit_standard(events, features.FEATURES_12)
     return rounded(
         scaling.apply_standard(events, scaler, features.FEATURES_12).select(
@@ -477,13 +490,6 @@ def _(spark, sf):
 # Models and streams
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Write once to the shared folder and read back, where several jobs follow."""
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 @query("train_state_classifier")
 def _(spark, sf):
     """Three-state classifier; confusion cells of the held-out samples."""

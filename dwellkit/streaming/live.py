@@ -135,11 +135,8 @@ def segmenter(min_event_length: int, idle_ms: int, event_time: bool):
             packed = json.dumps(event) if event is not None else None
             early = (idx[ready:].tolist(), states[ready:].tolist())
             state.update((due, opens, packed, *early, last_idx))
-            if event_time:
-                if latest is not None:
-                    state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
-            else:
-                state.setTimeoutDuration(idle_ms)
+            if event_time and latest is not None:
+                state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
         kept = [{"record_id": key[0], **r} for r in rows if r["event_duration"] > min_event_length]
         if kept:
             yield pd.DataFrame(kept)[["record_id", "event_id", "start_idx", *FEATURES_13]]
@@ -158,8 +155,8 @@ def live_events(
 
     ``stream`` has record_id, sample_idx (dense from 0), state and is_last (true on a
     recording's final sample). Samples may arrive in any order. A recording is flushed
-    at its final sample, or when it has been silent for ``idle_ms``: of processing
-    time, or of event time where ``event_time`` names a timestamp column.
+    at its final sample and, where ``event_time`` names a timestamp column, also when
+    the watermark shows it silent for ``idle_ms``.
     """
     columns = ["record_id", "sample_idx", "state", "is_last"]
     if event_time:
@@ -167,7 +164,7 @@ def live_events(
         timeout = GroupStateTimeout.EventTimeTimeout
     else:
         slim = stream.select(*columns)
-        timeout = GroupStateTimeout.ProcessingTimeTimeout
+        timeout = GroupStateTimeout.NoTimeout
     step = segmenter(min_event_length, idle_ms, event_time is not None)
     return slim.groupBy("record_id").applyInPandasWithState(step, OUTPUT, STATE, "append", timeout)
 
