@@ -31,7 +31,8 @@ def _estimator(family: str, n_classes: int, n_inputs: int | None, seed: int):
     if family == "logistic":
         return LogisticRegression(**common, family="binomial" if n_classes == 2 else "multinomial", maxIter=50)
     if family == "tree":
-        return DecisionTreeClassifier(**common, maxDepth=6, seed=seed)
+        # One input leaves room for many split candidates.
+        return DecisionTreeClassifier(**common, maxDepth=6, maxBins=256, seed=seed)
     if family == "forest":
         return RandomForestClassifier(**common, numTrees=40, maxDepth=8, seed=seed)
     if family == "mlp":
