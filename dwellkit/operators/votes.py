@@ -80,19 +80,21 @@ def vote_pattern(
 
 
 def vote_pattern_voted(
-    df: DataFrame, stream: str, n_classes: int, truth: str = "label", pred: str = "pred"
+    df: DataFrame, stream: str, n_classes: int, truth: str = "label", pred: str = "pred", unvoted: str = "error"
 ) -> DataFrame:
     """The variant over voted classes only: natural-log entropy, equal votes ranked by
-    class, and an error for a truth nobody voted for."""
+    class. A truth nobody voted for is an error, or with unvoted='null' has no rank."""
+    if unvoted not in ("error", "null"):
+        raise ValueError("unvoted must be 'error' or 'null'")
     base = vote_pattern(df, stream, n_classes, truth, pred, entropy_base=None)
     arrays = vote_arrays(df, [stream, truth], n_classes, pred)
     votes, own = F.col("votes"), F.get(F.col("votes"), F.col(truth))
     ahead = F.filter(
         F.transform(votes, lambda v, i: (v > own) | ((v == own) & (i < F.col(truth)))), lambda x: x
     )
-    rank = F.when(own > 0, F.size(ahead) + 1).otherwise(
-        F.raise_error(F.lit("the true class has no votes")).cast("int")
-    )
+    rank = F.when(own > 0, F.size(ahead) + 1)
+    if unvoted == "error":
+        rank = rank.otherwise(F.raise_error(F.lit("the true class has no votes")).cast("int"))
     return base.drop("rank").join(arrays.select(stream, truth, rank.alias("rank")), [stream, truth])
 
 

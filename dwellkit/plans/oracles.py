@@ -413,7 +413,8 @@ SELECT round(sum(dx * y), 6) + 0.0 AS auc FROM s""",
     "vote_pattern": f"""WITH {SCORES}, {pattern("log2", STRICT_RANK)}
 SELECT stream, label, winner, top1, rank, total_votes, {r6("confidence", "entropy")} FROM patterns""",
     "vote_pattern_voted": f"""WITH {SCORES}, {pattern("ln", VOTED_RANK)}
-SELECT stream, label, winner, top1, rank, total_votes, {r6("confidence", "entropy")} FROM patterns""",
+SELECT stream, label, winner, top1, total_votes,
+  CASE WHEN (SELECT n FROM vc WHERE vc.stream = patterns.stream AND vc.pred = label) > 0 THEN rank END AS rank, {r6("confidence", "entropy")} FROM patterns""",
     "vote_summary": f"""WITH {SCORES}, {pattern("log2", STRICT_RANK)}, s AS (
   SELECT avg(top1) AS mean_top1, avg(confidence) AS mean_confidence, avg(entropy) AS mean_entropy,
          avg(rank) AS mean_rank FROM patterns)

@@ -372,7 +372,7 @@ def _(spark, sf):
 
 @query("vote_pattern_voted")
 def _(spark, sf):
-    return rounded(votes.vote_pattern_voted(_streams(spark, sf), "stream", SCORE_CLASSES))
+    return rounded(votes.vote_pattern_voted(_streams(spark, sf), "stream", SCORE_CLASSES, unvoted="null"))
 
 
 @query("vote_summary")
