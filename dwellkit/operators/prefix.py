@@ -34,29 +34,36 @@ def index_rows(
     df: DataFrame,
     key: str,
     order_by: Sequence[str],
-    coarse: Column,
+    scale: Column,
     hot_rows: int = 1 << 22,
     index: str = "sample_idx",
     chunk: str = "chunk",
 ) -> DataFrame:
     """Add ``index`` (0-based position in the key's order) and ``chunk``.
 
-    ``coarse`` must be a BIGINT that never falls along ``order_by``. Keys of at most
-    ``hot_rows`` rows stay in chunk 0; larger ones are cut by ``coarse``. There are
-    at most (table rows / hot_rows) such keys, so their list is small enough to
+    ``scale`` is a number that never falls along ``order_by``. Keys of at most
+    ``hot_rows`` rows stay in chunk 0; a larger one is cut into 16 * rows / hot_rows
+    equal stretches of its own scale, which leaves room for a sixteenfold burst. There
+    are at most (table rows / hot_rows) such keys, so their list is small enough to
     broadcast whatever the table's size: a table of 10^12 rows has at most 2.4e5.
     """
+    scale = scale.cast("double")
     hot = (
         df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n_rows"))
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.min(scale).alias("scale_lo"), F.max(scale).alias("scale_hi"))
         .filter(F.col("n_rows") > hot_rows)
-        .select(key, F.lit(True).alias("is_hot"))
+        .select(key, "scale_lo", "scale_hi", F.ceil(F.col("n_rows") * 16 / hot_rows).alias("n_parts"))
     )
-    cut = df.join(F.broadcast(hot), key, "left").withColumn(
-        chunk, F.when(F.col("is_hot"), coarse.cast("long")).otherwise(F.lit(0).cast("long"))
+    is_hot = F.col("n_parts").isNotNull()
+    place = F.try_divide(scale - F.col("scale_lo"), F.col("scale_hi") - F.col("scale_lo"))
+    part = F.coalesce(F.floor(place * F.col("n_parts")), F.lit(0)).cast("long")
+    cut = (
+        df.join(F.broadcast(hot), key, "left")
+        .withColumn(chunk, F.when(is_hot, part).otherwise(F.lit(0).cast("long")))
+        .drop("scale_lo", "scale_hi")
     )
     offsets = (
-        cut.filter(F.col("is_hot"))
+        cut.filter(is_hot)
         .groupBy(key, chunk)
         .agg(F.count(F.lit(1)).alias("n_rows"))
         .withColumn("start_at", before(F.col("n_rows"), [key], chunk))
@@ -64,10 +71,11 @@ def index_rows(
     )
     local = Window.partitionBy(key, chunk).orderBy(*order_by)
     return (
-        cut.withColumn("row_in_chunk", F.row_number().over(local))
+        cut.drop("n_parts")
+        .withColumn("row_in_chunk", F.row_number().over(local))
         .join(offsets, [key, chunk], "left")
         .withColumn(index, F.coalesce("start_at", F.lit(0).cast("long")) + F.col("row_in_chunk") - 1)
-        .drop("row_in_chunk", "start_at", "is_hot")
+        .drop("row_in_chunk", "start_at")
     )
 
 
@@ -80,15 +88,18 @@ def hash_key(*cols: Column | str, seed: str = "") -> Column:
     return F.md5(text.cast("binary"))
 
 
-def hash_chunk(hash_col: Column, digits: int = 3) -> Column:
-    """Leading hex digits of a hash as a number: 16^digits even, ordered chunks."""
-    return F.conv(F.substring(hash_col, 1, digits), 16, 10).cast("long")
+HASH_DIGITS = 4
+
+
+def hash_chunk(hash_col: Column) -> Column:
+    """Leading hex digits of a hash as a number: 65,536 even, ordered chunks."""
+    return F.conv(F.substring(hash_col, 1, HASH_DIGITS), 16, 10).cast("long")
 
 
 def number_by_hash(df: DataFrame, hash_col: str, tie: Sequence[str], name: str) -> DataFrame:
     """Global 1-based row number in hash order, without a one-partition window.
 
-    The hash spreads rows evenly over 4096 chunks; one count per chunk is carried.
+    The hash spreads rows evenly over 65,536 chunks; one count per chunk is carried.
     """
     cut = df.withColumn("hash_part", hash_chunk(F.col(hash_col)))
     offsets = (
@@ -100,7 +111,7 @@ def number_by_hash(df: DataFrame, hash_col: str, tie: Sequence[str], name: str)
     local = Window.partitionBy("hash_part").orderBy(hash_col, *tie)
     numbered = cut.withColumn("row_in_part", F.row_number().over(local))
     return (
-        join_small(numbered, offsets, "hash_part", rows=16**3)
+        join_small(numbered, offsets, "hash_part", rows=16**HASH_DIGITS)
         .withColumn(name, F.col("start_at") + F.col("row_in_part"))
         .drop("hash_part", "row_in_part", "start_at")
     )
@@ -119,7 +130,7 @@ def mark_first_by_hash(
 
     The rows themselves are never shuffled or sorted. Pass 1 counts rows per
     (group, hash chunk) and finds the chunk in which the quota is used up. Pass 2
-    ranks only the rows of that chunk (1/4096 of a group) and reads off the last row
+    ranks only the rows of that chunk (1/65,536 of a group) and reads off the last row
     inside the quota. Pass 3 compares each row with that bound. ``quota`` is
     (group, quota_rows); ``n_groups`` bounds its rows. Groups without a quota get
     no flag.
@@ -153,22 +164,40 @@ def mark_first_by_hash(
     return join_small(df, limits, group, n_groups, "left").withColumn(flag, inside).drop("bound", "take_all")
 
 
+def value_part(x: Column, lo: Column, hi: Column, steps: int) -> Column:
+    """Ordered parts of [lo, hi] that get finer toward both ends.
+
+    Each halving of the distance to the nearer end is a stretch of ``steps`` equal
+    parts, down to 2^-60 of the range. One far outlier, or scores that crowd against 1,
+    thus do not push all other values into one part. At most 2 * 61 * steps parts.
+    """
+    width = hi - lo
+    from_lo, from_hi = F.try_divide(x - lo, width), F.try_divide(hi - x, width)
+    near = F.least(from_lo, from_hi)
+    halvings = F.when(near > 0, F.least(F.floor(-F.log2(near)), F.lit(60))).otherwise(F.lit(60))
+    within = F.floor((near * F.pow(F.lit(2.0), halvings) - 0.5) * 2 * steps)
+    step = (F.lit(60) - halvings) * steps + F.greatest(F.least(within, F.lit(steps - 1)), F.lit(0))
+    top = 2 * 61 * steps
+    part = F.when(from_lo <= from_hi, step).otherwise(F.lit(top) - step)
+    return F.when(width > 0, part).otherwise(F.lit(0)).cast("long")
+
+
 def value_totals(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     weights: Sequence[str],
     n_keys: int | None = None,
-    chunks: int = 1 << 20,
+    steps: int = 1 << 14,
     descending: bool = False,
 ) -> DataFrame:
     """Running sums of ``weights`` along ``value`` for every distinct value.
 
     ``df`` holds one row per (keys, value), so a value carried by a third of the
-    input is one row here. Values are cut into at most ``chunks`` equal-width chunks
-    of the key's own range; sums over earlier chunks are carried. Adds ``cum_<w>``
-    (including the row's own) and ``all_<w>`` (the key's total) for every weight.
-    ``n_keys`` bounds the number of distinct keys.
+    input is one row here. The order of a key is cut by ``value_part``; sums over
+    earlier parts (two million rows at most) are carried. Adds ``cum_<w>`` (including
+    the row's own) and ``all_<w>`` (the key's total) for every weight. ``n_keys``
+    bounds the number of distinct keys.
     """
     keys = list(keys)
     span = df.groupBy(*keys).agg(
@@ -179,11 +208,8 @@ def value_totals(
     if not keys:
         df, span = df.withColumn("whole", F.lit(0)), span.withColumn("whole", F.lit(0))
     ranged = join_small(df, span, on, n_keys).drop("whole")
-    position = F.when(
-        F.col("hi") > F.col("lo"), F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * chunks)
-    ).otherwise(F.lit(0))
-    part = F.least(position, F.lit(chunks - 1)).cast("long")
-    cut = ranged.withColumn("value_part", (F.lit(chunks) - part) if descending else part).drop("lo", "hi")
+    part = value_part(F.col(value).cast("double"), F.col("lo").cast("double"), F.col("hi").cast("double"), steps)
+    cut = ranged.withColumn("value_part", -part if descending else part).drop("lo", "hi")
     carried = cut.groupBy(*keys, "value_part").agg(*[F.sum(w).alias(f"part_{w}") for w in weights])
     carried = carried.select(
         *keys, "value_part", *[before(F.col(f"part_{w}"), keys, "value_part").alias(f"pre_{w}") for w in weights]

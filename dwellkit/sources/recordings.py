@@ -32,16 +32,15 @@ def _state(column: str) -> Column:
     return F.when(~F.isnan(column), F.col(column)).cast("int")
 
 
-def _indexed(df: DataFrame, chunk_seconds: float) -> DataFrame:
-    coarse = F.floor(F.col("time") / F.lit(float(chunk_seconds)))
-    return index_rows(df, "record_id", ["time"], coarse)
+def _indexed(df: DataFrame) -> DataFrame:
+    return index_rows(df, "record_id", ["time"], F.col("time"))
 
 
 def _files(df: DataFrame) -> Column:
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
 
 
-def read_recordings(spark: SparkSession, paths, species: bool = False, chunk_seconds: float = 1000.0) -> DataFrame:
+def read_recordings(spark: SparkSession, paths, species: bool = False) -> DataFrame:
     """CSV recordings with a Time, Current, State (and Species) header. One recording
     per file name; samples in time order."""
     raw = (
@@ -57,15 +56,15 @@ def read_recordings(spark: SparkSession, paths, species: bool = False, chunk_sec
         _state("State").alias("state"),
         *([F.col("Species").alias("species")] if species else []),
     )
-    return _indexed(rows, chunk_seconds)
+    return _indexed(rows)
 
 
-def read_positional(spark: SparkSession, paths, chunk_seconds: float = 1000.0) -> DataFrame:
+def read_positional(spark: SparkSession, paths) -> DataFrame:
     """CSV recordings whose first three columns are time, current and state, whatever
     the header calls them."""
     raw = spark.read.schema(POSITIONAL).option("header", True).option("enforceSchema", True).csv(paths)
     rows = raw.select(_files(raw).alias("record_id"), "time", "current", _state("state").alias("state"))
-    return _indexed(rows, chunk_seconds)
+    return _indexed(rows)
 
 
 def with_classes(df: DataFrame, labels: Mapping[str, int], record_class: Mapping[str, str]) -> DataFrame:

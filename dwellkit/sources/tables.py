@@ -36,8 +36,9 @@ def signal_from_events(spark: SparkSession, sf_dir: str, *extra: str) -> DataFra
         F.col("value").alias("current"),
         F.when(kind == "purchase", 2).when(kind.isin("error", "signup"), 1).otherwise(0).alias("state"),
     )
-    hour = _days(F.col("ts")) * 24 + F.hour("ts")
-    indexed = index_rows(rows, "record_id", ["ts", "event_id"], hour)
+    ts = F.col("ts")
+    seconds = _days(ts) * 86_400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.floor(F.second(ts))
+    indexed = index_rows(rows, "record_id", ["ts", "event_id"], seconds)
     return _as_signal(indexed).select("record_id", "chunk", "sample_idx", "time", "current", "state", *extra)
 
 
@@ -55,8 +56,9 @@ def signal_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_quantity") <= 20, 0).when(F.col("l_quantity") <= 40, 1).otherwise(2).alias("state"),
     )
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
-    day_and_order = F.shiftleft(_days(F.col("l_shipdate")), 36).bitwiseOR(F.shiftright(F.col("l_orderkey"), 20))
-    indexed = index_rows(rows, "record_id", order, day_and_order)
+    # Order keys subdivide a day; beyond 2^40 they no longer do, which stays in order.
+    day = _days(F.col("l_shipdate")) + F.least(F.col("l_orderkey") / F.lit(float(1 << 40)), F.lit(0.999))
+    indexed = index_rows(rows, "record_id", order, day)
     return _as_signal(indexed).select("record_id", "chunk", "sample_idx", "time", "current", "state")
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from dwellkit.operators.prefix import hash_key, index_rows, mark_first_by_hash, number_by_hash, value_totals
+from dwellkit.operators.prefix import hash_key, index_rows, mark_first_by_hash, number_by_hash, value_part, value_totals
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +15,7 @@ def rows(spark):
 
 @pytest.mark.parametrize("hot", [1, 100, 10_000])
 def test_index_rows(rows, hot):
-    df = index_rows(rows, "k", ["t", "i"], F.floor(F.col("t") / 7), hot_rows=hot)
+    df = index_rows(rows, "k", ["t", "i"], F.col("t"), hot_rows=hot)
     got = df.orderBy("k", "sample_idx").collect()
     want = {}
     for k, t, i in sorted(map(tuple, rows.collect())):
@@ -23,7 +23,7 @@ def test_index_rows(rows, hot):
     assert {k: [r.i for r in got if r.k == k] for k in want} == want
     for k, ids in want.items():
         assert [r.sample_idx for r in got if r.k == k] == list(range(len(ids)))
-    assert max(r.chunk for r in got) == (0 if hot > 400 else 5)
+    assert (max(r.chunk for r in got) > 5) == (hot < 400)
 
 
 def test_number_by_hash(rows):
@@ -44,11 +44,11 @@ def test_mark_first_by_hash(spark, rows, quotas):
         assert [x[2] for x in group] == [j < quotas.get(k, 0) for j in range(len(group))]
 
 
-@pytest.mark.parametrize("chunks", [1, 3, 1 << 20])
+@pytest.mark.parametrize("steps", [1, 3, 1 << 14])
 @pytest.mark.parametrize("descending", [False, True])
-def test_value_totals(rows, chunks, descending):
+def test_value_totals(rows, steps, descending):
     counted = rows.groupBy("k", (F.col("t") / 3).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    got = value_totals(counted, ["k"], "v", ["n"], chunks=chunks, descending=descending).collect()
+    got = value_totals(counted, ["k"], "v", ["n"], steps=steps, descending=descending).collect()
     for k in (1, 2, 3):
         mine = sorted((r for r in got if r.k == k), key=lambda r: -r.v if descending else r.v)
         so_far = 0
@@ -60,5 +60,25 @@ def test_value_totals(rows, chunks, descending):
 
 def test_value_totals_without_keys(rows):
     counted = rows.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    got = sorted(value_totals(counted, [], "t", ["n"], n_keys=1, chunks=4).collect(), key=lambda r: r.t)
+    got = sorted(value_totals(counted, [], "t", ["n"], n_keys=1, steps=2).collect(), key=lambda r: r.t)
     assert got[-1].cum_n == 400 and [r.cum_n - r.n for r in got[1:]] == [r.cum_n for r in got[:-1]]
+
+
+def test_value_part_is_ordered_and_fine_at_both_ends(spark):
+    rng = random.Random(8)
+    crowds = [rng.random() * 10.0**-k for k in range(12) for _ in range(30)]
+    xs = sorted({0.0, 1.0, 0.5, *crowds, *[1 - c for c in crowds], *[2.0**-k for k in range(50)]})
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    part = value_part(F.col("x"), F.lit(0.0), F.lit(1.0), 16)
+    got = [r.p for r in df.select("x", part.alias("p")).orderBy("x").collect()]
+    assert got == sorted(got)
+    assert len(set(got)) > 0.4 * len(got)
+    flat = df.select(value_part(F.lit(3.0), F.lit(3.0), F.lit(3.0), 16).alias("p")).first()
+    assert flat.p == 0
+
+
+def test_outlier_does_not_gather_a_key(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(500)] + [(1e15,)], "v double").withColumn("n", F.lit(1).cast("long"))
+    part = value_part(F.col("v"), F.lit(0.0), F.lit(1e15), 1 << 14)
+    assert df.groupBy(part.alias("p")).count().agg(F.max("count")).first()[0] <= 2
+    assert value_totals(df, [], "v", ["n"], n_keys=1).filter("v = 250").first().cum_n == 251
