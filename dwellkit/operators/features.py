@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwellkit.functions.columns import plogp, ratio_or_count, share
+from dwellkit.functions.columns import ratio_or_count, share
+from dwellkit.operators.prefix import HOT_ROWS, join_totals
 from dwellkit.operators.segment import chunk_runs
 
 # Feature lists in the order that models and reports use.
@@ -171,6 +172,10 @@ def record_features(events: DataFrame, mode: str = "mean") -> DataFrame:
     mode='mean' averages over events; mode='first' takes the first event's value,
     which is what tables written by older pipelines hold.
     """
+    return _record_totals(events, mode).drop("n_events")
+
+
+def _record_totals(events: DataFrame, mode: str) -> DataFrame:
     if mode == "mean":
         pick = F.avg
     elif mode == "first":
@@ -188,9 +193,11 @@ def record_features(events: DataFrame, mode: str = "mean") -> DataFrame:
         F.sum("samples_0").alias("n0"),
         F.sum("samples_1").alias("n1"),
         F.sum("event_duration").alias("n_all"),
+        F.count(F.lit(1)).alias("n_events"),
     )
     return totals.select(
         "record_id",
+        "n_events",
         *RECORD_FEATURES[:4],
         share(F.col("n0"), F.col("n_all")).alias("overall_probability_0"),
         share(F.col("n1"), F.col("n_all")).alias("overall_probability_1"),
@@ -198,17 +205,7 @@ def record_features(events: DataFrame, mode: str = "mean") -> DataFrame:
     )
 
 
-def with_record_features(events: DataFrame, mode: str = "mean") -> DataFrame:
-    """Events with all 20 features. The recording's row is joined back rather than
-    windowed, so the events of a long recording stay spread over tasks."""
-    return events.join(record_features(events, mode), "record_id")
-
-
-def entropy_of_counts(counts: DataFrame, keys: list[str], n: str = "n", base: float | None = 2) -> DataFrame:
-    """Shannon entropy of a count table per key."""
-    totals = counts.groupBy(*keys).agg(F.sum(n).alias("total"))
-    return (
-        counts.join(totals, keys)
-        .groupBy(*keys)
-        .agg(F.sum(plogp(share(F.col(n), F.col("total")), base)).alias("entropy"))
-    )
+def with_record_features(events: DataFrame, mode: str = "mean", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Events with all 20 features; the events of a long recording stay spread."""
+    totals = _record_totals(events, mode)
+    return join_totals(events, totals, ["record_id"], "n_events", F.col("event_id"), hot_rows=hot_rows)

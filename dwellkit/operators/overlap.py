@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dwellkit.functions.columns import share
 from dwellkit.operators.features import FEATURES_10
-from dwellkit.operators.prefix import join_small, value_totals
+from dwellkit.operators.prefix import join_small, join_totals, value_totals
 
 BINS = 50
 
@@ -91,17 +91,27 @@ def axis_bounds(percentile_table: DataFrame, pairs: Sequence[tuple[int, int]]) -
 
 
 def ranges(values: DataFrame) -> DataFrame:
-    """(label, feature, lo, hi); a constant sample gets half a unit either side."""
-    span = values.groupBy("label", "feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    """(label, feature, lo, hi, n_values); a constant sample gets half a unit either
+    side."""
+    span = values.groupBy("label", "feature").agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n_values")
+    )
     flat = F.col("lo") == F.col("hi")
     return span.select(
         "label",
         "feature",
         F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
         F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
+        "n_values",
     )
 
 
+def _with_range(values: DataFrame, span: DataFrame, keys: Sequence[str], n_groups: int | None) -> DataFrame:
+    if n_groups is None:
+        return join_totals(values, span, keys, "n_values", F.col("value"))
+    return join_small(values, span.drop("n_values"), list(keys), n_groups)
+
+
 def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     """Bin of x among equal-width bins; the last one is closed. Rounding at an edge is
     settled by comparing with the edge itself."""
@@ -122,11 +132,13 @@ def histograms(values: DataFrame, bins: int = BINS, edges: str = "own", n_groups
     span = ranges(values)
     if edges == "pooled":
         over = Window.partitionBy("feature")
-        span = span.select("label", "feature", F.min("lo").over(over).alias("lo"), F.max("hi").over(over).alias("hi"))
+        span = span.select(
+            "label", "feature", F.min("lo").over(over).alias("lo"), F.max("hi").over(over).alias("hi"), "n_values"
+        )
     elif edges != "own":
         raise ValueError("edges must be 'own' or 'pooled'")
     counted = (
-        join_small(values, span, ["label", "feature"], n_groups)
+        _with_range(values, span, ["label", "feature"], n_groups)
         .filter(F.col("value").isNotNull())
         .groupBy("label", "feature", _bin(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
@@ -165,14 +177,18 @@ def pair_histograms(
         mine = F.filter(_pairs_of(pairs), lambda p: (p["first"] == F.col("label")) | (p["second"] == F.col("label")))
     else:
         raise ValueError("edges must be 'first' or 'pooled'")
+    # Either class may be the large one, so a pair's rows are those of both.
+    sized = _in_pairs(span, pairs).groupBy("first", "second", "feature").agg(F.sum("n_values").alias("n_values"))
     spans = (
         span.select("feature", "lo", "hi", F.explode(mine).alias("pair"))
         .groupBy("pair.first", "pair.second", "feature")
         .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .join(sized, ["first", "second", "feature"])
+    )
+    n_spans = n_groups and n_groups * len(pairs)
+    rows = _with_range(_in_pairs(values, pairs), spans, ["first", "second", "feature"], n_spans).filter(
+        F.col("value").between(F.col("lo"), F.col("hi"))
     )
-    rows = join_small(
-        _in_pairs(values, pairs), spans, ["first", "second", "feature"], n_groups and n_groups * len(pairs)
-    ).filter(F.col("value").between(F.col("lo"), F.col("hi")))
     counted = rows.groupBy(
         "first",
         "second",

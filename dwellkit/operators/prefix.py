@@ -24,6 +24,48 @@ def join_small(df: DataFrame, small: DataFrame, on, rows: int | None, how: str =
     return df.join(side, on, how)
 
 
+HOT_ROWS = 1 << 22
+
+
+def join_totals(
+    df: DataFrame,
+    totals: DataFrame,
+    keys: Sequence[str],
+    rows: str,
+    salt: Column,
+    how: str = "inner",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Join each row with its key's row of ``totals``, where a key may hold any share
+    of ``df``.
+
+    ``totals`` is an aggregate by key; its column ``rows`` is the key's number of rows
+    in ``df`` and is dropped. (The run-time skew split does not apply to such a join:
+    the aggregate sits between its exchange and the join.) Keys of more than
+    ``hot_rows`` rows are at most rows / hot_rows in number, so their totals are
+    broadcast; their rows leave the key's partition by ``salt`` and find no partner
+    there. All other keys join as usual. ``df`` is read and shuffled once.
+    """
+    keys = list(keys)
+    names = [c for c in totals.columns if c not in keys and c != rows]
+    found = F.struct(F.lit(True).alias("any"), *names)
+    hot = totals.filter(F.col(rows) > hot_rows).select(*keys, found.alias("hot_total"))
+    # 0 for every row kept, but not a literal: the optimizer would drop a literal from
+    # the join key, and with it the spreading.
+    at_home = (F.col(rows) > hot_rows).cast("int").alias("spread")
+    cold = totals.filter(F.col(rows) <= hot_rows).select(*keys, at_home, found.alias("cold_total"))
+    spread = F.when(F.col("hot_total").isNotNull(), F.pmod(F.xxhash64(salt), F.lit(8192)).cast("int") + 1)
+    joined = (
+        df.join(F.broadcast(hot), keys, "left")
+        .withColumn("spread", F.coalesce(spread, F.lit(0)))
+        .join(cold, [*keys, "spread"], "left")
+        .withColumn("total", F.coalesce("hot_total", "cold_total"))
+    )
+    if how == "inner":
+        joined = joined.filter(F.col("total.any"))
+    return joined.select(*df.columns, *[F.col(f"total.{n}").alias(n) for n in names])
+
+
 def before(col: Column, keys: Sequence[str], order: str) -> Column:
     """Sum over all earlier rows of the key, 0 for the first."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -156,12 +198,16 @@ def mark_first_by_hash(
     )
     sizes = filled.groupBy(group).agg(F.sum("n_rows").alias("n_all"))
     limits = (
-        quota.join(sizes, group, "left")
+        quota.join(sizes, group)
         .join(bound, group, "left")
-        .select(group, "bound", (F.col("quota_rows") >= F.coalesce("n_all", F.lit(0))).alias("take_all"))
+        .select(group, "n_all", "bound", (F.col("quota_rows") >= F.col("n_all")).alias("take_all"))
     )
+    if n_groups is None:
+        marked = join_totals(df, limits, [group], "n_all", F.col(hash_col), "left")
+    else:
+        marked = join_small(df, limits.drop("n_all"), group, n_groups, "left")
     inside = F.coalesce(F.col("take_all") | (F.struct(*key) <= F.col("bound")), F.lit(False))
-    return join_small(df, limits, group, n_groups, "left").withColumn(flag, inside).drop("bound", "take_all")
+    return marked.withColumn(flag, inside).drop("bound", "take_all")
 
 
 def value_part(x: Column, lo: Column, hi: Column, steps: int) -> Column:
@@ -200,14 +246,18 @@ def value_totals(
     bounds the number of distinct keys.
     """
     keys = list(keys)
-    span = df.groupBy(*keys).agg(
-        F.min(value).alias("lo"), F.max(value).alias("hi"), *[F.sum(w).alias(f"all_{w}") for w in weights]
-    )
-    # Without keys the span is a single row; a constant key keeps this an equi-join.
-    on = keys or ["whole"]
-    if not keys:
-        df, span = df.withColumn("whole", F.lit(0)), span.withColumn("whole", F.lit(0))
-    ranged = join_small(df, span, on, n_keys).drop("whole")
+    sums = [F.sum(w).alias(f"all_{w}") for w in weights]
+    span = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), *sums)
+    if keys and n_keys is None:
+        counts = df.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n_values"), F.min(value).alias("lo"), F.max(value).alias("hi"), *sums
+        )
+        ranged = join_totals(df, counts, keys, "n_values", F.col(value))
+    elif keys:
+        ranged = join_small(df, span, keys, n_keys)
+    else:
+        names = span.columns
+        ranged = df.withColumn("span", span.select(F.struct(*names)).scalar()).select(*df.columns, "span.*")
     part = value_part(F.col(value).cast("double"), F.col("lo").cast("double"), F.col("hi").cast("double"), steps)
     cut = ranged.withColumn("value_part", -part if descending else part).drop("lo", "hi")
     carried = cut.groupBy(*keys, "value_part").agg(*[F.sum(w).alias(f"part_{w}") for w in weights])

@@ -76,7 +76,10 @@ def validation_split(
 ) -> DataFrame:
     """Adds ``is_validation``: the rows after the first floor(n * (1 - fraction))."""
     quota = F.floor(F.col("n_rows") * F.lit(1.0 - float(fraction)))
-    marked = _marked(train.withColumn("everything", F.lit(0)), quota, 1, "everything", seed, ids, "fits")
+    # One group for all rows, by a key that is the same for every row yet not a literal,
+    # so that the one-row bounds stay the build side of a hash join.
+    whole = train.withColumn("everything", F.length(hash_key(*ids)))
+    marked = _marked(whole, quota, 1, "everything", seed, ids, "fits")
     return marked.withColumn("is_validation", ~F.col("fits")).drop("fits", "everything")
 
 

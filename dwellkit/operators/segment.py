@@ -15,10 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwellkit.operators.prefix import before
+from dwellkit.operators.prefix import HOT_ROWS, before, join_totals
 
 OPEN_STATE = 2
 CHUNK_SAMPLES = 1 << 20
+# A part of a state sequence is a heavy row. An event of more parts than this fills
+# that many chunks less two, which bounds how many such events there can be.
+HOT_PARTS = 64
 
 
 def chunked(signal: DataFrame, chunk_samples: int | None = None) -> DataFrame:
@@ -112,7 +115,9 @@ def chunk_runs(signal: DataFrame, chunk_samples: int | None = None) -> DataFrame
     )
 
 
-def runs(signal: DataFrame, chunk_samples: int | None = None, min_event_length: int = 0) -> DataFrame:
+def runs(
+    signal: DataFrame, chunk_samples: int | None = None, min_event_length: int = 0, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Dwells: one row per run, (record_id, event_id, run_start, state, run_len).
 
     The group key holds the run itself, so a long event spreads over all tasks.
@@ -127,13 +132,13 @@ def runs(signal: DataFrame, chunk_samples: int | None = None, min_event_length:
     )
     if min_event_length <= 0:
         return merged
-    long_enough = (
+    durations = (
         pieces.groupBy("record_id", "event_id")
-        .agg(F.sum("run_len").alias("event_duration"))
+        .agg(F.sum("run_len").alias("event_duration"), F.count(F.lit(1)).alias("n_pieces"))
         .filter(F.col("event_duration") > min_event_length)
-        .select("record_id", "event_id")
     )
-    return merged.join(long_enough, ["record_id", "event_id"], "left_semi")
+    kept = join_totals(merged, durations, ["record_id", "event_id"], "n_pieces", F.col("run_start"), hot_rows=hot_rows)
+    return kept.drop("event_duration")
 
 
 def run_lengths(signal: DataFrame, key: Column | str = "record_id", chunk_samples: int | None = None) -> DataFrame:
@@ -183,22 +188,41 @@ def events(signal: DataFrame, min_event_length: int = 5, chunk_samples: int | No
     )
 
 
-def state_parts(signal: DataFrame, min_event_length: int = 5, chunk_samples: int | None = None) -> DataFrame:
+def state_parts(
+    signal: DataFrame, min_event_length: int = 5, chunk_samples: int | None = None, hot_parts: int = HOT_PARTS
+) -> DataFrame:
     """State sequences of kept events, whole, one row per event and chunk.
 
-    (record_id, event_id, chunk, n_states, states). A row holds at most one chunk, so
-    an event of any length can be written and read; ``states_of`` joins the rows of
-    events that fit one.
+    (record_id, event_id, event_duration, chunk, n_states, states). A row holds at most
+    one chunk, so an event of any length can be written and read; ``states_of`` joins
+    the rows of events that fit one.
     """
-    pieces = chunk_runs(signal, chunk_samples)
-    parts = pieces.groupBy("record_id", "chunk", "event_id").agg(
-        F.sum("run_len").alias("n_states"),
-        F.array_sort(F.collect_list(F.struct("run_start", "state", "run_len"))).alias("part_runs"),
+    parts = (
+        chunk_runs(signal, chunk_samples)
+        .groupBy("record_id", "chunk", "event_id")
+        .agg(
+            F.sum("run_len").alias("n_states"),
+            F.array_sort(F.collect_list(F.struct("run_start", "state", "run_len"))).alias("part_runs"),
+        )
+    )
+    kept = (
+        chunk_runs(signal, chunk_samples)
+        .groupBy("record_id", "event_id", "chunk")
+        .agg(F.sum("run_len").alias("n_states"))
+        .groupBy("record_id", "event_id")
+        .agg(F.sum("n_states").alias("event_duration"), F.count(F.lit(1)).alias("n_parts"))
+        .filter(F.col("event_duration") > min_event_length)
     )
-    kept = events(signal, min_event_length, chunk_samples).select("record_id", "event_id")
     states = F.flatten(F.transform("part_runs", lambda r: F.array_repeat(r["state"], r["run_len"].cast("int"))))
-    return parts.join(kept, ["record_id", "event_id"], "left_semi").select(
-        "record_id", "event_id", "chunk", "n_states", states.alias("states")
+    joined = join_totals(parts, kept, ["record_id", "event_id"], "n_parts", F.col("chunk"), hot_rows=hot_parts)
+    return joined.select("record_id", "event_id", "event_duration", "chunk", "n_states", states.alias("states"))
+
+
+def _in_order(parts: DataFrame) -> DataFrame:
+    return (
+        parts.groupBy("record_id", "event_id", "event_duration")
+        .agg(F.array_sort(F.collect_list(F.struct("chunk", "states"))).alias("ordered"))
+        .select("record_id", "event_id", "event_duration", F.flatten(F.col("ordered.states")).alias("states"))
     )
 
 
@@ -208,18 +232,10 @@ def states_of(parts: DataFrame, max_states: int = 50_000_000) -> DataFrame:
     An event longer than a row can hold is refused with an error before anything is
     gathered; read its parts instead.
     """
-    sizes = parts.groupBy("record_id", "event_id").agg(F.sum("n_states").alias("event_duration"))
-    checked = sizes.filter(
-        F.when(F.col("event_duration") <= max_states, F.lit(True)).otherwise(
-            F.raise_error(F.lit("event too long for one row; use its state_parts")).cast("boolean")
-        )
-    )
-    return (
-        parts.join(checked, ["record_id", "event_id"])
-        .groupBy("record_id", "event_id", "event_duration")
-        .agg(F.array_sort(F.collect_list(F.struct("chunk", "states"))).alias("ordered"))
-        .select("record_id", "event_id", "event_duration", F.flatten(F.col("ordered.states")).alias("states"))
+    fits = F.when(F.col("event_duration") <= max_states, F.lit(True)).otherwise(
+        F.raise_error(F.lit("event too long for one row; use its state_parts")).cast("boolean")
     )
+    return _in_order(parts.filter(fits))
 
 
 def bounded_states(parts: DataFrame, length: int, keep: str = "head") -> DataFrame:
@@ -229,21 +245,15 @@ def bounded_states(parts: DataFrame, length: int, keep: str = "head") -> DataFra
     Each part is cut before the exchange and parts beyond ``length`` are dropped
     before they are gathered, so an event costs its parts, not its samples.
     """
-    sequence = Window.partitionBy("record_id", "event_id")
     order = F.asc("chunk") if keep == "head" else F.desc("chunk")
-    earlier = sequence.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("record_id", "event_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     if keep == "head":
         cut = F.slice("states", 1, length)
     else:
         cut = F.slice("states", F.greatest(F.size("states") - length, F.lit(0)) + 1, F.lit(length))
     needed = (
-        parts.select("record_id", "event_id", "chunk", "n_states", cut.alias("states"))
+        parts.select("record_id", "event_id", "event_duration", "chunk", "n_states", cut.alias("states"))
         .withColumn("ahead", F.coalesce(F.sum("n_states").over(earlier), F.lit(0)))
-        .withColumn("event_duration", F.sum("n_states").over(sequence))
         .filter(F.col("ahead") < length)
     )
-    return (
-        needed.groupBy("record_id", "event_id", "event_duration")
-        .agg(F.array_sort(F.collect_list(F.struct("chunk", "states"))).alias("ordered"))
-        .select("record_id", "event_id", "event_duration", F.flatten(F.col("ordered.states")).alias("states"))
-    )
+    return _in_order(needed)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellkit.functions.columns import binary_state, lookup, share
+from dwellkit.operators.prefix import HOT_ROWS, join_totals
 
 CHUNK_SAMPLES = 1 << 20
 
@@ -29,17 +30,21 @@ def preview(signal: DataFrame, n: int = 10) -> DataFrame:
     return sample_range(signal, 0, n).orderBy("record_id", "sample_idx")
 
 
-def minmax_scaled(signal: DataFrame, column: str = "current", out: str = "scaled") -> DataFrame:
+def minmax_scaled(
+    signal: DataFrame, column: str = "current", out: str = "scaled", hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Column scaled to [0, 1] within its recording; 0 where the column is constant.
 
-    The range is a combinable aggregate with one row per recording. Joining it back
-    lets Spark pick broadcast or a skew-split merge join, where a window over the
-    recording would put a long recording on one task.
+    The range is a combinable aggregate with one row per recording, joined back so
+    that a long recording stays spread over tasks; a window over the recording would
+    gather it.
     """
-    span = signal.groupBy("record_id").agg(F.min(column).alias("low"), F.max(column).alias("high"))
+    span = signal.groupBy("record_id").agg(
+        F.count(F.lit(1)).alias("n_samples"), F.min(column).alias("low"), F.max(column).alias("high")
+    )
     scaled = F.when(F.col("high") > F.col("low"), (F.col(column) - F.col("low")) / (F.col("high") - F.col("low")))
     return (
-        signal.join(span, "record_id")
+        join_totals(signal, span, ["record_id"], "n_samples", F.col("sample_idx"), hot_rows=hot_rows)
         .withColumn(out, F.when(F.col(column).isNotNull(), F.coalesce(scaled, F.lit(0.0))))
         .drop("low", "high")
     )

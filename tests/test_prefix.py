@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from dwellkit.operators.prefix import hash_key, index_rows, mark_first_by_hash, number_by_hash, value_part, value_totals
+from dwellkit.operators.prefix import hash_key, index_rows, join_totals, mark_first_by_hash, number_by_hash, value_part, value_totals
 
 
 @pytest.fixture(scope="module")
@@ -33,11 +33,12 @@ def test_number_by_hash(rows):
     assert [r.h for r in got] == sorted(r.h for r in got)
 
 
+@pytest.mark.parametrize("n_groups", [3, None])
 @pytest.mark.parametrize("quotas", [{1: 10, 2: 0, 3: 10_000}, {1: 1, 3: 7}])
-def test_mark_first_by_hash(spark, rows, quotas):
+def test_mark_first_by_hash(spark, rows, quotas, n_groups):
     hashed = rows.withColumn("h", hash_key("i"))
     quota = spark.createDataFrame(list(quotas.items()), "k long, quota_rows long")
-    got = mark_first_by_hash(hashed, "k", "h", ["i"], quota, 3, "hit").collect()
+    got = mark_first_by_hash(hashed, "k", "h", ["i"], quota, n_groups, "hit").collect()
     assert len(got) == 400
     for k in (1, 2, 3):
         group = sorted((r.h, r.i, r.hit) for r in got if r.k == k)
@@ -82,3 +83,33 @@ def test_outlier_does_not_gather_a_key(spark):
     part = value_part(F.col("v"), F.lit(0.0), F.lit(1e15), 1 << 14)
     assert df.groupBy(part.alias("p")).count().agg(F.max("count")).first()[0] <= 2
     assert value_totals(df, [], "v", ["n"], n_keys=1).filter("v = 250").first().cum_n == 251
+
+
+@pytest.mark.parametrize("hot", [1, 90, 10_000])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_totals(rows, hot, how):
+    totals = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("s"), F.max("i").alias("top"))
+    totals = totals.filter("k <> 2")
+    got = join_totals(rows, totals, ["k"], "n", F.col("i"), how, hot_rows=hot)
+    want = rows.join(totals.drop("n"), "k", how).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_join_totals_spreads_a_hot_key(spark):
+    """With broadcasts limited to the hot list, the rows of the hot key leave its
+    partition."""
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        ids = spark.range(0, 40_000, 1, 4)
+        df = ids.select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 500).alias("k"), "id")
+        totals = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+        got = join_totals(df, totals, ["k"], "n", F.col("id"), hot_rows=1000)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 1
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 40_000 and max(sizes) < 1.3 * 40_000 / 4
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)

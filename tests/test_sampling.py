@@ -70,8 +70,9 @@ def test_union_and_encodings(spark, events):
 
 
 def test_padding(spark):
-    rows = [(1, 1, 0, 3, [0, 1, 1]), (1, 2, 0, 2, [0, 0]), (1, 2, 1, 4, [1, 0, 1, 1])]
-    parts = spark.createDataFrame(rows, "record_id long, event_id long, chunk long, n_states long, states array<int>")
+    rows = [(1, 1, 3, 0, 3, [0, 1, 1]), (1, 2, 6, 0, 2, [0, 0]), (1, 2, 6, 1, 4, [1, 0, 1, 1])]
+    columns = "record_id long, event_id long, event_duration long, chunk long, n_states long, states array<int>"
+    parts = spark.createDataFrame(rows, columns)
     head = {r.event_id: list(r.padded) for r in sampling.pad_sequences(parts, 5).collect()}
     tail = {r.event_id: list(r.padded) for r in sampling.pad_sequences(parts, 5, keep="tail").collect()}
     assert head == {1: [0, 1, 1, -1, -1], 2: [0, 0, 1, 0, 1]}

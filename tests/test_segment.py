@@ -107,7 +107,7 @@ def test_run_lengths(spark, random_recordings, chunk):
 def test_states_and_kept_runs(spark, random_recordings, chunk):
     sig = make(spark, random_recordings)
     want = {(r, e): seq for r, states in random_recordings.items() for e, _, seq in brute.events(states)}
-    parts = segment.state_parts(sig, chunk_samples=chunk)
+    parts = segment.state_parts(sig, chunk_samples=chunk, hot_parts=4)
     got = {(r.record_id, r.event_id): list(r.states) for r in segment.states_of(parts).collect()}
     assert got == want
     for keep, cut in (("head", lambda s: s[:7]), ("tail", lambda s: s[-7:])):
@@ -117,7 +117,7 @@ def test_states_and_kept_runs(spark, random_recordings, chunk):
             assert r.event_duration == len(seq)
             states = list(r.states)
             assert (states[:7] if keep == "head" else states[-7:]) == cut(seq)
-    kept = segment.runs(sig, chunk_samples=chunk, min_event_length=5)
+    kept = segment.runs(sig, chunk_samples=chunk, min_event_length=5, hot_rows=3)
     assert {(r.record_id, r.event_id) for r in kept.collect()} == set(want)
     sums = {(r.record_id, r.event_id): r.n for r in kept.groupBy("record_id", "event_id").agg(F.sum("run_len").alias("n")).collect()}
     assert sums == {k: len(v) for k, v in want.items()}
@@ -142,8 +142,9 @@ def test_record_features(spark):
     assert (mean.average_event_length, mean.average_first_transition_time, mean.average_num_transitions) == (6, 1.5, 2.5)
     assert (first.average_first_transition_time, first.average_num_transitions) == (2, 2)
     assert (mean.overall_probability_0, mean.overall_probability_1, mean.overall_ratio_0_to_1) == (0.5, 0.5, 1)
-    full = features.with_record_features(ev).collect()
-    assert len(full) == 2 and all(r.average_event_length == 6 for r in full)
+    for hot_rows in (1, 100):
+        full = features.with_record_features(ev, hot_rows=hot_rows).collect()
+        assert len(full) == 2 and all(r.average_event_length == 6 for r in full)
     with pytest.raises(ValueError):
         features.record_features(ev, "median")
 
@@ -163,7 +164,9 @@ def test_plan_exchanges_samples_once(spark, tmp_path):
     lines = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
     assert sum("REPARTITION_BY_COL" in x for x in lines) == 1
     assert len(lines) <= 4
-    assert "IsNotNull(state), LessThanOrEqual(state,2), IsNotNull(record_id)]" in plan
+    pushed = plan.split("PushedFilters: ")[1].split("ReadSchema")[0]
+    assert "LessThanOrEqual(state,2)" in pushed and "IsNotNull(record_id)" in pushed
+    assert "struct<record_id:bigint,sample_idx:bigint,state:int>" in plan
     assert "SinglePartition" not in plan
 
 
@@ -175,4 +178,4 @@ def test_bucketed_table_needs_no_sample_exchange(spark):
     df = segment.chunk_runs(spark.table("bucketed_signal")).select("record_id", "run_len", "run_start")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(record_id" not in plan.split("BroadcastExchange")[0]
-    assert df.count() == 12
+    assert df.count() == 10
