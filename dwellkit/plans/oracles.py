@@ -248,6 +248,28 @@ DWELLS = f"""{BASE}, dwell AS (
 hist AS (SELECT label, kind, length, count(*) AS n FROM dwell GROUP BY label, kind, length)"""
 
 
+CDF = f"""{DWELLS}, c AS (
+  SELECT label, kind, length * {d(0.001)} AS t, n,
+    CAST(sum(n) OVER (PARTITION BY label, kind ORDER BY length ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum,
+    CAST(sum(n) OVER (PARTITION BY label, kind) AS BIGINT) AS total FROM hist),
+p AS (SELECT *, (cum - n + 1) / total::DOUBLE AS p_first, cum / total::DOUBLE AS p_last,
+             (cum - n + (n + 1) / 2.0) / total::DOUBLE AS p_mean FROM c)"""
+
+
+def fitted(steps: int = 64) -> str:
+    """Rate constants by bisection of the slope of the squared error."""
+    lines = ["k0 AS MATERIALIZED (SELECT DISTINCT label, kind, 0.0::DOUBLE AS lo, 1e5::DOUBLE AS hi FROM p)"]
+    for i in range(steps):
+        lines.append(
+            f"""k{i + 1} AS MATERIALIZED (
+  SELECT label, kind, CASE WHEN up THEN mid ELSE lo END AS lo, CASE WHEN up THEN hi ELSE mid END AS hi
+  FROM (SELECT k.label, k.kind, lo, hi, (lo + hi) / 2 AS mid,
+          sum(n * (p_mean - 1 + exp(-(lo + hi) / 2 * t)) * t * exp(-(lo + hi) / 2 * t)) > 0 AS up
+        FROM k{i} k JOIN p ON p.label = k.label AND p.kind = k.kind GROUP BY k.label, k.kind, lo, hi))"""
+        )
+    return ", ".join(lines)
+
+
 def drawn(ids: str, seed: str) -> str:
     text = " || ':' || ".join(f"CAST({c.strip()} AS VARCHAR)" for c in ids.split(","))
     return f"md5({text} || ':{seed}')"
@@ -449,13 +471,19 @@ SELECT first, second, feature, {r6("mass_1", "mass_2", "overlap_area")} FROM res
     "overlap_pooled_edges": f"""{overlapping('pooled')}
 SELECT first, second, feature, {r6("mass_1", "mass_2", "coefficient", "overlap_area", "distance")} FROM result""",
     "dwell_histogram": f"{DWELLS} SELECT label, kind, length, n FROM hist",
-    "dwell_cdf": f"""{DWELLS}, c AS (
-  SELECT label, kind, length * {d(0.001)} AS t, n,
-    CAST(sum(n) OVER (PARTITION BY label, kind ORDER BY length ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum,
-    CAST(sum(n) OVER (PARTITION BY label, kind) AS BIGINT) AS total FROM hist),
-p AS (SELECT *, (cum - n + 1) / total::DOUBLE AS p_first, cum / total::DOUBLE AS p_last,
-             (cum - n + (n + 1) / 2.0) / total::DOUBLE AS p_mean FROM c)
-SELECT label, kind, n, total, {r6("t", "p_first", "p_last", "p_mean")} FROM p""",
+    "dwell_cdf": f"""{CDF} SELECT label, kind, n, total, {r6("t", "p_first", "p_last", "p_mean")} FROM p""",
+    "dwell_fit_single": f"""{CDF}, {fitted(64)}
+SELECT k.label, k.kind, CAST(sum(n) AS BIGINT) AS n_dwells, round(lo, 2) AS k1,
+       round(sum(n * (p_mean - 1 + exp(-lo * t)) * (p_mean - 1 + exp(-lo * t))), 4) AS rss
+FROM k64 k JOIN p ON p.label = k.label AND p.kind = k.kind GROUP BY k.label, k.kind, lo""",
+    "kinetics_report_single": f"""{CDF}, {fitted(64)}, pr AS (
+  SELECT CAST(record_id % 7 AS INTEGER) AS label, count(*) FILTER (WHERE state = 0) / count(*)::DOUBLE AS probability_0
+  FROM inside GROUP BY 1)
+SELECT k64.label, round(max(CASE WHEN kind = 'state_0' THEN lo END), 2) AS k_state_0,
+  round(max(CASE WHEN kind = 'state_1' THEN lo END), 2) AS k_state_1,
+  round(max(CASE WHEN kind = 'event' THEN lo END), 2) AS k_overall,
+  round(any_value(probability_0), 6) AS probability_0, round(1 - any_value(probability_0), 6) AS probability_1
+FROM k64 JOIN pr ON pr.label = k64.label GROUP BY k64.label""",
     "dwell_cdf_points": f"""{DWELLS}, c AS (
   SELECT label, kind, length * {d(0.001)} AS t,
     row_number() OVER (PARTITION BY label, kind ORDER BY length)

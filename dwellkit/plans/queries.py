@@ -473,7 +473,9 @@ def _cdf(spark, sf):
 
 @query("dwell_fit_single")
 def _(spark, sf):
-    return kinetics.fit_rates(_cdf(spark, sf))
+    """Rate constants to the two digits a report shows."""
+    fits = kinetics.fit_rates(_cdf(spark, sf))
+    return fits.select("label", "kind", "n_dwells", F.round("k1", 2).alias("k1"), F.round("rss", 4).alias("rss"))
 
 
 @query("dwell_fit_double")
@@ -487,6 +489,16 @@ def _(spark, sf):
     return kinetics.kinetics_report(fits, kinetics.state_probability(samples(spark, sf), record_label()))
 
 
+@query("kinetics_report_single")
+def _(spark, sf):
+    report = kinetics.kinetics_report(
+        kinetics.fit_rates(_cdf(spark, sf)), kinetics.state_probability(samples(spark, sf), record_label())
+    )
+    rates = [F.round(c, 2).alias(c) for c in ("k_state_0", "k_state_1", "k_overall")]
+    shares = [F.round(c, 6).alias(c) for c in ("probability_0", "probability_1")]
+    return report.select("label", *rates, *shares)
+
+
 # Models and streams
 
 
