@@ -15,16 +15,16 @@ THRESHOLDS = [0.3, 0.4, 0.5, 0.6, 0.7]
 
 
 def confusion(df: DataFrame, n_classes: int, label: str = "label", pred: str = "pred") -> DataFrame:
-    """(label, pred, n) for all k x k cells, zeros included. The k x k zero cells ride
-    along as rows derived from the counts' own grand row, not as a join of tables."""
-    ids = F.sequence(F.lit(0), F.lit(n_classes - 1))
-    cells = F.flatten(
-        F.transform(ids, lambda a: F.transform(ids, lambda b: F.struct(a.alias("label"), b.alias("pred"))))
-    )
+    """(label, pred, n) for all k x k cells, zeros included. The empty cells are
+    generated and added as rows, so the counts need no join."""
     counts = df.groupBy(F.col(label).cast("int").alias("label"), F.col(pred).cast("int").alias("pred")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    spine = df.agg(F.lit(0).cast("long").alias("n")).select(F.explode(cells).alias("c"), "n").select("c.*", "n")
+    spine = df.sparkSession.range(n_classes * n_classes).select(
+        F.floor(F.col("id") / n_classes).cast("int").alias("label"),
+        (F.col("id") % n_classes).cast("int").alias("pred"),
+        F.lit(0).cast("long").alias("n"),
+    )
     return (
         counts.filter(F.col("label").between(0, n_classes - 1) & F.col("pred").between(0, n_classes - 1))
         .unionByName(spine)
@@ -193,7 +193,7 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> Data
         share(F.col("cum_neg"), F.col("all_neg")).alias("fpr"),
         share(F.col("cum_pos"), F.col("all_pos")).alias("tpr"),
     )
-    start = df.agg(
+    start = df.sparkSession.range(1).select(
         F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
     )
     return points.unionByName(start)

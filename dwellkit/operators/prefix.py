@@ -77,7 +77,7 @@ def index_rows(
     key: str,
     order_by: Sequence[str],
     scale: Column,
-    hot_rows: int = 1 << 22,
+    hot_rows: int = 1 << 21,
     index: str = "sample_idx",
     chunk: str = "chunk",
 ) -> DataFrame:
@@ -87,7 +87,7 @@ def index_rows(
     ``hot_rows`` rows stay in chunk 0; a larger one is cut into 16 * rows / hot_rows
     equal stretches of its own scale, which leaves room for a sixteenfold burst. There
     are at most (table rows / hot_rows) such keys, so their list is small enough to
-    broadcast whatever the table's size: a table of 10^12 rows has at most 2.4e5.
+    broadcast whatever the table's size: a table of 10^12 rows has at most 4.8e5.
     """
     scale = scale.cast("double")
     hot = (

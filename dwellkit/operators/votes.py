@@ -171,7 +171,7 @@ def mixture_compare(
         class_name(F.col("label"), names).alias("name"), F.col("predicted")
     )
     listed = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(f)).alias("defined")) for n, f in spec.items()])
-    defined = mixed.agg(F.lit(1)).select(F.explode(listed).alias("s")).select("s.*")
+    defined = mixed.sparkSession.range(1).select(F.explode(listed).alias("s")).select("s.*")
     return (
         defined.join(predicted, "name", "full")
         .select(

@@ -333,7 +333,8 @@ c AS (SELECT record_id, state, next_state, count(*) AS n FROM p WHERE next_state
 s AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY record_id, state) AS DOUBLE) AS p FROM c)
 SELECT record_id, state, next_state, n, {r6("p")} FROM s""",
     "segment_events": f"""{BASE}, {STATES}
-SELECT record_id, event_id, event_duration, array_to_string(states, ',') AS states FROM seqs""",
+SELECT record_id, event_id, event_duration, CAST(0 AS BIGINT) AS chunk, array_to_string(states, ',') AS states
+FROM seqs""",
     "event_bounds": f"""{BASE} SELECT record_id, event_id, min(sample_idx) AS start_idx, count(*) AS event_duration
 FROM inside GROUP BY record_id, event_id HAVING count(*) > 5""",
     "dwell_runs": f"{BASE} SELECT record_id, event_id, run_start, state, run_len FROM runs",

@@ -167,8 +167,10 @@ def _(spark, sf):
 
 @query("segment_events")
 def _(spark, sf):
+    """Events with their states. A recording of more than two million samples is read in
+    chunks, and an event that crosses chunks has a row in each."""
     parts = segment.state_parts(samples(spark, sf))
-    return segment.states_of(parts).select("record_id", "event_id", "event_duration", text(F.col("states")).alias("states"))
+    return parts.select("record_id", "event_id", "event_duration", "chunk", text(F.col("states")).alias("states"))
 
 
 @query("event_bounds")
