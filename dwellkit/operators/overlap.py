@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dwellkit.functions.columns import share
 from dwellkit.operators.features import FEATURES_10
-from dwellkit.operators.prefix import join_small, join_totals, value_totals
+from dwellkit.operators.prefix import before, join_small, join_totals, with_value_part
 
 BINS = 50
 
@@ -27,31 +27,51 @@ def long_features(
 
 
 def percentiles(
-    values: DataFrame, probs: Sequence[float] = (0.05, 0.95), n_groups: int | None = None
+    values: DataFrame, probs: Sequence[float] = (0.05, 0.95), n_groups: int | None = None, steps: int = 2048
 ) -> DataFrame:
     """(label, feature, p05, p95, ...) exactly, with linear interpolation.
 
-    Equal values collapse to one counted row before anything is ordered, and the two
-    order statistics are read from running counts, so a class that holds a third of
-    the events is ordered by many tasks and gathered by none.
+    Values are counted per ordered part of their group's range, which combines before
+    it moves. The wanted order statistics lie in at most two parts per probability;
+    only values of those parts are then collapsed, ordered and read. The rows
+    themselves are never shuffled.
     """
-    counted = values.filter(F.col("value").isNotNull()).groupBy("label", "feature", "value").agg(
-        F.count(F.lit(1)).alias("n")
+    keys = ["label", "feature"]
+    present = _weighted(values, n_groups)
+    span = present.groupBy(*keys).agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("w").alias("n_values")
     )
-    ranked = value_totals(counted, ["label", "feature"], "value", ["n"], n_keys=n_groups)
-    picks = []
+    parted = with_value_part(_with_range(present, span, keys, n_groups), "value", "lo", "hi", steps).drop("lo", "hi")
+    counts = parted.groupBy(*keys, "value_part").agg(F.sum("w").alias("n"))
+    placed = counts.withColumn("base", before(F.col("n"), keys, "value_part")).join(span.drop("lo", "hi"), keys)
+    last = F.col("n_values") - 1
+    spots = {}
     for p in probs:
-        spot = F.lit(float(p)) * (F.col("all_n") - 1)
-        for side, at in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
-            covers = (F.col("cum_n") - F.col("n") <= at) & (at < F.col("cum_n"))
-            picks.append(F.max(F.when(covers, F.col("value"))).alias(f"{side}_{_tag(p)}"))
-    found = ranked.groupBy("label", "feature").agg(F.max("all_n").alias("n"), *picks)
+        at = F.lit(float(p)) * last
+        spots[f"lo_{_tag(p)}"], spots[f"hi_{_tag(p)}"] = F.floor(at), F.ceil(at)
+    wanted = placed.filter(
+        F.exists(F.array(*spots.values()), lambda i: (i >= F.col("base")) & (i < F.col("base") + F.col("n")))
+    ).select(*keys, "value_part", "base", "n_values")
+    n_wanted = n_groups and n_groups * 2 * len(probs)
+    ordered = (
+        join_small(parted, wanted, [*keys, "value_part"], n_wanted)
+        .groupBy(*keys, "value_part", "base", "n_values", "value")
+        .agg(F.sum("w").alias("n"))
+        .withColumn("first_at", F.col("base") + before(F.col("n"), [*keys, "value_part"], "value"))
+    )
+    inside = {
+        name: F.max(F.when((F.col("first_at") <= at) & (at < F.col("first_at") + F.col("n")), F.col("value")))
+        for name, at in spots.items()
+    }
+    found = ordered.groupBy(*keys).agg(
+        F.max("n_values").alias("n_values"), *[c.alias(name) for name, c in inside.items()]
+    )
     out = []
     for p in probs:
-        spot = F.lit(float(p)) * (F.col("n") - 1)
+        at = F.lit(float(p)) * last
         low, high = F.col(f"lo_{_tag(p)}"), F.col(f"hi_{_tag(p)}")
-        out.append((low + (high - low) * (spot - F.floor(spot))).alias(_tag(p)))
-    return found.select("label", "feature", *out)
+        out.append((low + (high - low) * (at - F.floor(at))).alias(_tag(p)))
+    return found.select(*keys, *out)
 
 
 def _tag(p: float) -> str:
@@ -90,11 +110,21 @@ def axis_bounds(percentile_table: DataFrame, pairs: Sequence[tuple[int, int]]) -
     )
 
 
+def _weighted(values: DataFrame, n_groups: int | None) -> DataFrame:
+    """Values with a weight ``w``. Without a bound on the groups equal values are
+    collapsed first: rows then differ, and a hot group can be spread by value."""
+    present = values.filter(F.col("value").isNotNull())
+    if n_groups is None:
+        return present.groupBy("label", "feature", "value").agg(F.count(F.lit(1)).alias("w"))
+    return present.select("label", "feature", "value", F.lit(1).cast("long").alias("w"))
+
+
 def ranges(values: DataFrame) -> DataFrame:
     """(label, feature, lo, hi, n_values); a constant sample gets half a unit either
     side."""
+    weight = F.col("w") if "w" in values.columns else F.lit(1)
     span = values.groupBy("label", "feature").agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n_values")
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum(weight).alias("n_values")
     )
     flat = F.col("lo") == F.col("hi")
     return span.select(
@@ -129,6 +159,7 @@ def histograms(values: DataFrame, bins: int = BINS, edges: str = "own", n_groups
 
     edges='own': range of each class; 'pooled': range of the feature over all classes.
     """
+    values = _weighted(values, n_groups)
     span = ranges(values)
     if edges == "pooled":
         over = Window.partitionBy("feature")
@@ -139,9 +170,8 @@ def histograms(values: DataFrame, bins: int = BINS, edges: str = "own", n_groups
         raise ValueError("edges must be 'own' or 'pooled'")
     counted = (
         _with_range(values, span, ["label", "feature"], n_groups)
-        .filter(F.col("value").isNotNull())
         .groupBy("label", "feature", _bin(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("w").alias("n"))
     )
     spine = span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     total = Window.partitionBy("label", "feature")
@@ -170,6 +200,7 @@ def pair_histograms(
     edges='first': the first class sets the range, values of the second outside it are
     left out and its density counts what is inside. edges='pooled': both classes do.
     """
+    values = _weighted(values, n_groups)
     span = ranges(values)
     if edges == "first":
         mine = F.filter(_pairs_of(pairs), lambda p: p["first"] == F.col("label"))
@@ -196,8 +227,8 @@ def pair_histograms(
         ((F.col("hi") - F.col("lo")) / bins).alias("width"),
         _bin(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("bin"),
     ).agg(
-        F.count_if(F.col("label") == F.col("first")).alias("n1"),
-        F.count_if(F.col("label") == F.col("second")).alias("n2"),
+        F.sum(F.when(F.col("label") == F.col("first"), F.col("w")).otherwise(0)).alias("n1"),
+        F.sum(F.when(F.col("label") == F.col("second"), F.col("w")).otherwise(0)).alias("n2"),
     )
     total = Window.partitionBy("first", "second", "feature")
     return counted.select(

@@ -210,22 +210,34 @@ def mark_first_by_hash(
     return marked.withColumn(flag, inside).drop("bound", "take_all")
 
 
-def value_part(x: Column, lo: Column, hi: Column, steps: int) -> Column:
+def with_value_part(df: DataFrame, x: str, lo: str, hi: str, steps: int, out: str = "value_part") -> DataFrame:
     """Ordered parts of [lo, hi] that get finer toward both ends.
 
     Each halving of the distance to the nearer end is a stretch of ``steps`` equal
     parts, down to 2^-60 of the range. One far outlier, or scores that crowd against 1,
     thus do not push all other values into one part. At most 2 * 61 * steps parts.
+    Intermediate columns keep each step from being evaluated once per use.
     """
-    width = hi - lo
-    from_lo, from_hi = F.try_divide(x - lo, width), F.try_divide(hi - x, width)
-    near = F.least(from_lo, from_hi)
-    halvings = F.when(near > 0, F.least(F.floor(-F.log2(near)), F.lit(60))).otherwise(F.lit(60))
-    within = F.floor((near * F.pow(F.lit(2.0), halvings) - 0.5) * 2 * steps)
-    step = (F.lit(60) - halvings) * steps + F.greatest(F.least(within, F.lit(steps - 1)), F.lit(0))
-    top = 2 * 61 * steps
-    part = F.when(from_lo <= from_hi, step).otherwise(F.lit(top) - step)
-    return F.when(width > 0, part).otherwise(F.lit(0)).cast("long")
+    value, low, high = (F.col(c).cast("double") for c in (x, lo, hi))
+    near = F.least("from_lo", "from_hi")
+    halvings = F.when(F.col("near") > 0, F.least(F.floor(-F.log2("near")), F.lit(60))).otherwise(F.lit(60))
+    within = F.floor((F.col("near") * F.pow(F.lit(2.0), F.col("halvings")) - 0.5) * 2 * steps)
+    step = (F.lit(60) - F.col("halvings")) * steps + F.greatest(F.least(within, F.lit(steps - 1)), F.lit(0))
+    part = F.when(F.col("from_lo") <= F.col("from_hi"), F.col("step")).otherwise(F.lit(2 * 61 * steps) - F.col("step"))
+    return (
+        df.withColumns({"value_lo": low, "value_width": high - low})
+        .withColumns(
+            {
+                "from_lo": F.when(F.col("value_width") > 0, (value - F.col("value_lo")) / F.col("value_width")),
+                "from_hi": F.when(F.col("value_width") > 0, (high - value) / F.col("value_width")),
+            }
+        )
+        .withColumn("near", near)
+        .withColumn("halvings", halvings)
+        .withColumn("step", step)
+        .withColumn(out, F.when(F.col("value_width") > 0, part).otherwise(F.lit(0)).cast("long"))
+        .drop("value_lo", "value_width", "from_lo", "from_hi", "near", "halvings", "step")
+    )
 
 
 def value_totals(
@@ -240,7 +252,7 @@ def value_totals(
     """Running sums of ``weights`` along ``value`` for every distinct value.
 
     ``df`` holds one row per (keys, value), so a value carried by a third of the
-    input is one row here. The order of a key is cut by ``value_part``; sums over
+    input is one row here. The order of a key is cut by ``with_value_part``; sums over
     earlier parts (two million rows at most) are carried. Adds ``cum_<w>`` (including
     the row's own) and ``all_<w>`` (the key's total) for every weight. ``n_keys``
     bounds the number of distinct keys.
@@ -258,8 +270,9 @@ def value_totals(
     else:
         names = span.columns
         ranged = df.withColumn("span", span.select(F.struct(*names)).scalar()).select(*df.columns, "span.*")
-    part = value_part(F.col(value).cast("double"), F.col("lo").cast("double"), F.col("hi").cast("double"), steps)
-    cut = ranged.withColumn("value_part", -part if descending else part).drop("lo", "hi")
+    cut = with_value_part(ranged, value, "lo", "hi", steps).drop("lo", "hi")
+    if descending:
+        cut = cut.withColumn("value_part", -F.col("value_part"))
     carried = cut.groupBy(*keys, "value_part").agg(*[F.sum(w).alias(f"part_{w}") for w in weights])
     carried = carried.select(
         *keys, "value_part", *[before(F.col(f"part_{w}"), keys, "value_part").alias(f"pre_{w}") for w in weights]

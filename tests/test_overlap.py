@@ -46,6 +46,10 @@ def test_against_numpy(spark):
     pct = {r.label: (r.p05, r.p95) for r in overlap.percentiles(df).collect()}
     assert pct[0] == pytest.approx(tuple(np.percentile(a, [5, 95])))
     assert pct[1] == pytest.approx(tuple(np.percentile(b, [5, 95])))
+    for steps, n_groups in ((1, None), (2, 2), (2048, 2)):
+        again = {r.label: (r.p05, r.p50, r.p95) for r in overlap.percentiles(df, (0.05, 0.5, 0.95), n_groups, steps).collect()}
+        assert again[1] == pytest.approx(tuple(np.percentile(b, [5, 50, 95])))
+        assert again[0] == pytest.approx(tuple(np.percentile(a, [5, 50, 95])))
     box = overlap.axis_bounds(overlap.percentiles(df), [(0, 1)]).first()
     assert box.axis_low == pytest.approx(0.9 * min(pct[0][0], pct[1][0]))
     assert box.axis_high == pytest.approx(1.1 * max(pct[0][1], pct[1][1]))

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from dwellkit.operators.prefix import hash_key, index_rows, join_totals, mark_first_by_hash, number_by_hash, value_part, value_totals
+from dwellkit.operators.prefix import hash_key, index_rows, join_totals, mark_first_by_hash, number_by_hash, value_totals, with_value_part
 
 
 @pytest.fixture(scope="module")
@@ -69,20 +69,20 @@ def test_value_part_is_ordered_and_fine_at_both_ends(spark):
     rng = random.Random(8)
     crowds = [rng.random() * 10.0**-k for k in range(12) for _ in range(30)]
     xs = sorted({0.0, 1.0, 0.5, *crowds, *[1 - c for c in crowds], *[2.0**-k for k in range(50)]})
-    df = spark.createDataFrame([(x,) for x in xs], "x double")
-    part = value_part(F.col("x"), F.lit(0.0), F.lit(1.0), 16)
-    got = [r.p for r in df.select("x", part.alias("p")).orderBy("x").collect()]
+    df = spark.createDataFrame([(x, 0.0, 1.0) for x in xs], "x double, lo double, hi double")
+    got = [r.value_part for r in with_value_part(df, "x", "lo", "hi", 16).orderBy("x").collect()]
     assert got == sorted(got)
     assert len(set(got)) > 0.4 * len(got)
-    flat = df.select(value_part(F.lit(3.0), F.lit(3.0), F.lit(3.0), 16).alias("p")).first()
-    assert flat.p == 0
+    flat = with_value_part(spark.createDataFrame([(3.0, 3.0, 3.0)], "x double, lo double, hi double"), "x", "lo", "hi", 16)
+    assert flat.first().value_part == 0
 
 
 def test_outlier_does_not_gather_a_key(spark):
-    df = spark.createDataFrame([(float(i),) for i in range(500)] + [(1e15,)], "v double").withColumn("n", F.lit(1).cast("long"))
-    part = value_part(F.col("v"), F.lit(0.0), F.lit(1e15), 1 << 14)
-    assert df.groupBy(part.alias("p")).count().agg(F.max("count")).first()[0] <= 2
-    assert value_totals(df, [], "v", ["n"], n_keys=1).filter("v = 250").first().cum_n == 251
+    rows = [(float(i), 0.0, 1e15, 1) for i in range(500)] + [(1e15, 0.0, 1e15, 1)]
+    df = spark.createDataFrame(rows, "v double, lo double, hi double, n long")
+    parts = with_value_part(df, "v", "lo", "hi", 1 << 14).groupBy("value_part").count()
+    assert parts.agg(F.max("count")).first()[0] <= 2
+    assert value_totals(df.select("v", "n"), [], "v", ["n"], n_keys=1).filter("v = 250").first().cum_n == 251
 
 
 @pytest.mark.parametrize("hot", [1, 90, 10_000])
