@@ -207,5 +207,5 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFr
     return _score_totals(df, label, score).agg(F.try_divide(F.sum(step), F.max(area)).alias("auc"))
 
 
-def pipeline_accuracy(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
+def accuracy(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     return df.agg(F.avg((F.col(label) == F.col(pred)).cast("double")).alias("accuracy"))

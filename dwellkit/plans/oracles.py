@@ -297,6 +297,8 @@ ORACLES: dict[str, str] = {
 WHERE time BETWEEN {d(WINDOW[0])} AND {d(WINDOW[1])}""",
     "signal_sample_range": f"""WITH {SIG} SELECT record_id, sample_idx, state, {r6("time", "current")} FROM sig
 WHERE sample_idx >= 20 AND sample_idx < 50""",
+    "signal_preview": f"""WITH {SIG} SELECT record_id, sample_idx, state, {r6("time", "current")} FROM sig
+WHERE sample_idx < 10""",
     "signal_minmax_scaled": f"""WITH {SIG}, s AS (
   SELECT record_id, sample_idx, CASE WHEN max(current) OVER w > min(current) OVER w
     THEN (current - min(current) OVER w) / (max(current) OVER w - min(current) OVER w) ELSE 0.0 END AS scaled
@@ -364,6 +366,8 @@ g AS (SELECT avg_dwell_0,
         row_number() OVER (ORDER BY {drawn("record_id, event_id", "perm-from")}, record_id, event_id) AS place FROM ev)
 SELECT record_id, event_id, {r6("avg_dwell_0")} FROM t JOIN g USING (place)""",
     "class_distribution": f"{EVENTS} SELECT label, count(*) AS n FROM ev GROUP BY label",
+    "class_names": f"""{EVENTS} SELECT 'Peptide' || substr('ABCDEFG', label + 1, 1) AS name, label, count(*) AS n
+FROM ev GROUP BY label""",
     "max_sequence_length": f"{SPLIT} SELECT max(event_duration) AS max_length FROM split WHERE NOT is_test",
     "pad_sequences": f"""{BASE}, {STATES}
 SELECT record_id, event_id, array_to_string(
@@ -417,6 +421,8 @@ c AS (SELECT threshold, count(*) FILTER (WHERE label = 1 AND score > threshold)
         count(*) FILTER (WHERE label = 1 AND score <= threshold) AS fn FROM bs CROSS JOIN t GROUP BY threshold),
 m AS (SELECT *, {RATES} FROM c)
 SELECT tp, fp, tn, fn, {r6("threshold", *RATE_NAMES)} FROM m""",
+    "accuracy": f"""WITH {SCORES}
+SELECT round(avg(CASE WHEN label = best THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS accuracy FROM preds""",
     "roc_curve": f"""WITH {BINARY_SCORES}, g AS (
   SELECT score, sum(label) AS pos, count(*) - sum(label) AS neg FROM bs GROUP BY score),
 c AS (SELECT score AS threshold,
@@ -450,6 +456,11 @@ SELECT label, {r6("actual", "predicted")} FROM mixed WHERE actual > 0 OR predict
     "mixture_error": f"""WITH {SCORES}, {MIXED}, e AS (
   SELECT avg(abs(predicted - actual)) AS mae, avg((predicted - actual) * (predicted - actual)) AS mse,
          sqrt(avg((predicted - actual) * (predicted - actual))) AS rmse FROM mixed WHERE actual > 0)
+SELECT {r6("mae", "mse", "rmse")} FROM e""",
+    "mixture_error_union": f"""WITH {SCORES}, {MIXED}, e AS (
+  SELECT avg(abs(predicted - actual)) AS mae, avg((predicted - actual) * (predicted - actual)) AS mse,
+         sqrt(avg((predicted - actual) * (predicted - actual))) AS rmse
+  FROM mixed WHERE actual > 0 OR predicted > 0)
 SELECT {r6("mae", "mse", "rmse")} FROM e""",
     "mixture_compare": f"""WITH {SCORES}, {MIXED}, spec AS (
   {" UNION ALL ".join(f"SELECT '{n}' AS name, {d(f)} AS defined" for n, f in MIXTURE_NAMES.items())}),

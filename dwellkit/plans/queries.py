@@ -109,6 +109,11 @@ def _(spark, sf):
     return rounded(signal.sample_range(samples(spark, sf), 20, 50).drop("chunk"))
 
 
+@query("signal_preview")
+def _(spark, sf):
+    return rounded(signal.preview(samples(spark, sf)).drop("chunk"))
+
+
 @query("signal_minmax_scaled")
 def _(spark, sf):
     return rounded(signal.minmax_scaled(samples(spark, sf)).select("record_id", "sample_idx", "scaled"))
@@ -257,6 +262,14 @@ def _(spark, sf):
     return sampling.class_distribution(labelled_events(spark, sf))
 
 
+@query("class_names")
+def _(spark, sf):
+    """Label to name and back, with the number of events."""
+    named = votes.label_names(labelled_events(spark, sf).drop("name"), CLASS_NAMES).drop("label")
+    coded = votes.name_labels(named, {name: i for i, name in enumerate(CLASS_NAMES)})
+    return coded.groupBy("name", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("max_sequence_length")
 def _(spark, sf):
     split = sampling.stratified_split(event_set(spark, sf), n_classes=N_CLASSES)
@@ -345,6 +358,11 @@ def _(spark, sf):
     return rounded(metrics.threshold_sweep(tables.binary_scores(spark, sf)))
 
 
+@query("accuracy")
+def _(spark, sf):
+    return rounded(metrics.accuracy(predicted(spark, sf)))
+
+
 @query("roc_curve")
 def _(spark, sf):
     return rounded(metrics.roc_curve(tables.binary_scores(spark, sf)))
@@ -397,6 +415,11 @@ def _(spark, sf):
     return rounded(votes.mixture_error(votes.mixture_fractions(gated(spark, sf), SCORE_CLASSES)))
 
 
+@query("mixture_error_union")
+def _(spark, sf):
+    return rounded(votes.mixture_error(votes.mixture_fractions(gated(spark, sf), SCORE_CLASSES), over="union"))
+
+
 @query("mixture_compare")
 def _(spark, sf):
     mixed = votes.mixture_fractions(gated(spark, sf), SCORE_CLASSES)

@@ -24,7 +24,7 @@ def test_event_classifier(spark, events, tmp_path, family, sequence, scale):
     names = ["useful", "useless"]
     trained = models.train_event_classifier(events, names, 3, family=family, scale=scale, sequence=sequence)
     scored = trained.score(events)
-    assert metrics.pipeline_accuracy(scored).first().accuracy > 0.8
+    assert metrics.accuracy(scored).first().accuracy > 0.8
     row = scored.first()
     assert sum(row.probs) == pytest.approx(1) and row.probs[row.pred] == max(row.probs)
     trained.save(str(tmp_path / "m"))
@@ -59,7 +59,7 @@ def test_states_from_current_to_events(spark):
     scaled = signal.minmax_scaled(raw).withColumn("label", F.col("state"))
     model = models.train_state_classifier(scaled, 3, family="tree")
     scored = models.score_states(model, scaled)
-    assert metrics.pipeline_accuracy(scored).first().accuracy > 0.98
+    assert metrics.accuracy(scored).first().accuracy > 0.98
     predicted = models.as_signal(scored)
     assert "state" in predicted.columns and features.event_features(predicted).count() > 0
     binary = scaled.withColumn("label", (F.col("state") > 0).cast("int"))

@@ -61,3 +61,25 @@ def test_species_recording(spark, tmp_path):
     write(tmp_path / "g.csv", "Time,Current,State,Species", [(0.0, 0.0, 0, 1), (0.001, 1.0, 1, 2)])
     got = recordings.read_recordings(spark, str(tmp_path), species=True).orderBy("sample_idx").collect()
     assert [r.species for r in got] == [1, 2]
+
+
+def test_shared_dir_follows_the_session(spark):
+    from dwellkit.session import shared_dir
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: {"spark.checkpoint.dir": "hdfs://names/shared"}.get(key, default))
+
+    assert shared_dir(Session, "events").startswith("hdfs://names/shared/events-")
+    one, two = shared_dir(spark, "events"), shared_dir(spark, "events")
+    assert one != two
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError):
+        shared_dir(Cluster, "events")
