@@ -17,14 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellkit.llm.components import components
-from dwellkit.llm.store import is_empty, numbered, stored
+from dwellkit.llm.buckets import labelled, link
+from dwellkit.llm.store import numbered, stored
 from dwellkit.llm.text import LOWER, WordHashes, as_bytes, pieces, shingle_set
 
 RING_BITS = 22
 #: 64 bands of 8 coordinates: a pair at 0.8 shares no bucket with probability 8e-6, one at
 #: 0.3 shares one with probability 0.004.
 BANDS, ROWS = 64, 8
+#: Lowest bits of the 512 coordinates that a compared pair may differ in. A pair at 0.8
+#: differs in 51 on average and in more than 96 with probability 1e-10; one at 0.5 in 128.
+MOST_BITS = 96
 
 
 def ring(bands: int = BANDS, rows: int = ROWS, seed: int = 20) -> np.ndarray:
@@ -49,24 +52,32 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
+def sketch(sig: np.ndarray) -> np.ndarray:
+    """The lowest bit of each coordinate, 64 to a number."""
+    return np.packbits((sig & 1).astype(np.uint8)).view(np.int64)
+
+
 def _signer(words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ranks = WordHashes(), ring()
         for batch in pieces(batches, column="text"):
-            sizes, digests, keys = [], [], []
+            sizes, digests, keys, sketches = [], [], [], []
             for text in as_bytes(batch.column("text")):
                 s = shingle_set(hashes.of((text or b"").translate(LOWER).split()), words)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                keys.append(band_keys(signature(s, ranks)) if len(s) else None)
+                sig = signature(s, ranks) if len(s) else None
+                keys.append(None if sig is None else band_keys(sig))
+                sketches.append(None if sig is None else sketch(sig))
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns,
                     pa.array(sizes, pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
+                    pa.array(sketches, pa.list_(pa.int64())),
                 ],
-                names=[*batch.schema.names, "n_shingles", "digest", "keys"],
+                names=[*batch.schema.names, "n_shingles", "digest", "keys", "sketch"],
             )
 
     return run
@@ -93,93 +104,6 @@ def _verifier(words: int, percent: int) -> Callable:
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are as similar as asked for. Rows come sorted by b, whose
-    set is kept from row to row."""
-    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return (
-        with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
-        .mapInArrow(_verifier(words, percent), "a long, b long")
-    )
-
-
-def _compatible(percent: int):
-    """Sets of very different size can't be that similar."""
-    return F.expr(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
-
-
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("label", F.col("node"))
-    renamed = labels.select(F.col("node"), F.col("component").alias("found"))
-    return members.join(renamed, "node", "left").withColumn("label", F.coalesce("found", "node")).drop("found")
-
-
-def class_links(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """(node, component) over classes (node, size, keys) that share buckets.
-
-    A bucket's smallest class is its first hub and meets every other member. Members that
-    this joins need no more comparisons among themselves; in buckets that still hold
-    several components, 8, 64, 512... members become hubs and meet those of other
-    components, until each pair of a bucket has been compared or is connected. A member
-    costs a row for each hub, never a row for each other member.
-    """
-    entries = classes.select("node", "size", F.explode("keys").alias("key"))
-    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
-    members = stored(entries.join(buckets, "key").select("key", "node", "size", "n", "hub"), "buckets")
-    if is_empty(members):
-        return None
-    near = stored(texts.join(members.select("node").distinct(), "node", "left_semi"), "bucket-texts")
-    sizes = members.select(F.col("node").alias("hub"), F.col("size").alias("size_b")).distinct()
-    first = (
-        members.where("node <> hub")
-        .select(F.col("node").alias("a"), F.col("size").alias("size_a"), "hub")
-        .distinct()
-        .join(sizes, "hub")
-        .where(_compatible(percent))
-        .select("a", F.col("hub").alias("b"))
-    )
-    tested = stored(first, "pairs")
-    links = stored(_links(tested, near, words, percent), "links")
-    labels = components(links, "a", "b")
-    rest, hubs = members.where("node <> hub").drop("hub", "n"), 8
-    while True:
-        rest = _labelled(rest.select("key", "node", "size"), labels)
-        open_keys = (
-            rest.groupBy("key")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-            .where("lo <> hi")
-            .select("key", "n")
-        )
-        # Whether a member is a hub follows from its number and the round alone.
-        draw = F.pmod(F.xxhash64("node", F.lit(hubs)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        rest = stored(
-            rest.join(open_keys, "key").withColumn("is_hub", draw * F.col("n") < F.lit(float(hubs))), "open-buckets"
-        )
-        if is_empty(rest):
-            return labels
-        hub_rows = rest.where("is_hub").select(
-            "key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b")
-        )
-        pairs = (
-            rest.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), "label", "is_hub")
-            .join(hub_rows, "key")
-            .where((F.col("label") != F.col("label_b")) & (~F.col("is_hub") | (F.col("a") < F.col("b"))))
-            .where(_compatible(percent))
-            .select("a", "b")
-            .distinct()
-        )
-        done = tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        now = stored(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(now)
-        more = stored(_links(now, near, words, percent), "links")
-        if not is_empty(more):
-            links = links.union(more)
-            labels = components(links, "a", "b")
-        rest, hubs = rest.where("not is_hub"), hubs * 8
-
-
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -204,7 +128,10 @@ def near_duplicates(
     narrow = docs.select(*picked)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema)
     signed = numbered(
-        narrow.mapInArrow(_signer(words), f"{kinds}, n_shingles long, digest binary, keys array<long>"), "signed"
+        narrow.mapInArrow(
+            _signer(words), f"{kinds}, n_shingles long, digest binary, keys array<long>, sketch array<long>"
+        ),
+        "signed",
     )
     # Rows with equal sets are one class; its node is one row's number.
     classes = stored(
@@ -216,12 +143,21 @@ def near_duplicates(
             F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("first_row"),
             F.first("n_shingles").alias("size"),
             F.first("keys").alias("keys"),
+            F.first("sketch").alias("sketch"),
         ),
         "classes",
     )
     texts = signed.select(F.col("row_id").alias("node"), "text")
-    labels = class_links(classes, texts, words, percent)
-    named = _labelled(classes.select("digest", "node", "least_id", "first_row"), labels)
+    entries = classes.select("node", "size", F.explode("keys").alias("key"))
+    # Sets of very different size can't be that similar, nor those whose signatures differ in very many bits.
+    compatible = f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
+    if percent >= 80:
+        compatible += (
+            " and aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+            f" <= {MOST_BITS}"
+        )
+    labels = link(entries, texts, _verifier(words, percent), compatible, classes.select("node", "sketch"))
+    named = labelled(classes.select("digest", "node", "least_id", "first_row"), labels)
     roots = named.groupBy("label").agg(
         F.min("least_id").alias("component_id"), F.min("first_row").alias("first_row")
     )
