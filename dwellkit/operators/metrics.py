@@ -15,8 +15,9 @@ THRESHOLDS = [0.3, 0.4, 0.5, 0.6, 0.7]
 
 
 def confusion(df: DataFrame, n_classes: int, label: str = "label", pred: str = "pred") -> DataFrame:
-    """(label, pred, n) for all k x k cells, zeros included. The empty cells are
-    generated and added as rows, so the counts need no join."""
+    """(label, pred, n) for all k x k cells, zeros included, and for any other label or
+    prediction that occurs. Rows without a label or a prediction don't count. The empty
+    cells are generated and added as rows, so the counts need no join."""
     counts = df.groupBy(F.col(label).cast("int").alias("label"), F.col(pred).cast("int").alias("pred")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -26,7 +27,7 @@ def confusion(df: DataFrame, n_classes: int, label: str = "label", pred: str = "
         F.lit(0).cast("long").alias("n"),
     )
     return (
-        counts.filter(F.col("label").between(0, n_classes - 1) & F.col("pred").between(0, n_classes - 1))
+        counts.filter(F.col("label").isNotNull() & F.col("pred").isNotNull())
         .unionByName(spine)
         .groupBy("label", "pred")
         .agg(F.sum("n").alias("n"))
@@ -34,9 +35,12 @@ def confusion(df: DataFrame, n_classes: int, label: str = "label", pred: str = "
 
 
 def confusion_wide(cells: DataFrame, n_classes: int) -> DataFrame:
-    """One row per true label, one column per predicted label."""
+    """One row per true label, one column per predicted label; a prediction without a
+    column is an error."""
+    known = F.col("pred").between(0, n_classes - 1)
+    n = F.when(known, F.col("n")).otherwise(F.raise_error(F.lit("a prediction outside the classes")).cast("long"))
     return cells.groupBy("label").agg(
-        *[F.sum(F.when(F.col("pred") == j, F.col("n")).otherwise(0)).alias(f"pred_{j}") for j in range(n_classes)]
+        *[F.sum(F.when(F.col("pred") == j, n).when(known, 0).otherwise(n)).alias(f"pred_{j}") for j in range(n_classes)]
     )
 
 

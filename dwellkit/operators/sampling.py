@@ -50,12 +50,20 @@ def downsample(
 ) -> DataFrame:
     """Exactly int(n * fraction) events of each class, without replacement.
 
-    None or a fraction >= 1 keeps the class whole, a fraction <= 0 drops it.
+    None or a fraction >= 1 keeps the class whole, a fraction <= 0 drops it. A label
+    without a fraction is an error.
     """
     if len(fractions) != len(class_names):
         raise ValueError(f"{len(fractions)} fractions for {len(class_names)} classes")
     wanted = lookup(F.col("label"), [1.0 if f is None else float(f) for f in fractions])
-    quota = F.when(wanted >= 1, F.col("n_rows")).when(wanted > 0, F.floor(F.col("n_rows") * wanted)).otherwise(F.lit(0))
+    known = F.coalesce(F.col("label").between(0, len(class_names) - 1), F.lit(False))
+    refused = F.raise_error(F.lit("an event of a class without a fraction")).cast("long")
+    quota = (
+        F.when(~known, refused)
+        .when(wanted >= 1, F.col("n_rows"))
+        .when(wanted > 0, F.floor(F.col("n_rows") * wanted))
+        .otherwise(F.lit(0))
+    )
     return _marked(events, quota, len(class_names), "label", seed, ids, "kept").filter("kept").drop("kept")
 
 
@@ -92,12 +100,18 @@ def mixture_sample(
 ) -> DataFrame:
     """int(total * fraction) events of each class in ``spec``; more than a class holds
     is an error."""
-    chosen = events.filter(F.col("label").isin(list(spec)))
-    take = F.coalesce(*[F.when(F.col("label") == label, F.lit(int(total * f))) for label, f in spec.items()])
-    checked = F.when(take <= F.col("n_rows"), take).otherwise(
-        F.raise_error(F.lit("a class holds fewer events than the mixture asks for")).cast("int")
-    )
-    return _marked(chosen, checked, len(spec), "label", seed, ids, "kept").filter("kept").drop("kept")
+    chosen = events.filter(F.col("label").isin(list(spec))).withColumn("draw", hash_key(*ids, seed=seed))
+    # From the spec, so that a class without any event is refused too.
+    counts = chosen.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
+    asked = F.array(*[F.struct(F.lit(k).alias("label"), F.lit(int(total * f)).alias("take")) for k, f in spec.items()])
+    wanted = events.sparkSession.range(1).select(F.inline(asked)).join(counts, "label", "left")
+    enough = F.col("take") <= F.coalesce("n_rows", F.lit(0))
+    refused = F.raise_error(F.lit("a class holds fewer events than the mixture asks for")).cast("long")
+    quotas = wanted.select("label", F.when(enough, F.col("take").cast("long")).otherwise(refused).alias("quota_rows"))
+    # The refusal must be met even where a class has no row for a join to find.
+    checked = quotas.agg(F.min("quota_rows") >= 0).scalar()
+    marked = mark_first_by_hash(chosen, "label", "draw", ids, quotas, len(spec), "kept")
+    return marked.filter(F.col("kept") & checked).drop("kept", "draw")
 
 
 def shuffled(df: DataFrame, seed: str = "shuffle", ids: Sequence[str] = EVENT_ID) -> DataFrame:

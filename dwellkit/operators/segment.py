@@ -188,6 +188,33 @@ def events(signal: DataFrame, min_event_length: int = 5, chunk_samples: int | No
     )
 
 
+def run_parts(
+    signal: DataFrame,
+    min_event_length: int = 5,
+    part_samples: int = CHUNK_SAMPLES,
+    chunk_samples: int | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """State sequences of kept events, run-length encoded: (record_id, event_id, part,
+    event_duration, runs array<struct<run_start, state, run_len>>).
+
+    A run is in the part that its start falls in, counted in stretches of
+    ``part_samples`` samples from the event's first one, so the rows are the same however
+    the source cuts its recordings.
+    """
+    whole = runs(signal, chunk_samples)
+    bounds = (
+        whole.groupBy("record_id", "event_id")
+        .agg(F.min("run_start").alias("start_idx"), F.sum("run_len").alias("event_duration"), F.count(F.lit(1)).alias("n_runs"))
+        .filter(F.col("event_duration") > min_event_length)
+    )
+    kept = join_totals(whole, bounds, ["record_id", "event_id"], "n_runs", F.col("run_start"), hot_rows=hot_rows)
+    part = F.floor((F.col("run_start") - F.col("start_idx")) / part_samples).cast("long")
+    return kept.groupBy("record_id", "event_id", part.alias("part"), "event_duration").agg(
+        F.array_sort(F.collect_list(F.struct("run_start", "state", "run_len"))).alias("runs")
+    )
+
+
 def state_parts(
     signal: DataFrame, min_event_length: int = 5, chunk_samples: int | None = None, hot_parts: int = HOT_PARTS
 ) -> DataFrame:

@@ -31,7 +31,11 @@ def confident(gated: DataFrame) -> DataFrame:
 
 
 def _vote_array(pred: str, k: int) -> Column:
-    return F.array(*[F.count_if(F.col(pred) == j) for j in range(k)])
+    """Counts of the classes 0 to k - 1; another class is an error, NULL is no vote."""
+    counts = F.array(*[F.count_if(F.col(pred) == j) for j in range(k)])
+    strange = F.count_if(~F.col(pred).between(0, k - 1)) > 0
+    refused = F.raise_error(F.lit(f"{pred} outside the {k} classes")).cast("array<bigint>")
+    return F.when(strange, refused).otherwise(counts)
 
 
 def vote_arrays(df: DataFrame, by: Sequence[str], n_classes: int, pred: str = "pred") -> DataFrame:
@@ -129,8 +133,8 @@ def mixture_fractions(gated: DataFrame, n_classes: int) -> DataFrame:
     """(label, actual, predicted) for classes truly present or confidently predicted,
     from one pass: both counts of all classes ride in one row."""
     one = gated.agg(
-        F.array(*[F.count_if(F.col("label") == j) for j in range(n_classes)]).alias("truth"),
-        F.array(*[F.count_if(F.col("pred") == j) for j in range(n_classes)]).alias("votes"),
+        _vote_array("label", n_classes).alias("truth"),
+        _vote_array("pred", n_classes).alias("votes"),
     )
     rows = one.select(
         F.posexplode(F.arrays_zip("truth", "votes")).alias("label", "c"),

@@ -15,7 +15,7 @@ from dwellkit.plans.queries import (
     PAIRS,
     WINDOW,
 )
-from dwellkit.sources.tables import SCORE_CLASSES
+from dwellkit.sources.tables import DIMENSIONS, SCORE_CLASSES
 
 
 def d(x: float) -> str:
@@ -110,10 +110,15 @@ def feature_list(names) -> str:
 BASE = f"WITH {SIG}, {RUNS}"
 EVENTS = f"{BASE}, {FEATURES}"
 
-SCORES = f"""scores AS (
+SCORES = f"""centroids AS (
+  SELECT label AS class, i, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS m
+  FROM embeddings, (SELECT unnest(range(1, {DIMENSIONS + 1})) AS i) GROUP BY ALL),
+away AS (
+  SELECT vec_id AS id, label, class, sqrt(sum((CAST(embedding[i] AS DOUBLE) - m) ** 2 ORDER BY i)) AS far
+  FROM embeddings, centroids GROUP BY ALL),
+scores AS (
   SELECT id, label, [w / list_sum(weights) FOR w IN weights] AS probs
-  FROM (SELECT vec_id AS id, label, [exp(CAST(x AS DOUBLE)) FOR x IN embedding[1:{SCORE_CLASSES}]] AS weights
-        FROM embeddings)),
+  FROM (SELECT id, label, list(exp(-far) ORDER BY class) AS weights FROM away GROUP BY id, label)),
 preds AS (
   SELECT id, label, list_max(probs) AS top, CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS best
   FROM scores),
@@ -334,9 +339,12 @@ SELECT record_id, state, n, {r6("fraction")} FROM f""",
 c AS (SELECT record_id, state, next_state, count(*) AS n FROM p WHERE next_state IS NOT NULL GROUP BY ALL),
 s AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY record_id, state) AS DOUBLE) AS p FROM c)
 SELECT record_id, state, next_state, n, {r6("p")} FROM s""",
-    "segment_events": f"""{BASE}, {STATES}
-SELECT record_id, event_id, event_duration, CAST(0 AS BIGINT) AS chunk, array_to_string(states, ',') AS states
-FROM seqs""",
+    "segment_events": f"""{BASE}, k AS (
+  SELECT *, sum(run_len) OVER (PARTITION BY record_id, event_id) AS total,
+    min(run_start) OVER (PARTITION BY record_id, event_id) AS start_idx FROM runs)
+SELECT record_id, event_id, (run_start - start_idx) // 1048576 AS part, CAST(total AS BIGINT) AS event_duration,
+  string_agg(state || 'x' || run_len, ',' ORDER BY run_start) AS runs
+FROM k WHERE total > 5 GROUP BY 1, 2, 3, 4""",
     "event_bounds": f"""{BASE} SELECT record_id, event_id, min(sample_idx) AS start_idx, count(*) AS event_duration
 FROM inside GROUP BY record_id, event_id HAVING count(*) > 5""",
     "dwell_runs": f"{BASE} SELECT record_id, event_id, run_start, state, run_len FROM runs",

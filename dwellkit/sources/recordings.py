@@ -36,13 +36,22 @@ def _indexed(df: DataFrame) -> DataFrame:
     return index_rows(df, "record_id", ["time"], F.col("time"))
 
 
-def _files(df: DataFrame) -> Column:
-    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+def _files(df: DataFrame, full_path: bool) -> Column:
+    """The file as record id. Its name alone, where names are unique; else its whole path."""
+    path = F.col("_metadata.file_path")
+    return path if full_path else F.element_at(F.split(path, "/"), -1)
+
+
+def _names_repeat(df: DataFrame) -> bool:
+    """Whether two of the files have one name; looks at the list of files, not into them."""
+    names = [f.rsplit("/", 1)[-1] for f in df.inputFiles()]
+    return len(set(names)) < len(names)
 
 
 def read_recordings(spark: SparkSession, paths, species: bool = False) -> DataFrame:
     """CSV recordings with a Time, Current, State (and Species) header. One recording
-    per file name; samples in time order."""
+    per file, by its name or, where two files have one name, by its path; samples in time
+    order."""
     raw = (
         spark.read.schema(NAMED_SPECIES if species else NAMED)
         .option("header", True)
@@ -50,7 +59,7 @@ def read_recordings(spark: SparkSession, paths, species: bool = False) -> DataFr
         .csv(paths)
     )
     rows = raw.select(
-        _files(raw).alias("record_id"),
+        _files(raw, _names_repeat(raw)).alias("record_id"),
         F.col("Time").alias("time"),
         F.col("Current").alias("current"),
         _state("State").alias("state"),
@@ -63,20 +72,30 @@ def read_positional(spark: SparkSession, paths) -> DataFrame:
     """CSV recordings whose first three columns are time, current and state, whatever
     the header calls them."""
     raw = spark.read.schema(POSITIONAL).option("header", True).option("enforceSchema", True).csv(paths)
-    rows = raw.select(_files(raw).alias("record_id"), "time", "current", _state("state").alias("state"))
+    record = _files(raw, _names_repeat(raw)).alias("record_id")
+    rows = raw.select(record, "time", "current", _state("state").alias("state"))
     return _indexed(rows)
 
 
-def with_classes(df: DataFrame, labels: Mapping[str, int], record_class: Mapping[str, str]) -> DataFrame:
+def with_classes(
+    df: DataFrame, labels: Mapping[str, int], record_class: Mapping[str, str], unclassed: str = "error"
+) -> DataFrame:
     """Label and name per recording, from file name -> class name -> label. A class
-    without a label is an error, a recording without a class is left out."""
+    without a label is an error; so is a recording without a class, unless
+    ``unclassed`` is 'drop'."""
+    if unclassed not in ("error", "drop"):
+        raise ValueError("unclassed must be 'error' or 'drop'")
     missing = sorted(set(record_class.values()) - set(labels))
     if missing:
         raise KeyError(f"no label for {missing}")
     rows = [(f, name, labels[name]) for f, name in record_class.items()]
     spark = df.sparkSession
     table = spark.createDataFrame(rows, "record_id string, name string, label int")
-    return join_small(df, table, "record_id", len(rows))
+    joined = join_small(df, table, "record_id", len(rows), "inner" if unclassed == "drop" else "left")
+    if unclassed == "drop":
+        return joined
+    refused = F.raise_error(F.concat(F.lit("no class for recording "), "record_id")).cast("int")
+    return joined.withColumn("label", F.when(F.col("name").isNotNull(), F.col("label")).otherwise(refused))
 
 
 def write_recordings(signal: DataFrame, path: str) -> None:

@@ -12,6 +12,7 @@ TIME_STEP = 0.001
 # Class names in label order.
 CLASS_NAMES = ["PeptideA", "PeptideB", "PeptideC", "PeptideD", "PeptideE", "PeptideF", "PeptideG"]
 SCORE_CLASSES = 10
+DIMENSIONS = 64
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,14 +68,27 @@ def label_of(record_id: Column, n_classes: int = len(CLASS_NAMES)) -> Column:
 
 
 def scores_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, label, probs): softmax of the first ten elements of each embedding."""
-    raw = read_table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"),
-        "label",
-        F.transform(F.slice("embedding", 1, SCORE_CLASSES), lambda x: F.exp(x.cast("double"))).alias("weights"),
+    """(id, label, probs): softmax of minus the distance to each class's mean vector.
+
+    The means are one aggregate of classes x dimensions numbers, which combines before it
+    moves; all dimensions count."""
+    raw = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
+    means = raw.groupBy("label").agg(
+        F.array(*[F.round(F.avg(F.get("embedding", F.lit(i)).cast("double")), 6) for i in range(DIMENSIONS)]).alias("mean")
     )
+    listed = means.agg(F.sort_array(F.collect_list(F.struct("label", "mean"))).alias("means"))
+
+    def far(mean: Column) -> Column:
+        squares = F.zip_with("embedding", mean, lambda x, m: (x.cast("double") - m) * (x.cast("double") - m))
+        return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x))
+
+    weights = F.transform("means", lambda c: F.exp(-far(c["mean"])))
     total = F.aggregate("weights", F.lit(0.0), lambda acc, x: acc + x)
-    return raw.select("id", "label", F.transform("weights", lambda w: w / total).alias("probs"))
+    return (
+        raw.withColumn("means", listed.scalar())
+        .select("id", "label", weights.alias("weights"))
+        .select("id", "label", F.transform("weights", lambda w: w / total).alias("probs"))
+    )
 
 
 def binary_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
