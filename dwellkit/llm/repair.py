@@ -30,63 +30,55 @@ LEAST, WORTH = 8, 0.01
 END_OF_DOC = -1
 
 
-def _replace(seq: np.ndarray, chosen: dict[int, int], base: int) -> np.ndarray:
-    """The sequence with chosen pairs replaced, from the left where they overlap."""
-    codes = seq[:-1].astype(np.int64) * base + seq[1:]
-    keys = np.fromiter(chosen, np.int64, len(chosen))
-    order = np.argsort(keys)
-    keys = keys[order]
-    symbols = np.fromiter(chosen.values(), np.int64, len(chosen))[order]
-    at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-    hits = np.flatnonzero((keys[at] == codes) & (seq[:-1] >= 0) & (seq[1:] >= 0))
-    if not len(hits):
-        return seq
-    # Of hits in a row every other one counts, from the first on.
-    first = np.ones(len(hits), bool)
-    first[1:] = hits[1:] != hits[:-1] + 1
-    run = np.arange(len(hits)) - np.maximum.accumulate(np.where(first, np.arange(len(hits)), 0))
-    hits = hits[run % 2 == 0]
+def _chosen(counts: np.ndarray) -> np.ndarray:
+    """Places of pairs to replace: each is counted at least as often as the pairs that overlap
+    it; of equal ones in a row every other one. counts: of the pair at each place."""
+    n = len(counts)
+    start = np.ones(n, bool)
+    start[1:] = counts[1:] != counts[:-1]
+    first = np.maximum.accumulate(np.where(start, np.arange(n), 0))
+    higher_left = np.zeros(n, bool)
+    higher_left[1:] = counts[:-1] > counts[1:]
+    shift = higher_left[first]
+    offset = np.arange(n) - first
+    pick = (counts > 0) & (offset >= shift) & ((offset - shift) % 2 == 0)
+    pick[:-1] &= counts[1:] <= counts[:-1]
+    return np.flatnonzero(pick)
+
+
+def _round(seq: np.ndarray, weights: np.ndarray | None, base: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rules, shorter sequence): the frequent pairs of one pass become symbols from ``base`` on."""
+    inside = (seq[:-1] >= 0) & (seq[1:] >= 0)
+    codes = np.where(inside, seq[:-1] * base + seq[1:], -1)
+    _, which, counts = np.unique(codes, return_inverse=True, return_counts=True)
+    if weights is not None:
+        counts = np.bincount(which, weights[:-1])
+    own = np.where(inside, counts[which], 0)
+    at = _chosen(np.where(own >= least, own, 0))
+    pairs, symbol, used = np.unique(codes[at], return_inverse=True, return_counts=True)
+    if weights is not None:
+        used = np.bincount(symbol, weights[at], minlength=len(pairs))
+    keep = used >= least
+    numbers = base + np.cumsum(keep) - 1
+    at, symbol = at[keep[symbol]], symbol[keep[symbol]]
     out = seq.copy()
-    out[hits] = symbols[at[hits]]
-    return np.delete(out, hits + 1)
+    out[at] = numbers[symbol]
+    pairs = pairs[keep]
+    return np.column_stack([pairs // base, pairs % base]).astype(np.int32), np.delete(out, at + 1)
 
 
 def compress(seq: np.ndarray, n_ids: int, least: int = LEAST, worth: float = WORTH) -> tuple[np.ndarray, np.ndarray]:
     """(rules, sequence). Rule i makes symbol n_ids + i of its two symbols, which are ids or
-    earlier symbols. Negative values are never replaced.
-
-    Each round counts all pairs and takes the frequent ones that share no symbol with a
-    more frequent one, so replacing one doesn't change the count of another.
-    """
-    rules: list[tuple[int, int]] = []
-    seq = seq.astype(np.int64)
+    earlier symbols. Negative values are never replaced. Every round counts all pairs anew."""
+    rules, seq = [np.empty((0, 2), np.int32)], seq.astype(np.int64)
     while len(seq) > 1:
-        base = n_ids + len(rules)
-        inside = (seq[:-1] >= 0) & (seq[1:] >= 0)
-        codes, counts = np.unique((seq[:-1] * base + seq[1:])[inside], return_counts=True)
-        frequent = np.flatnonzero(counts >= least)
-        if not len(frequent) or counts[frequent].sum() < worth * len(seq):
-            break
-        frequent = frequent[np.argsort(-counts[frequent], kind="stable")]
-        lefts, rights = codes[frequent] // base, codes[frequent] % base
-        # A pair goes in if it is the best for both of its symbols among those still free.
-        best_left = np.unique(lefts, return_index=True)[1]
-        best_right = np.unique(rights, return_index=True)[1]
-        taken: set[int] = set()
-        chosen: dict[int, int] = {}
-        for i in sorted(set(best_left.tolist()) | set(best_right.tolist())):
-            a, b = int(lefts[i]), int(rights[i])
-            if a in taken or b in taken:
-                continue
-            taken |= {a, b}
-            chosen[int(codes[frequent[i]])] = n_ids + len(rules)
-            rules.append((a, b))
-        shorter = _replace(seq, chosen, base)
+        more, shorter = _round(seq, None, n_ids + sum(map(len, rules)), least)
         gain = len(seq) - len(shorter)
+        rules.append(more)
         seq = shorter
-        if gain < worth * len(seq):
+        if gain <= worth * len(seq):
             break
-    return np.array(rules, np.int32).reshape(-1, 2), seq.astype(np.int32)
+    return np.concatenate(rules), seq.astype(np.int32)
 
 
 def expansion_lengths(rules: np.ndarray, n_ids: int) -> np.ndarray:
@@ -124,36 +116,17 @@ def word_grammar(words: list[list[int]], counts: np.ndarray, n_ids: int, least:
     body = np.ones(len(seq), bool)
     body[ends] = False
     seq[body] = flat
-    rules: list[tuple[int, int]] = []
-    for _ in range(64):
-        base = n_ids + len(rules)
-        inside = np.flatnonzero((seq[:-1] >= 0) & (seq[1:] >= 0))
-        if not len(inside):
-            break
-        codes, which = np.unique(seq[inside] * base + seq[inside + 1], return_inverse=True)
-        sums = np.bincount(which, weights[inside])
-        frequent = np.flatnonzero(sums >= least)
-        if not len(frequent):
-            break
-        frequent = frequent[np.argsort(-sums[frequent], kind="stable")]
-        lefts, rights = codes[frequent] // base, codes[frequent] % base
-        taken: set[int] = set()
-        chosen: dict[int, int] = {}
-        for i in sorted(set(np.unique(lefts, return_index=True)[1].tolist()) | set(np.unique(rights, return_index=True)[1].tolist())):
-            a, b = int(lefts[i]), int(rights[i])
-            if a in taken or b in taken:
-                continue
-            taken |= {a, b}
-            chosen[int(codes[frequent[i]])] = n_ids + len(rules)
-            rules.append((a, b))
-        shorter = _replace(seq, chosen, base)
+    rules = [np.empty((0, 2), np.int32)]
+    while len(seq) > 1:
+        more, shorter = _round(seq, weights, n_ids + sum(map(len, rules)), least)
         gain = len(seq) - len(shorter)
+        rules.append(more)
         ends = np.flatnonzero(shorter == END_OF_DOC)
-        sizes = np.diff(np.concatenate([[-1], ends]))
-        weights, seq = np.repeat(counts, sizes), shorter
-        if gain < WORTH * len(seq):
+        weights, seq = np.repeat(counts, np.diff(np.concatenate([[-1], ends]))), shorter
+        if gain <= WORTH * len(seq):
             break
-    return np.array(rules, np.int32).reshape(-1, 2), np.split(seq[seq >= 0].astype(np.int32), np.cumsum(np.diff(np.concatenate([[-1], np.flatnonzero(seq == END_OF_DOC)])) - 1)[:-1])
+    sizes = np.diff(np.concatenate([[-1], ends])) - 1
+    return np.concatenate(rules), np.split(seq[seq >= 0].astype(np.int32), np.cumsum(sizes)[:-1])
 
 
 def _writer(tokenizer_path: str, end_id: int) -> Callable:
