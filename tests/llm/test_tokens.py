@@ -21,6 +21,7 @@ TEXTS = [
     "a\t b c d 　e",
     "naïve café 東京 ١٢٣ ²³ Ⅷ 🙂🙂 é",
     "<|endoftext|> stop<|endoftext|><|endoftext|>",
+    "<|endoftext|>x " * 3000,
     "�\x00\x1f",
     "!!!... --- \"'quoted'\" don't DON'T",
     "",
