@@ -95,7 +95,10 @@ def state_probability(signal: DataFrame, label: Column) -> DataFrame:
 
 
 def _damped_fit(t, p, w, start, model, jacobian, low, high, rounds=400):
-    """Weighted least squares by damped Gauss-Newton steps, clipped to the bounds."""
+    """(x, residual sum, converged): weighted least squares by damped Gauss-Newton steps,
+    clipped to the bounds. Converged: no step lowers the sum, or the last one moved
+    nothing; not so when the rounds ran out."""
+    converged = False
     x = np.array(start, dtype=float)
     rss = float(np.sum(w * (p - model(t, x)) ** 2))
     damping = 1e-2
@@ -118,12 +121,14 @@ def _damped_fit(t, p, w, start, model, jacobian, low, high, rounds=400):
                 break
             damping *= 4
         if not moved:
+            converged = True
             break
         done = np.max(np.abs(trial - x) / (np.abs(x) + 1e-12)) < 1e-10
         x, rss, damping = trial, trial_rss, max(damping / 3, 1e-12)
         if done:
+            converged = True
             break
-    return x, rss
+    return x, rss, converged
 
 
 def _one(t, x):
@@ -153,13 +158,13 @@ def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
     if model == "double":
         # Start point of the two-term fit (a1, k1, a2, k2).
         start = [0.7, 500.0 * unit, 0.3, 10.0 * unit]
-        x, rss = _damped_fit(scaled, p, w, start, _two, _two_slope, [0] * 4, [1, np.inf, 1, np.inf])
-        if np.all(np.isfinite(x)):
+        x, rss, converged = _damped_fit(scaled, p, w, start, _two, _two_slope, [0] * 4, [1, np.inf, 1, np.inf])
+        if converged and np.all(np.isfinite(x)):
             (k1, a1), (k2, a2) = sorted([(x[1] / unit, x[0]), (x[3] / unit, x[2])], reverse=True)
         else:
             model = "single"
     if model == "single":
-        x, rss = _damped_fit(scaled, p, w, [1.0], _one, _one_slope, [0], [np.inf])
+        x, rss, _ = _damped_fit(scaled, p, w, [1.0], _one, _one_slope, [0], [np.inf])
         k1, a1, k2, a2 = x[0] / unit, 1.0, nan, nan
     total = int(pdf["n"].sum())
     return pd.DataFrame(
@@ -173,7 +178,7 @@ def fit_rates(cdf: DataFrame, double: Sequence[tuple[int, str]] = ()) -> DataFra
 
     Weighting each collapsed point with its count and using the mean p of its ties has
     the same minimum as fitting all points. ``double`` lists the (label, kind) to fit
-    with two exponentials (k1 >= k2); a fit that fails falls back to one.
+    with two exponentials (k1 >= k2); a fit that doesn't converge falls back to one.
     """
     model = F.lit("single")
     for label, kind in double:
