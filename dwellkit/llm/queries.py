@@ -117,7 +117,8 @@ def _(spark, sf):
 
 @query("op7_unit_hash")
 def _(spark, sf):
-    return unit_hash.repeated_units(table(spark, sf, "documents"))
+    """Repeated passages: sentences that repeat, where 20 words or more in a row do."""
+    return unit_hash.repeated_units(table(spark, sf, "documents"), min_words=1, min_run_words=20)
 
 
 @query("op8_repair_ids")

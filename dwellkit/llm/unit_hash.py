@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellkit.llm.store import numbered
@@ -46,20 +46,22 @@ def normalised(unit: str) -> str:
 def _cutter(kind: str, min_words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, most=2 << 20, column="text"):
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for i, text in enumerate(batch.column("text").to_pylist()):
+                number = 0
                 for start, end in units(text or "", kind):
                     plain = normalised(text[start:end])
                     n_words = plain.count(" ") + 1
                     if n_words >= min_words and plain:
                         digest = hashlib.blake2b(plain.encode(), digest_size=16).digest()
-                        for column, value in zip(out, (i, start, end, n_words, digest)):
+                        for column, value in zip(out, (i, number, start, end, n_words, digest)):
                             column.append(value)
+                        number += 1
             ids = batch.column("doc_id").take(pa.array(out[0], pa.int64()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [ids, *(pa.array(c, t) for c, t in zip(out[1:], kinds))],
-                names=["doc_id", "start", "end", "n_words", "digest"],
+                names=["doc_id", "unit_no", "start", "end", "n_words", "digest"],
             )
 
     return run
@@ -71,13 +73,16 @@ def repeated_units(
     text_col: str = "text",
     kind: str = "sentence",
     min_words: int = 6,
+    min_run_words: int = 0,
 ) -> DataFrame:
     """(id, start, end, n_words, first_id, first_start) for each unit to remove.
 
     A unit goes if the same words in the same order stand in an earlier unit: of a smaller
     id, of an earlier row with that id, or further up in the text. first_id and first_start
     say where the one that stays is. Units of fewer than ``min_words`` words are left alone,
-    so empty and null texts give nothing. Null ids rank last. Repeated rows repeat units
+    so empty and null texts give nothing; so are those that, with the repeated ones right
+    before and after them, have fewer than ``min_run_words`` words, such as a line of
+    boilerplate in a text of its own. Null ids rank last. Repeated rows repeat units
     like any two documents. Only the named columns are read.
 
     The earliest occurrence is a grouped minimum with partial sums, so a unit that a third
@@ -88,19 +93,26 @@ def repeated_units(
     id_type = texts.schema["doc_id"].dataType.simpleString()
     cut = numbered(
         texts.mapInArrow(
-            _cutter(kind, min_words), f"doc_id {id_type}, start long, end long, n_words long, digest binary"
+            _cutter(kind, min_words), f"doc_id {id_type}, unit_no long, start long, end long, n_words long, digest binary"
         ),
         "units",
         "unit_id",
     )
     # Numbers rise along a text and from row to row, so they order the units of one id.
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "unit_id", "start")
-    ranked = cut.select("doc_id", "digest", "n_words", rank.alias("rank"), "end")
+    ranked = cut.select("doc_id", "unit_no", "digest", "n_words", rank.alias("rank"), "end")
     first = ranked.groupBy("digest").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = ranked.join(first, "digest").where("rank > first")
+    if min_run_words:
+        # Units of a row have consecutive numbers, so the number less the place names the row.
+        row = (F.col("rank.unit_id") - F.col("unit_no")).alias("row")
+        placed = again.select("*", row)
+        nth = F.row_number().over(Window.partitionBy("row").orderBy("unit_no"))
+        runs = placed.withColumn("run", F.col("unit_no") - nth)
+        words = F.sum("n_words").over(Window.partitionBy("row", "run"))
+        again = runs.withColumn("run_words", words).where(F.col("run_words") >= min_run_words)
     return (
-        ranked.join(first, "digest")
-        .where("rank > first")
-        .select(
+        again.select(
             F.col("doc_id").alias(id_col),
             F.col("rank.start").alias("start"),
             "end",

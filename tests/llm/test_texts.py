@@ -112,6 +112,24 @@ def test_units_equal_brute_force(spark):
             assert unit_hash.normalised(other).startswith(unit_hash.normalised(own))
 
 
+def test_runs_of_units(spark):
+    passage = ["one two three four.", "Five six.", "Seven eight nine ten."]
+    docs = [
+        (1, " ".join(passage)),
+        (2, "Own start of " + " ".join(passage) + " Own end."),  # its first sentence is another
+        (3, "Own. Five six. Own words here."),
+        (4, "Five six. Seven eight nine ten. x. one two three four. Five six."),
+        (2, " ".join(passage)),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = unit_hash.repeated_units(df, min_words=1, min_run_words=6).collect()
+    texts = [t for _, t in docs]
+    found = sorted((r.doc_id, r.start, texts[4 if r.start in (0, 20, 30) and r.doc_id == 2 else r.doc_id - 1][r.start : r.end]) for r in got)
+    assert [f[2] for f in found if f[0] == 4] == ["Five six.", "Seven eight nine ten.", "one two three four.", "Five six."]
+    assert {f[0] for f in found} == {2, 4}
+    assert sum(f[0] == 2 for f in found) == 5
+
+
 @pytest.mark.parametrize("kind", ["line", "paragraph", "sentence"])
 def test_unit_offsets_lie_in_the_text(kind):
     text = " One two. Three\n\n  four five!\n \nSix  "
