@@ -21,6 +21,9 @@ from dwellkit.llm.store import is_empty, stored
 
 #: Keys are counted in so many cells; a cell that is this many times the mean is heavy.
 CELLS, HEAVY, HEAVY_ROWS = 1 << 16, 8, 20_000
+#: Numbers of rows with a bucket go to all tasks up to so many (8 bytes each), so that
+#: texts need not move to meet them; beyond that both sides are dealt.
+BROADCAST_NODES = 1_000_000
 
 
 def _with_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +106,9 @@ def link(
     members = stored(members_of(entries), "buckets")
     if is_empty(members):
         return None
-    near = stored(texts.join(members.select("node").distinct(), "node", "left_semi"), "bucket-texts")
+    nodes = stored(members.select("node").distinct(), "bucket-nodes")
+    few = nodes.count() <= BROADCAST_NODES
+    near = stored(texts.join(F.broadcast(nodes) if few else nodes, "node", "left_semi"), "bucket-texts")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(near.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
