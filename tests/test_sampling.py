@@ -47,6 +47,10 @@ def test_mixture(events):
     assert sizes(sampling.mixture_sample(events, {0: 0.6, 1: 0.4}, 50)) == {(0,): 30, (1,): 20}
     with pytest.raises(Exception, match="fewer events"):
         sampling.mixture_sample(events, {2: 1.0}, 50).collect()
+    with pytest.raises(Exception, match="fewer events"):  # a class without any event
+        sampling.mixture_sample(events, {0: 0.5, 9: 0.5}, 10).collect()
+    with pytest.raises(Exception, match="without a fraction"):
+        sampling.downsample(events, [0.5, 0.5], ["a", "b"]).collect()
 
 
 def test_shuffles_keep_everything(events):

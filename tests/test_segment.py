@@ -179,3 +179,17 @@ def test_bucketed_table_needs_no_sample_exchange(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(record_id" not in plan.split("BroadcastExchange")[0]
     assert df.count() == 10
+
+
+@pytest.mark.parametrize("part", [4, 1 << 20])
+def test_run_parts_do_not_depend_on_chunks(spark, random_recordings, part):
+    sig = make(spark, random_recordings)
+    want = {(r, e): seq for r, states in random_recordings.items() for e, _, seq in brute.events(states)}
+    rows = [segment.run_parts(sig, part_samples=part, chunk_samples=chunk, hot_rows=hot).collect() for chunk, hot in ((None, 1 << 22), (3, 2))]
+    plain = [sorted((r.record_id, r.event_id, r.part, r.event_duration, [tuple(x) for x in r.runs]) for r in own) for own in rows]
+    assert plain[0] == plain[1]
+    got = {}
+    for record, event, _, duration, runs in plain[0]:
+        got.setdefault((record, event), []).extend(s for _, s, n in runs for _ in range(n))
+        assert duration == len(want[(record, event)])
+    assert got == want

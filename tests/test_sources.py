@@ -40,6 +40,18 @@ def test_classes_by_file(spark, folder):
     assert {(r.record_id, r.label) for r in got.select("record_id", "label").distinct().collect()} == {("a.csv", 0), ("b.csv", 1)}
     with pytest.raises(KeyError):
         recordings.with_classes(sig, {}, {"a.csv": "PeptideA"})
+    with pytest.raises(Exception, match="no class for recording b.csv"):
+        recordings.with_classes(sig, {"PeptideA": 0}, {"a.csv": "PeptideA"}).collect()
+    kept = recordings.with_classes(sig, {"PeptideA": 0}, {"a.csv": "PeptideA"}, unclassed="drop")
+    assert [r.record_id for r in kept.select("record_id").distinct().collect()] == ["a.csv"]
+
+
+def test_files_with_one_name_stay_apart(spark, tmp_path):
+    for folder in ("r1", "r2"):
+        (tmp_path / folder).mkdir()
+        write(tmp_path / folder / "rec.csv", "Time,Current,State", [(i * 0.001, 1.0, 0.0) for i in range(8)])
+    sig = recordings.read_recordings(spark, [str(tmp_path / "r1/rec.csv"), str(tmp_path / "r2/rec.csv")])
+    assert sorted(r["count"] for r in sig.groupBy("record_id").count().collect()) == [8, 8]
 
 
 def test_round_trips(spark, folder, tmp_path):
