@@ -23,7 +23,7 @@ from dwellkit.llm.store import stored
 from dwellkit.llm.text import pieces
 
 #: Ids of a shard, but for a longer document, which is a shard by itself.
-SHARD_IDS = 2_000_000
+SHARD_IDS = 1_000_000
 #: A pair is replaced while it stands this often; rounds end when a round would shorten the shard by less than this share.
 LEAST, WORTH = 8, 0.01
 #: Sequences end documents; a symbol never reaches over one.
@@ -179,8 +179,8 @@ def _writer(tokenizer_path: str, end_id: int) -> Callable:
 
         for batch in pieces(batches, most=1 << 18, column="text"):
             split = [splitter.split(text or "") for text in batch.column("text").to_pylist()]
-            if len(known) > 400_000 and not codes:
-                known = {}
+            if len(known) > 200_000:
+                known = {w: known[w] for w in words}
             new = list({w for own in split for w in own if w not in known})
             known.update(zip(new, encode_words(tokenizer, new)))
             for i, own in enumerate(split):
