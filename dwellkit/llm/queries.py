@@ -151,7 +151,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 2), i -> array_to_string(ws[i:i + 3], ' ')) END) AS sh
+    ELSE [array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, len(ws) - 2)] END) AS sh
   FROM w
 ), n AS (
   SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
@@ -221,7 +221,7 @@ WITH d AS (
   SELECT item_id, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark
 ), iw AS (
   SELECT DISTINCT item_id, least(len(ws), 10) AS n,
-    unnest(list_transform(range(1, len(ws) - least(len(ws), 10) + 2), p -> array_to_string(ws[p:p + least(len(ws), 10) - 1], ' '))) AS win
+    unnest([array_to_string(ws[p:p + least(len(ws), 10) - 1], ' ') FOR p IN range(1, len(ws) - least(len(ws), 10) + 2)]) AS win
   FROM i WHERE len(ws) > 0
 ), dw AS (
   SELECT doc_id, n, p, array_to_string(ws[p:p + n - 1], ' ') AS win
@@ -229,7 +229,7 @@ WITH d AS (
 ), m AS (
   SELECT dw.doc_id, dw.n, dw.p, iw.item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win
 ), h AS (
-  SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS at FROM m) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS place FROM m) GROUP BY doc_id
 ), c AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM m) GROUP BY doc_id
