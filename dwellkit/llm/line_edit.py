@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwellkit.llm.buckets import labelled, link
-from dwellkit.llm.store import numbered
+from dwellkit.llm.store import numbered, stored
 from dwellkit.llm.text import pieces
 
 THRESHOLD = 2
 #: Shorter lines are left as they are: two edits would make many of them the same.
 MIN_CHARS = 32
+#: Lists of removed lines go to all tasks up to so many, so that texts need not move to meet them.
+BROADCAST_ROWS = 200_000
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _BLANKS = " \t\n\r\x0b\x0c"
 
@@ -226,7 +228,10 @@ def deduplicated(
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id").alias("row_key")
     gone = repeated_lines(rows.select(key, "text"), "row_key", "text", threshold, min_chars)
     lists = gone.groupBy(F.col("row_key.row_id").alias("row_id")).agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
-    joined = rows.join(lists, "row_id", "left").select(
+    lists = stored(lists, "removed-lines")
+    size = lists.agg(F.count(F.lit(1)), F.sum(F.size("removed"))).first()
+    few = size[0] <= BROADCAST_ROWS and (size[1] or 0) <= 10 * BROADCAST_ROWS
+    joined = rows.join(F.broadcast(lists) if few else lists, "row_id", "left").select(
         "doc_id", "text", F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"), *(["carried"] if carry else [])
     )
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name != "text")
