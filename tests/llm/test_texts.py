@@ -226,25 +226,21 @@ def test_quality_equals_brute_force(spark):
 
 
 def test_unseen_words_back_off(spark):
-    arrays = perplexity.in_memory(
-        perplexity.fit(spark.createDataFrame([("there other then hen", "en")], "text string, lang string"))
-    )
-    seen, unseen, foreign = (perplexity.score_words(arrays, "en", [w])[0] for w in (b"then", b"thex", "éé".encode()))
-    assert 0 > seen[0] / seen[1] > unseen[0] / unseen[1] > foreign[0] / foreign[1] > -20
-    assert perplexity.score_words(arrays, "xx", [b"then"])[0][0] == pytest.approx(5 * perplexity.UNKNOWN)
+    text = "there other then hen"
+    arrays = perplexity.in_memory(perplexity.fit(spark.createDataFrame([(text, "en")], "text string, lang string")))["en"]
+    words = [b"then", b"thex", "éé".encode()]
+    rates = [x / (len(w.decode()) + 1) for w, x in zip(words, perplexity.score_words(arrays, words))]
+    assert 0 > rates[0] > rates[1] > rates[2] > -20
+    assert perplexity.score_words(None, [b"then"])[0] == pytest.approx(5 * perplexity.UNKNOWN)
 
 
 def test_probabilities_sum_to_one(spark):
     text = "there other then hen the tree three hero"
-    arrays = perplexity.in_memory(perplexity.fit(spark.createDataFrame([(text, "en")], "text string, lang string")))
+    arrays = perplexity.in_memory(perplexity.fit(spark.createDataFrame([(text, "en")], "text string, lang string")))["en"]
     letters = set(text) | {"Q"}  # one stands for every new character
-    for context in ("  t", "the", "qqq", "ere"):
-        total = 0.0
-        for c in letters:
-            key = perplexity._hash("en" + perplexity.GRAM + context + c)
-            value = float(arrays.look_up(np.array([key]))[0])
-            total += math.exp(perplexity._backed_off(arrays, "en", context + c) if math.isnan(value) else value)
-        assert total == pytest.approx(1.0, abs=1e-4)
+    for context in ("  ", "th", "qq", "er"):
+        keys = np.array([perplexity.number_of(context + c) for c in letters])
+        assert np.exp(arrays.log_p(keys)).sum() == pytest.approx(1.0, abs=1e-4)
 
 
 def test_quality_of_an_empty_table(spark):
