@@ -18,8 +18,6 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +33,9 @@ LANDMARKS = 96
 TRAINING_ROWS = 12_000
 #: Landmarks are words whose kernel with every earlier landmark is below this.
 APART = 0.55
-#: Times that the machine is trained again on the worst sentences of toxic documents.
-REFITS = 2
+#: Times that the machine is trained again on each document's worst sentence, and its ridge.
+REFITS = 3
+RIDGE = 1e-3
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 # a-z have numbers of their own, other letters share the rest; triples have the cube of that.
@@ -203,8 +202,8 @@ def choose_landmarks(sample: DataFrame, n: int = LANDMARKS) -> list[str]:
     return chosen
 
 
-def _pooler(landmarks: list[str], white: np.ndarray) -> Callable:
-    """Nyström features of each sentence of each labelled document."""
+def _pooler(landmarks: list[str]) -> Callable:
+    """Kernel maxima of each sentence of each labelled document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         describe = Describer(landmarks)
@@ -214,7 +213,7 @@ def _pooler(landmarks: list[str], white: np.ndarray) -> Callable:
             for key, label, own in zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), found):
                 keys += [key] * len(own)
                 labels += [label] * len(own)
-                rows += (own @ white).tolist()
+                rows += own.astype(np.float64).tolist()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, batch.schema.field("doc_id").type), pa.array(labels, pa.int32()), pa.array(rows, pa.list_(pa.float64()))],
                 names=["doc_id", "label", "values"],
@@ -296,44 +295,47 @@ def fit(labelled: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     white = _whitening(landmarks)
     id_type = sample.schema["doc_id"].dataType.simpleString()
     sentences = stored(
-        sample.mapInArrow(_pooler(landmarks, white), f"doc_id {id_type}, label int, values array<double>"),
+        sample.mapInArrow(_pooler(landmarks), f"doc_id {id_type}, label int, values array<double>"),
         "toxicity-sentences",
     )
-    # First every sentence bears its document's label; then, of a toxic document, the
-    # sentences that the machine before finds worst.
-    positive = F.col("label") == 1
-    weights, intercept = _separator(sentences.select("values", positive.alias("toxic")), balanced=False)
+    # The first machine sees documents as their largest kernel values, the next ones each
+    # document's worst sentence by the machine before. Of a document one row of numbers
+    # comes to the driver, and of documents at most ``rows``.
+    largest = F.array(*[F.max(F.get("values", F.lit(i))) for i in range(len(landmarks))])
+    table = sentences.groupBy("doc_id", "label").agg(largest.alias("values")).toPandas()
     for _ in range(REFITS):
-        marked = sentences.withColumn("margin", _margin(F.col("values"), weights, intercept))
-        worst = marked.where(positive).groupBy("doc_id").agg(F.max("margin").alias("worst"))
-        chosen = marked.where(positive).join(worst, "doc_id").where(F.col("margin") >= F.col("worst") - 0.25)
-        weights, intercept = _separator(
-            chosen.select("values", F.lit(True).alias("toxic")).union(
-                marked.where(~positive).select("values", F.lit(False).alias("toxic"))
-            )
-        )
-    margins = (
-        sentences.groupBy("doc_id", "label")
-        .agg(F.max(_margin(F.col("values"), weights, intercept)).alias("margin"))
-        .select("label", "margin")
-        .toPandas()
-    )
-    slope, shift = _logistic(margins["margin"].to_numpy(), margins["label"].to_numpy())
+        weights, intercept = _separator(np.stack(table["values"]) @ white, table["label"].to_numpy())
+        worst = F.max_by("values", _margin(F.col("values"), white @ weights, intercept))
+        table = sentences.groupBy("doc_id", "label").agg(worst.alias("values")).toPandas()
+    weights, intercept = _separator(np.stack(table["values"]) @ white, table["label"].to_numpy())
+    margins = np.stack(table["values"]) @ (white @ weights) + intercept
+    slope, shift = _logistic(margins, table["label"].to_numpy())
     return Model(landmarks, white @ weights, intercept, slope, shift)
 
 
-def _separator(rows: DataFrame, balanced: bool = True) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a linear SVM on (values, toxic). Balanced, both classes weigh the same; else
-    sentences without an insult in toxic documents lose against their like in other documents."""
-    sizes = rows.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
-    heavy = sizes[1] / max(1, sizes[0]) if balanced else 1.0
-    vectors = rows.select(
-        F.col("toxic").cast("double").alias("label"),
-        array_to_vector("values").alias("features"),
-        F.when(F.col("toxic"), F.lit(float(heavy))).otherwise(1.0).alias("weight"),
-    )
-    svm = LinearSVC(maxIter=100, regParam=1e-4, standardization=False, weightCol="weight").fit(vectors)
-    return svm.coefficients.toArray(), float(svm.intercept)
+def _separator(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a linear SVM with squared hinge loss, by Newton steps."""
+    x1 = np.column_stack([x, np.ones(len(x))])
+    sign = np.where(y == 1, 1.0, -1.0)
+    ridge = np.append(np.full(x.shape[1], RIDGE), 1e-9)
+
+    def loss(w: np.ndarray) -> float:
+        return float((ridge * w * w).sum() / 2 + (np.maximum(0, 1 - sign * (x1 @ w)) ** 2).mean())
+
+    w, now = np.zeros(x1.shape[1]), np.inf
+    for _ in range(50):
+        short = np.maximum(0, 1 - sign * (x1 @ w))
+        own = x1[short > 0]
+        gradient = ridge * w - 2 * x1.T @ (sign * short) / len(x)
+        step = np.linalg.solve(np.diag(ridge) + 2 * own.T @ own / len(x), gradient)
+        size = 1.0
+        while size > 1e-4 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if now - loss(w) < 1e-9:
+            break
+        now = loss(w)
+    return w[:-1], float(w[-1])
 
 
 def _margin(values: Column, weights: np.ndarray, intercept: float) -> Column:
