@@ -46,18 +46,19 @@ def _blocks(tokenizer_path: str, buckets: int) -> Callable:
         total = 0
 
         def closed(schema: pa.Schema) -> pa.RecordBatch:
+            # Numbered anew by how often they stand in the block, words have small numbers.
+            numbers = np.concatenate(codes) if codes else np.empty(0, np.int32)
+            order = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
             table = list(words)
-            raw = [w.encode() for w in table]
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
-            order = np.argsort(bucket, kind="stable")
-            rank = np.empty(len(raw), np.int32)
-            rank[order] = np.arange(len(raw), dtype=np.int32)
-            rows = [(DOCS, shrunk(np.array([len(c) for c in codes], np.int32), *[rank[np.concatenate(codes)]] if codes else [np.empty(0, np.int32)]))]
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            for group in np.split(order, cuts) if len(order) else []:
-                own = [raw[i] for i in group]
-                blob = b"".join(own)
-                rows.append((int(bucket[group[0]]), _pack_words(own, blob)))
+            raw = [table[i].encode() for i in order]
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int32, len(raw))
+            sizes = np.array([len(c) for c in codes], np.int32)
+            rows = [(DOCS, shrunk(sizes, rank[numbers], bucket))]
+            by_bucket = np.argsort(bucket, kind="stable")
+            for group in np.split(by_bucket, np.flatnonzero(np.diff(bucket[by_bucket])) + 1) if len(raw) else []:
+                rows.append((int(bucket[group[0]]), _pack_words([raw[i] for i in group])))
             ids = pa.concat_arrays(others)
             lists = pa.ListArray.from_arrays(pa.array([0, len(ids), *[len(ids)] * (len(rows) - 1)], pa.int32()), ids)
             return pa.RecordBatch.from_arrays(
@@ -85,9 +86,9 @@ def _blocks(tokenizer_path: str, buckets: int) -> Callable:
     return run
 
 
-def _pack_words(words: list[bytes], blob: bytes) -> bytes:
+def _pack_words(words: list[bytes]) -> bytes:
     lengths = np.fromiter(map(len, words), np.int32, len(words)).tobytes()
-    raw = len(words).to_bytes(4, "little") + lengths + blob
+    raw = len(words).to_bytes(4, "little") + lengths + b"".join(words)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
@@ -132,8 +133,12 @@ def _joiner(tokenizer_path: str, finish: Callable, columns: dict[str, pa.DataTyp
         values: list[np.ndarray] = []
 
         def closed() -> Iterator[pa.RecordBatch]:
-            ids, sizes, codes = now[1], *grown(now[2], 2)
+            ids, sizes, codes, bucket = now[1], *grown(now[2], 3)
             table = [np.concatenate(x) if x else np.empty(0, np.int32) for x in (lengths, values)]
+            # Inside a bucket words are in the order of their numbers.
+            place = np.empty(len(bucket), np.int64)
+            place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
+            codes = place[codes]
             cuts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
             for start in range(0, len(sizes), 256):
                 end = min(start + 256, len(sizes))

@@ -7,6 +7,8 @@ tokenizer itself, page by page, so the words are its own whatever Unicode versio
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
@@ -20,7 +22,8 @@ class Splitter:
     def __init__(self, tokenizer: Tokenizer):
         self.words_of = tokenizer.pre_tokenizer.pre_tokenize_str
         self.kinds = np.full(0x110000, UNASKED, np.uint8)
-        self.specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(f"({'|'.join(map(re.escape, specials))})") if specials else None
 
     def _ask(self, page: int) -> None:
         for c in range(page << 8, (page + 1) << 8):
@@ -60,11 +63,12 @@ class Splitter:
 
     def split(self, text: str) -> list[str]:
         """The words; a special token's string is a word."""
-        for special in self.specials:
-            if special in text:
-                first, rest = text.split(special, 1)
-                return [*self.split(first), special, *self.split(rest)]
-        return self._plain(text)
+        if not self.special or not self.special.search(text):
+            return self._plain(text)
+        out = []
+        for i, part in enumerate(self.special.split(text)):
+            out += [part] if i % 2 else self._plain(part)
+        return out
 
 
 def encode_words(tokenizer: Tokenizer, words: list[str]) -> list[list[int]]:
@@ -107,14 +111,16 @@ def gathered(codes: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> tupl
 
 
 def shrunk(*arrays: np.ndarray) -> bytes:
-    """Arrays of 32-bit numbers as one compressed value."""
-    raw = np.array([len(a) for a in arrays], np.int32).tobytes() + b"".join(a.astype(np.int32).tobytes() for a in arrays)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """Arrays of 32-bit numbers as one compressed value. The lowest bytes of all numbers come
+    first, then the next ones: small numbers leave long stretches of zeros."""
+    head = np.array([len(a) for a in arrays], "<i4").tobytes()
+    body = np.concatenate([np.asarray(a).astype("<i4") for a in arrays])
+    raw = head + body.view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=5).compress(raw, asbytes=True)
 
 
 def grown(value: bytes, n: int) -> list[np.ndarray]:
     raw = pa.decompress(value[8:], decompressed_size=int.from_bytes(value[:8], "little"), codec="zstd", asbytes=True)
-    sizes = np.frombuffer(raw, np.int32, n)
-    body = np.frombuffer(raw, np.int32, offset=4 * n)
-    cuts = np.cumsum(sizes)[:-1]
-    return np.split(body, cuts)
+    sizes = np.frombuffer(raw, "<i4", n)
+    body = np.frombuffer(raw, np.uint8, offset=4 * n).reshape(4, -1).T
+    return np.split(np.ascontiguousarray(body).view("<i4").ravel(), np.cumsum(sizes)[:-1])
