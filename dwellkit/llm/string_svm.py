@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwellkit.llm.store import stored
+from dwellkit.llm.store import numbered, stored
 from dwellkit.llm.text import pieces
 
 #: Weight lost with each letter that a subsequence spans.
@@ -33,9 +33,13 @@ LANDMARKS = 96
 TRAINING_ROWS = 12_000
 #: Landmarks are words whose kernel with every earlier landmark is below this.
 APART = 0.55
-#: Times that the machine is trained again on each document's worst sentence, and its ridge.
+#: Times that the machine is trained again with labels of its own for toxic documents' sentences, its ridge, and
+#: the most Newton steps of a training.
 REFITS = 3
-RIDGE = 1e-3
+RIDGE = 1e-4
+STEPS = 30
+#: Sentences of a document that are one row of the stored table.
+PART = 2048
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 # a-z have numbers of their own, other letters share the rest; triples have the cube of that.
@@ -203,20 +207,22 @@ def choose_landmarks(sample: DataFrame, n: int = LANDMARKS) -> list[str]:
 
 
 def _pooler(landmarks: list[str]) -> Callable:
-    """Kernel maxima of each sentence of each labelled document."""
+    """Kernel maxima of all sentences of each labelled document, a row of floats for each; a
+    long document comes in several parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         describe = Describer(landmarks)
         for batch in pieces(batches, most=1 << 20, column="text"):
             keys, labels, rows = [], [], []
             found = describe.texts([t or "" for t in batch.column("text").to_pylist()])
-            for key, label, own in zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), found):
-                keys += [key] * len(own)
-                labels += [label] * len(own)
-                rows += own.astype(np.float64).tolist()
+            for key, label, own in zip(batch.column("row_id").to_pylist(), batch.column("label").to_pylist(), found):
+                for start in range(0, len(own), PART):
+                    keys.append(key)
+                    labels.append(label)
+                    rows.append(own[start : start + PART].astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, batch.schema.field("doc_id").type), pa.array(labels, pa.int32()), pa.array(rows, pa.list_(pa.float64()))],
-                names=["doc_id", "label", "values"],
+                [pa.array(keys, pa.int64()), pa.array(labels, pa.int32()), pa.array(rows, pa.binary())],
+                names=["row_id", "label", "values"],
             )
 
     return run
@@ -263,6 +269,10 @@ def _whitening(landmarks: list[str]) -> np.ndarray:
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """(slope, shift) of the logistic curve from margins to labels."""
     weight = np.full(len(x), 1 / max(1, len(x)))
+
+    def loss(a: float, b: float) -> float:
+        return float((weight * np.logaddexp(0, np.where(y == 1, -1, 1) * (a * x + b))).sum() + 1e-3 * a * a / 2)
+
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
@@ -270,6 +280,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         s = weight * p * (1 - p)
         h = np.array([[(s * x * x).sum() + 1e-3, (s * x).sum()], [(s * x).sum(), s.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
+        # A whole step may overshoot where nearly all documents lie far on one side.
+        while np.abs(step).max() > 1e-8 and loss(a - step[0], b - step[1]) > loss(a, b):
+            step = step / 2
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-8:
             break
@@ -287,60 +300,111 @@ def fit(labelled: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     usable = labelled.where("label in (0, 1)").select("doc_id", "text", F.col("label").cast("int").alias("label"))
     halves = [usable.where(F.col("label") == y).orderBy(draw, "text").limit(rows // 2) for y in (0, 1)]
     sample = halves[0].unionByName(halves[1])
-    sample = stored(sample, "toxicity-sample")
+    sample = numbered(sample, "toxicity-sample")
     counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     landmarks = choose_landmarks(sample) if len(counts) == 2 else []
     if not landmarks:
         return Model([], np.zeros(0), -1.0, 1.0, 0.0)
     white = _whitening(landmarks)
-    id_type = sample.schema["doc_id"].dataType.simpleString()
+    tasks = max(2, 2 * sample.sparkSession.sparkContext.defaultParallelism)
     sentences = stored(
-        sample.mapInArrow(_pooler(landmarks), f"doc_id {id_type}, label int, values array<double>"),
+        sample.repartition(tasks, "row_id").mapInArrow(_pooler(landmarks), "row_id long, label int, values binary"),
         "toxicity-sentences",
     )
-    # The first machine sees documents as their largest kernel values, the next ones each
-    # document's worst sentence by the machine before. Of a document one row of numbers
-    # comes to the driver, and of documents at most ``rows``.
-    largest = F.array(*[F.max(F.get("values", F.lit(i))) for i in range(len(landmarks))])
-    table = sentences.groupBy("doc_id", "label").agg(largest.alias("values")).toPandas()
-    for _ in range(REFITS):
-        weights, intercept = _separator(np.stack(table["values"]) @ white, table["label"].to_numpy())
-        worst = F.max_by("values", _margin(F.col("values"), white @ weights, intercept))
-        table = sentences.groupBy("doc_id", "label").agg(worst.alias("values")).toPandas()
-    weights, intercept = _separator(np.stack(table["values"]) @ white, table["label"].to_numpy())
-    margins = np.stack(table["values"]) @ (white @ weights) + intercept
-    slope, shift = _logistic(margins, table["label"].to_numpy())
-    return Model(landmarks, white @ weights, intercept, slope, shift)
-
-
-def _separator(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a linear SVM with squared hinge loss, by Newton steps."""
-    x1 = np.column_stack([x, np.ones(len(x))])
-    sign = np.where(y == 1, 1.0, -1.0)
-    ridge = np.append(np.full(x.shape[1], RIDGE), 1e-9)
-
-    def loss(w: np.ndarray) -> float:
-        return float((ridge * w * w).sum() / 2 + (np.maximum(0, 1 - sign * (x1 @ w)) ** 2).mean())
-
-    w, now = np.zeros(x1.shape[1]), np.inf
-    for _ in range(50):
-        short = np.maximum(0, 1 - sign * (x1 @ w))
-        own = x1[short > 0]
-        gradient = ridge * w - 2 * x1.T @ (sign * short) / len(x)
-        step = np.linalg.solve(np.diag(ridge) + 2 * own.T @ own / len(x), gradient)
-        size = 1.0
-        while size > 1e-4 and loss(w - size * step) > loss(w):
-            size /= 2
-        w = w - size * step
-        if now - loss(w) < 1e-9:
-            break
-        now = loss(w)
-    return w[:-1], float(w[-1])
+    # First every sentence bears its document's label. Then a toxic document's sentences bear
+    # the side on which the machine before sees them, and its worst one is always toxic.
+    # That first labelling counts each sentence alike: balanced, a toxic document's plain sentences would outvote their like.
+    w, least = np.zeros(len(landmarks) + 1), None
+    for _ in range(REFITS + 1):
+        w = _separator(sentences, white, w, least)
+        worst = _worst(sentences, white, w)
+        least = w, {key: min(0.0, margin) for key, (label, margin) in worst.items() if label == 1}
+    labels, margins = (np.array(x, np.float64) for x in zip(*worst.values()))
+    slope, shift = _logistic(margins, labels)
+    return Model(landmarks, white @ w[:-1], float(w[-1]), slope, shift)
+
 
+def _features(raw: bytes, white: np.ndarray) -> np.ndarray:
+    """Nyström features of sentences, a row for each, and a one."""
+    x = np.frombuffer(raw, np.float32).reshape(-1, len(white)) @ white
+    return np.column_stack([x, np.ones(len(x))])
 
-def _margin(values: Column, weights: np.ndarray, intercept: float) -> Column:
-    products = F.zip_with(values, F.array(*[F.lit(float(x)) for x in weights]), lambda a, b: a * b)
-    return F.aggregate(products, F.lit(intercept), lambda s, x: s + x)
+
+def _worst(sentences: DataFrame, white: np.ndarray, w: np.ndarray) -> dict[int, tuple[int, float]]:
+    """(label, largest margin) of each document of the sample by its number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            margins = [float((_features(raw, white) @ w).max()) for raw in batch.column("values").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row_id"), batch.column("label"), pa.array(margins, pa.float64())],
+                names=["row_id", "label", "margin"],
+            )
+
+    rows = sentences.mapInArrow(run, "row_id long, label int, margin double")
+    rows = rows.groupBy("row_id", "label").agg(F.max("margin").alias("margin")).orderBy("row_id")
+    return {r["row_id"]: (r["label"], r["margin"]) for r in rows.collect()}
+
+
+def _sums(sentences: DataFrame, white: np.ndarray, w: np.ndarray, least: tuple | None) -> list[tuple]:
+    """(rows, loss, gradient, Hessian) of the squared hinge at ``w`` over the clean and over the toxic sentences.
+
+    ``least``: an earlier machine and the margin by it from which a sentence of each toxic
+    document is toxic; without it all of them are. A task sends on its sums alone.
+    """
+    size = len(w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, size + 1, size + 1))
+        for batch in batches:
+            for key, label, raw in zip(*(batch.column(c).to_pylist() for c in ("row_id", "label", "values"))):
+                x = _features(raw, white)
+                toxic = np.full(len(x), label == 1)
+                if label == 1 and least is not None:
+                    toxic = x @ least[0] >= least[1][key] - 1e-9
+                sign = np.where(toxic, 1.0, -1.0)
+                short = np.maximum(0, 1 - sign * (x @ w))
+                for side in (0, 1):
+                    own = toxic == bool(side)
+                    near = own & (short > 0)
+                    sums[side, 0, 0] += own.sum()
+                    sums[side, 0, 1] += (short[near] ** 2).sum()
+                    sums[side, 1:, 0] -= 2 * x[near].T @ (sign * short)[near]
+                    sums[side, 1:, 1:] += 2 * x[near].T @ x[near]
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+
+    parts = [np.frombuffer(r["sums"]).reshape(2, size + 1, size + 1) for r in sentences.mapInArrow(run, "sums binary").collect()]
+    total = np.sum(parts, axis=0)
+    return [(t[0, 0], t[0, 1], t[1:, 0], t[1:, 1:]) for t in total]
+
+
+def _separator(sentences: DataFrame, white: np.ndarray, start: np.ndarray, least: tuple | None) -> np.ndarray:
+    """Weights and, last, intercept of a linear SVM with squared hinge loss on all sentences, by
+    Newton steps whose sums are one job each. With ``least`` both classes weigh the same in all."""
+    ridge = np.append(np.full(len(start) - 1, RIDGE), 1e-9)
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        loss, gradient, hessian = float((ridge * w * w).sum() / 2), ridge * w, np.diag(ridge)
+        sides = _sums(sentences, white, w, least)
+        for n, *own in sides:
+            weight = 1 / (2 * n if least else sides[0][0] + sides[1][0]) if n else 0.0
+            loss, gradient, hessian = (a + weight * b for a, b in zip((loss, gradient, hessian), own))
+        return loss, gradient, hessian
+
+    w, (now, gradient, hessian) = start, at(start)
+    for _ in range(STEPS):
+        step, size = np.linalg.solve(hessian, gradient), 1.0
+        found = at(w - step)
+        while found[0] > now and size > 1e-4:
+            size /= 2
+            found = at(w - size * step)
+        if found[0] > now:
+            break
+        done = now - found[0] < 1e-6 * now
+        w, (now, gradient, hessian) = w - size * step, found
+        if done:
+            break
+    return w
 
 
 def _scorer(model: Model) -> Callable:

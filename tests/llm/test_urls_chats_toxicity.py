@@ -201,3 +201,20 @@ def test_one_label_alone_predicts_nothing(spark):
     df = spark.createDataFrame([(1, "some words", 0), (2, None, 0), (3, "x", None)], "doc_id long, text string, label int")
     model = string_svm.fit(df)
     assert [r.predicted for r in string_svm.score(df, model).collect()] == [0, 0, 0]
+
+
+def test_every_clean_sentence_of_the_sample_is_trained_on(spark):
+    rows = toxic_docs(seed=2, n=120)
+    milder = [(d, t if y else t + 30 * (" " + t.split(".")[0] + "."), y) for d, t, y in rows]
+    schema = "doc_id long, text string, label int"
+    few, many = (string_svm.fit(spark.createDataFrame(r, schema), rows=1000) for r in (rows, milder))
+    assert few.landmarks == many.landmarks
+    assert not np.allclose(few.weights, many.weights, rtol=1e-3)
+
+
+def test_logistic_does_not_overshoot():
+    x = np.concatenate([np.full(900, -1.0), np.full(100, 0.4)])
+    y = (x > 0).astype(float)
+    for shift in (0.0, -6.0, 6.0, -12.0):
+        a, b = string_svm._logistic(x + shift, y)
+        assert np.mean((a * (x + shift) + b > 0) == (y == 1)) == 1
