@@ -245,3 +245,17 @@ def test_probabilities_sum_to_one(spark):
 
 def test_quality_of_an_empty_table(spark):
     assert perplexity.quality(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
+
+
+def test_four_characters_are_told_apart(spark):
+    text = "abcx dbcy " * 20
+    arrays = perplexity.in_memory(perplexity.fit(spark.createDataFrame([(text, "en")], "text string, lang string")))["en"]
+    seen, crossed = perplexity.score_words(arrays, [b"abcx", b"abcy"])
+    assert seen > crossed + 2  # of three characters, both are "bcx" and "bcy" behind "abc"
+
+
+def test_characters_that_share_a_number_are_joined(spark):
+    df = spark.createDataFrame([(1, "a\U0001f600b a\uf600c " * 30, "en")], "doc_id long, text string, lang string")
+    assert not perplexity.distinct(perplexity.in_memory(perplexity.fit(df)))
+    whole = perplexity.quality(df, most_entries=0).first()
+    assert perplexity.quality(df).first().log_perplexity == pytest.approx(whole.log_perplexity, rel=1e-6)
