@@ -259,3 +259,11 @@ def test_characters_that_share_a_number_are_joined(spark):
     assert not perplexity.distinct(perplexity.in_memory(perplexity.fit(df)))
     whole = perplexity.quality(df, most_entries=0).first()
     assert perplexity.quality(df).first().log_perplexity == pytest.approx(whole.log_perplexity, rel=1e-6)
+
+
+def test_bands_leave_out_the_tails_of_each_language(spark):
+    rows = [("en", i / 100) for i in range(200)] + [(None, i / 10) for i in range(20)] + [("fr", None)]
+    got = {r.lang: r for r in perplexity.bands(spark.createDataFrame(rows, "lang string, log_perplexity double")).collect()}
+    out = lambda lang: [x for own, x in rows if own == lang and x is not None and not got[lang].low <= x <= got[lang].high]
+    assert out("en") == [0.0, 0.01, 0.02, 0.03, 1.96, 1.97, 1.98, 1.99]
+    assert out(None) == []
