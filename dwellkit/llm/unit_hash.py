@@ -18,19 +18,30 @@ from pyspark.sql import functions as F
 from dwellkit.llm.store import numbered
 from dwellkit.llm.text import pieces
 
-# What ends a unit. The marks of a sentence belong to it, blanks and line ends don't.
+# What ends a unit. The marks of a sentence belong to it, blanks and line ends don't. A digest ignores
+# marks, so other marks around a stop don't keep it from ending a sentence.
 _ENDS = {
     "line": re.compile(r"\n"),
     "paragraph": re.compile(r"\n[ \t\r]*(?:\n[ \t\r]*)+"),
-    "sentence": re.compile(r"(?<=[.!?])[ \t\r\f\v]+|\n"),
+    "sentence": re.compile(r"(?<![^\w\s])[^\w\s]++(?P<blank>[^\S\n]+)|\n"),
 }
+_STOP = re.compile(r"[.!?]")
 _WORD = re.compile(r"\w+")
 
 
+def _cuts(text: str, kind: str) -> Iterator[tuple[int, int]]:
+    for m in _ENDS[kind].finditer(text):
+        blank = m.span("blank") if kind == "sentence" else (-1, -1)
+        if blank[0] < 0:
+            yield m.span()
+        elif _STOP.search(text, m.start(), blank[0]):
+            yield blank
+
+
 def units(text: str, kind: str) -> Iterator[tuple[int, int]]:
     """(start, end) of each unit that isn't blank, blanks at its ends left out."""
     at = 0
-    for cut in [*(m.span() for m in _ENDS[kind].finditer(text)), (len(text), len(text))]:
+    for cut in [*_cuts(text, kind), (len(text), len(text))]:
         unit = text[at : cut[0]]
         left = len(unit) - len(unit.lstrip())
         if left < len(unit):

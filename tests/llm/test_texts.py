@@ -267,3 +267,10 @@ def test_bands_leave_out_the_tails_of_each_language(spark):
     out = lambda lang: [x for own, x in rows if own == lang and x is not None and not got[lang].low <= x <= got[lang].high]
     assert out("en") == [0.0, 0.01, 0.02, 0.03, 1.96, 1.97, 1.98, 1.99]
     assert out(None) == []
+
+
+def test_marks_around_a_stop_end_a_sentence(spark):
+    docs = [(1, "One two was. Three four five. Six seven."), (2, 'own was.*** Three four "five." Six seven?) End')]
+    got = unit_hash.repeated_units(spark.createDataFrame(docs, "doc_id long, text string"), min_words=1).collect()
+    assert sorted(docs[r.doc_id - 1][1][r.start : r.end] for r in got) == ["Six seven?)", 'Three four "five."']
+    assert len(list(unit_hash.units("." * 100_000 + "x", "sentence"))) == 1
