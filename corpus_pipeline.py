@@ -37,7 +37,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that near-repeat an earlier one, n_chars counted anew; a
     document that loses its last word goes. Others stay as they are."""
-    out = line_edit.deduplicated(_carried(docs, "doc_id", "text"), carry="whole_row")
+    out = line_edit.deduplicated(_carried(docs, "doc_id", "text"), carry="whole_row", short=True)
     left = out.where((F.size("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     n_chars = F.when(F.size("removed") == 0, F.col("whole_row.n_chars")).otherwise(F.length("text"))
     return _rows(left, docs, text=F.col("text"), n_chars=n_chars.cast(docs.schema["n_chars"].dataType))

@@ -21,8 +21,10 @@ from dwellkit.llm.store import numbered, stored
 from dwellkit.llm.text import pieces
 
 THRESHOLD = 2
-#: Shorter lines are left as they are: two edits would make many of them the same.
+#: Shorter lines have a smaller threshold: two edits would make many of them the same.
 MIN_CHARS = 32
+#: Lines of so many characters up to ``MIN_CHARS`` may differ by one edit; below that, copies alone count.
+SHORT_CHARS = 16
 #: Lists of removed lines go to all tasks up to so many, so that texts need not move to meet them.
 BROADCAST_ROWS = 200_000
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -59,12 +61,20 @@ def probes(length: int, indexed: int, threshold: int) -> Iterator[tuple[int, int
             yield i, start, size
 
 
-def keys_of(line: str, threshold: int, min_chars: int) -> list[int]:
+def allowed(length: int, threshold: int, min_chars: int, short: bool) -> int:
+    """The edits by which a line of at least this length may differ from one of this length."""
+    if length >= min_chars:
+        return threshold
+    return min(1, threshold) if short and length >= min(SHORT_CHARS, min_chars) else 0
+
+
+def keys_of(line: str, threshold: int, min_chars: int, short: bool = False) -> list[int]:
     """Hashes of the line's own index entries and of those it looks for."""
     length = len(line)
     out = set()
-    for indexed in range(max(min_chars, length - threshold), length + 1):
-        for i, start, size in probes(length, indexed, threshold):
+    for indexed in range(max(SHORT_CHARS if short else min_chars, length - threshold), length + 1):
+        own = allowed(indexed, threshold, min_chars, short)
+        for i, start, size in probes(length, indexed, own) if length - indexed <= own else ():
             out.add(xxhash.xxh64_intdigest(line[start : start + size].encode(), indexed * (threshold + 1) + i))
     # Equal lengths probe their own segments too, so the index entries are among these.
     return [k - (1 << 64) if k >> 63 else k for k in out]
@@ -106,11 +116,12 @@ def within(a: str, b: str, threshold: int) -> bool:
     return bool(reach[-1] >> (len(b) - len(a) + threshold) & 1)
 
 
-def _verifier(threshold: int) -> Callable:
+def _verifier(threshold: int, min_chars: int, short: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
-            found = [i for i in range(len(a)) if within(x[i], y[i], threshold)]
+            most = [allowed(min(len(s), len(t)), threshold, min_chars, short) for s, t in zip(x, y)]
+            found = [i for i in range(len(a)) if within(x[i], y[i], most[i])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([c[i] for i in found], pa.int64()) for c in (a, b)], names=["a", "b"]
             )
@@ -142,12 +153,12 @@ def _lines(min_chars: int, with_text: bool) -> Callable:
     return run
 
 
-def _entries(threshold: int, min_chars: int) -> Callable:
+def _entries(threshold: int, min_chars: int, short: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, nodes, sizes = [], [], []
             for node, line in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
-                own = keys_of(line, threshold, min_chars)
+                own = keys_of(line, threshold, min_chars, short)
                 keys += own
                 nodes += [node] * len(own)
                 sizes += [len(line)] * len(own)
@@ -164,31 +175,34 @@ def repeated_lines(
     text_col: str = "text",
     threshold: int = THRESHOLD,
     min_chars: int = MIN_CHARS,
+    short: bool = False,
 ) -> DataFrame:
     """(key, line_no) of each line to remove.
 
     Lines of at least ``min_chars`` characters are linked where their edit distance is at
-    most ``threshold``; of the lines that links connect, the first stays: the one of the smallest
+    most ``threshold``. With ``short``, so are shorter ones that aren't blank, at the distance that
+    ``allowed`` gives the shorter of two. Of the lines that links connect, the first stays: the one of the smallest
     key, and the first in it. line_no counts lines from 0. Null and empty texts have no
     lines; null keys rank last; rows with one key are one after the other.
     """
+    least = 1 if short else min_chars
     texts = docs.select(F.col(key_col).alias("row_key"), F.col(text_col).alias("text"))
     key_type = texts.schema["row_key"].dataType.simpleString()
     places = numbered(
-        texts.mapInArrow(_lines(min_chars, False), f"row_key {key_type}, line_no long, digest binary"), "lines", "place"
+        texts.mapInArrow(_lines(least, False), f"row_key {key_type}, line_no long, digest binary"), "lines", "place"
     )
     distinct = numbered(
-        texts.mapInArrow(_lines(min_chars, True), "digest binary, text string")
+        texts.mapInArrow(_lines(least, True), "digest binary, text string")
         .groupBy("digest")
         .agg(F.first("text").alias("text")),
         "distinct-lines",
         "node",
     )
     entries = distinct.select("node", "text").mapInArrow(
-        _entries(threshold, min_chars), "key long, node long, size long"
+        _entries(threshold, min_chars, short), "key long, node long, size long"
     )
     compatible = f"abs(size_a - size_b) <= {threshold}"
-    labels = link(entries, distinct.select("node", "text"), _verifier(threshold), compatible)
+    labels = link(entries, distinct.select("node", "text"), _verifier(threshold, min_chars, short), compatible)
     rank = F.struct(F.col("row_key").isNull().alias("no_key"), "row_key", "place", "line_no")
     ranked = places.select("digest", rank.alias("rank"))
     firsts = ranked.groupBy("digest").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -214,6 +228,7 @@ def deduplicated(
     threshold: int = THRESHOLD,
     min_chars: int = MIN_CHARS,
     carry: str | None = None,
+    short: bool = False,
 ) -> DataFrame:
     """(id, text, n_lines, removed) for each row of docs: the text without repeated lines.
 
@@ -226,7 +241,7 @@ def deduplicated(
     # The key of a row is its id and, for rows that share one, its number in the stored table.
     rows = numbered(docs.select(*picked), "line-texts")
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id").alias("row_key")
-    gone = repeated_lines(rows.select(key, "text"), "row_key", "text", threshold, min_chars)
+    gone = repeated_lines(rows.select(key, "text"), "row_key", "text", threshold, min_chars, short)
     lists = gone.groupBy(F.col("row_key.row_id").alias("row_id")).agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
     lists = stored(lists, "removed-lines")
     size = lists.agg(F.count(F.lit(1)), F.sum(F.size("removed"))).first()

@@ -62,7 +62,7 @@ def _(spark, sf):
 @query("op2_line_edit_dedup")
 def _(spark, sf):
     """Per document: its lines, how many go, and the digest of the text that stays."""
-    out = line_edit.deduplicated(table(spark, sf, "documents"))
+    out = line_edit.deduplicated(table(spark, sf, "documents"), short=True)
     return out.select(
         "doc_id",
         "n_lines",

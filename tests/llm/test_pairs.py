@@ -197,3 +197,20 @@ def test_lines_equal_brute_force(spark):
         kept = text if not gone.get(i) else "\n".join(x for n, x in enumerate(lines) if n not in gone[i])
         want.append((str(doc), str(kept), len(lines) if text is not None else 0, sorted(gone.get(i, ()))))
     assert sorted((str(r.doc_id), str(r.text), r.n_lines, r.removed) for r in got) == sorted(want)
+
+
+def test_short_lines_have_a_threshold_of_their_length(spark):
+    a = "all rights reserved."
+    docs = [(1, f"{a}\nand ornd.\n\n{'x' * 31}"), (2, f"{a.upper()}\nand ornd.\n\n{'x' * 32}"), (3, f"{a[:-1]}!\nand orne.\n{a[1:]}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.removed for r in line_edit.deduplicated(df, short=True).collect()}
+    assert got == {1: [], 2: [0, 1, 3], 3: [0, 2]}  # "orne" is too short for an edit
+
+
+def test_registered_query_takes_short_lines_out(spark, tmp_path):
+    from dwellkit.llm.queries import QUERIES
+
+    docs = [(1, "and ornd.\nown"), (2, "and ornd.\nother")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.removed for r in QUERIES["op2_line_edit_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: "", 2: "0"}
