@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dwellkit.functions.columns import lookup
 from dwellkit.llm import (
     bpe_words,
+    centroids,
     chat_events,
     line_edit,
     minhash,
+    mixing,
     perplexity,
     repair,
     string_svm,
     unit_hash,
     url_cascade,
+    whitening,
     winnow,
 )
 from dwellkit.llm.store import stored
@@ -143,6 +148,51 @@ def _(spark, sf):
     return scores.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+@query("op11_weighted_whitening")
+def _(spark, sf):
+    """One row per vector and component; a deviation that no long holds is NULL there and whole in deviation_exact."""
+    out = whitening.whiten(table(spark, sf, "embeddings"), components=4)
+    return out.select(
+        "vec_id",
+        "n",
+        F.expr("try_cast(deviation AS bigint)").alias("deviation"),
+        F.col("deviation").alias("deviation_exact"),
+        "identity_error",
+        F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "y"),
+    ).select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        "n",
+        "deviation",
+        F.col("y.whitened").alias("whitened"),
+        F.col("y.explained").alias("explained"),
+        "identity_error",
+        "deviation_exact",
+    )
+
+
+@query("op12_bernoulli_mixing")
+def _(spark, sf):
+    rows = stored(mixing.sized(table(spark, sf, "documents")), "sizes")
+    plan = mixing.planned(rows, mixing.source_targets(rows))
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken)
+
+
+@query("op13_drift_clustering")
+def _(spark, sf):
+    assigned, centres = centroids.cluster(table(spark, sf, "embeddings"))
+    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centres.tolist()]
+    return centroids.with_inertia(assigned, len(centres)).select(
+        "vec_id",
+        "cluster",
+        "distance",
+        "cluster_inertia",
+        "inertia",
+        lookup(F.col("cluster"), digests or [""]).alias("centroid_sha256"),
+    )
+
+
 # SQL twins. Words are those of the operators; A-Z alone is lower-cased.
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -238,3 +288,74 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n
   sha256(coalesce(c.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN c USING (doc_id)
 """
+
+ORACLES["op12_bernoulli_mixing"] = """
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+    CAST(concat('0x', substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13))
+      AS BIGINT) / 4503599627370496.0::DOUBLE AS draw
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    CASE (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w
+  FROM d GROUP BY source
+), p AS (
+  SELECT *, row_number() OVER (ORDER BY source_size / w::DOUBLE, source) AS k,
+    (1.5::DOUBLE * sum(source_size) OVER () - 2.0::DOUBLE * coalesce(sum(source_size) OVER before, 0))
+      / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
+  FROM s
+  WINDOW before AS (ORDER BY source_size / w::DOUBLE, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (
+  SELECT arg_min(level, k) AS level FROM p WHERE 2.0::DOUBLE * source_size >= level * w
+), t AS (
+  SELECT source, source_size, least(2.0::DOUBLE * source_size, l.level * w) AS target FROM s, l
+), r AS (
+  SELECT doc_id, size, source_size, target, draw,
+    CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0::DOUBLE END AS rate
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r
+"""
+
+
+def _clustering_sql(clusters: int = 16, rounds: int = 3) -> str:
+    """Assignments to all centroids, in full each round."""
+
+    def assigned(i: int) -> str:
+        return f"""a{i} AS MATERIALIZED (
+  SELECT row, x, arg_min(c, (far, c)) AS cluster, min(far) AS distance FROM (
+    SELECT v.row, v.x, m.c,
+      CAST(list_sum(list_transform(range(1, 65), lambda k: (v.x[k] - m.x[k]) * (v.x[k] - m.x[k]))) AS BIGINT) AS far
+    FROM v, m{i} m) GROUP BY row, x)"""
+
+    def moved(i: int) -> str:
+        return f"""s{i} AS (
+  SELECT cluster AS c, k, (t - (t % n + n) % n) // n AS mean FROM (
+    SELECT cluster, k, sum(x[k])::HUGEINT AS t, count(*)::HUGEINT AS n
+    FROM a{i - 1}, (SELECT unnest(range(1, 65)) AS k) GROUP BY cluster, k)),
+m{i} AS MATERIALIZED (
+  SELECT o.c, coalesce(n.x, o.x) AS x FROM m{i - 1} o
+  LEFT JOIN (SELECT c, list(CAST(mean AS BIGINT) ORDER BY k) AS x FROM s{i} GROUP BY c) n ON n.c = o.c)"""
+
+    steps = ", ".join(f"{assigned(i)}, {moved(i + 1)}" for i in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id,
+    [CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding] AS x
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len([c FOR c IN embedding IF c IS NOT NULL AND isfinite(c)]) = 64
+), m0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h, x) - 1 AS INTEGER) AS c, x
+  FROM (SELECT x, sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM v) ORDER BY h, x LIMIT {clusters}
+), {steps}, {assigned(rounds)}
+SELECT v.vec_id, a.cluster, a.distance,
+  CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (row) JOIN m{rounds} m ON m.c = a.cluster
+"""
+
+
+ORACLES["op13_drift_clustering"] = _clustering_sql()
