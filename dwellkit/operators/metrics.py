@@ -17,9 +17,12 @@ THRESHOLDS = [0.3, 0.4, 0.5, 0.6, 0.7]
 def confusion(df: DataFrame, n_classes: int, label: str = "label", pred: str = "pred") -> DataFrame:
     """(label, pred, n) for all k x k cells, zeros included, and for any other label or
     prediction that occurs. Rows without a label or a prediction don't count. The empty
-    cells are generated and added as rows, so the counts need no join."""
+    cells are generated and added as rows, so the counts need no join. Rows are sorted out
+    by their count: a filter on the prediction would be pushed below the count and repeat
+    the expression that makes it."""
+    both = F.col(label).isNotNull() & F.col(pred).isNotNull()
     counts = df.groupBy(F.col(label).cast("int").alias("label"), F.col(pred).cast("int").alias("pred")).agg(
-        F.count(F.lit(1)).alias("n")
+        F.count_if(both).alias("n")
     )
     spine = df.sparkSession.range(n_classes * n_classes).select(
         F.floor(F.col("id") / n_classes).cast("int").alias("label"),
@@ -27,7 +30,7 @@ def confusion(df: DataFrame, n_classes: int, label: str = "label", pred: str = "
         F.lit(0).cast("long").alias("n"),
     )
     return (
-        counts.filter(F.col("label").isNotNull() & F.col("pred").isNotNull())
+        counts.filter(F.col("n") > 0)
         .unionByName(spine)
         .groupBy("label", "pred")
         .agg(F.sum("n").alias("n"))

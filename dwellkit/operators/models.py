@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellkit.functions.columns import argmax
+from dwellkit.operators.bayes import BayesClassifier
 from dwellkit.operators.metrics import macro_metrics
 from dwellkit.operators.prefix import hash_key, number_by_hash
 from dwellkit.operators.sampling import EVENT_ID
@@ -77,6 +78,10 @@ class EventClassifier:
     scaler: DataFrame | None = None
     sequence: bool = False
 
+    @property
+    def sequence_columns(self) -> list[str]:
+        return ["states"] if self.sequence else []
+
     def prepare(self, events: DataFrame) -> DataFrame:
         out = apply_standard(events, self.scaler, self.features, "_in") if self.scaler is not None else events
         if self.scaler is None:
@@ -117,7 +122,8 @@ def train_event_classifier(
     seed: int = 42,
 ) -> EventClassifier:
     """Class of an event from its features and, with ``sequence``, from the counts of
-    short state patterns in a bounded ``states`` column (``bounded_states``)."""
+    short state patterns in a ``states`` column that holds whole sequences; for events of
+    any length, ``bayes.fit`` reads the patterns from run-length rows instead."""
     features = list(features)
     scaler = fit_standard(train, features) if scale else None
     untrained = EventClassifier(None, features, scaler, sequence)
@@ -138,7 +144,7 @@ def train_event_classifier(
 
 
 def permutation_importance(
-    classifier: EventClassifier, events: DataFrame, seed: str = "importance", ids: Sequence[str] = EVENT_ID
+    classifier: EventClassifier | BayesClassifier, events: DataFrame, seed: str = "importance", ids: Sequence[str] = EVENT_ID
 ) -> DataFrame:
     """(feature, baseline_f1, shuffled_f1, importance): loss of macro F1 when one
     feature is shuffled over all events.
@@ -149,7 +155,7 @@ def permutation_importance(
     """
     names = classifier.features
     packed = F.array(*[F.col(f).cast("double") for f in names])
-    extra = ["states"] if classifier.sequence else []
+    extra = classifier.sequence_columns
     rows = events.select(*ids, "label", *extra, packed.alias("own"))
     targets = number_by_hash(rows.withColumn("draw", hash_key(*ids, seed=f"{seed}-to")), "draw", ids, "place")
     givers = number_by_hash(

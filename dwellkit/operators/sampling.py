@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellkit.functions.columns import lookup, one_hot, pad
-from dwellkit.operators.prefix import hash_key, mark_first_by_hash, number_by_hash
+from dwellkit.operators.prefix import before, hash_chunk, hash_key, join_totals, mark_first_by_hash, number_by_hash
 from dwellkit.operators.segment import bounded_states
 
 EVENT_ID = ("record_id", "event_id")
@@ -79,6 +79,43 @@ def stratified_split(
     return _marked(events, quota, n_classes, "label", seed, ids, "is_test")
 
 
+def group_split(
+    events: DataFrame,
+    group: str = "record_id",
+    test_fraction: float = 0.2,
+    seed: str = "42",
+    label: str | None = "label",
+    ids: Sequence[str] = EVENT_ID,
+) -> DataFrame:
+    """Adds ``is_test`` with no group on both sides.
+
+    In every class, groups in hash order are test groups until round(n * fraction) rows are
+    reached, so a class's test rows exceed that by less than one group. A group with rows of
+    two classes counts as two; with ``label=None`` all rows are one class. Rows without a
+    group or class are no test rows. Only groups are numbered, one row each; the hash
+    spreads them, and totals are carried between its parts.
+    """
+    by = [label] if label else []
+    sizes = events.groupBy(group, *by).agg(F.count(F.lit(1)).alias("n_events"))
+    cut = sizes.withColumn("draw", hash_key(group, seed=seed)).withColumn("hash_part", hash_chunk(F.col("draw")))
+    parts = cut.groupBy(*by, "hash_part").agg(F.sum("n_events").alias("n_part"))
+    carried = parts.select(
+        *by,
+        "hash_part",
+        before(F.col("n_part"), by, "hash_part").alias("n_before"),
+        F.round(F.sum("n_part").over(Window.partitionBy(*by)) * F.lit(float(test_fraction))).alias("quota_events"),
+    )
+    earlier = Window.partitionBy(*by, "hash_part").orderBy("draw", group).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = F.col("n_before") + F.coalesce(F.sum("n_events").over(earlier), F.lit(0))
+    sides = (
+        cut.join(carried, [*by, "hash_part"])
+        .withColumn("is_test", so_far < F.col("quota_events"))
+        .select(group, *by, "n_events", "is_test")
+    )
+    marked = join_totals(events, sides, [group, *by], "n_events", hash_key(*ids), "left")
+    return marked.withColumn("is_test", F.coalesce("is_test", F.lit(False)))
+
+
 def validation_split(
     train: DataFrame, fraction: float = 0.2, seed: str = "val", ids: Sequence[str] = EVENT_ID
 ) -> DataFrame:

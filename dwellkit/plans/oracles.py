@@ -110,19 +110,45 @@ def feature_list(names) -> str:
 BASE = f"WITH {SIG}, {RUNS}"
 EVENTS = f"{BASE}, {FEATURES}"
 
-SCORES = f"""centroids AS (
-  SELECT label AS class, i, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS m
-  FROM embeddings, (SELECT unnest(range(1, {DIMENSIONS + 1})) AS i) GROUP BY ALL),
-away AS (
-  SELECT vec_id AS id, label, class, sqrt(sum((CAST(embedding[i] AS DOUBLE) - m) ** 2 ORDER BY i)) AS far
-  FROM embeddings, centroids GROUP BY ALL),
-scores AS (
-  SELECT id, label, [w / list_sum(weights) FOR w IN weights] AS probs
-  FROM (SELECT id, label, list(exp(-far) ORDER BY class) AS weights FROM away GROUP BY id, label)),
+# Linear discriminant, each half of the vectors by the fit of the other one: pooled covariance
+# plus its mean variance on the diagonal, next to the class means, eliminated row by row.
+SCORES = f"""comp AS (
+  SELECT vec_id AS id, label, CAST(vec_id % 2 AS INTEGER) AS fold, unnest(range(1, {DIMENSIONS + 1})) AS i,
+         CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+mu AS (SELECT 1 - fold AS fit, label AS class, i, avg(x) AS m, count(*) AS n FROM comp GROUP BY ALL),
+prior AS (SELECT fit, class, n, n / sum(n) OVER (PARTITION BY fit)::DOUBLE AS p FROM mu WHERE i = 1),
+gram AS (SELECT 1 - a.fold AS fit, a.i, b.i AS j, sum(a.x * b.x) AS s FROM comp a JOIN comp b ON a.id = b.id GROUP BY ALL),
+between AS (SELECT a.fit, a.i, b.i AS j, sum(a.n * a.m * b.m) AS s FROM mu a JOIN mu b ON a.fit = b.fit AND a.class = b.class
+            GROUP BY ALL),
+within AS (SELECT g.fit, g.i, g.j, (g.s - b.s) / (SELECT sum(n) FROM prior p WHERE p.fit = g.fit) AS s
+           FROM gram g JOIN between b ON b.fit = g.fit AND b.i = g.i AND b.j = g.j),
+solid AS (SELECT fit, i, j, s + CASE WHEN i = j THEN sum(CASE WHEN i = j THEN s END) OVER (PARTITION BY fit) / {DIMENSIONS}
+                                     ELSE 0 END AS s FROM within),
+beside AS (SELECT fit, i, j, s FROM solid UNION ALL SELECT fit, i, {DIMENSIONS} + 1 + class, m FROM mu),
+start AS (SELECT fit, list(r ORDER BY i) AS m FROM (SELECT fit, i, list(s ORDER BY j) AS r FROM beside GROUP BY fit, i)
+          GROUP BY fit),
+steps AS (
+  SELECT fit, 1 AS k, m FROM start
+  UNION ALL
+  SELECT fit, k + 1, list_transform(range(1, {DIMENSIONS + 1}), lambda i: CASE WHEN i = k THEN p
+      ELSE list_transform(range(1, {DIMENSIONS + SCORE_CLASSES + 1}), lambda j: m[i][j] - m[i][k] * p[j]) END)
+  FROM (SELECT fit, k, m, list_transform(m[k], lambda v: v / m[k][k]) AS p FROM steps WHERE k <= {DIMENSIONS})),
+weight AS (
+  SELECT fit, class, i, m[i][{DIMENSIONS} + 1 + class] AS w
+  FROM (SELECT fit, m FROM steps WHERE k = {DIMENSIONS + 1}), (SELECT unnest(range({SCORE_CLASSES})) AS class),
+       (SELECT unnest(range(1, {DIMENSIONS + 1})) AS i)),
+offs AS (SELECT fit, class, ln(any_value(p)) - 0.5 * sum(m * w) AS b
+         FROM weight JOIN mu USING (fit, class, i) JOIN prior USING (fit, class) GROUP BY fit, class),
+logs AS (SELECT id, label, class, sum(x * w) + any_value(b) AS s
+         FROM comp JOIN weight ON weight.fit = comp.fold AND weight.i = comp.i JOIN offs USING (fit, class) GROUP BY ALL),
+shares AS (SELECT id, label, class, exp(s - max(s) OVER (PARTITION BY id)) AS e FROM logs),
+scores AS (SELECT id, label, list(e / total ORDER BY class) AS probs
+           FROM (SELECT *, sum(e) OVER (PARTITION BY id) AS total FROM shares) GROUP BY id, label),
 preds AS (
   SELECT id, label, list_max(probs) AS top, CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS best
   FROM scores),
-gated AS (SELECT id, label, CASE WHEN top >= {d(CONFIDENCE)} THEN best END AS pred FROM preds)"""
+gated AS (SELECT id, label, CASE WHEN top >= {d(0.20)} THEN best END AS pred FROM preds)"""
+SCORES = "RECURSIVE " + SCORES
 
 CELLS = f"""ids AS (SELECT CAST(range AS INTEGER) AS i FROM range({SCORE_CLASSES})),
 cells AS (
@@ -141,6 +167,13 @@ per_class AS (
     CASE WHEN support + predicted > 0 THEN 2 * tp / (support + predicted) ELSE 0.0 END AS f1
   FROM sums)"""
 
+REPORT = """report AS (
+  SELECT CAST(label AS VARCHAR) AS label, precision, recall, f1, support FROM per_class
+  UNION ALL SELECT 'accuracy', NULL, NULL, sum(tp) / sum(support), CAST(sum(support) AS BIGINT) FROM per_class
+  UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM per_class
+  UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+    sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM per_class)"""
+
 BINARY_SCORES = """bs AS (
   SELECT event_id AS id, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS label,
          value / (SELECT max(value) FROM events) AS score FROM events)"""
@@ -180,11 +213,18 @@ patterns AS (SELECT stream, label, winner, CASE WHEN winner = label THEN 1 ELSE
 STRICT_RANK = "vc.n > own.n"
 VOTED_RANK = "vc.n > own.n OR (vc.n = own.n AND vc.pred < own.pred)"
 
-MIXED = f"""ids AS (SELECT CAST(range AS INTEGER) AS i FROM range({SCORE_CLASSES})),
+DRAWN = f"""drawn AS (
+  SELECT id, label FROM (
+    SELECT vec_id AS id, label,
+      row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || ':mix'), vec_id) AS rn FROM embeddings)
+  WHERE rn <= CASE label WHEN 0 THEN 30 WHEN 3 THEN 20 END),
+mine AS (SELECT * FROM gated WHERE id IN (SELECT id FROM drawn))"""
+
+MIXED = f"""{DRAWN}, ids AS (SELECT CAST(range AS INTEGER) AS i FROM range({SCORE_CLASSES})),
 mixed AS (
   SELECT i AS label,
-    (SELECT count(*) FROM gated WHERE label = i) / (SELECT count(*) FROM gated)::DOUBLE AS actual,
-    coalesce((SELECT count(*) FROM gated WHERE pred = i) / nullif((SELECT count(pred) FROM gated), 0)::DOUBLE, 0.0)
+    (SELECT count(*) FROM mine WHERE label = i) / (SELECT count(*) FROM mine)::DOUBLE AS actual,
+    coalesce((SELECT count(*) FROM mine WHERE pred = i) / nullif((SELECT count(pred) FROM mine), 0)::DOUBLE, 0.0)
       AS predicted
   FROM ids)"""
 
@@ -297,6 +337,138 @@ STATES = """seqs AS (
   FROM inside GROUP BY record_id, event_id HAVING count(*) > 5)"""
 L = PAD_LENGTH
 
+KINETIC = f"""{EVENTS}, {record_stats('mean')}, lab AS (
+  SELECT ev.* EXCLUDE (label), {" + ".join(f"CASE WHEN overall_probability_0 >= {d(x)} THEN 1 ELSE 0 END"
+                                             for x in (0.38, 0.44, 0.48, 0.52, 0.56, 0.62))} AS label
+  FROM ev JOIN rec USING (record_id)),
+groups AS (SELECT record_id, label, count(*) AS n, {drawn("record_id", "42")} AS h FROM lab GROUP BY record_id, label),
+halves AS (
+  SELECT record_id, label, coalesce(sum(n) OVER (PARTITION BY label ORDER BY h, record_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+    < round(sum(n) OVER (PARTITION BY label) * {d(0.2)}) AS is_test FROM groups),
+kin AS (SELECT lab.*, is_test FROM lab JOIN halves USING (record_id, label))"""
+
+PATTERNS = """following AS (
+  SELECT record_id, event_id, CAST(state AS VARCHAR) AS a, CAST(lead(state, 1) OVER w AS VARCHAR) AS b,
+         CAST(lead(state, 2) OVER w AS VARCHAR) AS c
+  FROM inside WINDOW w AS (PARTITION BY record_id, event_id ORDER BY sample_idx)),
+pats AS (
+  SELECT record_id, event_id, pattern, count(*) AS n FROM (
+    SELECT record_id, event_id, a AS pattern FROM following
+    UNION ALL SELECT record_id, event_id, a || ',' || b FROM following
+    UNION ALL SELECT record_id, event_id, a || ',' || b || ',' || c FROM following)
+  WHERE pattern IS NOT NULL GROUP BY ALL)"""
+
+# Training rows with the last fifth, in hash order, for validation.
+VALIDATED = f"""train AS (
+  SELECT *, rn > floor(n_train * {d(0.8)}) AS is_validation FROM (
+    SELECT *, count(*) OVER () AS n_train,
+      row_number() OVER (ORDER BY {drawn("record_id, event_id", "val")}, record_id, event_id) AS rn FROM kin WHERE NOT is_test))"""
+
+
+def tall(name: str, rows: str, names) -> str:
+    """One row per event and feature."""
+    return f"{name} AS (" + " UNION ALL ".join(
+        f"SELECT record_id, event_id, label, '{f}' AS f, CAST({f} AS DOUBLE) AS x FROM ({rows})" for f in names
+    ) + ")"
+
+
+def bayes(name: str, train: str, scored: str, names, sequence: bool) -> str:
+    """Log scores ``<name>_log(record_id, event_id, label, cls, s)`` and ``<name>_pred``."""
+    parts = [
+        f"{name}_prior AS (SELECT label AS cls, ln(count(*) / (SELECT count(*) FROM ({train}))::DOUBLE) AS p FROM ({train}) GROUP BY label)"
+    ]
+    sums = []
+    if names:
+        parts += [
+            tall(f"{name}_tall", train, names),
+            f"""{name}_all AS (SELECT f, var_pop(x) AS v FROM {name}_tall GROUP BY f),
+{name}_moments AS (
+  SELECT label AS cls, t.f, avg(x) AS mean, var_pop(x) + {d(0.01)} * any_value(a.v) + {d(1e-9)} AS v
+  FROM {name}_tall t JOIN {name}_all a ON a.f = t.f GROUP BY label, t.f)""",
+            tall(f"{name}_rows", scored, names),
+            f"""{name}_features AS (
+  SELECT record_id, event_id, cls, sum(-0.5 * ln(2 * pi() * v) - (x - mean) * (x - mean) / (2 * v)) AS s
+  FROM {name}_rows r JOIN {name}_moments m ON m.f = r.f GROUP BY record_id, event_id, cls)""",
+        ]
+        sums.append(f"SELECT * FROM {name}_features")
+    if sequence:
+        parts.append(f"""{name}_totals AS (
+  SELECT label AS cls, pattern, sum(n) AS t FROM ({train}) JOIN pats USING (record_id, event_id)
+  WHERE pattern LIKE '%,%' GROUP BY ALL),
+{name}_share AS (
+  SELECT cls, pattern, ln((t + 1) / (sum(t) OVER w + count(*) OVER w)::DOUBLE) AS p FROM (
+    SELECT c.cls, v.pattern, coalesce(t, 0) AS t FROM {name}_prior c
+    CROSS JOIN (SELECT DISTINCT pattern FROM {name}_totals) v
+    LEFT JOIN {name}_totals s ON s.cls = c.cls AND s.pattern = v.pattern)
+  WINDOW w AS (PARTITION BY cls, len(pattern))),
+{name}_patterns AS (
+  SELECT record_id, event_id, cls, sum(n * p) AS s FROM ({scored}) JOIN pats USING (record_id, event_id)
+  JOIN {name}_share USING (pattern) GROUP BY record_id, event_id, cls)""")
+        sums.append(f"SELECT * FROM {name}_patterns")
+    parts.append(f"""{name}_log AS (
+  SELECT e.record_id, e.event_id, e.label, q.cls, any_value(q.p) + coalesce(sum(u.s), 0) AS s
+  FROM ({scored}) e CROSS JOIN {name}_prior q
+  LEFT JOIN ({" UNION ALL ".join(sums)}) u ON u.record_id = e.record_id AND u.event_id = e.event_id AND u.cls = q.cls
+  GROUP BY e.record_id, e.event_id, e.label, q.cls),
+{name}_pred AS (
+  SELECT record_id, event_id, label, arg_min(cls, (-s, cls)) AS best FROM {name}_log GROUP BY record_id, event_id, label)""")
+    return ", ".join(parts)
+
+
+CANDIDATES = {"features": (FEATURES_12, False), "patterns": ([], True), "both": (FEATURES_12, True)}
+FITTED = "SELECT * FROM train WHERE NOT is_validation"
+SELECTION = f"{KINETIC}, {PATTERNS}, {VALIDATED}, " + ", ".join(
+    bayes(f"v_{c}", FITTED, "SELECT * FROM train WHERE is_validation", *how) for c, how in CANDIDATES.items()
+) + ", judged AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS place, '{c}' AS candidate, label, best FROM v_{c}_pred" for i, c in enumerate(CANDIDATES)
+) + """),
+hits AS (
+  SELECT place, candidate, cls, sum(support) AS support, sum(predicted) AS predicted, sum(tp) AS tp FROM (
+    SELECT place, candidate, label AS cls, 1 AS support, 0 AS predicted, CASE WHEN label = best THEN 1 ELSE 0 END AS tp FROM judged
+    UNION ALL SELECT place, candidate, best, 0, 1, 0 FROM judged) GROUP BY ALL),
+macro AS (SELECT place, candidate, avg(2 * tp / (support + predicted)::DOUBLE) AS macro_f1 FROM hits GROUP BY ALL),
+chosen AS (SELECT candidate FROM macro ORDER BY macro_f1 DESC, place LIMIT 1)"""
+
+
+def class_cells(preds: str, k: int) -> str:
+    return f"""ids AS (SELECT CAST(range AS INTEGER) AS i FROM range({k})),
+cells AS (SELECT a.i AS label, b.i AS pred, count(p.best) AS n
+  FROM ids a CROSS JOIN ids b LEFT JOIN ({preds}) p ON p.label = a.i AND p.best = b.i GROUP BY a.i, b.i)"""
+
+
+TEST = "SELECT * FROM kin WHERE is_test"
+NOT_TEST = "SELECT * FROM kin WHERE NOT is_test"
+
+NOISY = f"""WITH raw AS (
+  SELECT l_suppkey AS record_id,
+         row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey,
+                            l_extendedprice) - 1 AS sample_idx,
+         l_quantity + (l_discount + l_tax) * {d(100.0)} AS current,
+         CASE WHEN l_quantity <= 20 THEN 0 WHEN l_quantity <= 40 THEN 1 ELSE 2 END AS state
+  FROM lineitem),
+span AS (SELECT record_id, min(current) AS lo, max(current) AS hi, count(*) AS n, {drawn("record_id", "42")} AS h
+         FROM raw GROUP BY record_id),
+held AS (
+  SELECT *, coalesce(sum(n) OVER (ORDER BY h, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+            < round(sum(n) OVER () * {d(0.2)}) AS is_test FROM span),
+binned AS (
+  SELECT raw.*, is_test, CAST(greatest(least(floor(CASE WHEN hi > lo THEN (current - lo) / (hi - lo) ELSE 0.0 END
+      * {d(64.0)}), 63), 0) AS INTEGER) AS bin
+  FROM raw JOIN held USING (record_id))"""
+
+
+def state_model(truth: str, k: int) -> str:
+    return f"""{NOISY}, known AS (SELECT *, {truth} AS label FROM binned),
+totals AS (SELECT CAST(range AS INTEGER) AS label, (SELECT count(*) FROM known WHERE label = range AND NOT is_test) AS t FROM range({k})),
+joint AS (
+  SELECT label, b.bin, t * ((SELECT count(*) FROM known k WHERE k.label = totals.label AND k.bin = b.bin AND NOT is_test)
+      + {d(1.0)}) / (t + {d(64.0)}) AS p
+  FROM totals, (SELECT CAST(range AS INTEGER) AS bin FROM range(64)) b),
+posterior AS (SELECT bin, list(p / total ORDER BY label) AS probs, CAST(list_position(list(p ORDER BY label), max(p)) - 1 AS INTEGER) AS best
+  FROM (SELECT *, sum(p) OVER (PARTITION BY bin) AS total FROM joint) GROUP BY bin),
+scored AS (SELECT known.*, probs, best FROM known JOIN posterior USING (bin) WHERE is_test)"""
+
 ORACLES: dict[str, str] = {
     "signal_time_window": f"""WITH {SIG} SELECT record_id, sample_idx, state, {r6("time", "current")} FROM sig
 WHERE time BETWEEN {d(WINDOW[0])} AND {d(WINDOW[1])}""",
@@ -361,11 +533,11 @@ SELECT record_id, event_id, {feature_list(FEATURES_20)} FROM ev JOIN rec USING (
     "downsample_by_class": f"""{EVENTS}, {ranked('label', '42')}
 SELECT record_id, event_id, label FROM ranked WHERE rn <= floor(n * {FRACTION_CASE})""",
     "stratified_split": f"{SPLIT} SELECT record_id, event_id, label, is_test FROM split",
-    "validation_split": f"""{EVENTS}, {ranked('', 'val')}
-SELECT record_id, event_id, rn > floor(n * {d(1.0 - 0.2)}) AS is_validation FROM ranked""",
-    "mixture_sample": f"""WITH {SCORES}, ranked AS (
-  SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {drawn("id", "mix")}, id) AS rn FROM scores)
-SELECT id, label FROM ranked WHERE rn <= {MIXTURE_CASE}""",
+    "validation_split": f"""{SPLIT}, later AS (
+  SELECT record_id, event_id, count(*) OVER () AS n,
+    row_number() OVER (ORDER BY {drawn("record_id, event_id", "val")}, record_id, event_id) AS rn FROM split WHERE NOT is_test)
+SELECT record_id, event_id, rn > floor(n * {d(0.8)}) AS is_validation FROM later""",
+    "mixture_sample": f"WITH gated AS (SELECT vec_id AS id FROM embeddings), {DRAWN} SELECT id, label FROM drawn",
     "shuffled_events": f"{EVENTS} SELECT record_id, event_id, label FROM ev",
     "shuffle_column": f"""{EVENTS}, t AS (
   SELECT record_id, event_id,
@@ -406,12 +578,7 @@ SELECT record_id, event_id, array_to_string(
     "confusion_matrix_wide": f"WITH {SCORES}, {CELLS} SELECT label, " + ", ".join(
         f"CAST(sum(CASE WHEN pred = {j} THEN n ELSE 0 END) AS BIGINT) AS pred_{j}" for j in range(SCORE_CLASSES)
     ) + " FROM cells GROUP BY label",
-    "classification_report": f"""WITH {SCORES}, {CELLS}, {PER_CLASS}, report AS (
-  SELECT CAST(label AS VARCHAR) AS label, precision, recall, f1, support FROM per_class
-  UNION ALL SELECT 'accuracy', NULL, NULL, sum(tp) / sum(support), CAST(sum(support) AS BIGINT) FROM per_class
-  UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM per_class
-  UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
-    sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM per_class)
+    "classification_report": f"""WITH {SCORES}, {CELLS}, {PER_CLASS}, {REPORT}
 SELECT label, support, {r6("precision", "recall", "f1")} FROM report""",
     "macro_metrics": f"""WITH {SCORES}, {CELLS}, {PER_CLASS}, m AS (
   SELECT sum(tp) / sum(support) AS accuracy, avg(precision) AS macro_precision, avg(recall) AS macro_recall,
@@ -516,3 +683,73 @@ p AS (SELECT label, n0 / n AS probability_0, (n - n0) / n AS probability_1 FROM
 SELECT label, {r6("probability_0", "probability_1")} FROM p""",
 }
 ORACLES["stream_segment_events"] = ORACLES["event_features"]
+ORACLES |= {
+    "event_patterns": f"""{EVENTS}, {PATTERNS} SELECT record_id, event_id, event_duration, pattern, n
+FROM pats JOIN ev USING (record_id, event_id)""",
+    "group_split": f"{KINETIC} SELECT record_id, event_id, label, is_test FROM kin",
+    "event_model_selection": f"{SELECTION} SELECT candidate, {r6('macro_f1')} FROM macro",
+    "train_event_classifier": f"{SELECTION}, "
+    + ", ".join(bayes(f"t_{c}", FITTED, TEST, *how) for c, how in CANDIDATES.items())
+    + ", told AS ("
+    + " UNION ALL ".join(
+        f"SELECT label, best FROM t_{c}_pred WHERE (SELECT candidate FROM chosen) = '{c}'" for c in CANDIDATES
+    )
+    + f"""), {class_cells("SELECT * FROM told", 7)}, {PER_CLASS}, {REPORT}
+SELECT label, support, {r6("precision", "recall", "f1")} FROM report""",
+    "event_probabilities": f"""{KINETIC}, {PATTERNS}, {bayes("b", NOT_TEST, TEST, FEATURES_12, True)},
+every AS (SELECT p.record_id, p.event_id, CAST(best AS INTEGER) AS pred, c.cls FROM b_pred p
+          CROSS JOIN (SELECT CAST(range AS INTEGER) AS cls FROM range(7)) c),
+e AS (SELECT every.*, coalesce(exp(s - max(s) OVER (PARTITION BY record_id, event_id)), 0.0) AS w
+      FROM every LEFT JOIN b_log USING (record_id, event_id, cls))
+SELECT record_id, event_id, pred, cls AS class, round(w / sum(w) OVER (PARTITION BY record_id, event_id), 4) + 0.0 AS prob FROM e""",
+    "stream_votes": f"""{KINETIC}, {bayes("b", NOT_TEST, TEST, FEATURES_12, False)},
+ids AS (SELECT CAST(range AS INTEGER) AS i FROM range(7)),
+streams AS (SELECT DISTINCT record_id, label FROM b_pred),
+vc AS (SELECT s.record_id, s.label, i AS pred, count(p.best) AS n FROM streams s CROSS JOIN ids
+       LEFT JOIN b_pred p ON p.record_id = s.record_id AND p.best = i GROUP BY s.record_id, s.label, i),
+tot AS (SELECT record_id, label, CAST(sum(n) AS BIGINT) AS total_votes, max(n) AS top, arg_min(pred, (-n, pred)) AS winner,
+               max(CASE WHEN pred = label THEN n END) AS own FROM vc GROUP BY record_id, label),
+out AS (SELECT t.*, CASE WHEN winner = label THEN 1 ELSE 0 END AS top1, top / total_votes::DOUBLE AS confidence,
+    (SELECT sum(CASE WHEN n > 0 THEN -(n / total_votes::DOUBLE) * log2(n / total_votes::DOUBLE) ELSE 0.0 END)
+     FROM vc WHERE vc.record_id = t.record_id) AS entropy,
+    (SELECT CAST(count(*) + 1 AS INTEGER) FROM vc WHERE vc.record_id = t.record_id AND n > t.own) AS rank FROM tot t)
+SELECT record_id, label, winner, top1, rank, total_votes, {r6("confidence", "entropy")} FROM out""",
+    "permutation_importance": f"""{KINETIC}, {bayes("b", NOT_TEST, TEST, FEATURES_13, False)},
+takers AS (SELECT record_id, event_id, row_number() OVER (ORDER BY {drawn("record_id, event_id", "importance-to")}, record_id, event_id) AS place
+           FROM ({TEST})),
+givers AS (SELECT record_id AS r, event_id AS e, row_number() OVER (ORDER BY {drawn("record_id, event_id", "importance-from")}, record_id, event_id)
+           AS place FROM ({TEST})),
+terms AS (
+  SELECT o.record_id, o.event_id, o.label, m.cls, o.f,
+    -0.5 * ln(2 * pi() * v) - (o.x - mean) * (o.x - mean) / (2 * v) AS own,
+    -0.5 * ln(2 * pi() * v) - (g.x - mean) * (g.x - mean) / (2 * v) AS given
+  FROM b_rows o JOIN takers t USING (record_id, event_id) JOIN givers USING (place)
+  JOIN b_rows g ON g.record_id = givers.r AND g.event_id = givers.e AND g.f = o.f
+  JOIN b_moments m ON m.f = o.f),
+slots AS (SELECT unnest([{", ".join(f"'{f}'" for f in ("", *FEATURES_13))}]) AS slot),
+best AS (
+  SELECT slot, record_id, event_id, label, arg_min(cls, (-s, cls)) AS best FROM (
+    SELECT slot, record_id, event_id, label, cls, any_value(q.p) + sum(CASE WHEN f = slot THEN given ELSE own END) AS s
+    FROM terms CROSS JOIN slots JOIN b_prior q USING (cls) GROUP BY slot, record_id, event_id, label, cls)
+  GROUP BY slot, record_id, event_id, label),
+hits AS (
+  SELECT slot, cls, sum(support) AS support, sum(predicted) AS predicted, sum(tp) AS tp FROM (
+    SELECT slot, label AS cls, 1 AS support, 0 AS predicted, CASE WHEN label = best THEN 1 ELSE 0 END AS tp FROM best
+    UNION ALL SELECT slot, best, 0, 1, 0 FROM best) GROUP BY ALL),
+f1 AS (SELECT slot, avg(2 * tp / (support + predicted)::DOUBLE) AS f1 FROM hits GROUP BY slot),
+out AS (SELECT slot AS feature, (SELECT f1 FROM f1 WHERE slot = '') AS baseline_f1, f1 AS shuffled_f1,
+               (SELECT f1 FROM f1 WHERE slot = '') - f1 AS importance FROM f1 WHERE slot <> '')
+SELECT feature, {r6("baseline_f1", "shuffled_f1", "importance")} FROM out""",
+    "train_state_classifier": f"""{state_model("state", 3)}, {class_cells("SELECT label, best FROM scored", 3)}
+SELECT label, pred, n FROM cells""",
+    "train_state_classifier_binary": f"""{state_model("CASE WHEN state > 0 THEN 1 ELSE 0 END", 2)},
+t AS (SELECT unnest([{", ".join(d(t) for t in (0.3, 0.4, 0.5, 0.6, 0.7))}]) AS threshold),
+c AS (SELECT threshold, count(*) FILTER (WHERE label = 1 AND probs[2] > threshold) AS tp,
+        count(*) FILTER (WHERE label = 0 AND probs[2] > threshold) AS fp,
+        count(*) FILTER (WHERE label = 0 AND probs[2] <= threshold) AS tn,
+        count(*) FILTER (WHERE label = 1 AND probs[2] <= threshold) AS fn FROM scored CROSS JOIN t GROUP BY threshold),
+m AS (SELECT *, {RATES} FROM c)
+SELECT tp, fp, tn, fn, {r6("threshold", *RATE_NAMES)} FROM m""",
+    "predicted_states_to_events": f"""{state_model("state", 3)}, sig AS (SELECT record_id, sample_idx, best AS state FROM scored),
+{RUNS}, {FEATURES} SELECT record_id, event_id, {feature_list(FEATURES_13)} FROM ev""",
+}

@@ -8,17 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellkit.operators import (
+    bayes,
     features,
+    histogram,
     kinetics,
     metrics,
     models,
     overlap,
+    patterns,
     sampling,
     scaling,
     segment,
     signal,
     votes,
 )
+from dwellkit.operators.sampling import EVENT_ID
 from dwellkit.session import shared_dir
 from dwellkit.sources import tables
 from dwellkit.sources.tables import CLASS_NAMES, SCORE_CLASSES
@@ -91,6 +95,13 @@ def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return votes.gate(tables.scores_from_embeddings(spark, sf_dir), CONFIDENCE, names=SCORE_NAMES)
 
 
+def gated_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample drawn by the mixture's spec, then scored and gated."""
+    vectors = tables.labelled_vectors(spark, sf_dir)
+    drawn = sampling.mixture_sample(vectors, MIXTURE, MIXTURE_TOTAL, ids=["id"])
+    return votes.gate(tables.class_scores(drawn, vectors), CONFIDENCE, names=SCORE_NAMES)
+
+
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return votes.predict(tables.scores_from_embeddings(spark, sf_dir))
 
@@ -236,13 +247,15 @@ def _(spark, sf):
 
 @query("validation_split")
 def _(spark, sf):
-    return sampling.validation_split(event_set(spark, sf)).select("record_id", "event_id", "is_validation")
+    """The validation rows lie inside the training rows."""
+    train = sampling.stratified_split(event_set(spark, sf), n_classes=N_CLASSES).filter(~F.col("is_test"))
+    return sampling.validation_split(train).select("record_id", "event_id", "is_validation")
 
 
 @query("mixture_sample")
 def _(spark, sf):
-    scores = tables.scores_from_embeddings(spark, sf)
-    return sampling.mixture_sample(scores, MIXTURE, MIXTURE_TOTAL, ids=["id"]).select("id", "label")
+    vectors = tables.labelled_vectors(spark, sf)
+    return sampling.mixture_sample(vectors, MIXTURE, MIXTURE_TOTAL, ids=["id"]).select("id", "label")
 
 
 @query("shuffled_events")
@@ -406,22 +419,22 @@ def _(spark, sf):
 
 @query("mixture_fractions")
 def _(spark, sf):
-    return rounded(votes.mixture_fractions(gated(spark, sf), SCORE_CLASSES))
+    return rounded(votes.mixture_fractions(gated_mixture(spark, sf), SCORE_CLASSES))
 
 
 @query("mixture_error")
 def _(spark, sf):
-    return rounded(votes.mixture_error(votes.mixture_fractions(gated(spark, sf), SCORE_CLASSES)))
+    return rounded(votes.mixture_error(votes.mixture_fractions(gated_mixture(spark, sf), SCORE_CLASSES)))
 
 
 @query("mixture_error_union")
 def _(spark, sf):
-    return rounded(votes.mixture_error(votes.mixture_fractions(gated(spark, sf), SCORE_CLASSES), over="union"))
+    return rounded(votes.mixture_error(votes.mixture_fractions(gated_mixture(spark, sf), SCORE_CLASSES), over="union"))
 
 
 @query("mixture_compare")
 def _(spark, sf):
-    mixed = votes.mixture_fractions(gated(spark, sf), SCORE_CLASSES)
+    mixed = votes.mixture_fractions(gated_mixture(spark, sf), SCORE_CLASSES)
     return rounded(votes.mixture_compare(mixed, MIXTURE_NAMES, SCORE_NAMES))
 
 
@@ -526,72 +539,115 @@ def _(spark, sf):
 # Models and streams
 
 
+SAMPLE_ID = ["record_id", "sample_idx"]
+
+
+def _split_samples(spark, sf):
+    """Noisy currents scaled within their recordings, whole recordings held out."""
+    scaled = signal.minmax_scaled(tables.signal_from_lineitem(spark, sf, noisy=True))
+    return stored(sampling.group_split(scaled, label=None, ids=SAMPLE_ID), "states")
+
+
 @query("train_state_classifier")
 def _(spark, sf):
-    """Three-state classifier; confusion cells of the held-out samples."""
-    scaled = signal.minmax_scaled(tables.signal_from_lineitem(spark, sf)).withColumn("label", F.col("state"))
-    ids = ["record_id", "sample_idx"]
-    split = stored(sampling.stratified_split(scaled, n_classes=3, ids=ids), "states")
-    model = models.train_state_classifier(split.filter(~F.col("is_test")), 3, family="tree")
-    return metrics.confusion(models.score_states(model, split.filter("is_test")), 3)
+    """Three-state classifier; confusion cells of the held-out recordings."""
+    split = _split_samples(spark, sf).withColumn("label", F.col("state"))
+    model = histogram.fit(split.filter(~F.col("is_test")), 3)
+    return metrics.confusion(model.score(split.filter("is_test")), 3)
 
 
 @query("train_state_classifier_binary")
 def _(spark, sf):
-    """Closed or open; metrics of the held-out samples at every threshold."""
-    scaled = signal.minmax_scaled(tables.signal_from_lineitem(spark, sf))
-    scaled = signal.recode_binary(scaled).withColumn("label", F.col("binary_state"))
-    ids = ["record_id", "sample_idx"]
-    split = stored(sampling.stratified_split(scaled, n_classes=2, ids=ids), "binary")
-    model = models.train_state_classifier(split.filter(~F.col("is_test")), 2)
-    scored = models.score_states(model, split.filter("is_test")).withColumn("score", F.col("probs")[1])
-    return metrics.threshold_sweep(scored)
+    """Closed or open; metrics of the held-out recordings at every threshold."""
+    split = signal.recode_binary(_split_samples(spark, sf)).withColumn("label", F.col("binary_state"))
+    model = histogram.fit(split.filter(~F.col("is_test")), 2)
+    scored = model.score(split.filter("is_test")).withColumn("score", F.col("probs")[1])
+    return rounded(metrics.threshold_sweep(scored))
 
 
 @query("predicted_states_to_events")
 def _(spark, sf):
-    """Both stages joined: predicted states are segmented into events with features."""
-    scaled = signal.minmax_scaled(tables.signal_from_lineitem(spark, sf)).withColumn("label", F.col("state"))
-    kept = stored(scaled, "scaled")
-    model = models.train_state_classifier(kept, 3, family="tree")
-    return features.event_features(models.as_signal(models.score_states(model, kept)))
+    """Both stages joined: states predicted in the held-out recordings are segmented into
+    events with features."""
+    split = _split_samples(spark, sf).withColumn("label", F.col("state"))
+    model = histogram.fit(split.filter(~F.col("is_test")), 3)
+    predicted = models.as_signal(model.score(split.filter("is_test")).drop("is_test"))
+    return rounded(features.event_features(predicted).select("record_id", "event_id", *features.FEATURES_13))
+
+
+def _split_events(spark, sf):
+    """Events with features, patterns of their whole state sequences and the kinetic class
+    of their recording; whole recordings held out."""
+    found = stored(features.event_features(samples(spark, sf)), "features")
+    held = patterns.event_patterns(samples(spark, sf)).drop("event_duration")
+    labelled = tables.with_kinetic_class(found).join(held, list(EVENT_ID))
+    return stored(sampling.group_split(labelled), "events")
+
+
+@query("event_patterns")
+def _(spark, sf):
+    """Counts of single states, pairs and triples in every kept event, row by row."""
+    held = patterns.event_patterns(samples(spark, sf))
+    return held.select("record_id", "event_id", "event_duration", F.explode("patterns").alias("pattern", "n"))
 
 
-def _split_events(spark, sf, sequence=False):
-    events = labelled_events(spark, sf)
-    if sequence:
-        parts = segment.state_parts(samples(spark, sf))
-        heads = segment.bounded_states(parts, 64).select("record_id", "event_id", "states")
-        events = events.join(heads, ["record_id", "event_id"])
-    return stored(sampling.stratified_split(events, n_classes=N_CLASSES), "events")
+@query("group_split")
+def _(spark, sf):
+    split = sampling.group_split(tables.with_kinetic_class(event_set(spark, sf)))
+    return split.select("record_id", "event_id", "label", "is_test")
+
+
+#: What the selection chooses from: features alone, patterns alone, both.
+CANDIDATES = {
+    "features": (features.FEATURES_12, False),
+    "patterns": ([], True),
+    "both": (features.FEATURES_12, True),
+}
+
+
+def _training(spark, sf):
+    split = _split_events(spark, sf)
+    train = sampling.validation_split(split.filter(~F.col("is_test")).drop("is_test"))
+    return stored(train, "train"), split.filter("is_test")
+
+
+@query("event_model_selection")
+def _(spark, sf):
+    """Macro F1 of every candidate on the validation rows, which lie inside the training ones."""
+    train, _ = _training(spark, sf)
+    return rounded(bayes.select(train, CANDIDATES, N_CLASSES)[2])
 
 
 @query("train_event_classifier")
 def _(spark, sf):
-    """Event classifier on features and state patterns; report on the held-out events."""
-    split = _split_events(spark, sf, sequence=True)
-    trained = models.train_event_classifier(
-        split.filter(~F.col("is_test")), features.FEATURES_12, N_CLASSES, sequence=True
-    )
-    cells = metrics.confusion(trained.score(split.filter("is_test")), N_CLASSES)
-    return metrics.classification_report(cells)
+    """The candidate that does best on the validation rows; its report on the test recordings."""
+    train, test = _training(spark, sf)
+    _, best, _ = bayes.select(train, CANDIDATES, N_CLASSES)
+    return rounded(metrics.classification_report(metrics.confusion(best.score(test), N_CLASSES)))
+
+
+@query("event_probabilities")
+def _(spark, sf):
+    """Probability of each class for each test event, from features and patterns."""
+    split = _split_events(spark, sf)
+    trained = bayes.fit(split.filter(~F.col("is_test")), features.FEATURES_12, N_CLASSES, sequence=True)
+    scored = trained.score(split.filter("is_test")).select("record_id", "event_id", "pred", "probs")
+    return rounded(scored.select("record_id", "event_id", "pred", F.posexplode("probs").alias("class", "prob")), 4)
 
 
 @query("stream_votes")
 def _(spark, sf):
-    """Each recording as a stream: events predicted, votes compared with its class."""
+    """Each test recording as a stream: events predicted, votes compared with its class."""
     split = _split_events(spark, sf)
-    trained = models.train_event_classifier(split.filter(~F.col("is_test")), features.FEATURES_12, N_CLASSES)
-    return votes.vote_pattern(trained.score(split.filter("is_test")), "record_id", N_CLASSES)
+    trained = bayes.fit(split.filter(~F.col("is_test")), features.FEATURES_12, N_CLASSES)
+    return rounded(votes.vote_pattern(trained.score(split.filter("is_test")), "record_id", N_CLASSES))
 
 
 @query("permutation_importance")
 def _(spark, sf):
     split = _split_events(spark, sf)
-    trained = models.train_event_classifier(
-        split.filter(~F.col("is_test")), features.FEATURES_13, N_CLASSES, scale=False
-    )
-    return models.permutation_importance(trained, split.filter("is_test"))
+    trained = bayes.fit(split.filter(~F.col("is_test")), features.FEATURES_13, N_CLASSES)
+    return rounded(models.permutation_importance(trained, split.filter("is_test")))
 
 
 @query("stream_segment_events")

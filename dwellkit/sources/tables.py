@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellkit.operators.prefix import index_rows
+from dwellkit.operators import discriminant
+from dwellkit.operators.features import record_features
+from dwellkit.operators.prefix import index_rows, join_totals
 
 TIME_STEP = 0.001
 
@@ -43,9 +45,13 @@ def signal_from_events(spark: SparkSession, sf_dir: str, *extra: str) -> DataFra
     return _as_signal(indexed).select("record_id", "chunk", "sample_idx", "time", "current", "state", *extra)
 
 
-def signal_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One recording per supplier, samples in shipping order; the quantity is the
-    current and, in three levels, the state."""
+def signal_from_lineitem(spark: SparkSession, sf_dir: str, noisy: bool = False) -> DataFrame:
+    """One recording per supplier, samples in shipping order; the quantity is the state in
+    three levels and the current. ``noisy`` adds discount and tax in percent to the current,
+    so that the levels overlap."""
+    current = F.col("l_quantity")
+    if noisy:
+        current = current + (F.col("l_discount") + F.col("l_tax")) * 100.0
     rows = read_table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("record_id"),
         "l_shipdate",
@@ -53,7 +59,7 @@ def signal_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linenumber",
         "l_partkey",
         "l_extendedprice",
-        F.col("l_quantity").alias("current"),
+        current.alias("current"),
         F.when(F.col("l_quantity") <= 20, 0).when(F.col("l_quantity") <= 40, 1).otherwise(2).alias("state"),
     )
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
@@ -67,28 +73,37 @@ def label_of(record_id: Column, n_classes: int = len(CLASS_NAMES)) -> Column:
     return (record_id % n_classes).cast("int")
 
 
-def scores_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, label, probs): softmax of minus the distance to each class's mean vector.
+# Limits between the kinetic classes of a recording.
+KINETIC_LIMITS = [0.38, 0.44, 0.48, 0.52, 0.56, 0.62]
 
-    The means are one aggregate of classes x dimensions numbers, which combines before it
-    moves; all dimensions count."""
-    raw = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
-    means = raw.groupBy("label").agg(
-        F.array(*[F.round(F.avg(F.get("embedding", F.lit(i)).cast("double")), 6) for i in range(DIMENSIONS)]).alias("mean")
-    )
-    listed = means.agg(F.sort_array(F.collect_list(F.struct("label", "mean"))).alias("means"))
-
-    def far(mean: Column) -> Column:
-        squares = F.zip_with("embedding", mean, lambda x, m: (x.cast("double") - m) * (x.cast("double") - m))
-        return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x))
-
-    weights = F.transform("means", lambda c: F.exp(-far(c["mean"])))
-    total = F.aggregate("weights", F.lit(0.0), lambda acc, x: acc + x)
-    return (
-        raw.withColumn("means", listed.scalar())
-        .select("id", "label", weights.alias("weights"))
-        .select("id", "label", F.transform("weights", lambda w: w / total).alias("probs"))
-    )
+
+def with_kinetic_class(events: DataFrame) -> DataFrame:
+    """Events with ``label``: the class of their recording by the share of state 0 over all
+    its kept events. An event shows it only roughly, so the classes overlap."""
+    totals = record_features(events).select("record_id", F.col("overall_probability_0").alias("share_0"))
+    counts = events.groupBy("record_id").agg(F.count(F.lit(1)).alias("n_events"))
+    label = sum((F.col("share_0") >= F.lit(x)).cast("int") for x in KINETIC_LIMITS)
+    classes = totals.join(counts, "record_id").select("record_id", "n_events", label.alias("label"))
+    return join_totals(events.drop("label"), classes, ["record_id"], "n_events", F.col("event_id"))
+
+
+def labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+
+
+def class_scores(vectors: DataFrame, fitted_on: DataFrame) -> DataFrame:
+    """(id, label, probs): class probabilities of a linear discriminant over all dimensions.
+
+    Vectors with an even id are scored by the discriminant of those with an odd one, and the
+    other way round, so that no vector is scored by a fit it took part in."""
+    odd = F.pmod("id", F.lit(2))
+    fits = [discriminant.fit(fitted_on.where(odd != half), DIMENSIONS, SCORE_CLASSES) for half in (0, 1)]
+    return discriminant.score(vectors, fits, fold=odd).select("id", "label", "probs")
+
+
+def scores_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = labelled_vectors(spark, sf_dir)
+    return class_scores(vectors, vectors)
 
 
 def binary_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
