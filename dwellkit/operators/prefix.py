@@ -72,6 +72,59 @@ def before(col: Column, keys: Sequence[str], order: str) -> Column:
     return F.coalesce(F.sum(col).over(w), F.lit(0))
 
 
+#: Most pieces that one crowded cell is cut into.
+RECUTS = 1 << 10
+
+
+def quantile_cuts(column: str, pieces: int) -> Column:
+    """The values that cut a column into so many pieces of about equal rows, from a sketch
+    that is right to a tenth of a piece. As text: thousands of literals would be sent one by
+    one to the JVM."""
+    grid = ", ".join(f"{i / pieces!r}D" for i in range(1, pieces))
+    return F.expr(f"percentile_approx({column}, array({grid}), {10 * pieces})")
+
+
+def cuts_below(cuts: Column, value: Column, most: int) -> Column:
+    """How many of fewer than ``most`` (a power of two) ascending cuts are at most the value,
+    by halving; past the last cut there is no number."""
+    halves = F.array(*[F.lit(most >> k) for k in range(1, most.bit_length())])
+    return F.aggregate(
+        halves, F.lit(0), lambda at, h: at + F.when(F.get(cuts, at + h - 1) <= value, h).otherwise(0)
+    )
+
+
+def recut(df: DataFrame, cell: Sequence[str], value: Column, part: str, part_rows: int, among: Column | None = None) -> DataFrame:
+    """Make ``part`` finer where more than ``part_rows`` rows share a cell.
+
+    A cell is its columns ``cell``, ``part`` among them. A crowded one is cut at its own
+    quantiles, which come from a mergeable sketch, so however its values crowd, a piece holds
+    about half of ``part_rows`` (or 1/1024 of the cell, where that is more). Only equal values
+    stay together. Which piece a row is in is decided by comparing it with the cuts, so counts
+    per piece are exact and pieces are in order: the new part is part * 1024 + piece. Crowded
+    cells are at most rows / part_rows in number; their lists of cuts are broadcast, and rows
+    of other cells pay for a join that finds nothing. Cells are counted where ``among`` holds.
+    """
+    cell = list(cell)
+    counted = df if among is None else df.filter(among)
+    crowded = counted.groupBy(*cell).agg(F.count(F.lit(1)).alias("cell_rows")).filter(F.col("cell_rows") > part_rows)
+    pieces = F.least(F.lit(float(RECUTS)), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("cell_rows") * 2 / part_rows))))
+    cuts = (
+        counted.select(*cell, value.alias("cut_value"))
+        .join(F.broadcast(crowded), cell)
+        .groupBy(*cell, "cell_rows")
+        .agg(quantile_cuts("cut_value", RECUTS).alias("quantiles"))
+        .withColumn("every", (F.lit(RECUTS) / pieces).cast("int"))
+        .select(*cell, F.filter("quantiles", lambda x, i: (i + 1) % F.col("every") == 0).alias("cuts"))
+    )
+    piece = F.when(F.col("cuts").isNotNull(), cuts_below(F.col("cuts"), F.col("cut_value"), RECUTS)).otherwise(F.lit(0))
+    return (
+        df.withColumn("cut_value", value)
+        .join(F.broadcast(cuts), cell, "left")
+        .withColumn(part, F.col(part).cast("long") * RECUTS + piece)
+        .select(*df.columns)
+    )
+
+
 def index_rows(
     df: DataFrame,
     key: str,
@@ -85,7 +138,8 @@ def index_rows(
 
     ``scale`` is a number that never falls along ``order_by``. Keys of at most
     ``hot_rows`` rows stay in chunk 0; a larger one is cut into 16 * rows / hot_rows
-    equal stretches of its own scale, which leaves room for a sixteenfold burst. There
+    equal stretches of its own scale, and a stretch that a burst fills with more than
+    ``hot_rows`` rows once more, by ``recut``. There
     are at most (table rows / hot_rows) such keys, so their list is small enough to
     broadcast whatever the table's size: a table of 10^12 rows has at most 4.8e5.
     """
@@ -104,6 +158,7 @@ def index_rows(
         .withColumn(chunk, F.when(is_hot, part).otherwise(F.lit(0).cast("long")))
         .drop("scale_lo", "scale_hi")
     )
+    cut = recut(cut, [key, chunk], scale, chunk, hot_rows, among=is_hot)
     offsets = (
         cut.filter(is_hot)
         .groupBy(key, chunk)
@@ -248,29 +303,46 @@ def value_totals(
     n_keys: int | None = None,
     steps: int = 1 << 14,
     descending: bool = False,
+    part_rows: int = 1 << 20,
+    pieces: int = 1 << 10,
 ) -> DataFrame:
     """Running sums of ``weights`` along ``value`` for every distinct value.
 
     ``df`` holds one row per (keys, value), so a value carried by a third of the
-    input is one row here. The order of a key is cut by ``with_value_part``; sums over
-    earlier parts (two million rows at most) are carried. Adds ``cum_<w>`` (including
+    input is one row here. Without keys, the order is cut at ``pieces`` quantiles of a sketch
+    that rides on the totals' aggregate, so values may crowd anywhere. The order of a key is
+    cut by ``with_value_part``, and where values crowd inside its range by ``recut``. Sums over
+    earlier parts are carried. Adds ``cum_<w>`` (including
     the row's own) and ``all_<w>`` (the key's total) for every weight. ``n_keys``
     bounds the number of distinct keys.
     """
     keys = list(keys)
     sums = [F.sum(w).alias(f"all_{w}") for w in weights]
-    span = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), *sums)
-    if keys and n_keys is None:
+    ends = [F.min(value).alias("lo"), F.max(value).alias("hi")]
+    if not keys:
+        number = F.col(value).cast("double")
+        span = df.withColumn("cut_value", number).agg(quantile_cuts("cut_value", pieces).alias("cuts"), *sums)
+        held = df.withColumn("span", span.select(F.struct(*span.columns)).scalar())
+        below = cuts_below(F.col("span.cuts"), number, pieces)
+        cut = held.select(
+            *df.columns, *[F.col(f"span.all_{w}").alias(f"all_{w}") for w in weights], below.cast("long").alias("value_part")
+        )
+        return _summed(cut, keys, value, weights, descending)
+    span = df.groupBy(*keys).agg(*ends, *sums)
+    if n_keys is None:
         counts = df.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n_values"), F.min(value).alias("lo"), F.max(value).alias("hi"), *sums
+            F.count(F.lit(1)).alias("n_values"), *ends, *sums
         )
         ranged = join_totals(df, counts, keys, "n_values", F.col(value))
-    elif keys:
-        ranged = join_small(df, span, keys, n_keys)
     else:
-        names = span.columns
-        ranged = df.withColumn("span", span.select(F.struct(*names)).scalar()).select(*df.columns, "span.*")
+        ranged = join_small(df, span, keys, n_keys)
     cut = with_value_part(ranged, value, "lo", "hi", steps).drop("lo", "hi")
+    cut = recut(cut, [*keys, "value_part"], F.col(value), "value_part", part_rows)
+    return _summed(cut, keys, value, weights, descending)
+
+
+def _summed(cut: DataFrame, keys: list[str], value: str, weights: Sequence[str], descending: bool) -> DataFrame:
+    """Running sums inside each part, plus what the parts before it hold."""
     if descending:
         cut = cut.withColumn("value_part", -F.col("value_part"))
     carried = cut.groupBy(*keys, "value_part").agg(*[F.sum(w).alias(f"part_{w}") for w in weights])

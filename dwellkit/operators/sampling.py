@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from dwellkit.functions.columns import lookup, one_hot, pad
 from dwellkit.operators.prefix import before, hash_chunk, hash_key, join_totals, mark_first_by_hash, number_by_hash
-from dwellkit.operators.segment import bounded_states
+from dwellkit.operators.segment import CHUNK_SAMPLES, bounded_states
 
 EVENT_ID = ("record_id", "event_id")
 
@@ -185,6 +185,48 @@ def pad_sequences(parts: DataFrame, length: int, keep: str = "head", value: floa
     return bounded_states(parts, length, keep).withColumn("padded", pad(F.col("states"), length, keep, value))
 
 
+def pad_parts(
+    parts: DataFrame, length: Column, keep: str = "head", value: float = -1.0, part_states: int = CHUNK_SAMPLES
+) -> DataFrame:
+    """Sequences padded or cut to ``length``, from ``state_parts``, in rows of at most
+    ``part_states``: (record_id, event_id, part, padded).
+
+    ``length`` is an expression, such as the longest training event as a scalar: nothing is
+    brought to the driver and no row grows with it. Part p holds places p * part_states and
+    on; the parts of an event, one after the other, are its whole padded sequence. Longer
+    events keep their head or tail. Without a length (no training event) there is no row.
+    """
+    if keep not in ("head", "tail"):
+        raise ValueError("keep must be 'head' or 'tail'")
+    event = ["record_id", "event_id"]
+    size = F.lit(part_states).cast("long")
+    earlier = Window.partitionBy(*event).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    left_out = F.greatest(F.col("event_duration") - F.col("length"), F.lit(0)) if keep == "tail" else F.lit(0)
+    held = parts.withColumn("length", length.cast("long")).filter(F.col("length") > 0)
+    placed = (
+        held.withColumn("at", F.coalesce(F.sum("n_states").over(earlier), F.lit(0)) - left_out)
+        .withColumn("first", F.greatest("at", F.lit(0)))
+        .withColumn("last", F.least(F.col("at") + F.col("n_states"), F.col("length")) - 1)
+        .filter("last >= first")
+        .withColumn("part", F.explode(F.sequence(F.floor(F.col("first") / size), F.floor(F.col("last") / size))))
+        .withColumn("lo", F.greatest(F.col("first"), F.col("part") * size))
+        .withColumn("hi", F.least(F.col("last"), F.col("part") * size + size - 1))
+    )
+    piece = F.slice("states", (F.col("lo") - F.col("at") + 1).cast("int"), (F.col("hi") - F.col("lo") + 1).cast("int"))
+    pieces = (
+        placed.select(*event, "part", F.struct("lo", piece.alias("states")).alias("piece"))
+        .groupBy(*event, "part")
+        .agg(F.flatten(F.array_sort(F.collect_list("piece"))["states"]).alias("known"))
+    )
+    last_part = F.floor((F.col("length") - 1) / size)
+    spine = held.select(*event, "length").distinct().withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last_part)))
+    known = F.coalesce("known", F.array().cast("array<int>"))
+    places = F.least(size, F.col("length") - F.col("part") * size).cast("int")
+    fill = F.array_repeat(F.lit(float(value)).cast("float"), places - F.size(known))
+    padded = F.concat(F.transform(known, lambda s: s.cast("float")), fill)
+    return spine.join(pieces, [*event, "part"], "left").select(*event, "part", padded.alias("padded"))
+
+
 def encode_labels(df: DataFrame, n_classes: int) -> DataFrame:
     return df.withColumn("one_hot", one_hot(F.col("label"), n_classes))
 

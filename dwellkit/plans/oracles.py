@@ -4,18 +4,13 @@ from __future__ import annotations
 
 from dwellkit.operators.features import FEATURES_10, FEATURES_12, FEATURES_13, FEATURES_20
 from dwellkit.operators.metrics import THRESHOLDS
-from dwellkit.plans.queries import (
-    CONFIDENCE,
-    DOWNSAMPLE,
-    MIXTURE,
-    MIXTURE_NAMES,
-    MIXTURE_TOTAL,
-    N_CLASSES,
-    PAD_LENGTH,
-    PAIRS,
-    WINDOW,
-)
-from dwellkit.sources.tables import DIMENSIONS, SCORE_CLASSES
+
+# Fixed values, stated here again so that the SQL does not follow a change in the queries.
+DOWNSAMPLE = [x * 0.80 for x in [0.6163, 0.4340, 0.4446, 0.5652, 0.6163, 0.8829, 1.0000]]
+MIXTURE_NAMES = {"class_0": 0.6, "class_3": 0.4}
+PAIRS = [(0, 2), (2, 3)]
+WINDOW = (0.010, 0.030)
+N_CLASSES, SCORE_CLASSES, DIMENSIONS = 7, 10, 64
 
 
 def d(x: float) -> str:
@@ -331,11 +326,19 @@ def ranked(group: str, seed: str) -> str:
 
 SPLIT = f"{EVENTS}, {ranked('label', '42')}, split AS (SELECT *, rn <= round(n * {d(0.2)}) AS is_test FROM ranked)"
 FRACTION_CASE = "CASE label " + " ".join(f"WHEN {i} THEN {d(f)}" for i, f in enumerate(DOWNSAMPLE)) + " END"
-MIXTURE_CASE = "CASE label " + " ".join(f"WHEN {k} THEN {int(MIXTURE_TOTAL * f)}" for k, f in MIXTURE.items()) + " END"
 STATES = """seqs AS (
   SELECT record_id, event_id, list(CAST(state AS INTEGER) ORDER BY sample_idx) AS states, count(*) AS event_duration
   FROM inside GROUP BY record_id, event_id HAVING count(*) > 5)"""
-L = PAD_LENGTH
+
+
+def padded_sql(kept: str) -> str:
+    return f"""{SPLIT}, {STATES},
+longest AS (SELECT CAST(max(event_duration) AS BIGINT) AS l FROM split WHERE NOT is_test),
+filled AS (SELECT record_id, event_id, l, list_concat({kept}, [-1 FOR x IN range(greatest(0, l - len(states)))]) AS whole
+           FROM seqs, longest),
+cut AS (SELECT *, unnest(range(0, CAST(ceil(l / 32.0) AS BIGINT))) AS part FROM filled)
+SELECT record_id, event_id, part, array_to_string(whole[part * 32 + 1:part * 32 + 32], ',') AS padded FROM cut"""
+
 
 KINETIC = f"""{EVENTS}, {record_stats('mean')}, lab AS (
   SELECT ev.* EXCLUDE (label), {" + ".join(f"CASE WHEN overall_probability_0 >= {d(x)} THEN 1 ELSE 0 END"
@@ -549,13 +552,8 @@ SELECT record_id, event_id, {r6("avg_dwell_0")} FROM t JOIN g USING (place)""",
     "class_names": f"""{EVENTS} SELECT 'Peptide' || substr('ABCDEFG', label + 1, 1) AS name, label, count(*) AS n
 FROM ev GROUP BY label""",
     "max_sequence_length": f"{SPLIT} SELECT max(event_duration) AS max_length FROM split WHERE NOT is_test",
-    "pad_sequences": f"""{BASE}, {STATES}
-SELECT record_id, event_id, array_to_string(
-  list_concat(states[1:{L}], [-1 FOR x IN range(greatest(0, {L} - len(states)))]), ',') AS padded FROM seqs""",
-    "pad_sequences_tail": f"""{BASE}, {STATES}
-SELECT record_id, event_id, array_to_string(
-  list_concat(states[greatest(len(states) - {L}, 0) + 1:], [-1 FOR x IN range(greatest(0, {L} - len(states)))]), ',')
-  AS padded FROM seqs""",
+    "pad_sequences": padded_sql("states[1:l]"),
+    "pad_sequences_tail": padded_sql("states[greatest(len(states) - l, 0) + 1:]"),
     "one_hot": f"""{EVENTS} SELECT record_id, event_id,
   array_to_string([CASE WHEN x = label THEN 1 ELSE 0 END FOR x IN range({N_CLASSES})], ',') AS one_hot FROM ev""",
     "standardize_fit": f"{EVENTS} " + " UNION ALL ".join(

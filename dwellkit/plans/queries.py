@@ -39,7 +39,8 @@ DOWNSAMPLE = [x * 0.80 for x in [0.6163, 0.4340, 0.4446, 0.5652, 0.6163, 0.8829,
 MIXTURE = {0: 0.6, 3: 0.4}
 MIXTURE_NAMES = {SCORE_NAMES[k]: f for k, f in MIXTURE.items()}
 MIXTURE_TOTAL = 50
-PAD_LENGTH = 12
+#: Places in a row of a padded sequence; small, so that events have several rows here too.
+PAD_PART = 32
 WINDOW = (0.010, 0.030)
 CONFIDENCE = 0.20
 N_GROUPS = N_CLASSES * len(features.FEATURES_10)
@@ -288,16 +289,22 @@ def _(spark, sf):
     return sampling.max_sequence_length(split.filter(~F.col("is_test")))
 
 
+def _padded(spark, sf, keep):
+    """Padded to the longest training event; longer test events are cut."""
+    split = sampling.stratified_split(event_set(spark, sf), n_classes=N_CLASSES)
+    longest = sampling.max_sequence_length(split.filter(~F.col("is_test"))).scalar()
+    padded = sampling.pad_parts(segment.state_parts(samples(spark, sf)), longest, keep, part_states=PAD_PART)
+    return padded.select("record_id", "event_id", "part", text(F.col("padded")).alias("padded"))
+
+
 @query("pad_sequences")
 def _(spark, sf):
-    padded = sampling.pad_sequences(segment.state_parts(samples(spark, sf)), PAD_LENGTH)
-    return padded.select("record_id", "event_id", text(F.col("padded")).alias("padded"))
+    return _padded(spark, sf, "head")
 
 
 @query("pad_sequences_tail")
 def _(spark, sf):
-    padded = sampling.pad_sequences(segment.state_parts(samples(spark, sf)), PAD_LENGTH, keep="tail")
-    return padded.select("record_id", "event_id", text(F.col("padded")).alias("padded"))
+    return _padded(spark, sf, "tail")
 
 
 @query("one_hot")

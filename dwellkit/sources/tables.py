@@ -40,7 +40,7 @@ def signal_from_events(spark: SparkSession, sf_dir: str, *extra: str) -> DataFra
         F.when(kind == "purchase", 2).when(kind.isin("error", "signup"), 1).otherwise(0).alias("state"),
     )
     ts = F.col("ts")
-    seconds = _days(ts) * 86_400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.floor(F.second(ts))
+    seconds = _days(ts) * 86_400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.date_part(F.lit("SECOND"), ts).cast("double")
     indexed = index_rows(rows, "record_id", ["ts", "event_id"], seconds)
     return _as_signal(indexed).select("record_id", "chunk", "sample_idx", "time", "current", "state", *extra)
 

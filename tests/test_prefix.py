@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from dwellkit.operators.prefix import hash_key, index_rows, join_totals, mark_first_by_hash, number_by_hash, value_totals, with_value_part
+from dwellkit.operators.prefix import hash_key, index_rows, join_totals, mark_first_by_hash, number_by_hash, recut, value_totals, with_value_part
 
 
 @pytest.fixture(scope="module")
@@ -113,3 +113,41 @@ def test_join_totals_spreads_a_hot_key(spark):
     finally:
         for k, v in saved.items():
             spark.conf.set(k, v)
+
+
+def test_mass_between_two_outliers_is_cut(spark):
+    """All values but two lie within a billionth of the range's middle."""
+    n, bound = 6000, 200
+    rng = random.Random(1)
+    xs = [0.0, 1.0] + sorted({0.5 + rng.random() * 1e-9 for _ in range(n)})
+    df = spark.createDataFrame([(x, 0.0, 1.0, 1) for x in xs], "v double, lo double, hi double, n long").repartition(6)
+    coarse = with_value_part(df, "v", "lo", "hi", 1 << 6)
+    assert coarse.groupBy("value_part").count().agg(F.max("count")).first()[0] > n / 4
+    fine = recut(coarse, ["value_part"], F.col("v"), "value_part", bound)
+    assert fine.columns == coarse.columns
+    assert fine.groupBy("value_part").count().agg(F.max("count")).first()[0] <= 2 * bound
+    parts = [r.value_part for r in fine.orderBy("v").collect()]
+    assert parts == sorted(parts) and len(parts) == len(xs)
+    totals = value_totals(df.select("v", "n"), [], "v", ["n"], n_keys=1, steps=4, part_rows=bound).collect()
+    assert [r.cum_n for r in sorted(totals, key=lambda r: r.v)] == list(range(1, len(xs) + 1))
+
+
+def test_equal_values_stay_together_and_empty_tables_stay_empty(spark):
+    df = spark.createDataFrame([(1, 7.0, 0)] * 500 + [(1, float(i), 0) for i in range(100)], "k int, v double, p long")
+    got = recut(df, ["k", "p"], F.col("v"), "p", 50)
+    assert got.where("v = 7").select("p").distinct().count() == 1 and got.count() == 600
+    assert recut(df.limit(0), ["k", "p"], F.col("v"), "p", 50).collect() == []
+
+
+def test_burst_in_a_hot_recording_is_spread(spark):
+    """Nearly all samples of a long recording lie in a fifth of a second of a day."""
+    n, bound = 20_000, 1000
+    burst = spark.range(n).select((F.lit(40_000.0) + F.col("id") * (0.2 / n)).alias("t"))
+    rest = spark.range(24).select((F.col("id") * 3600.0).alias("t"))
+    rows = burst.union(rest).select(F.lit(1).alias("k"), "t").repartition(5)
+    got = index_rows(rows, "k", ["t"], F.col("t"), hot_rows=bound)
+    sizes = got.groupBy("chunk").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 2 * bound
+    ordered = got.orderBy("t").collect()
+    assert [r.sample_idx for r in ordered] == list(range(n + 24))
+    assert [r.chunk for r in ordered] == sorted(r.chunk for r in ordered)

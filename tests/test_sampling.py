@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +98,28 @@ def test_standardize(spark, tmp_path):
     loaded = scaling.load_scaler(spark, str(tmp_path / "scaler"))
     got = sorted(map(tuple, scaling.apply_standard(df, loaded, ["a", "b"]).collect()))
     assert got == [(1, -1.0, 0.0), (2, 1.0, 0.0)]
+
+
+@pytest.mark.parametrize("keep", ["head", "tail"])
+@pytest.mark.parametrize("length,part", [(5, 2), (12, 4), (40, 7), (3, 100)])
+def test_pad_parts_equal_brute_force(spark, keep, length, part):
+    rng = random.Random(7)
+    events = {(r, e): [rng.randrange(2) for _ in range(rng.randrange(1, 30))] for r in range(3) for e in range(4)}
+    rows = []
+    for (r, e), states in events.items():
+        at = chunk = 0
+        while at < len(states):
+            n = rng.randrange(1, 9)
+            rows.append((r, e, len(states), chunk, len(states[at : at + n]), states[at : at + n]))
+            at, chunk = at + n, chunk + rng.choice([1, 3])
+    parts = spark.createDataFrame(
+        rows, "record_id int, event_id int, event_duration long, chunk long, n_states long, states array<int>"
+    ).repartition(5)
+    longest = spark.createDataFrame([(length,)], "l long").select("l").scalar()
+    got = sampling.pad_parts(parts, longest, keep, part_states=part).collect()
+    assert all(len(r.padded) <= part for r in got)
+    joined = {k: [x for r in sorted(got, key=lambda r: r.part) if (r.record_id, r.event_id) == k for x in r.padded] for k in events}
+    for k, states in events.items():
+        kept = states[:length] if keep == "head" else states[-length:]
+        assert joined[k] == kept + [-1.0] * (length - len(kept))
+    assert sampling.pad_parts(parts, F.lit(None), keep).collect() == []
