@@ -23,6 +23,8 @@ from dwellkit.llm.store import stored
 from dwellkit.llm.text import pieces
 
 #: Ids of a shard, but for a longer document, which is a shard by itself.
+#: Characters of a text that tell rows of one id apart where the table is cut into parts.
+KEY_CHARS = 32
 SHARD_IDS = 1_000_000
 #: A pair is replaced while it stands this often; rounds end when a round would shorten the shard by less than this share.
 LEAST, WORTH = 8, 0.01
@@ -209,12 +211,13 @@ def write(
     A file row is a shard: (part, shard) in order, n_ids, doc_ids, documents (symbols and
     ids of each), rules (pairs, expansion lengths) and sequence. Null texts are empty and
     have the end id alone; rows with a null id come first; rows with one id stay in the
-    order of their texts. Only the named columns are read; no rows write no shard.
+    order of their texts. The range cut samples its keys to the driver, so beside the id it
+    has the first characters of a text alone; the sort inside a part is by whole texts. Only the named columns are read; no rows write no shard.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = narrow.schema["doc_id"].dataType.simpleString()
     (
-        narrow.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+        narrow.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, KEY_CHARS).asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
         .mapInArrow(
             _writer(tokenizer_path, end_id),
