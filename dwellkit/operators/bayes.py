@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellkit.functions.columns import argmax, share
-from dwellkit.operators.metrics import confusion, macro_metrics
+from dwellkit.operators.metrics import macro_metrics
 
 #: A class's variance of a feature is at least this share of all rows' variance, and this much.
 LEAST_SHARE, LEAST = 1e-2, 1e-9
@@ -167,11 +167,24 @@ def select(
     train: DataFrame, candidates: Mapping[str, tuple[Sequence[str], bool]], n_classes: int, flag: str = "is_validation"
 ) -> tuple[str, BayesClassifier, DataFrame]:
     """The candidate (features, sequence) with the best macro F1 on the validation rows, fitted
-    on the others; on ties the first. Also the table (candidate, macro_f1) of all."""
-    fitted, scores = {}, []
-    for name, (features, sequence) in candidates.items():
-        fitted[name] = fit(train.where(~F.col(flag)), features, n_classes, sequence)
-        cells = confusion(fitted[name].score(train.where(flag)), n_classes)
-        scores.append((name, macro_metrics(cells).first()["macro_f1"] or 0.0))
+    on the others; on ties the first. Also the table (candidate, macro_f1) of all.
+
+    Features and patterns add up, so one fit of all of them holds every candidate, and one
+    pass over the validation rows scores them all.
+    """
+    every = list(dict.fromkeys(f for features, _ in candidates.values() for f in features))
+    whole = fit(train.where(~F.col(flag)), every, n_classes, any(sequence for _, sequence in candidates.values()))
+    fitted = {
+        name: replace(whole, features=list(features), patterns=whole.patterns if sequence else {})
+        for name, (features, sequence) in candidates.items()
+    }
+    judged, preds = train.where(flag), []
+    for i, model in enumerate(fitted.values()):
+        judged = model.score(judged).withColumnsRenamed({"pred": f"pred_{i}"}).drop("probs")
+        preds.append(F.col(f"pred_{i}"))
+    rows = judged.select("label", F.posexplode(F.array(*preds)).alias("place", "pred"))
+    cells = rows.groupBy("place", "label", "pred").agg(F.count(F.lit(1)).alias("n"))
+    f1 = {r["place"]: r["macro_f1"] for r in macro_metrics(cells, ["place"]).collect()}
+    scores = [(name, f1.get(i) or 0.0) for i, name in enumerate(candidates)]
     best = max(scores, key=lambda s: s[1])[0]
     return best, fitted[best], train.sparkSession.createDataFrame(scores, "candidate string, macro_f1 double")
