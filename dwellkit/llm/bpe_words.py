@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dwellkit.llm.pretokens import Splitter, encode_words, gathered, grown, packed, shrunk, vocabulary
+from dwellkit.llm.pretokens import Splitter, encode_words, gathered, grown, packed, shrunk, starts_of, vocabulary
 from dwellkit.llm.store import stored
 from dwellkit.llm.text import pieces
 
@@ -135,9 +135,10 @@ def _joiner(tokenizer_path: str, finish: Callable, columns: dict[str, pa.DataTyp
         def closed() -> Iterator[pa.RecordBatch]:
             ids, sizes, codes, bucket = now[1], *grown(now[2], 3)
             table = [np.concatenate(x) if x else np.empty(0, np.int32) for x in (lengths, values)]
+            table.append(starts_of(table[0]))  # once a block, not once a document
             # Inside a bucket words are in the order of their numbers.
-            place = np.empty(len(bucket), np.int64)
-            place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
+            place = np.empty(len(bucket), np.int32)
+            place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket), dtype=np.int32)
             codes = place[codes]
             cuts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
             for start in range(0, len(sizes), 256):
@@ -175,10 +176,11 @@ class Pieces:
     def __init__(self, pieces: list[bytes]):
         self.lengths = np.fromiter(map(len, pieces), np.int32, len(pieces))
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
+        self.first = starts_of(self.lengths)
 
     def text(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the decoded text; bytes that are no text become replacement characters."""
-        raw = gathered(ids, self.lengths, self.bytes)[1].tobytes()
+        raw = gathered(ids, self.lengths, self.bytes, self.first)[1].tobytes()
         return raw.decode("utf-8", "replace").encode()
 
 

@@ -71,8 +71,13 @@ class Splitter:
         return out
 
 
+#: Words go to the tokenizer in lots: what it returns for a word is far larger than the ids kept.
+LOT = 4096
+
+
 def encode_words(tokenizer: Tokenizer, words: list[str]) -> list[list[int]]:
-    return [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+    lots = (words[i : i + LOT] for i in range(0, len(words), LOT))
+    return [e.ids for lot in lots for e in tokenizer.encode_batch(lot, add_special_tokens=False)]
 
 
 def byte_of_char() -> dict[str, int]:
@@ -100,10 +105,18 @@ def packed(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return lengths, np.fromiter((x for own in lists for x in own), np.int32, int(lengths.sum()))
 
 
-def gathered(codes: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths, values) of the lists that the codes name, one after the other."""
+def starts_of(lengths: np.ndarray) -> np.ndarray:
+    """Where each of the lists of such lengths begins among all values."""
+    return np.cumsum(lengths, dtype=np.int64) - lengths
+
+
+def gathered(
+    codes: np.ndarray, lengths: np.ndarray, values: np.ndarray, first: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, values) of the lists that the codes name, one after the other. ``first`` is
+    ``starts_of(lengths)``, for callers that gather from the same lists many times."""
     own = lengths[codes].astype(np.int64)
-    starts = (np.cumsum(lengths, dtype=np.int64) - lengths)[codes]
+    starts = (starts_of(lengths) if first is None else first)[codes]
     ends = np.cumsum(own)
     total = int(ends[-1]) if len(ends) else 0
     at = np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - own), own)
