@@ -4,7 +4,7 @@ Texts are split into words and each block of documents becomes its words' number
 block and the block's distinct words. Words of all blocks meet by hash, each distinct
 word is encoded once, and its ids go back to the blocks that have it, where the numbers
 say at which positions they stand. Decoding looks each id up in the tokenizer's table of
-pieces. Between tasks go whole blocks of words, not a row for each word.
+pieces. Between tasks go the words of whole blocks, not a row for each word, and no documents.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from dwellkit.llm.pretokens import Splitter, encode_words, gathered, grown, packed, shrunk, starts_of, vocabulary
-from dwellkit.llm.store import stored
+from dwellkit.llm.store import stored_by
 from dwellkit.llm.text import pieces
 
 #: A block is closed at so many words or distinct words; a longer text is a block by itself.
@@ -46,14 +46,15 @@ def _blocks(tokenizer_path: str, buckets: int) -> Callable:
         total = 0
 
         def closed(schema: pa.Schema) -> pa.RecordBatch:
-            # Numbered anew by how often they stand in the block, words have small numbers.
+            # Numbered anew by how often they stand in the block, words have small numbers;
+            # of equally frequent ones those of a bucket follow each other, so that buckets take little room.
             numbers = np.concatenate(codes) if codes else np.empty(0, np.int32)
-            order = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
+            raw = [w.encode() for w in words]
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int32, len(raw))
+            order = np.lexsort((bucket, -np.bincount(numbers, minlength=len(words))))
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order), dtype=np.int32)
-            table = list(words)
-            raw = [table[i].encode() for i in order]
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int32, len(raw))
+            raw, bucket = [raw[i] for i in order], bucket[order]
             sizes = np.array([len(c) for c in codes], np.int32)
             rows = [(DOCS, shrunk(sizes, rank[numbers], bucket))]
             by_bucket = np.argsort(bucket, kind="stable")
@@ -124,48 +125,30 @@ def _encoder(tokenizer_path: str) -> Callable:
 
 
 def _joiner(tokenizer_path: str, finish: Callable, columns: dict[str, pa.DataType]) -> Callable:
-    """Each document's ids from the rows of its block, documents first and then buckets in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces_of = Pieces(vocabulary(tokenizer_path))
-        now = None
-        lengths: list[np.ndarray] = []
-        values: list[np.ndarray] = []
-
-        def closed() -> Iterator[pa.RecordBatch]:
-            ids, sizes, codes, bucket = now[1], *grown(now[2], 3)
-            table = [np.concatenate(x) if x else np.empty(0, np.int32) for x in (lengths, values)]
-            table.append(starts_of(table[0]))  # once a block, not once a document
-            # Inside a bucket words are in the order of their numbers.
-            place = np.empty(len(bucket), np.int32)
-            place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket), dtype=np.int32)
-            codes = place[codes]
-            cuts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-            for start in range(0, len(sizes), 256):
-                end = min(start + 256, len(sizes))
-                rows = []
-                for i in range(start, end):
-                    own = gathered(codes[cuts[i] : cuts[i + 1]], *table)[1]
-                    rows.append(finish(own, pieces_of))
-                yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), *columns_of(rows)], names=["doc_id", *columns])
-
-        def columns_of(rows: list[tuple]) -> list[pa.Array]:
-            return [pa.array(c, t) for c, t in zip(zip(*rows), columns.values())]
-
-        for batch in batches:
-            lists = batch.column("ids")
-            for i, (block, bucket) in enumerate(zip(batch.column("block").to_pylist(), batch.column("bucket").to_pylist())):
-                payload = batch.column("payload")[i].as_py()
-                if bucket == DOCS:
-                    if now:
-                        yield from closed()
-                    now, lengths, values = (block, lists[i].values, payload), [], []
-                else:
-                    a, b = grown(payload, 2)
-                    lengths.append(a)
-                    values.append(b)
-        if now:
-            yield from closed()
+    """Each document's ids from its block's row of documents and rows of encoded words."""
+    known: list[Pieces] = []  # one for all blocks of a task
+
+    def run(documents: pa.Table, words: pa.Table) -> pa.Table:
+        if not known:
+            known.append(Pieces(vocabulary(tokenizer_path)))
+        ids = documents.column("ids").combine_chunks().flatten()
+        sizes, codes, bucket = grown(documents.column("payload")[0].as_py(), 3)
+        by_bucket = np.argsort(words.column("bucket").to_numpy())
+        encoded = [grown(words.column("payload")[int(i)].as_py(), 2) for i in by_bucket]
+        lengths, values = (np.concatenate([np.empty(0, np.int32), *(x[k] for x in encoded)]) for k in (0, 1))
+        first = starts_of(lengths)  # once a block, not once a document
+        # Inside a bucket words are in the order of their numbers.
+        place = np.empty(len(bucket), np.int32)
+        place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket), dtype=np.int32)
+        codes = place[codes]
+        cuts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        out = []
+        for start in range(0, len(sizes), 256):
+            end = min(start + 256, len(sizes))
+            rows = [finish(gathered(codes[a:b], lengths, values, first)[1], known[0]) for a, b in zip(cuts[start:end], cuts[start + 1 : end + 1])]
+            made = [pa.array(c, t) for c, t in zip(zip(*rows), columns.values())]
+            out.append(pa.RecordBatch.from_arrays([ids.slice(start, end - start), *made], names=["doc_id", *columns]))
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -184,17 +167,24 @@ class Pieces:
         return raw.decode("utf-8", "replace").encode()
 
 
-def _encoded(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> DataFrame:
-    """(block, bucket, ids, payload): documents as numbers of words, words as ids."""
+def _encoded(
+    docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, finish: Callable, columns: dict[str, pa.DataType], names: str
+) -> DataFrame:
+    """(id, what ``finish`` makes of the document's ids) for each row.
+
+    Blocks are a table bucketed by block, so documents stay where they were written and
+    only the ids of distinct words are dealt to them.
+    """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = narrow.schema["doc_id"].dataType.simpleString()
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * tasks
-    blocks = stored(
+    blocks = stored_by(
         narrow.mapInArrow(
-            _blocks(tokenizer_path, buckets), f"block long, bucket int, ids array<{id_type}>, payload binary"
+            _blocks(tokenizer_path, 4 * tasks), f"block long, bucket int, ids array<{id_type}>, payload binary"
         ),
-        "word-blocks",
+        "block",
+        tasks,
+        "word_blocks",
     )
     words = (
         blocks.where(F.col("bucket") != DOCS)
@@ -202,14 +192,13 @@ def _encoded(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -
         .repartition(tasks, "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(_encoder(tokenizer_path), "block long, bucket int, payload binary")
-    )
-    own = F.lit(None).cast(f"array<{id_type}>").alias("ids")
-    return (
-        blocks.where(F.col("bucket") == DOCS)
-        .union(words.select("block", "bucket", own, "payload"))
         .repartition(tasks, "block")
-        .sortWithinPartitions("block", "bucket")
     )
+    documents = blocks.where(F.col("bucket") == DOCS).select("block", "ids", "payload")
+    out = documents.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(
+        _joiner(tokenizer_path, finish, columns), f"doc_id {id_type}, {names}"
+    )
+    return out.withColumnRenamed("doc_id", id_col)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,14 +207,11 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     Null and empty texts have no ids; repeated rows are encoded each; null ids stay null.
     Strings of special tokens in a text are those tokens. Only the named columns are read.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
 
     def finish(ids: np.ndarray, pieces_of: Pieces) -> tuple:
         return (ids.tolist(),)
 
-    rows = _encoded(docs, tokenizer_path, id_col, text_col)
-    out = rows.mapInArrow(_joiner(tokenizer_path, finish, {"ids": pa.list_(pa.int32())}), f"doc_id {id_type}, ids array<int>")
-    return out.withColumnRenamed("doc_id", id_col)
+    return _encoded(docs, tokenizer_path, id_col, text_col, finish, {"ids": pa.list_(pa.int32())}, "ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -245,15 +231,11 @@ def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_
 def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) for each row: what ``encode`` and ``decode``
     give, as digests of little-endian 32-bit ids and of the decoded text in UTF-8."""
-    id_type = docs.schema[id_col].dataType.simpleString()
 
     def finish(ids: np.ndarray, pieces_of: Pieces) -> tuple:
         raw = ids.astype("<u4").tobytes()
         return len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(pieces_of.text(ids)).hexdigest()
 
     columns = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
-    out = _encoded(docs, tokenizer_path, id_col, text_col).mapInArrow(
-        _joiner(tokenizer_path, finish, columns),
-        f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string",
-    )
-    return out.withColumnRenamed("doc_id", id_col)
+    names = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return _encoded(docs, tokenizer_path, id_col, text_col, finish, columns, names)
