@@ -1,10 +1,10 @@
 """Links between rows that share a bucket, without all pairs of a bucket.
 
-A bucket's smallest row is its first hub and meets every other member. Members that this
-connects need no more comparisons among themselves. In buckets that still hold several
-components 8, 64, 512... members become hubs and meet those of other components, until
-each pair of a bucket has been compared or is connected. A member costs a row for each
-hub, never a row for each other member.
+A bucket's smallest row is its first hub. A member meets one hub first, the smallest over all
+its buckets. Members that this connects need no more comparisons among themselves. In buckets
+that still hold several components the first hub and 8, 64, 512... other members become hubs
+and meet those of other components, until each pair of a bucket has been compared or is
+connected. A member costs a row for each hub, never a row for each other member.
 """
 
 from __future__ import annotations
@@ -117,19 +117,21 @@ def link(
 
     if sketches is None:
         sketches = members.select("node", F.lit(None).cast("long").alias("sketch")).distinct()
-    first = (
-        members.where("node <> hub")
-        .select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("size").alias("size_a"), F.col("hub_size").alias("size_b"))
-        .distinct()
-        .join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-        .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    )
-    tested = stored(first.where(compatible).select("a", "b"), "pairs")
+
+    def compatible_pairs(pairs: DataFrame) -> DataFrame:
+        """Of (a, b, size_a, size_b) those worth a look into the texts."""
+        with_a = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+        both = with_a.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+        return both.where(compatible).select("a", "b")
+
+    own_pair = [F.col("node").alias("a"), F.col("hub").alias("b"), F.col("size").alias("size_a"), F.col("hub_size").alias("size_b")]
+    one_each = members.where("node <> hub").groupBy("node", "size").agg(F.min(F.struct("hub", "hub_size")).alias("least"))
+    tested = stored(compatible_pairs(one_each.select("node", "size", "least.*").select(*own_pair)), "pairs")
     links = links_of(tested)
     labels = components(links, "a", "b")
-    rest, hubs = members.where("node <> hub").join(sketches, "node"), 8
+    rest, hubs = members.select("key", "node", "size", "hub"), 8
     while True:
-        rest = labelled(rest.select("key", "node", "size", "sketch"), labels)
+        rest = labelled(rest, labels)
         open_keys = (
             rest.groupBy("key")
             .agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
@@ -138,9 +140,9 @@ def link(
         )
         # Whether a member is a hub follows from its number and the round alone.
         draw = F.pmod(F.xxhash64("node", F.lit(hubs)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        rest = stored(
-            rest.join(open_keys, "key").withColumn("is_hub", draw * F.col("n") < F.lit(float(hubs))), "open-buckets"
-        )
+        is_hub = (F.col("node") == F.col("hub")) | (draw * F.col("n") < F.lit(float(hubs)))
+        held = rest.join(open_keys, "key").withColumn("is_hub", is_hub)
+        rest = stored(held if "sketch" in held.columns else held.join(sketches, "node"), "open-buckets")
         if is_empty(rest):
             return labels
         hub_rows = rest.where("is_hub").select(
@@ -172,4 +174,4 @@ def link(
         if not is_empty(more):
             links = links.union(more)
             labels = components(links, "a", "b")
-        rest, hubs = rest.where("not is_hub"), hubs * 8
+        rest, hubs = rest.where("not is_hub").select("key", "node", "size", "hub", "sketch"), hubs * 8
