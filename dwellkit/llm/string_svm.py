@@ -14,7 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +48,14 @@ _ALPHABET = 64
 
 def letters_of(word: str) -> str:
     """Lower-case letters alone: marks and digits between them are gaps that don't count."""
-    return "".join(_LETTERS.findall(word.lower()))
+    low = word.lower()
+    return low if low.isalpha() else "".join(_LETTERS.findall(low))
 
 
-def numbers_of(word: str) -> list[int]:
-    return [ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % 37 for c in word]
+def numbers_of(words: list[str]) -> np.ndarray:
+    """Letter numbers of words of one length, a row for each."""
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(np.int32)
+    return np.where((points >= 97) & (points <= 122), points - 97, 26 + points % 37)
 
 
 def words_of(sentence: str) -> list[str]:
@@ -93,58 +96,73 @@ class Kernel:
         return self.places[n]
 
     def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(codes, weights) of words of one length, a row for each; weights have norm 1 once equal codes are summed."""
-        at, weights = self.triples(len(words[0]))
-        letters = np.array([numbers_of(w) for w in words], np.int64)
+        """(codes, norms) of words of one length: the code of each triple of places, a row for
+        each word, and the norm of its weights once those of equal codes are summed."""
+        at, _ = self.triples(len(words[0]))
+        letters = numbers_of(words)
         codes = (letters[:, at[:, 0]] * _ALPHABET + letters[:, at[:, 1]]) * _ALPHABET + letters[:, at[:, 2]]
-        order = np.argsort(codes, axis=1, kind="stable")
-        codes, values = np.take_along_axis(codes, order, 1), weights[order]
-        # Equal codes of a row become one: sums at the last of each run, zeros before it.
-        sums = np.cumsum(values, axis=1)
-        last = np.ones(codes.shape, bool)
-        last[:, :-1] = codes[:, 1:] != codes[:, :-1]
-        before = np.zeros(codes.shape)
-        marks = np.where(last, sums, 0.0)
-        before[:, 1:] = np.maximum.accumulate(marks, axis=1)[:, :-1]
-        values = np.where(last, sums - before, 0.0)
-        return codes, (values / np.sqrt((values**2).sum(axis=1, keepdims=True))).astype(np.float32)
-
-    def table(self, landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(row of each triple, rows): landmarks as columns over the triples that they have; row 0 is zeros."""
-        found = [self.features([word]) for word in landmarks]
-        used = np.unique(np.concatenate([c[0] for c, _ in found])) if found else np.empty(0, np.int64)
-        place = np.zeros(_ALPHABET**3, np.int32)
-        place[used] = np.arange(1, len(used) + 1)
-        rows = np.zeros((len(used) + 1, len(landmarks)), np.float32)
-        for j, (codes, values) in enumerate(found):
-            np.add.at(rows[:, j], place[codes[0]], values[0])
-        return place, rows
-
-    def against(self, words: list[str], table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        # The squared norm is a sum over pairs of triples with equal letters; running sums over
+        # pairs of places give it letter by letter.
+        decay = DECAY ** np.arange(letters.shape[1], dtype=np.float64)
+        both = decay[:, None] * decay[None, :]
+        same = (letters[:, :, None] == letters[:, None, :]).astype(np.float64)
+        second = same * _before(same / both)
+        norms = np.sqrt((same * both * DECAY**2 * _before(second)).sum(axis=(1, 2)))
+        return codes, norms
+
+    def table(self, landmarks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(first entry of each triple, landmarks, values, number of landmarks): which landmarks
+        have a triple and with what weight, ordered by triple."""
+        codes, places, values = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        for j, word in enumerate(landmarks):
+            own, norm = self.features([word])
+            distinct, at = np.unique(own[0], return_inverse=True)
+            codes.append(distinct)
+            places.append(np.full(len(distinct), j))
+            values.append(np.bincount(at, weights=self.triples(len(word))[1]) / norm[0])
+        code = np.concatenate(codes)
+        order = np.argsort(code, kind="stable")
+        first = np.searchsorted(code[order], np.arange(_ALPHABET**3 + 1)).astype(np.int32)
+        return first, np.concatenate(places)[order], np.concatenate(values)[order], len(landmarks)
+
+    def against(self, words: list[str], table: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> np.ndarray:
         """Kernel of each word with each landmark; the largest of a long word's windows."""
-        place, rows = table
-        out = np.zeros((len(words), rows.shape[1]), np.float32)
+        first, places, values, width = table
+        entries = np.diff(first)
+        out = np.zeros((len(words), width), np.float32)
         by_length: dict[int, list[tuple[int, str]]] = {}
         for i, word in enumerate(words):
             for part in windows(word):
                 by_length.setdefault(len(part), []).append((i, part))
         for n, own in by_length.items():
-            step = max(1, 400_000 // max(1, len(self.triples(n)[0])))
+            weights = self.triples(n)[1]
+            step = max(1, 400_000 // max(1, len(weights)))
             for start in range(0, len(own), step):
                 some = own[start : start + step]
-                codes, values = self.features([w for _, w in some])
-                at = place[codes]
-                # Triples that no landmark has add nothing.
-                row, col = np.nonzero((at > 0) & (values > 0))
-                sums = np.zeros((len(some), rows.shape[1]), np.float32)
-                if len(row):
-                    firsts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                    parts = rows[at[row, col]] * values[row, col, None]
-                    sums[row[firsts]] = np.add.reduceat(parts, firsts, axis=0)
-                np.maximum.at(out, np.array([i for i, _ in some]), sums)
+                codes, norms = self.features([w for _, w in some])
+                # Triples that no landmark has add nothing; others are spread over the landmarks that have them.
+                row, col = np.nonzero(entries[codes])
+                code = codes[row, col]
+                times = entries[code]
+                at = np.arange(times.sum()) + np.repeat(first[code] - (np.cumsum(times) - times), times)
+                cell = np.repeat(row * width, times) + places[at]
+                sums = np.bincount(cell, np.repeat(weights[col], times) * values[at], len(some) * width)
+                sums = sums.reshape(len(some), width) / norms[:, None]
+                which = np.array([i for i, _ in some])
+                if n < SPAN:
+                    out[which] = np.maximum(out[which], sums)
+                else:
+                    np.maximum.at(out, which, sums.astype(np.float32))
         return out
 
 
+def _before(x: np.ndarray) -> np.ndarray:
+    """For each pair of places the sum over all pairs with both places before it."""
+    out = np.zeros_like(x)
+    out[:, 1:, 1:] = np.cumsum(np.cumsum(x[:, :-1, :-1], axis=1), axis=2)
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     landmarks: list[str]
@@ -228,33 +246,57 @@ def _pooler(landmarks: list[str]) -> Callable:
     return run
 
 
+class _Numbers(dict):
+    """Row numbers of words as they stand in a text: 0 where there is no word, -1 for a letter by itself."""
+
+    def __init__(self) -> None:
+        self.words: dict[str, int] = {}
+
+    def __missing__(self, raw: str) -> int:
+        word = letters_of(raw)
+        self[raw] = found = -1 if len(word) == 1 else 0 if len(word) < 3 else self.of(word)
+        return found
+
+    def of(self, word: str) -> int:
+        return self.words.setdefault(word, len(self.words) + 1)
+
+
 class Describer:
     """Kernel maxima of sentences, each distinct word computed once while it is remembered."""
 
     def __init__(self, landmarks: list[str], most: int = 150_000):
         self.kernel, self.most = Kernel(), most
         self.table = self.kernel.table(landmarks)
-        self.known: dict[str, int] = {}
-        self.rows = np.zeros((0, len(landmarks)), np.float32)
+        self.numbers = _Numbers()
+        self.rows = np.zeros((1, len(landmarks)), np.float32)
+
+    def sentences(self, text: str) -> list[list[int]]:
+        """Row numbers of each sentence's words; sentences without a word are left out."""
+        out = []
+        for sentence in _SENTENCE.split(text):
+            own = [*map(self.numbers.__getitem__, sentence.split())]
+            if -1 in own:
+                # Fewer than three single letters make no word.
+                alone = own.count(-1) < 3
+                own = [max(n, 0) for n in own] if alone else [*map(self.numbers.of, words_of(sentence))]
+            if any(own):
+                out.append(own)
+        return out
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_sentences(t) for t in texts]
-        new = list({w for own in split for s in own for w in s if w not in self.known})
-        if len(self.known) + len(new) > self.most:
-            self.known, new = {}, list({w for own in split for s in own for w in s})
-            self.rows = self.rows[:0]
+        if len(self.numbers) > 2 * self.most or len(self.rows) > self.most:
+            self.numbers, self.rows = _Numbers(), self.rows[:1]
+        split = [self.sentences(t) for t in texts]
+        new = list(self.numbers.words)[len(self.rows) - 1 :]
         if new:
-            base = len(self.known)
-            for i, w in enumerate(new):
-                self.known[w] = base + i
             self.rows = np.concatenate([self.rows, self.kernel.against(new, self.table)])
         out = []
         for own in split:
-            sizes = np.fromiter(map(len, own), np.int64, len(own))
-            if not len(sizes):
+            if not own:
                 out.append(np.zeros((0, self.rows.shape[1]), np.float32))
                 continue
-            at = np.fromiter((self.known[w] for s in own for w in s), np.int64, int(sizes.sum()))
+            sizes = np.fromiter(map(len, own), np.int64, len(own))
+            at = np.fromiter(chain.from_iterable(own), np.int64, int(sizes.sum()))
             out.append(np.maximum.reduceat(self.rows[at], np.cumsum(sizes) - sizes, axis=0))
         return out
 
