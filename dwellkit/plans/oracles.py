@@ -751,3 +751,8 @@ SELECT tp, fp, tn, fn, {r6("threshold", *RATE_NAMES)} FROM m""",
     "predicted_states_to_events": f"""{state_model("state", 3)}, sig AS (SELECT record_id, sample_idx, best AS state FROM scored),
 {RUNS}, {FEATURES} SELECT record_id, event_id, {feature_list(FEATURES_13)} FROM ev""",
 }
+# What has gone through files is what it was.
+ORACLES["csv_round_trip"] = ORACLES["event_features"]
+ORACLES["signal_round_trip"] = ORACLES["dwell_runs"]
+ORACLES["event_model_round_trip"] = ORACLES["event_probabilities"]
+ORACLES["event_set_round_trip"] = ORACLES["standardize_apply"].removesuffix(" FROM ev") + ", label FROM ev"

@@ -24,7 +24,7 @@ from dwellkit.operators import (
 )
 from dwellkit.operators.sampling import EVENT_ID
 from dwellkit.session import shared_dir
-from dwellkit.sources import tables
+from dwellkit.sources import recordings, tables
 from dwellkit.sources.tables import CLASS_NAMES, SCORE_CLASSES
 from dwellkit.streaming import live
 
@@ -543,6 +543,46 @@ def _(spark, sf):
     return report.select("label", *rates, *shares)
 
 
+# Sources and sinks
+
+
+@query("csv_round_trip")
+def _(spark, sf):
+    """Events of the recordings after a way through CSV files, one folder per recording."""
+    path = shared_dir(spark, "csv")
+    recordings.write_recordings(samples(spark, sf), path)
+    back = recordings.read_written(spark, path, "bigint")
+    return rounded(features.event_features(back).select("record_id", "event_id", *features.FEATURES_13))
+
+
+@query("signal_round_trip")
+def _(spark, sf):
+    """Dwells of the recordings after a way through ordered parquet files."""
+    path = shared_dir(spark, "signal")
+    recordings.write_signal(samples(spark, sf), path)
+    return segment.runs(spark.read.parquet(path))
+
+
+@query("event_set_round_trip")
+def _(spark, sf):
+    """The event set from its folders by class, scaled by means and deviations read from storage."""
+    path, scaler_path = shared_dir(spark, "events-by-class"), shared_dir(spark, "scaler")
+    recordings.write_events(labelled_events(spark, sf), path)
+    back = recordings.read_events(spark, path, kind="int")
+    scaling.fit_standard(back, features.FEATURES_12).write.parquet(scaler_path)
+    scaled = scaling.apply_standard(back, spark.read.parquet(scaler_path), features.FEATURES_12)
+    return rounded(scaled.select("record_id", "event_id", "label", *features.FEATURES_12))
+
+
+@query("event_model_round_trip")
+def _(spark, sf):
+    """Probabilities of the test events by a model that was saved and loaded."""
+    split, path = _split_events(spark, sf), shared_dir(spark, "model")
+    bayes.fit(split.filter(~F.col("is_test")), features.FEATURES_12, N_CLASSES, sequence=True).save(path)
+    scored = bayes.load(spark, path).score(split.filter("is_test")).select("record_id", "event_id", "pred", "probs")
+    return rounded(scored.select("record_id", "event_id", "pred", F.posexplode("probs").alias("class", "prob")), 4)
+
+
 # Models and streams
 
 

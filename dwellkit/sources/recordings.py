@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,43 +37,71 @@ def _indexed(df: DataFrame) -> DataFrame:
     return index_rows(df, "record_id", ["time"], F.col("time"))
 
 
-def _files(df: DataFrame, full_path: bool) -> Column:
-    """The file as record id. Its name alone, where names are unique; else its whole path."""
-    path = F.col("_metadata.file_path")
-    return path if full_path else F.element_at(F.split(path, "/"), -1)
-
-
-def _names_repeat(df: DataFrame) -> bool:
-    """Whether two of the files have one name; looks at the list of files, not into them."""
-    names = [f.rsplit("/", 1)[-1] for f in df.inputFiles()]
-    return len(set(names)) < len(names)
+def _record(df: DataFrame, paths, root: str | None) -> Column:
+    """The file as record id: its path below the read root, whatever else is read with it.
+
+    The root is ``root`` or, without it, the one folder that is read. For single files, lists and
+    patterns without a root it is the file's name; two files of one name are an error then.
+    """
+    # Spark gives paths as URLs; ids are plain text.
+    whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = F.regexp_replace(whole, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    name = F.element_at(F.split(path, "/"), -1)
+    folder = root or (paths if isinstance(paths, str) and not set("*?[{") & set(paths) else None)
+    if folder is None:
+        names = [f.rsplit("/", 1)[-1] for f in df.inputFiles()]
+        twice = sorted({n for n in names if names.count(n) > 1}) if len(set(names)) < len(names) else []
+        if twice:
+            raise ValueError(f"several files are called {twice[0]}: give the folder above them as root")
+        return name
+    folder = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", folder).rstrip("/")
+    # A relative root starts where its name first stands in the path.
+    start = F.lit(1) if folder.startswith("/") or not folder else F.instr(path, f"/{folder}/") + 1
+    below = F.substring(path, start + F.lit(len(folder) + 1), F.length(path))
+    inside = F.substring(path, start, F.lit(len(folder) + 1)) == F.lit(f"{folder}/")
+    strange = F.raise_error(F.concat(path, F.lit(f" does not lie below {folder}"))).cast("string") if root else name
+    return F.when(inside, below).otherwise(strange)
+
+
+def _named(raw: DataFrame, record: Column, species: bool) -> DataFrame:
+    rows = raw.select(
+        record.alias("record_id"),
+        F.col("Time").alias("time"),
+        F.col("Current").alias("current"),
+        _state("State").alias("state"),
+        *([F.col("Species").alias("species")] if species else []),
+    )
+    return _indexed(rows)
 
 
-def read_recordings(spark: SparkSession, paths, species: bool = False) -> DataFrame:
+def read_recordings(spark: SparkSession, paths, species: bool = False, root: str | None = None) -> DataFrame:
     """CSV recordings with a Time, Current, State (and Species) header. One recording
-    per file, by its name or, where two files have one name, by its path; samples in time
-    order."""
+    per file, by its path below the folder that is read (or ``root``); samples in time order."""
     raw = (
         spark.read.schema(NAMED_SPECIES if species else NAMED)
         .option("header", True)
         .option("enforceSchema", False)
         .csv(paths)
     )
-    rows = raw.select(
-        _files(raw, _names_repeat(raw)).alias("record_id"),
-        F.col("Time").alias("time"),
-        F.col("Current").alias("current"),
-        _state("State").alias("state"),
-        *([F.col("Species").alias("species")] if species else []),
-    )
-    return _indexed(rows)
+    return _named(raw, _record(raw, paths, root), species)
+
+
+def read_written(spark: SparkSession, path: str, kind: str = "string", species: bool = False) -> DataFrame:
+    """What ``write_recordings`` wrote: a recording per folder, however many files are in it.
+
+    ``kind`` is the type of the record ids. An empty id comes back as NULL, as a missing one does.
+    """
+    fields = (NAMED_SPECIES if species else NAMED).fields
+    schema = T.StructType([*fields, T.StructField("record_id", T.StringType())])
+    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    return _named(raw, F.col("record_id").cast(kind), species)
 
 
-def read_positional(spark: SparkSession, paths) -> DataFrame:
+def read_positional(spark: SparkSession, paths, root: str | None = None) -> DataFrame:
     """CSV recordings whose first three columns are time, current and state, whatever
-    the header calls them."""
+    the header calls them. Record ids are those of ``read_recordings``."""
     raw = spark.read.schema(POSITIONAL).option("header", True).option("enforceSchema", True).csv(paths)
-    record = _files(raw, _names_repeat(raw)).alias("record_id")
+    record = _record(raw, paths, root).alias("record_id")
     rows = raw.select(record, "time", "current", _state("state").alias("state"))
     return _indexed(rows)
 
@@ -80,7 +109,7 @@ def read_positional(spark: SparkSession, paths) -> DataFrame:
 def with_classes(
     df: DataFrame, labels: Mapping[str, int], record_class: Mapping[str, str], unclassed: str = "error"
 ) -> DataFrame:
-    """Label and name per recording, from file name -> class name -> label. A class
+    """Label and name per recording, from record id -> class name -> label. A class
     without a label is an error; so is a recording without a class, unless
     ``unclassed`` is 'drop'."""
     if unclassed not in ("error", "drop"):
@@ -148,5 +177,11 @@ def write_events(events: DataFrame, path: str, by: str | None = "label") -> None
     writer.parquet(path)
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_events(spark: SparkSession, path: str, by: str | None = "label", kind: str | None = None) -> DataFrame:
+    """What ``write_events`` wrote. With ``kind`` the class column has that type, else Spark
+    guesses it from the folders' names ('007' becomes 7)."""
+    found = spark.read.parquet(path)
+    if kind is None or by not in found.columns:
+        return found
+    fields = [T.StructField(f.name, T.StringType() if f.name == by else f.dataType) for f in found.schema]
+    return spark.read.schema(T.StructType(fields)).parquet(path).withColumn(by, F.col(by).cast(kind))

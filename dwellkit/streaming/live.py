@@ -21,10 +21,11 @@ from dwellkit.operators.features import FEATURES_13
 
 OPEN_STATE = 2
 WHOLE = ("first_transition_time", "longest_dwell_0", "longest_dwell_1", "event_duration", "num_transitions")
-OUTPUT = "record_id long, event_id long, start_idx long, " + ", ".join(
+OUTPUT_COLUMNS = "event_id long, start_idx long, " + ", ".join(
     f"{f} {'long' if f in WHOLE else 'double'}" for f in FEATURES_13
 )
-STATE = "due long, opens long, event string, early_idx array<long>, early_state array<int>, last_idx long"
+OUTPUT = f"record_id long, {OUTPUT_COLUMNS}"
+STATE = "due long, opens long, event string, early_idx array<long>, early_state array<int>, last_idx long, closed boolean"
 
 
 def _close_run(event: dict) -> None:
@@ -91,13 +92,39 @@ def _read(event: dict | None, opens: int, idx: np.ndarray, states: np.ndarray) -
     return event, opens, closed
 
 
-def segmenter(min_event_length: int, idle_ms: int, event_time: bool):
+def _ready(idx: np.ndarray, due: int, most_ahead: int | None) -> int:
+    """How many of the waiting samples are read now: those due in a row, and, while more than
+    ``most_ahead`` would wait, those after the next gap too."""
+    if not len(idx):
+        return 0
+    ends = np.flatnonzero(np.r_[idx[1:] != idx[:-1] + 1, True]) + 1  # of the rows without a gap
+    ready = int(ends[0]) if idx[0] == due else 0
+    if most_ahead is not None and len(idx) - ready > most_ahead:
+        ready = int(ends[np.searchsorted(ends, len(idx) - most_ahead)])
+    return ready
+
+
+def segmenter(
+    min_event_length: int, idle_ms: int, event_time: bool, most_ahead: int | None = None, remember_closed: bool = False
+):
     """The per-recording step for applyInPandasWithState."""
 
+    def keep(state, latest: int | None, *value) -> None:
+        state.update(value)
+        if event_time:
+            state.setTimeoutTimestamp(max(latest or 0, state.getCurrentWatermarkMs()) + idle_ms)
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        due, opens, event, early_idx, early_state, last_idx = (
-            state.get if state.exists else (0, 0, None, [], [], None)
+        due, opens, event, early_idx, early_state, last_idx, closed = (
+            state.get if state.exists else (0, 0, None, [], [], None, False)
         )
+        if closed:
+            # Late and repeated samples of a closed recording open nothing; silence forgets it.
+            if state.hasTimedOut:
+                state.remove()
+            else:
+                keep(state, None, due, opens, None, [], [], last_idx, True)
+            return
         event = json.loads(event) if event else None
         parts = [(np.array(early_idx, dtype="int64"), np.array(early_state, dtype="int64"))]
         latest = None
@@ -121,22 +148,19 @@ def segmenter(min_event_length: int, idle_ms: int, event_time: bool):
         if len(idx):
             first_seen = np.r_[True, idx[1:] != idx[:-1]]
             idx, states = idx[first_seen], states[first_seen]
-        if state.hasTimedOut:
-            ready = len(idx)
-        else:
-            ready = int(np.argmax(np.r_[idx != due + np.arange(len(idx)), True]))
+        ready = len(idx) if state.hasTimedOut else _ready(idx, due, most_ahead)
         event, opens, rows = _read(event, opens, idx[:ready], states[:ready])
-        due += ready
+        due = int(idx[ready - 1]) + 1 if ready else due
         if state.hasTimedOut or (last_idx is not None and due > last_idx):
             if event is not None:
                 rows.append({"event_id": opens, **_features(event)})
-            state.remove()
+            if remember_closed:
+                keep(state, latest, due, opens, None, [], [], last_idx, True)
+            else:
+                state.remove()
         else:
             packed = json.dumps(event) if event is not None else None
-            early = (idx[ready:].tolist(), states[ready:].tolist())
-            state.update((due, opens, packed, *early, last_idx))
-            if event_time and latest is not None:
-                state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
+            keep(state, latest, due, opens, packed, idx[ready:].tolist(), states[ready:].tolist(), last_idx, False)
         kept = [{"record_id": key[0], **r} for r in rows if r["event_duration"] > min_event_length]
         if kept:
             yield pd.DataFrame(kept)[["record_id", "event_id", "start_idx", *FEATURES_13]]
@@ -150,6 +174,8 @@ def live_events(
     idle_ms: int = 3_600_000,
     event_time: str | None = None,
     lateness: str = "10 minutes",
+    most_ahead: int | None = None,
+    remember_closed: bool | None = None,
 ) -> DataFrame:
     """Features of events as they close, from a streaming signal.
 
@@ -157,7 +183,17 @@ def live_events(
     recording's final sample). Samples may arrive in any order. A recording is flushed
     at its final sample and, where ``event_time`` names a timestamp column, also when
     the watermark shows it silent for ``idle_ms``.
+
+    A missing sample holds back those after it. With ``most_ahead`` a recording never keeps
+    more samples waiting: gaps before the others are then taken as lost, their samples are
+    ignored should they still come, and the events are those of the samples that came.
+    Without it a gap waits for ever, or until the recording falls silent.
+
+    ``remember_closed`` keeps a mark of each closed recording, so that late and repeated samples
+    don't open it anew. With an event time, marks are the default and go once the watermark is
+    ``idle_ms`` past the last sample; without one they stay, a row for each recording.
     """
+    kind = stream.schema["record_id"].dataType.simpleString()
     columns = ["record_id", "sample_idx", "state", "is_last"]
     if event_time:
         slim = stream.select(*columns, F.col(event_time).alias("event_time")).withWatermark("event_time", lateness)
@@ -165,8 +201,10 @@ def live_events(
     else:
         slim = stream.select(*columns)
         timeout = GroupStateTimeout.NoTimeout
-    step = segmenter(min_event_length, idle_ms, event_time is not None)
-    return slim.groupBy("record_id").applyInPandasWithState(step, OUTPUT, STATE, "append", timeout)
+    remember = event_time is not None if remember_closed is None else remember_closed
+    step = segmenter(min_event_length, idle_ms, event_time is not None, most_ahead, remember)
+    output = f"record_id {kind}, {OUTPUT_COLUMNS}"
+    return slim.groupBy("record_id").applyInPandasWithState(step, output, STATE, "append", timeout)
 
 
 def run_to_end(events: DataFrame, path: str, checkpoint: str) -> None:

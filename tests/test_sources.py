@@ -46,12 +46,53 @@ def test_classes_by_file(spark, folder):
     assert [r.record_id for r in kept.select("record_id").distinct().collect()] == ["a.csv"]
 
 
-def test_files_with_one_name_stay_apart(spark, tmp_path):
-    for folder in ("r1", "r2"):
-        (tmp_path / folder).mkdir()
-        write(tmp_path / folder / "rec.csv", "Time,Current,State", [(i * 0.001, 1.0, 0.0) for i in range(8)])
-    sig = recordings.read_recordings(spark, [str(tmp_path / "r1/rec.csv"), str(tmp_path / "r2/rec.csv")])
-    assert sorted(r["count"] for r in sig.groupBy("record_id").count().collect()) == [8, 8]
+@pytest.fixture(scope="module")
+def nested(tmp_path_factory):
+    base = tmp_path_factory.mktemp("nested")
+    for name in ("r1/rec.csv", "r2/rec.csv", "r1/with space+%41.csv"):
+        (base / name).parent.mkdir(exist_ok=True)
+        write(base / name, "Time,Current,State", [(i * 0.001, 1.0, 0.0) for i in range(8)])
+    return base
+
+
+def counts(sig):
+    return {r["record_id"]: r["count"] for r in sig.groupBy("record_id").count().collect()}
+
+
+@pytest.mark.parametrize("reader", [recordings.read_recordings, recordings.read_positional])
+def test_ids_are_paths_below_the_root(spark, nested, reader):
+    both = [str(nested / "r1/rec.csv"), str(nested / "r2/rec.csv")]
+    assert counts(reader(spark, both, root=str(nested))) == {"r1/rec.csv": 8, "r2/rec.csv": 8}
+    # The id of a file does not depend on what else is read.
+    assert counts(reader(spark, both[0], root=f"file://{nested}/")) == {"r1/rec.csv": 8}
+    assert counts(reader(spark, str(nested / "*/rec.csv"), root=str(nested))) == {"r1/rec.csv": 8, "r2/rec.csv": 8}
+    assert counts(reader(spark, str(nested / "r1"))) == {"rec.csv": 8, "with space+%41.csv": 8}
+    assert counts(reader(spark, both[0])) == {"rec.csv": 8}
+    with pytest.raises(ValueError, match="rec.csv"):
+        reader(spark, both)
+    with pytest.raises(Exception, match="does not lie below"):
+        reader(spark, both[0], root=str(nested / "r2")).collect()
+
+
+def test_relative_root(spark, nested):
+    sig = recordings.read_recordings(spark, str(nested / "r2"), root=nested.name)
+    assert counts(sig) == {"r2/rec.csv": 8}
+
+
+def test_csv_round_trip(spark, tmp_path):
+    rows = [(f"a/b {r}=%", i, i * 0.1, r + i / 3, None if i == 4 else i % 3, i % 4) for r in range(3) for i in range(40)]
+    sig = spark.createDataFrame(rows, "record_id string, sample_idx long, time double, current double, state int, species int")
+    recordings.write_recordings(sig.repartition(5), str(tmp_path / "csv"))
+    again = recordings.read_written(spark, str(tmp_path / "csv"), species=True)
+    assert sorted(map(tuple, again.select(sig.columns).collect()), key=str) == sorted(map(tuple, rows), key=str)
+
+
+def test_event_set_keeps_class_type(spark, tmp_path):
+    ev = spark.createDataFrame([("007", 1), ("7", 2)], "label string, event_id long")
+    recordings.write_events(ev, str(tmp_path / "e"))
+    back = recordings.read_events(spark, str(tmp_path / "e"), kind="string")
+    assert sorted((r.label, r.event_id) for r in back.collect()) == [("007", 1), ("7", 2)]
+    assert {r.label for r in recordings.read_events(spark, str(tmp_path / "e")).collect()} == {7}
 
 
 def test_round_trips(spark, folder, tmp_path):

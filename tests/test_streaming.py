@@ -88,6 +88,62 @@ def test_state_does_not_grow_with_the_event():
     assert sizes[-1] < sizes[2] + 40
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_lost_samples_hold_back_a_bounded_number(seed):
+    """Events are those of the samples that came, and no more than the bound ever waits."""
+    rng = random.Random(seed)
+    states = [rng.choice([0, 0, 0, 1, 1, 2]) for _ in range(400)] + [0]
+    lost = set(rng.sample(range(400), 25))
+    rows = [(i, s, i == 400) for i, s in enumerate(states) if i not in lost]
+    state, out = FakeState(), []
+    step = live.segmenter(0, 1000, False, most_ahead=10, remember_closed=True)
+    for at in range(0, len(rows), 7):
+        chunk = rows[at : at + 7]
+        rng.shuffle(chunk)
+        out += feed(step, state, [chunk])
+        assert len(state.value[3]) <= 10
+    # What still waits behind the last gaps comes with the timeout.
+    if not state.value[6]:
+        state.hasTimedOut = True
+        out += [r for pdf in step((5,), iter([]), state) for r in pdf.to_dict("records")]
+    came = [s for i, s in enumerate(states) if i not in lost]
+    want = [brute.features(seq) for _, _, seq in brute.events(came, 0)]
+    assert [r["event_duration"] for r in out] == [w["event_duration"] for w in want]
+    for r, w in zip(out, want):
+        assert all(r[f] == pytest.approx(w[f], abs=1e-9) for f in FEATURES_13)
+
+
+def test_a_gap_waits_without_a_bound_and_goes_with_one():
+    late = [[(i, 0, False) for i in range(5)], [(i, 0, False) for i in range(6, 20)], [(5, 0, False)], [(20, 2, True)]]
+    assert [r["event_duration"] for r in feed(live.segmenter(5, 1000, False), FakeState(), late)] == [20]
+    assert [r["event_duration"] for r in feed(live.segmenter(5, 1000, False, most_ahead=8), FakeState(), late)] == [19]
+
+
+def test_closed_recordings_stay_closed_until_forgotten():
+    state = FakeState()
+    step = live.segmenter(5, 1000, True, remember_closed=True)
+
+    def send(rows):
+        pdf = frame(rows).assign(event_time=pd.Timestamp("2024-01-01"))
+        return [r for out in step((5,), iter([pdf]), state) for r in out.to_dict("records")]
+
+    assert len(send([(i, 0, i == 9) for i in range(10)])) == 1 and state.exists
+    state.timeout = None
+    assert send([(i, 0, i == 9) for i in range(10)]) == [] and state.exists and state.timeout is not None
+    state.hasTimedOut = True
+    assert list(step((5,), iter([]), state)) == [] and not state.exists
+
+
+def test_ids_of_any_type(spark, tmp_path):
+    rows = [(f"r{k}.csv", i, 0, i == 7) for k in range(2) for i in range(8)]
+    schema = "record_id string, sample_idx long, state int, is_last boolean"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    events = live.live_events(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), most_ahead=100)
+    live.run_to_end(events, str(tmp_path / "out"), str(tmp_path / "check"))
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.record_id, r.event_duration) for r in got) == [("r0.csv", 8), ("r1.csv", 8)]
+
+
 def test_event_time_sets_a_timeout():
     state = FakeState()
     pdf = frame([(0, 0, False)]).assign(event_time=pd.Timestamp("2024-01-01"))
