@@ -3,12 +3,16 @@
 One state per recording: where the next sample is due, the open event's running dwell
 statistics, and samples that arrived ahead of their turn. The state does not grow with
 the length of an event. The output rows equal those of the batch job.
+
+Spark takes a few milliseconds for each key of each micro-batch, whatever it holds. So
+recordings share keys: a lane's keyed state is that of its open recordings.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -104,10 +108,64 @@ def _ready(idx: np.ndarray, due: int, most_ahead: int | None) -> int:
     return ready
 
 
+#: Keys that recordings share. Part of the state: a stream goes on with the number it began with.
+LANES = 1024
+LANE_STATE = "recordings binary"
+#: Types of record ids that tell recordings of a lane apart.
+LANE_KINDS = ("tinyint", "smallint", "int", "bigint", "string")
+NEW = (0, 0, None, [], [], None, False)
+
+
+def _advance(
+    value: tuple, idx: np.ndarray, states: np.ndarray, last_idx: int | None, most_ahead: int | None, timed_out: bool
+) -> tuple[tuple, list[dict]]:
+    """A recording's state (that of ``STATE``, the event unpacked) after these samples, in
+    order of arrival, or after its silence; and the events that closed."""
+    due, opens, event, early_idx, early_state, known_last, _ = value
+    last_idx = known_last if last_idx is None else last_idx
+    if len(early_idx):
+        idx = np.concatenate([np.array(early_idx, dtype="int64"), idx])
+        states = np.concatenate([np.array(early_state, dtype="int64"), states])
+    order = np.argsort(idx, kind="stable")
+    idx, states = idx[order], states[order]
+    fresh = idx >= due
+    idx, states = idx[fresh], states[fresh]
+    if len(idx):
+        first_seen = np.r_[True, idx[1:] != idx[:-1]]
+        idx, states = idx[first_seen], states[first_seen]
+    ready = len(idx) if timed_out else _ready(idx, due, most_ahead)
+    event, opens, rows = _read(event, opens, idx[:ready], states[:ready])
+    due = int(idx[ready - 1]) + 1 if ready else due
+    if timed_out or (last_idx is not None and due > last_idx):
+        if event is not None:
+            rows.append({"event_id": opens, **_features(event)})
+        return (due, opens, None, [], [], last_idx, True), rows
+    return (due, opens, event, idx[ready:].tolist(), states[ready:].tolist(), last_idx, False), rows
+
+
+def _samples(batches: Iterator[pd.DataFrame], event_time: bool, named: bool = False) -> tuple[np.ndarray, ...]:
+    """Positions, states, marks of the last sample and times in ms of a key's rows (and their recordings)."""
+    parts = []
+    for pdf in batches:
+        parts.append(
+            (
+                pdf["sample_idx"].to_numpy("int64"),
+                # A missing state reads as "above open": it neither closes nor belongs.
+                pdf["state"].fillna(OPEN_STATE + 1).to_numpy("int64"),
+                pdf["is_last"].fillna(False).to_numpy(bool),
+                pdf["event_time"].to_numpy("datetime64[ms]").astype("int64") if event_time else np.zeros(len(pdf), "int64"),
+                *([pdf["record_id"].to_numpy()] if named else []),
+            )
+        )
+    if not parts:
+        return tuple(np.empty(0, t) for t in ("int64", "int64", bool, "int64", *(["O"] if named else [])))
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
 def segmenter(
     min_event_length: int, idle_ms: int, event_time: bool, most_ahead: int | None = None, remember_closed: bool = False
 ):
-    """The per-recording step for applyInPandasWithState."""
+    """The step for applyInPandasWithState where each recording is a key."""
 
     def keep(state, latest: int | None, *value) -> None:
         state.update(value)
@@ -115,9 +173,7 @@ def segmenter(
             state.setTimeoutTimestamp(max(latest or 0, state.getCurrentWatermarkMs()) + idle_ms)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        due, opens, event, early_idx, early_state, last_idx, closed = (
-            state.get if state.exists else (0, 0, None, [], [], None, False)
-        )
+        due, opens, event, early_idx, early_state, last_idx, closed = state.get if state.exists else NEW
         if closed:
             # Late and repeated samples of a closed recording open nothing; silence forgets it.
             if state.hasTimedOut:
@@ -125,42 +181,15 @@ def segmenter(
             else:
                 keep(state, None, due, opens, None, [], [], last_idx, True)
             return
-        event = json.loads(event) if event else None
-        parts = [(np.array(early_idx, dtype="int64"), np.array(early_state, dtype="int64"))]
-        latest = None
-        if not state.hasTimedOut:
-            for pdf in batches:
-                # A missing state reads as "above open": it neither closes nor belongs.
-                states = pdf["state"].fillna(OPEN_STATE + 1).to_numpy("int64")
-                parts.append((pdf["sample_idx"].to_numpy("int64"), states))
-                ends = pdf.loc[pdf["is_last"].fillna(False).astype(bool), "sample_idx"]
-                if len(ends):
-                    last_idx = int(ends.max())
-                if event_time and len(pdf):
-                    stamp = int(pdf["event_time"].max().timestamp() * 1000)
-                    latest = stamp if latest is None else max(latest, stamp)
-        idx = np.concatenate([p[0] for p in parts])
-        states = np.concatenate([p[1] for p in parts])
-        order = np.argsort(idx, kind="stable")
-        idx, states = idx[order], states[order]
-        fresh = idx >= due
-        idx, states = idx[fresh], states[fresh]
-        if len(idx):
-            first_seen = np.r_[True, idx[1:] != idx[:-1]]
-            idx, states = idx[first_seen], states[first_seen]
-        ready = len(idx) if state.hasTimedOut else _ready(idx, due, most_ahead)
-        event, opens, rows = _read(event, opens, idx[:ready], states[:ready])
-        due = int(idx[ready - 1]) + 1 if ready else due
-        if state.hasTimedOut or (last_idx is not None and due > last_idx):
-            if event is not None:
-                rows.append({"event_id": opens, **_features(event)})
-            if remember_closed:
-                keep(state, latest, due, opens, None, [], [], last_idx, True)
-            else:
-                state.remove()
+        value = (due, opens, json.loads(event) if event else None, early_idx, early_state, last_idx, False)
+        idx, states, ends, times = _samples(() if state.hasTimedOut else batches, event_time)
+        last = int(idx[ends].max()) if ends.any() else None
+        value, rows = _advance(value, idx, states, last, most_ahead, state.hasTimedOut)
+        if value[6] and not remember_closed:
+            state.remove()
         else:
-            packed = json.dumps(event) if event is not None else None
-            keep(state, latest, due, opens, packed, idx[ready:].tolist(), states[ready:].tolist(), last_idx, False)
+            packed = json.dumps(value[2]) if value[2] is not None else None
+            keep(state, int(times.max()) if len(times) else None, *value[:2], packed, *value[3:])
         kept = [{"record_id": key[0], **r} for r in rows if r["event_duration"] > min_event_length]
         if kept:
             yield pd.DataFrame(kept)[["record_id", "event_id", "start_idx", *FEATURES_13]]
@@ -168,6 +197,62 @@ def segmenter(
     return step
 
 
+def lane_segmenter(
+    min_event_length: int, idle_ms: int, event_time: bool, most_ahead: int | None = None, remember_closed: bool = False
+) -> Callable:
+    """The step for applyInPandasWithState where a key is a lane: what ``segmenter`` does, for each
+    recording that has samples or, by its own deadline, has fallen silent."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        open_now: dict = pickle.loads(state.get[0]) if state.exists else {}  # id: (state of the recording, deadline)
+        watermark = state.getCurrentWatermarkMs() if event_time else None
+        rows: list[dict] = []
+
+        def move(record, idx, states, last, latest: int | None, timed_out: bool) -> None:
+            value = open_now[record][0] if record in open_now else NEW
+            if value[6]:
+                # As for a single recording: a mark stays while samples come, and goes with the silence.
+                value, latest = None if timed_out else value, None
+            else:
+                value, closed = _advance(value, idx, states, last, most_ahead, timed_out)
+                rows.extend({"record_id": record, **r} for r in closed if r["event_duration"] > min_event_length)
+                if value[6] and not remember_closed:
+                    value = None
+            if value is None:
+                open_now.pop(record, None)
+            else:
+                open_now[record] = (value, max(latest or 0, watermark) + idle_ms if event_time else None)
+
+        idx, states, ends, times, records = _samples(() if state.hasTimedOut else batches, event_time, named=True)
+        if key[0] < 0:  # samples of no recording have a lane to themselves
+            codes, names = np.zeros(len(idx), "int64"), [None]
+        else:
+            codes, names = pd.factorize(records)
+            names = names.tolist()
+        order = np.argsort(codes, kind="stable")
+        idx, states, ends, times, codes = (c[order] for c in (idx, states, ends, times, codes))
+        cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)] if len(codes) else []
+        for a, b in zip(cuts, cuts[1:]):
+            own = idx[a:b]
+            last = int(own[ends[a:b]].max()) if ends[a:b].any() else None
+            move(names[codes[a]], own, states[a:b], last, int(times[a:b].max()) if event_time else None, False)
+        if event_time:
+            came = {names[c] for c in codes[cuts[:-1]].tolist()} if len(codes) else set()
+            none = np.empty(0, "int64")
+            for record in [r for r, (_, deadline) in open_now.items() if deadline < watermark and r not in came]:
+                move(record, none, none, None, None, True)
+        if open_now:
+            state.update((pickle.dumps(open_now, pickle.HIGHEST_PROTOCOL),))
+            if event_time:
+                state.setTimeoutTimestamp(min(deadline for _, deadline in open_now.values()))
+        elif state.exists:
+            state.remove()
+        if rows:
+            yield pd.DataFrame(rows)[["record_id", "event_id", "start_idx", *FEATURES_13]]
+
+    return step
+
+
 def live_events(
     stream: DataFrame,
     min_event_length: int = 5,
@@ -176,6 +261,7 @@ def live_events(
     lateness: str = "10 minutes",
     most_ahead: int | None = None,
     remember_closed: bool | None = None,
+    lanes: int | None = LANES,
 ) -> DataFrame:
     """Features of events as they close, from a streaming signal.
 
@@ -192,6 +278,10 @@ def live_events(
     ``remember_closed`` keeps a mark of each closed recording, so that late and repeated samples
     don't open it anew. With an event time, marks are the default and go once the watermark is
     ``idle_ms`` past the last sample; without one they stay, a row for each recording.
+
+    Recordings share ``lanes`` keys, so a micro-batch costs its samples, not its recordings; a
+    lane's state is that of its open recordings. Each recording is a key without lanes, where marks
+    stay for ever, and for ids that are neither whole numbers nor text.
     """
     kind = stream.schema["record_id"].dataType.simpleString()
     columns = ["record_id", "sample_idx", "state", "is_last"]
@@ -202,9 +292,13 @@ def live_events(
         slim = stream.select(*columns)
         timeout = GroupStateTimeout.NoTimeout
     remember = event_time is not None if remember_closed is None else remember_closed
-    step = segmenter(min_event_length, idle_ms, event_time is not None, most_ahead, remember)
+    how = (min_event_length, idle_ms, event_time is not None, most_ahead, remember)
     output = f"record_id {kind}, {OUTPUT_COLUMNS}"
-    return slim.groupBy("record_id").applyInPandasWithState(step, output, STATE, "append", timeout)
+    if lanes is None or kind not in LANE_KINDS or (remember and not event_time):
+        return slim.groupBy("record_id").applyInPandasWithState(segmenter(*how), output, STATE, "append", timeout)
+    lane = F.when(F.col("record_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("record_id"), F.lit(lanes))).cast("int")
+    by_lane = slim.withColumn("lane", lane).groupBy("lane")
+    return by_lane.applyInPandasWithState(lane_segmenter(*how), output, LANE_STATE, "append", timeout)
 
 
 def run_to_end(events: DataFrame, path: str, checkpoint: str) -> None:

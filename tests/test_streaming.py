@@ -168,3 +168,54 @@ def test_event_time_stream_flushes_silent_recordings(spark, tmp_path):
     live.run_to_end(events, str(tmp_path / "out"), str(tmp_path / "check"))
     got = spark.read.schema(live.OUTPUT).parquet(str(tmp_path / "out")).collect()
     assert [(r.record_id, r.event_duration) for r in got if r.record_id == 1] == [(1, 8)]
+
+
+@pytest.mark.parametrize("event_time", [False, True])
+def test_lanes_give_what_single_recordings_give(event_time):
+    """Samples of many recordings in one key, one of them silent: events and what is kept are the same."""
+    rng = random.Random(5)
+    rows = []
+    for rec in range(30):
+        states = [rng.choice([0, 0, 1, 1, 2, 3, None]) for _ in range(rng.randrange(1, 60))]
+        rows += [(rec, i, s, i == len(states) - 1 and rec % 3 > 0) for i, s in enumerate(states)]
+    rng.shuffle(rows)
+    lane, alone = FakeState(), {r: FakeState() for r in range(30)}
+    how = (2, 1000, event_time, 5, event_time)
+    one, many, got, want = live.segmenter(*how), live.lane_segmenter(*how), [], []
+    for at in range(0, len(rows), 100):
+        pdf = pd.DataFrame(rows[at : at + 100], columns=["record_id", "sample_idx", "state", "is_last"])
+        pdf["event_time"] = pd.Timestamp("2024-01-01")
+        got += [r for out in many((0,), iter([pdf[:40], pdf[40:]]), lane) for r in out.to_dict("records")]
+        for rec, own in pdf.groupby("record_id"):
+            want += [r for out in one((rec,), iter([own]), alone[rec]) for r in out.to_dict("records")]
+    assert len(got) > 30 and sorted(map(str, got)) == sorted(map(str, want))
+    assert set(live.pickle.loads(lane.value[0])) == {r for r, s in alone.items() if s.exists}
+    if event_time:
+        assert lane.timeout == min(s.timeout for s in alone.values() if s.exists)
+        late = 1 + max(s.timeout for s in alone.values() if s.exists)
+        lane.hasTimedOut, lane.getCurrentWatermarkMs = True, lambda: late
+        got = [r for out in many((0,), iter([]), lane) for r in out.to_dict("records")]
+        want = []
+        for rec, s in alone.items():
+            if s.exists:
+                s.hasTimedOut, s.getCurrentWatermarkMs = True, lambda: late
+                want += [r for out in one((rec,), iter([]), s) for r in out.to_dict("records")]
+        assert got and sorted(map(str, got)) == sorted(map(str, want))
+        assert set(live.pickle.loads(lane.value[0])) == {r for r, s in alone.items() if s.exists}
+
+
+def test_recordings_share_keys(spark, tmp_path):
+    """The state has a row for each lane, not for each recording; samples of no recording are one recording."""
+    rows = [(None if k == 0 else (1 << 60) + k, i, 0, i == 7) for k in range(40) for i in range(8)]
+    schema = "record_id long, sample_idx long, state int, is_last boolean"
+    spark.createDataFrame(rows, schema).where("sample_idx < 5").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    for at, lanes in (("lanes", 4), ("alone", None)):
+        out, check = str(tmp_path / at), str(tmp_path / f"{at}-check")
+        live.run_to_end(live.live_events(stream, lanes=lanes), out, check)
+        state = spark.read.format("statestore").load(check)
+        assert state.count() == (5 if lanes else 40)
+    spark.createDataFrame(rows, schema).where("sample_idx >= 5").write.mode("append").parquet(str(tmp_path / "in"))
+    live.run_to_end(live.live_events(stream, lanes=4), str(tmp_path / "lanes"), str(tmp_path / "lanes-check"))
+    got = spark.read.schema(live.OUTPUT).parquet(str(tmp_path / "lanes")).collect()
+    assert {(r.record_id, r.event_duration) for r in got} == {(r[0], 8) for r in rows} and len(got) == 40
