@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dwellkit.operators.prefix import index_rows, join_small
+from dwellkit.session import shared_dir
 
 NAMED = T.StructType(
     [
@@ -90,11 +91,15 @@ def read_written(spark: SparkSession, path: str, kind: str = "string", species:
     """What ``write_recordings`` wrote: a recording per folder, however many files are in it.
 
     ``kind`` is the type of the record ids. An empty id comes back as NULL, as a missing one does.
+    Numbering samples reads them more than once; to open a file is what a small recording
+    costs, so the files are parsed once, into a table in the shared folder.
     """
     fields = (NAMED_SPECIES if species else NAMED).fields
     schema = T.StructType([*fields, T.StructField("record_id", T.StringType())])
     raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
-    return _named(raw, F.col("record_id").cast(kind), species)
+    parsed = shared_dir(spark, "parsed")
+    raw.write.parquet(parsed)
+    return _named(spark.read.schema(schema).parquet(parsed), F.col("record_id").cast(kind), species)
 
 
 def read_positional(spark: SparkSession, paths, root: str | None = None) -> DataFrame:
@@ -128,10 +133,14 @@ def with_classes(
 
 
 def write_recordings(signal: DataFrame, path: str) -> None:
-    """CSV with header, one folder per recording, samples of a file in order."""
+    """CSV with header, one folder per recording, samples of a file in order.
+
+    The time goes into opening files, so tasks are not merged by their few bytes.
+    """
+    tasks = int(signal.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     extra = [F.col("species").alias("Species")] if "species" in signal.columns else []
     (
-        signal.repartitionByRange("record_id", "sample_idx")
+        signal.repartitionByRange(tasks, "record_id", "sample_idx")
         .sortWithinPartitions("record_id", "sample_idx")
         .select(
             "record_id",

@@ -87,6 +87,18 @@ def test_csv_round_trip(spark, tmp_path):
     assert sorted(map(tuple, again.select(sig.columns).collect()), key=str) == sorted(map(tuple, rows), key=str)
 
 
+def test_csv_files_are_opened_once_and_by_all_tasks(spark, tmp_path):
+    """However few bytes there are, every task writes; what follows reads no CSV file again."""
+    rows = [(r, i, i * 0.1, 1.0, 0) for r in range(40) for i in range(10)]
+    sig = spark.createDataFrame(rows, "record_id long, sample_idx long, time double, current double, state int")
+    recordings.write_recordings(sig.repartition(5), str(tmp_path / "csv"))
+    writers = {f.name.split("-")[1] for f in (tmp_path / "csv").glob("record_id=*/part-*.csv")}
+    assert len(writers) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    back = recordings.read_written(spark, str(tmp_path / "csv"), "bigint")
+    assert not any(".csv" in f for f in back.inputFiles())
+    assert sorted(map(tuple, back.select(sig.columns).collect())) == rows
+
+
 def test_event_set_keeps_class_type(spark, tmp_path):
     ev = spark.createDataFrame([("007", 1), ("7", 2)], "label string, event_id long")
     recordings.write_events(ev, str(tmp_path / "e"))
