@@ -4,7 +4,8 @@ A bucket's smallest row is its first hub. A member meets one hub first, the smal
 its buckets. Members that this connects need no more comparisons among themselves. In buckets
 that still hold several components the first hub and 8, 64, 512... other members become hubs
 and meet those of other components, until each pair of a bucket has been compared or is
-connected. A member costs a row for each hub, never a row for each other member.
+connected. A member costs a row for each hub, never a row for each other member. Of the pairs
+of two components only those come out of the join whose sketches allow a link.
 """
 
 from __future__ import annotations
@@ -85,6 +86,11 @@ def members_of(entries: DataFrame) -> DataFrame:
     return out
 
 
+def differing(places: range) -> str:
+    """SQL for the number of bits in which two sketches differ at these places."""
+    return "(" + " + ".join(f"bit_count(sketch_a[{i}] ^ sketch_b[{i}])" for i in places) + ")"
+
+
 def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """With label, the component of node, or node itself where it has none."""
     if labels is None:
@@ -94,12 +100,12 @@ def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def link(
-    entries: DataFrame, texts: DataFrame, verify: Callable, compatible: str, sketches: DataFrame | None = None
+    entries: DataFrame, texts: DataFrame, verify: Callable, compatible: str, sketches: DataFrame | Callable
 ) -> DataFrame | None:
     """(node, component) over the nodes that links connect; None where no bucket has two rows.
 
-    entries: (key, node, size), distinct; texts: (node, text); sketches: (node, sketch),
-    anything small that tells pairs apart. ``compatible`` is a SQL condition on size_a,
+    entries: (key, node, size), distinct; texts: (node, text); sketches: (node, sketch), a few
+    numbers that tell pairs apart, or what makes them of (node, text). ``compatible`` is a SQL condition on size_a,
     size_b, sketch_a and sketch_b that linked pairs fulfil; ``verify`` maps Arrow batches
     (a, b, text_a, text_b), sorted by b, to the linked (a, b).
     """
@@ -115,8 +121,8 @@ def link(
         with_b = with_a.join(near.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return stored(with_b.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "links")
 
-    if sketches is None:
-        sketches = members.select("node", F.lit(None).cast("long").alias("sketch")).distinct()
+    if callable(sketches):
+        sketches = stored(sketches(near), "sketches")
 
     def compatible_pairs(pairs: DataFrame) -> DataFrame:
         """Of (a, b, size_a, size_b) those worth a look into the texts."""

@@ -10,15 +10,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellkit.llm.buckets import labelled, link
+from dwellkit.llm.buckets import differing, labelled, link
 from dwellkit.llm.store import numbered, stored
-from dwellkit.llm.text import pieces
+from dwellkit.llm.text import LOWER, as_bytes, pieces
 
 THRESHOLD = 2
 #: Shorter lines have a smaller threshold: two edits would make many of them the same.
@@ -29,6 +31,7 @@ SHORT_CHARS = 16
 BROADCAST_ROWS = 200_000
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _BLANKS = " \t\n\r\x0b\x0c"
+_BLANK_BYTES = _BLANKS.encode()
 
 
 def normalised(line: str) -> str:
@@ -68,16 +71,29 @@ def allowed(length: int, threshold: int, min_chars: int, short: bool) -> int:
     return min(1, threshold) if short and length >= min(SHORT_CHARS, min_chars) else 0
 
 
-def keys_of(line: str, threshold: int, min_chars: int, short: bool = False) -> list[int]:
-    """Hashes of the line's own index entries and of those it looks for."""
-    length = len(line)
-    out = set()
+@lru_cache(4096)
+def places_of(length: int, threshold: int, min_chars: int, short: bool) -> list[tuple[int, int, int]]:
+    """(start, stop, number of the segment) of the substrings that a line of this length looks for."""
+    out = []
     for indexed in range(max(SHORT_CHARS if short else min_chars, length - threshold), length + 1):
         own = allowed(indexed, threshold, min_chars, short)
         for i, start, size in probes(length, indexed, own) if length - indexed <= own else ():
-            out.add(xxhash.xxh64_intdigest(line[start : start + size].encode(), indexed * (threshold + 1) + i))
+            out.append((start, start + size, indexed * (threshold + 1) + i))
+    return out
+
+
+def _hashes(line: str, threshold: int, min_chars: int, short: bool) -> set[int]:
+    places = places_of(len(line), threshold, min_chars, short)
+    if line.isascii():
+        raw = line.encode()
+        return {xxhash.xxh64_intdigest(raw[a:b], seed) for a, b, seed in places}
+    return {xxhash.xxh64_intdigest(line[a:b].encode(), seed) for a, b, seed in places}
+
+
+def keys_of(line: str, threshold: int, min_chars: int, short: bool = False) -> list[int]:
+    """Hashes of the line's own index entries and of those it looks for."""
     # Equal lengths probe their own segments too, so the index entries are among these.
-    return [k - (1 << 64) if k >> 63 else k for k in out]
+    return [k - (1 << 64) if k >> 63 else k for k in _hashes(line, threshold, min_chars, short)]
 
 
 def within(a: str, b: str, threshold: int) -> bool:
@@ -116,6 +132,28 @@ def within(a: str, b: str, threshold: int) -> bool:
     return bool(reach[-1] >> (len(b) - len(a) + threshold) & 1)
 
 
+#: Cells in which a line's characters and its pairs of neighbours are counted modulo 2.
+CHAR_CELLS, PAIR_CELLS = 64, 256
+
+
+def line_sketch(line: str) -> np.ndarray:
+    """Whether each cell has an odd number of the line's characters or pairs, 64 cells to a
+    number. An edit changes two characters and four pairs at most."""
+    points = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    chars = (points * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
+    pairs = ((points[:-1] << np.uint64(21) | points[1:]) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(56)
+    odd = [np.bincount(x.astype(np.int64), minlength=n) & 1 for x, n in ((chars, CHAR_CELLS), (pairs, PAIR_CELLS))]
+    return np.packbits(np.concatenate(odd).astype(np.uint8)).view(np.int64)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [line_sketch(x) for x in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("node"), pa.array(rows, pa.list_(pa.int64()))], names=["node", "sketch"]
+        )
+
+
 def _verifier(threshold: int, min_chars: int, short: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,17 +173,19 @@ def _lines(min_chars: int, with_text: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, most=2 << 20, column="text"):
             at, numbers, digests, texts = [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                for number, raw in enumerate((text or "").split("\n")):
-                    line = normalised(raw)
-                    if len(line) >= min_chars:
+            for i, text in enumerate(as_bytes(batch.column("text"))):
+                # What ``normalised`` does, on the bytes of the whole text.
+                for number, raw in enumerate((text or b"").translate(LOWER).split(b"\n")):
+                    line = raw.strip(_BLANK_BYTES)
+                    if len(line) >= min_chars and (min_chars <= 1 or len(line.decode()) >= min_chars):
                         at.append(i)
                         numbers.append(number)
-                        digests.append(hashlib.blake2b(line.encode(), digest_size=16).digest())
+                        digests.append(hashlib.blake2b(line, digest_size=16).digest())
                         texts.append(line)
             digest = pa.array(digests, pa.binary())
             if with_text:
-                yield pa.RecordBatch.from_arrays([digest, pa.array(texts, pa.string())], names=["digest", "text"])
+                text = pa.array(texts, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([digest, text], names=["digest", "text"])
             else:
                 ids = batch.column("row_key").take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(numbers, pa.int64()), digest], names=["row_key", "line_no", "digest"])
@@ -156,15 +196,15 @@ def _lines(min_chars: int, with_text: bool) -> Callable:
 def _entries(threshold: int, min_chars: int, short: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, nodes, sizes = [], [], []
-            for node, line in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
-                own = keys_of(line, threshold, min_chars, short)
-                keys += own
-                nodes += [node] * len(own)
-                sizes += [len(line)] * len(own)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in (keys, nodes, sizes)], names=["key", "node", "size"]
-            )
+            keys, counts, sizes = [], [], []
+            for line in batch.column("text").to_pylist():
+                own = _hashes(line, threshold, min_chars, short)
+                keys.extend(own)
+                counts.append(len(own))
+                sizes.append(len(line))
+            key = np.fromiter(keys, np.uint64, len(keys)).view(np.int64)
+            node, size = (np.repeat(np.asarray(c, np.int64), counts) for c in (batch.column("node"), sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, node, size)], names=["key", "node", "size"])
 
     return run
 
@@ -201,8 +241,18 @@ def repeated_lines(
     entries = distinct.select("node", "text").mapInArrow(
         _entries(threshold, min_chars, short), "key long, node long, size long"
     )
-    compatible = f"abs(size_a - size_b) <= {threshold}"
-    labels = link(entries, distinct.select("node", "text"), _verifier(threshold, min_chars, short), compatible)
+    chars, pairs = CHAR_CELLS // 64, PAIR_CELLS // 64
+    compatible = (
+        f"abs(size_a - size_b) <= {threshold} and {differing(range(chars))} <= {2 * threshold}"
+        f" and {differing(range(chars, chars + pairs))} <= {4 * threshold}"
+    )
+    labels = link(
+        entries,
+        distinct.select("node", "text"),
+        _verifier(threshold, min_chars, short),
+        compatible,
+        lambda near: near.select("node", "text").mapInArrow(_sketches, "node long, sketch array<long>"),
+    )
     rank = F.struct(F.col("row_key").isNull().alias("no_key"), "row_key", "place", "line_no")
     ranked = places.select("digest", rank.alias("rank"))
     firsts = ranked.groupBy("digest").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
