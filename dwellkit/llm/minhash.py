@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellkit.llm.buckets import labelled, link
+from dwellkit.llm.buckets import differing, labelled, link
 from dwellkit.llm.store import numbered, stored
 from dwellkit.llm.text import LOWER, WordHashes, as_bytes, pieces, shingle_set
 
@@ -28,6 +28,8 @@ BANDS, ROWS = 64, 8
 #: Lowest bits of the 512 coordinates that a compared pair may differ in. A pair at 0.8
 #: differs in 51 on average and in more than 96 with probability 1e-10; one at 0.5 in 128.
 MOST_BITS = 96
+#: Cells in which a set's shingles are counted modulo 2. Sets that differ in d shingles differ in d cells at most.
+PARITY_BITS = 512
 
 
 def ring(bands: int = BANDS, rows: int = ROWS, seed: int = 20) -> np.ndarray:
@@ -57,6 +59,13 @@ def sketch(sig: np.ndarray) -> np.ndarray:
     return np.packbits((sig & 1).astype(np.uint8)).view(np.int64)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Whether each cell has an odd number of the shingles, 64 cells to a number."""
+    shift = np.uint64(64 - (PARITY_BITS.bit_length() - 1))
+    cells = ((shingles * np.uint64(0x9FB21C651E98DF25)) >> shift).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _signer(words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ranks = WordHashes(), ring()
@@ -68,7 +77,7 @@ def _signer(words: int) -> Callable:
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig = signature(s, ranks) if len(s) else None
                 keys.append(None if sig is None else band_keys(sig))
-                sketches.append(None if sig is None else sketch(sig))
+                sketches.append(None if sig is None else np.concatenate([sketch(sig), parity(s)]))
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns,
@@ -152,10 +161,10 @@ def near_duplicates(
     # Sets of very different size can't be that similar, nor those whose signatures differ in very many bits.
     compatible = f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
     if percent >= 80:
-        compatible += (
-            " and aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-            f" <= {MOST_BITS}"
-        )
+        compatible += f" and {differing(range(BANDS * ROWS // 64))} <= {MOST_BITS}"
+    # At similarity p sets of a and b shingles differ in (a + b) * (1 - p) / (1 + p) of them at most: no linked pair is lost.
+    cells = differing(range(BANDS * ROWS // 64, (BANDS * ROWS + PARITY_BITS) // 64))
+    compatible += f" and {100 + percent} * {cells} <= {100 - percent} * (size_a + size_b)"
     labels = link(entries, texts, _verifier(words, percent), compatible, classes.select("node", "sketch"))
     named = labelled(classes.select("digest", "node", "least_id", "first_row"), labels)
     roots = named.groupBy("label").agg(
