@@ -8,11 +8,14 @@ tokenizer itself, page by page, so the words are its own whatever Unicode versio
 from __future__ import annotations
 
 import re
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
+from dwellkit.llm.text import cut
+
 # The contractions that are words of their own.
 CONTRACTIONS = ("'re", "'ve", "'ll", "'s", "'t", "'m", "'d")
 BLANK, SPACE, LETTER, DIGIT, SIGN, UNASKED = 0, 1, 2, 3, 4, 255
@@ -39,27 +42,46 @@ class Splitter:
     def _plain(self, text: str) -> list[str]:
         if not text:
             return []
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        cuts = [*np.flatnonzero(self._starts(text, np.zeros(1, np.int64))[1]).tolist(), len(text)]
+        return [text[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _starts(self, joined: str, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(characters, whether a word starts there) of texts that stand one after the other."""
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         kinds = self.kinds[codes]
         if (kinds == UNASKED).any():
             for page in np.unique(codes[kinds == UNASKED] >> 8):
                 self._ask(int(page))
             kinds = self.kinds[codes]
-        white = kinds <= SPACE
-        merged = np.where(white, SPACE, kinds)
-        start = np.ones(len(codes), bool)
-        start[1:] = merged[1:] != merged[:-1]
+        white, head = kinds <= SPACE, np.zeros(len(codes), bool)
+        head[firsts] = True
+        merged = np.maximum(kinds, SPACE)
+        start = head.copy()
+        start[1:] |= merged[1:] != merged[:-1]
         # The last of several white characters before a word stands alone or, if a blank, with the word.
-        start[1:-1] |= white[1:-1] & white[:-2] & ~white[2:]
-        start[1:] &= ~(~white[1:] & (kinds[:-1] == BLANK))
+        start[1:-1] |= white[1:-1] & white[:-2] & ~white[2:] & ~head[1:-1] & ~head[2:]
+        start[1:] &= white[1:] | (kinds[:-1] != BLANK) | head[1:]
         for at in np.flatnonzero((codes == 39) & start):
-            found = next((c for c in CONTRACTIONS if text.startswith(c, at)), None)
+            own = firsts.searchsorted(at, "right")
+            end = firsts[own] if own < len(firsts) else len(codes)
+            found = next((c for c in CONTRACTIONS if at + len(c) <= end and joined.startswith(c, at)), None)
             if found and start[at]:
                 start[at + 1 : at + len(found)] = False
-                if at + len(found) < len(start) and not white[at + len(found)]:
+                if at + len(found) < end and not white[at + len(found)]:
                     start[at + len(found)] = True
-        cuts = [*np.flatnonzero(start).tolist(), len(text)]
-        return [text[a:b] for a, b in zip(cuts, cuts[1:])]
+        return codes, start
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, pa.Array]:
+        """(number of words of each text, the words of all texts): ``split`` for many texts at once."""
+        joined = "".join(texts)
+        if not joined or self.special and self.special.search(joined):
+            lists = [self.split(t) for t in texts]
+            return np.fromiter(map(len, lists), np.int64, len(lists)), pa.array([w for own in lists for w in own], pa.string())
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        firsts = np.concatenate([[0], ends[:-1]])
+        codes, start = self._starts(joined, np.unique(firsts[firsts < len(joined)]))
+        at = np.flatnonzero(start)
+        return np.diff(at.searchsorted(np.concatenate([[0], ends]))), cut(joined, codes, at)
 
     def split(self, text: str) -> list[str]:
         """The words; a special token's string is a word."""
@@ -71,13 +93,11 @@ class Splitter:
         return out
 
 
-#: Words go to the tokenizer in lots: what it returns for a word is far larger than the ids kept.
-LOT = 4096
-
-
-def encode_words(tokenizer: Tokenizer, words: list[str]) -> list[list[int]]:
-    lots = (words[i : i + LOT] for i in range(0, len(words), LOT))
-    return [e.ids for lot in lots for e in tokenizer.encode_batch(lot, add_special_tokens=False)]
+def distinct(words: list[pa.Array]) -> tuple[np.ndarray, pa.Array]:
+    """(number of each word, the distinct words in the order of their numbers)."""
+    coded = pa.chunked_array(words, pa.string()).dictionary_encode().unify_dictionaries()
+    numbers = [np.empty(0, np.int32), *(c.indices.to_numpy() for c in coded.chunks)]
+    return np.concatenate(numbers), coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.string())
 
 
 def byte_of_char() -> dict[str, int]:
@@ -88,6 +108,34 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+_CHARS = {b: c for c, b in byte_of_char().items()}
+
+
+def encoded(tokenizer: Tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, ids) of words as ``Splitter`` gives them. Each is a piece by itself or a special
+    token, so the tokenizer's model alone is asked, without its search for pieces."""
+    specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    raw = "".join(words).encode()
+    mapped, ids_of, id_of = raw.decode("latin-1").translate(_CHARS), tokenizer.model.tokenize, attrgetter("id")
+    ids: list[int] = []
+    ends, at = [0], 0
+    for word in words:
+        end = at + (len(word) if word.isascii() else len(word.encode()))
+        if word in specials:
+            ids.append(specials[word])
+        else:
+            ids.extend(map(id_of, ids_of(mapped[at:end])))
+        ends.append(len(ids))
+        at = end
+    return np.diff(ends).astype(np.int32), np.array(ids, np.int32)
+
+
+def encode_words(tokenizer: Tokenizer, words: list[str]) -> list[list[int]]:
+    lengths, ids = encoded(tokenizer, words)
+    ends, flat = np.cumsum(lengths).tolist(), ids.tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def vocabulary(path: str) -> list[bytes]:
     """The bytes that each id stands for; a table of the tokenizer's own, fixed size."""
     tokenizer = Tokenizer.from_file(path)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dwellkit.llm.pretokens import Splitter, encode_words, gathered, grown, packed, shrunk
+from dwellkit.llm.pretokens import Splitter, distinct, encoded, gathered, grown, packed, shrunk
 from dwellkit.llm.store import stored
 from dwellkit.llm.text import pieces
 
@@ -26,6 +26,8 @@ from dwellkit.llm.text import pieces
 #: Characters of a text that tell rows of one id apart where the table is cut into parts.
 KEY_CHARS = 32
 SHARD_IDS = 1_000_000
+#: Words whose ids a task remembers beside those of its open shard.
+KNOWN_WORDS = 400_000
 #: A pair is replaced while it stands this often; rounds end when a round would shorten the shard by less than this share.
 LEAST, WORTH = 8, 0.01
 #: Sequences end documents; a symbol never reaches over one.
@@ -38,35 +40,56 @@ def _chosen(counts: np.ndarray) -> np.ndarray:
     n = len(counts)
     start = np.ones(n, bool)
     start[1:] = counts[1:] != counts[:-1]
-    first = np.maximum.accumulate(np.where(start, np.arange(n), 0))
-    higher_left = np.zeros(n, bool)
-    higher_left[1:] = counts[:-1] > counts[1:]
-    shift = higher_left[first]
-    offset = np.arange(n) - first
-    pick = (counts > 0) & (offset >= shift) & ((offset - shift) % 2 == 0)
+    heads = np.flatnonzero(start)
+    # Runs of equal counts; one that follows a higher count begins a place later.
+    from_left = np.zeros(len(heads), bool)
+    from_left[1:] = counts[heads[1:] - 1] > counts[heads[1:]]
+    odd = np.repeat((heads + from_left) & 1, np.diff(np.append(heads, n)))
+    pick = (counts > 0) & (odd == np.arange(n) & 1)
+    pick[heads[from_left]] = False
     pick[:-1] &= counts[1:] <= counts[:-1]
     return np.flatnonzero(pick)
 
 
+def _grouped(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct codes, number of each one's, counts): np.unique by one sort of code and place in one number."""
+    bits = len(codes).bit_length()
+    if not len(codes) or int(codes.max()) >> (62 - bits):
+        return np.unique(codes, return_inverse=True, return_counts=True)
+    packed_codes = np.sort(codes << bits | np.arange(len(codes)))
+    ordered = packed_codes >> bits
+    first = np.ones(len(codes), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(codes), np.int64)
+    which[packed_codes & ((1 << bits) - 1)] = np.cumsum(first) - 1
+    starts = np.flatnonzero(first)
+    return ordered[starts], which, np.diff(np.append(starts, len(codes)))
+
+
 def _round(seq: np.ndarray, weights: np.ndarray | None, base: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(rules, shorter sequence): the frequent pairs of one pass become symbols from ``base`` on."""
     inside = (seq[:-1] >= 0) & (seq[1:] >= 0)
-    codes = np.where(inside, seq[:-1] * base + seq[1:], -1)
-    _, which, counts = np.unique(codes, return_inverse=True, return_counts=True)
-    if weights is not None:
-        counts = np.bincount(which, weights[:-1])
-    own = np.where(inside, counts[which], 0)
-    at = _chosen(np.where(own >= least, own, 0))
-    pairs, symbol, used = np.unique(codes[at], return_inverse=True, return_counts=True)
+    places = np.flatnonzero(inside)
+    codes = seq[places] * base + seq[places + 1]
+    pairs, which, counts = _grouped(codes)
     if weights is not None:
-        used = np.bincount(symbol, weights[at], minlength=len(pairs))
+        counts = np.bincount(which, weights[places], minlength=len(pairs)).astype(np.int64)
+    own = np.zeros(len(inside), np.int64)
+    often = counts[which]
+    own[places] = np.where(often >= least, often, 0)
+    symbol_at = np.empty(len(inside), np.int64)
+    symbol_at[places] = which
+    at = _chosen(own)
+    used = np.bincount(symbol_at[at], None if weights is None else weights[at], minlength=len(pairs))
     keep = used >= least
     numbers = base + np.cumsum(keep) - 1
-    at, symbol = at[keep[symbol]], symbol[keep[symbol]]
+    at = at[keep[symbol_at[at]]]
     out = seq.copy()
-    out[at] = numbers[symbol]
+    out[at] = numbers[symbol_at[at]]
     pairs = pairs[keep]
-    return np.column_stack([pairs // base, pairs % base]).astype(np.int32), np.delete(out, at + 1)
+    left = np.ones(len(seq), bool)
+    left[at + 1] = False
+    return np.column_stack([pairs // base, pairs % base]).astype(np.int32), out[left]
 
 
 def compress(seq: np.ndarray, n_ids: int, least: int = LEAST, worth: float = WORTH) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +130,13 @@ def expand(symbols: np.ndarray, rules: np.ndarray, n_ids: int) -> np.ndarray:
         symbols = out
 
 
-def word_grammar(words: list[list[int]], counts: np.ndarray, n_ids: int, least: int = LEAST) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Rules from pairs inside words, each counted as often as its word stands in the
-    shard, and the words in the new symbols. What compress() would find inside words, found
-    on the distinct ones."""
-    lengths, flat = packed(words)
+def word_rules(
+    lengths: np.ndarray, flat: np.ndarray, counts: np.ndarray, n_ids: int, least: int = LEAST
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rules, lengths, symbols): ``word_grammar`` over the ids of all words, one word after the other."""
+    lengths = lengths.astype(np.int64)
     weights = np.repeat(counts, lengths + 1)
-    seq = np.full(len(flat) + len(words), END_OF_DOC, np.int64)
+    seq = np.full(len(flat) + len(lengths), END_OF_DOC, np.int64)
     ends = np.cumsum(lengths + 1) - 1
     body = np.ones(len(seq), bool)
     body[ends] = False
@@ -128,7 +151,63 @@ def word_grammar(words: list[list[int]], counts: np.ndarray, n_ids: int, least:
         if gain <= WORTH * len(seq):
             break
     sizes = np.diff(np.concatenate([[-1], ends])) - 1
-    return np.concatenate(rules), np.split(seq[seq >= 0].astype(np.int32), np.cumsum(sizes)[:-1])
+    return np.concatenate(rules), sizes, seq[seq >= 0].astype(np.int32)
+
+
+def word_grammar(words: list[list[int]], counts: np.ndarray, n_ids: int, least: int = LEAST) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rules from pairs inside words, each counted as often as its word stands in the
+    shard, and the words in the new symbols. What compress() would find inside words, found
+    on the distinct ones."""
+    rules, sizes, symbols = word_rules(*packed(words), counts, n_ids, least)
+    return rules, np.split(symbols, np.cumsum(sizes)[:-1])
+
+
+class _Numbers(dict):
+    """Numbers of words in the order of their coming."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+class WordIds:
+    """The ids of a task's words, each encoded once."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers = _Numbers()
+        self.lengths, self.values = np.empty(0, np.int32), np.empty(0, np.int32)
+        self.more: list[np.ndarray] = []
+
+    def of(self, table: list[str]) -> np.ndarray:
+        """Numbers of words."""
+        found = np.fromiter(map(self.numbers.__getitem__, table), np.int32, len(table))
+        if self.numbers.new:
+            lengths, values = encoded(self.tokenizer, self.numbers.new)
+            self.numbers.new = []
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.more.append(values)
+        return found
+
+    def keep(self, numbers: np.ndarray) -> None:
+        """Forgets all words but those of the ascending numbers, which are numbered from 0."""
+        lengths, values = gathered(numbers, *self.lists())
+        words = list(self.numbers)
+        self.clear()
+        self.numbers.update(zip((words[i] for i in numbers), range(len(numbers))))
+        self.lengths, self.values = lengths.astype(np.int32), values
+
+    def lists(self) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of all words."""
+        self.values, self.more = np.concatenate([self.values, *self.more]), []
+        return self.lengths, self.values
 
 
 def _writer(tokenizer_path: str, end_id: int) -> Callable:
@@ -137,25 +216,26 @@ def _writer(tokenizer_path: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer.from_file(tokenizer_path)
         splitter, n_ids = Splitter(tokenizer), max(tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
-        known: dict[str, list[int]] = {}
+        known = WordIds(tokenizer)
         task, done = TaskContext.get().partitionId(), 0
-        words: dict[str, int] = {}
         codes: list[np.ndarray] = []
         others: list[pa.Array] = []
         n = 0
 
         def closed() -> pa.RecordBatch:
-            table = list(words)
-            ids = [known[w] for w in table]
             numbers = np.concatenate(codes)
-            counts = np.bincount(numbers, minlength=len(table))
-            rules, short = word_grammar(ids, counts, n_ids)
-            lengths, values = packed([*(x.tolist() for x in short), [end_id, END_OF_DOC]])
+            counts = np.bincount(numbers, minlength=len(known.numbers))
+            table = np.flatnonzero(counts)  # the words of this shard
+            own, flat = gathered(table, *known.lists())
+            rules, lengths, values = word_rules(own, flat, counts[table], n_ids)
+            lengths, values = np.append(lengths, 2), np.append(values, np.array([end_id, END_OF_DOC], np.int32))
+            place = np.empty(len(counts), np.int64)
+            place[table] = np.arange(len(table))
             per_doc = np.array([len(c) + 1 for c in codes], np.int64)
             full = np.full(int(per_doc.sum()), len(table), np.int64)
             body = np.ones(len(full), bool)
             body[np.cumsum(per_doc) - 1] = False
-            full[body] = numbers
+            full[body] = place[numbers]
             seq = gathered(full, lengths, values)[1]
             more, seq = compress(seq, n_ids + len(rules))
             rules = np.concatenate([rules, more])
@@ -179,19 +259,25 @@ def _writer(tokenizer_path: str, end_id: int) -> Callable:
                 names=["part", "shard", "n_ids", "doc_ids", "documents", "rules", "sequence"],
             )
 
-        for batch in pieces(batches, most=1 << 18, column="text"):
-            split = [splitter.split(text or "") for text in batch.column("text").to_pylist()]
-            if len(known) > 200_000:
-                known = {w: known[w] for w in words}
-            new = list({w for own in split for w in own if w not in known})
-            known.update(zip(new, encode_words(tokenizer, new)))
-            for i, own in enumerate(split):
-                codes.append(np.fromiter((words.setdefault(w, len(words)) for w in own), np.int64, len(own)))
-                n += sum(len(known[w]) for w in own) + 1
+        for batch in pieces(batches, most=4 << 20, column="text"):
+            sizes, found = splitter.words([t or "" for t in batch.column("text").to_pylist()])
+            numbers, table = distinct([found])
+            numbers = known.of(table.to_numpy(zero_copy_only=False).tolist())[numbers]
+            ends = np.cumsum(sizes)
+            ids_before = np.concatenate([[0], np.cumsum(known.lengths[numbers], dtype=np.int64)])
+            n_ids_of = np.diff(ids_before[np.concatenate([[0], ends])]).tolist()
+            for i, own in enumerate(np.split(numbers, ends[:-1])):
+                codes.append(own)
+                n += n_ids_of[i] + 1
                 others.append(batch.column("doc_id").slice(i, 1))
                 if n >= SHARD_IDS:
                     yield closed()
-                    words, codes, others, n, done = {}, [], [], 0, done + 1
+                    codes, others, n, done = [], [], 0, done + 1
+            if len(known.numbers) > KNOWN_WORDS:
+                # What the open shard has of words is numbered anew.
+                kept = np.unique(np.concatenate(codes)) if codes else np.empty(0, np.int32)
+                known.keep(kept)
+                codes = [kept.searchsorted(c).astype(np.int32) for c in codes]
         if codes:
             yield closed()
 
@@ -233,9 +319,12 @@ def _reader(n_ids: int) -> Callable:
         for batch in batches:
             for i in range(batch.num_rows):
                 symbols, tokens = grown(batch.column("documents")[i].as_py(), 2)
-                rules = grown(batch.column("rules")[i].as_py(), 2)[0].reshape(-1, 2)
+                rules, sizes = grown(batch.column("rules")[i].as_py(), 2)
                 (sequence,) = grown(batch.column("sequence")[i].as_py(), 1)
-                ids = expand(sequence, rules, n_ids)
+                # Each rule is expanded once; what the symbols stand for is then gathered.
+                made = expand(np.arange(n_ids, n_ids + len(sizes), dtype=np.int32), rules.reshape(-1, 2), n_ids)
+                lengths = np.concatenate([np.ones(n_ids, np.int32), sizes])
+                ids = gathered(sequence, lengths, np.concatenate([np.arange(n_ids, dtype=np.int32), made]))[1]
                 cuts = np.concatenate([[0], np.cumsum(tokens, dtype=np.int64)])
                 crcs = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(cuts, cuts[1:])]
                 n = len(tokens)
