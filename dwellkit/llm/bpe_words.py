@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dwellkit.llm.pretokens import Splitter, encode_words, gathered, grown, packed, shrunk, starts_of, vocabulary
+from dwellkit.llm.pretokens import Splitter, distinct, encode_words, gathered, grown, packed, shrunk, starts_of, vocabulary
 from dwellkit.llm.store import stored_by
-from dwellkit.llm.text import pieces
+from dwellkit.llm.text import as_bytes, pieces
 
-#: A block is closed at so many words or distinct words; a longer text is a block by itself.
-BLOCK_WORDS, BLOCK_DISTINCT = 2_000_000, 400_000
+#: A block is closed at so many words or bytes of text; a longer text is a block by itself.
+BLOCK_WORDS, BLOCK_BYTES = 2_000_000, 16 << 20
 #: Row of a block that holds its documents; the others hold words, by bucket.
 DOCS = -1
 
@@ -40,23 +40,22 @@ def _blocks(tokenizer_path: str, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(Tokenizer.from_file(tokenizer_path))
         task, done = TaskContext.get().partitionId(), 0
-        words: dict[str, int] = {}
-        codes: list[np.ndarray] = []
+        words: list[pa.Array] = []
+        sizes: list[np.ndarray] = []
         others: list[pa.Array] = []
-        total = 0
+        total = held = 0
 
-        def closed(schema: pa.Schema) -> pa.RecordBatch:
+        def closed() -> pa.RecordBatch:
             # Numbered anew by how often they stand in the block, words have small numbers;
             # of equally frequent ones those of a bucket follow each other, so that buckets take little room.
-            numbers = np.concatenate(codes) if codes else np.empty(0, np.int32)
-            raw = [w.encode() for w in words]
+            numbers, table = distinct(words)
+            raw = as_bytes(table)
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int32, len(raw))
-            order = np.lexsort((bucket, -np.bincount(numbers, minlength=len(words))))
+            order = np.lexsort((bucket, -np.bincount(numbers, minlength=len(raw))))
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order), dtype=np.int32)
             raw, bucket = [raw[i] for i in order], bucket[order]
-            sizes = np.array([len(c) for c in codes], np.int32)
-            rows = [(DOCS, shrunk(sizes, rank[numbers], bucket))]
+            rows = [(DOCS, shrunk(np.concatenate(sizes), rank[numbers], bucket))]
             by_bucket = np.argsort(bucket, kind="stable")
             for group in np.split(by_bucket, np.flatnonzero(np.diff(bucket[by_bucket])) + 1) if len(raw) else []:
                 rows.append((int(bucket[group[0]]), _pack_words([raw[i] for i in group])))
@@ -73,16 +72,16 @@ def _blocks(tokenizer_path: str, buckets: int) -> Callable:
             )
 
         for batch in pieces(batches, most=1 << 20, column="text"):
-            for text in batch.column("text").to_pylist():
-                own = splitter.split(text or "")
-                codes.append(np.fromiter((words.setdefault(w, len(words)) for w in own), np.int32, len(own)))
-                total += len(own)
+            own, found = splitter.words([t or "" for t in batch.column("text").to_pylist()])
+            sizes.append(own)
+            words.append(found)
             others.append(batch.column("doc_id"))
-            if total >= BLOCK_WORDS or len(words) >= BLOCK_DISTINCT:
-                yield closed(batch.schema)
-                words, codes, others, total, done = {}, [], [], 0, done + 1
+            total, held = total + len(found), held + found.nbytes
+            if total >= BLOCK_WORDS or held >= BLOCK_BYTES:
+                yield closed()
+                words, sizes, others, total, held, done = [], [], [], 0, 0, done + 1
         if others:
-            yield closed(batch.schema)
+            yield closed()
 
     return run
 
