@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain, combinations
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellkit.llm.store import numbered, stored
-from dwellkit.llm.text import pieces
+from dwellkit.llm.text import cut, pieces
 
 #: Weight lost with each letter that a subsequence spans.
 DECAY = 0.6
@@ -46,6 +47,12 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _ALPHABET = 64
 
 
+@lru_cache(1)
+def _white() -> np.ndarray:
+    """Whether each character is a blank."""
+    return np.array([chr(c).isspace() for c in range(0x110000)])
+
+
 def letters_of(word: str) -> str:
     """Lower-case letters alone: marks and digits between them are gaps that don't count."""
     low = word.lower()
@@ -270,34 +277,61 @@ class Describer:
         self.numbers = _Numbers()
         self.rows = np.zeros((1, len(landmarks)), np.float32)
 
-    def sentences(self, text: str) -> list[list[int]]:
-        """Row numbers of each sentence's words; sentences without a word are left out."""
-        out = []
-        for sentence in _SENTENCE.split(text):
-            own = [*map(self.numbers.__getitem__, sentence.split())]
-            if -1 in own:
-                # Fewer than three single letters make no word.
-                alone = own.count(-1) < 3
-                own = [max(n, 0) for n in own] if alone else [*map(self.numbers.of, words_of(sentence))]
-            if any(own):
-                out.append(own)
-        return out
+    def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row numbers of the words of all texts, where each sentence begins among them, where each text's
+        sentences begin, and the end). Words without a row have 0; so have blanks before a text's first word."""
+        joined = "".join(texts)
+        if not joined:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(sizes)
+        white, head = _white()[codes], np.zeros(len(codes), bool)
+        head[(ends - sizes)[sizes > 0]] = True
+        start = head.copy()
+        start[1:] |= ~white[1:] & white[:-1]
+        at = np.flatnonzero(start)
+        # A sentence ends with marks before a blank, or with a line: what ``_SENTENCE`` says.
+        stops = np.append(at[1:], len(codes)) - np.add.reduceat(white, at, dtype=np.int64)
+        last = codes[np.maximum(stops - 1, 0)]
+        over = (stops > at) & ((last == 46) | (last == 33) | (last == 63)) | (np.add.reduceat(codes == 10, at, dtype=np.int64) > 0)
+        first = head[at]
+        first[1:] |= over[:-1]
+        begins = np.flatnonzero(first)
+        coded = cut(joined, codes, at).dictionary_encode()
+        table = [self.numbers[raw.strip()] for raw in coded.dictionary.to_numpy(zero_copy_only=False)]
+        own = np.array(table, np.int64)[coded.indices.to_numpy()]
+        bounds = at[begins].searchsorted(np.concatenate([[0], ends]))
+        alone = own < 0
+        if alone.any():
+            # Three single letters or more make words together; fewer make none.
+            which = np.flatnonzero(np.add.reduceat(alone, begins, dtype=np.int64) > 2)
+            stop = np.append(at[begins], len(codes))
+            more = [[*map(self.numbers.of, words_of(joined[stop[i] : stop[i + 1]]))] for i in which]
+            added = np.fromiter(map(len, more), np.int64, len(more))
+            own = np.insert(np.maximum(own, 0), np.repeat(begins[which], added), np.fromiter(chain.from_iterable(more), np.int64, int(added.sum())))
+            shift = np.zeros(len(begins) + 1, np.int64)
+            shift[which + 1] = added
+            begins = begins + np.cumsum(shift)[:-1]
+        return own, begins, bounds
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.numbers) > 2 * self.most or len(self.rows) > self.most:
             self.numbers, self.rows = _Numbers(), self.rows[:1]
-        split = [self.sentences(t) for t in texts]
+        own, begins, bounds = self.sentences(texts)
         new = list(self.numbers.words)[len(self.rows) - 1 :]
         if new:
             self.rows = np.concatenate([self.rows, self.kernel.against(new, self.table)])
+        # Sentences without a word are left out.
+        some = np.maximum.reduceat(own, begins) > 0 if len(begins) else np.empty(0, bool)
+        cuts = np.append(begins, len(own))
         out = []
-        for own in split:
-            if not own:
+        for a, b in zip(bounds, bounds[1:]):
+            if a == b:
                 out.append(np.zeros((0, self.rows.shape[1]), np.float32))
                 continue
-            sizes = np.fromiter(map(len, own), np.int64, len(own))
-            at = np.fromiter(chain.from_iterable(own), np.int64, int(sizes.sum()))
-            out.append(np.maximum.reduceat(self.rows[at], np.cumsum(sizes) - sizes, axis=0))
+            rows = self.rows[own[cuts[a] : cuts[b]]]
+            out.append(np.maximum.reduceat(rows, begins[a:b] - begins[a], axis=0)[some[a:b]])
         return out
 
 
