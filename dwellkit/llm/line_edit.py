@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +70,6 @@ def allowed(length: int, threshold: int, min_chars: int, short: bool) -> int:
     return min(1, threshold) if short and length >= min(SHORT_CHARS, min_chars) else 0
 
 
-@lru_cache(4096)
 def places_of(length: int, threshold: int, min_chars: int, short: bool) -> list[tuple[int, int, int]]:
     """(start, stop, number of the segment) of the substrings that a line of this length looks for."""
     out = []
@@ -82,8 +80,7 @@ def places_of(length: int, threshold: int, min_chars: int, short: bool) -> list[
     return out
 
 
-def _hashes(line: str, threshold: int, min_chars: int, short: bool) -> set[int]:
-    places = places_of(len(line), threshold, min_chars, short)
+def _hashes(line: str, places: list[tuple[int, int, int]]) -> set[int]:
     if line.isascii():
         raw = line.encode()
         return {xxhash.xxh64_intdigest(raw[a:b], seed) for a, b, seed in places}
@@ -93,7 +90,8 @@ def _hashes(line: str, threshold: int, min_chars: int, short: bool) -> set[int]:
 def keys_of(line: str, threshold: int, min_chars: int, short: bool = False) -> list[int]:
     """Hashes of the line's own index entries and of those it looks for."""
     # Equal lengths probe their own segments too, so the index entries are among these.
-    return [k - (1 << 64) if k >> 63 else k for k in _hashes(line, threshold, min_chars, short)]
+    found = _hashes(line, places_of(len(line), threshold, min_chars, short))
+    return [k - (1 << 64) if k >> 63 else k for k in found]
 
 
 def within(a: str, b: str, threshold: int) -> bool:
@@ -195,13 +193,17 @@ def _lines(min_chars: int, with_text: bool) -> Callable:
 
 def _entries(threshold: int, min_chars: int, short: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict[int, list[tuple[int, int, int]]] = {}  # by length, of which lines have few
         for batch in batches:
             keys, counts, sizes = [], [], []
             for line in batch.column("text").to_pylist():
-                own = _hashes(line, threshold, min_chars, short)
+                length = len(line)
+                if length not in places:
+                    places[length] = places_of(length, threshold, min_chars, short)
+                own = _hashes(line, places[length])
                 keys.extend(own)
                 counts.append(len(own))
-                sizes.append(len(line))
+                sizes.append(length)
             key = np.fromiter(keys, np.uint64, len(keys)).view(np.int64)
             node, size = (np.repeat(np.asarray(c, np.int64), counts) for c in (batch.column("node"), sizes))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, node, size)], names=["key", "node", "size"])

@@ -14,7 +14,6 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import chain, combinations
 
 import numpy as np
@@ -47,10 +46,11 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _ALPHABET = 64
 
 
-@lru_cache(1)
-def _white() -> np.ndarray:
-    """Whether each character is a blank."""
-    return np.array([chr(c).isspace() for c in range(0x110000)])
+def blanks() -> np.ndarray:
+    """Whether each character is a blank; none lies above U+FFFF."""
+    out = np.zeros(0x110000, bool)
+    out[:0x10000] = [chr(c).isspace() for c in range(0x10000)]
+    return out
 
 
 def letters_of(word: str) -> str:
@@ -274,7 +274,7 @@ class Describer:
     def __init__(self, landmarks: list[str], most: int = 150_000):
         self.kernel, self.most = Kernel(), most
         self.table = self.kernel.table(landmarks)
-        self.numbers = _Numbers()
+        self.numbers, self.blanks = _Numbers(), blanks()
         self.rows = np.zeros((1, len(landmarks)), np.float32)
 
     def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,7 +286,7 @@ class Describer:
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(sizes)
-        white, head = _white()[codes], np.zeros(len(codes), bool)
+        white, head = self.blanks[codes], np.zeros(len(codes), bool)
         head[(ends - sizes)[sizes > 0]] = True
         start = head.copy()
         start[1:] |= ~white[1:] & white[:-1]
