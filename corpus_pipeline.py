@@ -24,6 +24,12 @@ def _carried(docs: DataFrame, *operator_columns: str) -> DataFrame:
     return docs.select(*operator_columns, F.struct(*docs.columns).alias("whole_row"))
 
 
+def _beside_text(docs: DataFrame) -> DataFrame:
+    """As ``_carried``, for operators that give the text back: it isn't stored a second time in the row."""
+    others = [c for c in docs.columns if c != "text"]
+    return docs.select("doc_id", "text", F.struct(*others).alias("whole_row"))
+
+
 def _rows(df: DataFrame, docs: DataFrame, **changed) -> DataFrame:
     return df.select(*[changed.get(c, F.col("whole_row")[c]).alias(c) for c in docs.columns])
 
@@ -37,7 +43,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that near-repeat an earlier one, n_chars counted anew; a
     document that loses its last word goes. Others stay as they are."""
-    out = line_edit.deduplicated(_carried(docs, "doc_id", "text"), carry="whole_row", short=True)
+    out = line_edit.deduplicated(_beside_text(docs), carry="whole_row", short=True)
     left = out.where((F.size("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     n_chars = F.when(F.size("removed") == 0, F.col("whole_row.n_chars")).otherwise(F.length("text"))
     return _rows(left, docs, text=F.col("text"), n_chars=n_chars.cast(docs.schema["n_chars"].dataType))
@@ -45,8 +51,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
-    grouped = minhash.near_duplicates(_carried(docs, "doc_id", "text"), carry="whole_row")
-    return _rows(grouped.where("first"), docs)
+    grouped = minhash.near_duplicates(_beside_text(docs), carry="whole_row", with_text=True)
+    return _rows(grouped.where("first"), docs, text=F.col("text"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

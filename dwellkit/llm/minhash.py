@@ -120,6 +120,7 @@ def near_duplicates(
     words: int = 5,
     percent: int = 80,
     carry: str | None = None,
+    with_text: bool = False,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept, first) for each row of docs.
 
@@ -127,7 +128,7 @@ def near_duplicates(
     least ``percent`` hundredths; component_id is the smallest id that links lead to.
     Rows without a word are linked with nothing. kept: the row's id is component_id.
     first: the row is the one to keep of its component; of repeated rows with one id it
-    is one alone. ``carry`` names a column to pass through. A null text is empty; a row
+    is one alone. ``carry`` names a column to pass through, ``with_text`` passes the text. A null text is empty; a row
     with a null id is in its component but never names it, and is kept only as the first
     of a component without ids, whose component_id is null. Only the named columns are
     read, so others may have any name; no rows give no rows.
@@ -171,9 +172,8 @@ def near_duplicates(
         F.min("least_id").alias("component_id"), F.min("first_row").alias("first_row")
     )
     by_set = named.select("digest", "label").join(roots, "label").select("digest", "component_id", "first_row")
-    out = signed.select("row_id", "doc_id", "n_shingles", "digest", *(["carried"] if carry else [])).join(
-        by_set, "digest", "left"
-    )
+    passed = [*(["carried"] if carry else []), *(["text"] if with_text else [])]
+    out = signed.select("row_id", "doc_id", "n_shingles", "digest", *passed).join(by_set, "digest", "left")
     alone = F.col("digest").isNull()
     is_first = alone | (F.col("first_row.row_id") == F.col("row_id"))
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
@@ -184,4 +184,5 @@ def near_duplicates(
         F.coalesce(F.col("doc_id") == component, is_first & component.isNull()).alias("kept"),
         is_first.alias("first"),
         *([F.col("carried").alias(carry)] if carry else []),
+        *([F.col("text").alias(text_col)] if with_text else []),
     )

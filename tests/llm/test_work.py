@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from dwellkit.llm import buckets, line_edit, minhash, repair, string_svm
 from dwellkit.llm.pretokens import Splitter, distinct, encode_words, encoded
-from dwellkit.llm.store import stored
+from dwellkit.llm.store import numbered, stored
 from dwellkit.llm.text import WordHashes, shingle_set
 
 
@@ -134,3 +134,26 @@ def test_kernel_rows_of_many_texts_are_those_of_each():
         assert len(rows) == len(sentences)
         for row, words in zip(rows, sentences):
             assert (row == describe.kernel.against(words, describe.table).max(axis=0)).all()
+
+
+def test_pipeline_stores_a_text_once(spark, monkeypatch):
+    import corpus_pipeline
+
+    held = []
+
+    def seen(df, purpose, *name):
+        if purpose in ("line-texts", "signed"):
+            held.append(df.schema.simpleString().count("text:string"))
+        return numbered(df, purpose, *name)
+
+    monkeypatch.setattr(line_edit, "numbered", seen)
+    monkeypatch.setattr(minhash, "numbered", seen)
+    rows = [(1, "en", "one line of text here\nand ornd.", 31), (2, "en", "and ornd.\nanother text that stays as it is", 0), (3, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, n_chars long")
+    lines = corpus_pipeline.line_dedup(spark, docs, "")
+    assert lines.columns == docs.columns
+    kept = corpus_pipeline.near_dedup(spark, lines, "")
+    assert kept.columns == docs.columns
+    got = sorted(map(tuple, kept.collect()))
+    assert got == [(1, "en", rows[0][2], 31), (2, "en", "another text that stays as it is", 32), (3, None, None, None)]
+    assert held == [1, 1]
