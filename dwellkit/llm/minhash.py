@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwellkit.llm.buckets import differing, labelled, link
-from dwellkit.llm.store import numbered, stored
+from dwellkit.llm.store import numbered, settled, stored
 from dwellkit.llm.text import LOWER, WordHashes, as_bytes, pieces, shingle_set
 
 RING_BITS = 22
@@ -30,6 +30,8 @@ BANDS, ROWS = 64, 8
 MOST_BITS = 96
 #: Cells in which a set's shingles are counted modulo 2. Sets that differ in d shingles differ in d cells at most.
 PARITY_BITS = 512
+#: Rows that share a component go to all tasks up to so many, so that texts need not move to meet them.
+BROADCAST_ROWS = 200_000
 
 
 def ring(bands: int = BANDS, rows: int = ROWS, seed: int = 20) -> np.ndarray:
@@ -143,11 +145,32 @@ def near_duplicates(
         ),
         "signed",
     )
+    together = settled(docs.sparkSession, lambda: _together(signed, words, percent), "together")
+    few = together.count() <= BROADCAST_ROWS
+    passed = [*(["carried"] if carry else []), *(["text"] if with_text else [])]
+    own = signed.select("row_id", "doc_id", "n_shingles", *passed)
+    out = own.join(F.broadcast(together) if few else together, "row_id", "left")
+    is_first = F.coalesce("is_first", F.lit(True))
+    component = F.when(F.col("is_first").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select(
+        F.col("doc_id").alias(id_col),
+        "n_shingles",
+        component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, is_first & component.isNull()).alias("kept"),
+        is_first.alias("first"),
+        *([F.col("carried").alias(carry)] if carry else []),
+        *([F.col("text").alias(text_col)] if with_text else []),
+    )
+
+
+def _together(signed: DataFrame, words: int, percent: int) -> DataFrame:
+    """(row_id, component_id, is_first) of the rows whose component has other rows."""
     # Rows with equal sets are one class; its node is one row's number.
     classes = stored(
         signed.where("digest is not null")
         .groupBy("digest")
         .agg(
+            F.count(F.lit(1)).alias("n"),
             F.min("row_id").alias("node"),
             F.min("doc_id").alias("least_id"),
             F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("first_row"),
@@ -167,22 +190,13 @@ def near_duplicates(
     cells = differing(range(BANDS * ROWS // 64, (BANDS * ROWS + PARITY_BITS) // 64))
     compatible += f" and {100 + percent} * {cells} <= {100 - percent} * (size_a + size_b)"
     labels = link(entries, texts, _verifier(words, percent), compatible, classes.select("node", "sketch"))
-    named = labelled(classes.select("digest", "node", "least_id", "first_row"), labels)
-    roots = named.groupBy("label").agg(
-        F.min("least_id").alias("component_id"), F.min("first_row").alias("first_row")
-    )
-    by_set = named.select("digest", "label").join(roots, "label").select("digest", "component_id", "first_row")
-    passed = [*(["carried"] if carry else []), *(["text"] if with_text else [])]
-    out = signed.select("row_id", "doc_id", "n_shingles", "digest", *passed).join(by_set, "digest", "left")
-    alone = F.col("digest").isNull()
-    is_first = alone | (F.col("first_row.row_id") == F.col("row_id"))
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(
-        F.col("doc_id").alias(id_col),
-        "n_shingles",
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, is_first & component.isNull()).alias("kept"),
-        is_first.alias("first"),
-        *([F.col("carried").alias(carry)] if carry else []),
-        *([F.col("text").alias(text_col)] if with_text else []),
+    named = labelled(classes.select("digest", "n", "node", "least_id", "first_row"), labels)
+    roots = (
+        named.groupBy("label")
+        .agg(F.min("least_id").alias("component_id"), F.min("first_row").alias("first_row"), F.sum("n").alias("all"))
+        .where("all > 1")
     )
+    by_set = named.select("digest", "label").join(roots, "label").select("digest", "component_id", "first_row.row_id")
+    is_first = F.col("row_id") == F.col("first_id")
+    rows = signed.select("row_id", "digest").join(by_set.withColumnRenamed("row_id", "first_id"), "digest")
+    return rows.select("row_id", "component_id", is_first.alias("is_first"))

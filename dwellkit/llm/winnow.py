@@ -201,17 +201,17 @@ def contamination(
         ),
     )["n"]
     n_hit = F.coalesce(covered, F.lit(0))
-    return (
-        scanned.drop("hits", "hit_text")
-        .join(found, "row_id", "left")
-        .select(
-            F.col("doc_id").alias(id_col),
-            "n_words",
-            n_hit.alias("n_hit"),
-            F.coalesce(F.size("names"), F.lit(0)).cast("long").alias("n_items"),
-            F.sha2(F.coalesce(F.concat_ws(",", "names"), F.lit("")), 256).alias("items_sha256"),
-            (n_hit > 0).alias("contaminated"),
-            "spans",
-            *([F.col("carried").alias(carry)] if carry else []),
-        )
+    # Only rows with a hash of the benchmark can have a span; the others don't move to meet those found.
+    kinds = {f.name: f.dataType for f in found.schema}
+    free = scanned.where("hits is null").drop("hits", "hit_text").select("*", *(F.lit(None).cast(kinds[c]).alias(c) for c in ("spans", "names")))
+    held = near.drop("hits", "hit_text").join(found, "row_id", "left")
+    return free.unionByName(held).select(
+        F.col("doc_id").alias(id_col),
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.coalesce(F.size("names"), F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(F.concat_ws(",", "names"), F.lit("")), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+        "spans",
+        *([F.col("carried").alias(carry)] if carry else []),
     )
