@@ -9,17 +9,17 @@ that share an index entry are compared by a banded bit-parallel edit distance.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellkit.llm.buckets import differing, labelled, link
-from dwellkit.llm.store import numbered, stored
-from dwellkit.llm.text import LOWER, as_bytes, pieces
+from dwellkit.llm.buckets import differing, link
+from dwellkit.llm.store import numbered, settled, stored
+from dwellkit.llm.text import LOWER, as_bytes, mixed, pieces
 
 THRESHOLD = 2
 #: Shorter lines have a smaller threshold: two edits would make many of them the same.
@@ -31,6 +31,11 @@ BROADCAST_ROWS = 200_000
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _BLANKS = " \t\n\r\x0b\x0c"
 _BLANK_BYTES = _BLANKS.encode()
+#: A substring's hash is a sum over its characters times powers of this number, and its inverse modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Characters of lines that are hashed at once.
+_AT_ONCE = 1 << 20
 
 
 def normalised(line: str) -> str:
@@ -80,18 +85,33 @@ def places_of(length: int, threshold: int, min_chars: int, short: bool) -> list[
     return out
 
 
-def _hashes(line: str, places: list[tuple[int, int, int]]) -> set[int]:
-    if line.isascii():
-        raw = line.encode()
-        return {xxhash.xxh64_intdigest(raw[a:b], seed) for a, b, seed in places}
-    return {xxhash.xxh64_intdigest(line[a:b].encode(), seed) for a, b, seed in places}
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def hashed(lines: list[str], places: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, how many of each line) of the substrings at these places of lines of one length,
+    each hash once a line. Equal hashes of other substrings cost a comparison, no link."""
+    if not places:
+        return np.empty(0, np.int64), np.zeros(len(lines), np.int64)
+    length, (start, stop, seed) = len(lines[0]), np.array(places, np.int64).T
+    base, inverse = _powers(_BASE, length), _powers(_INVERSE, length)[start]
+    points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).reshape(len(lines), length)
+    sums = np.zeros((len(lines), length + 1), np.uint64)
+    np.cumsum(mixed((points + np.uint64(1)) * np.uint64(_BASE)) * base[:-1], axis=1, out=sums[:, 1:])
+    keys = mixed(mixed((sums[:, stop] - sums[:, start]) * inverse) + seed.astype(np.uint64) * np.uint64(_BASE))
+    keys.sort(axis=1)
+    first = np.ones(keys.shape, bool)
+    first[:, 1:] = keys[:, 1:] != keys[:, :-1]
+    return keys[first].view(np.int64), first.sum(axis=1)
 
 
 def keys_of(line: str, threshold: int, min_chars: int, short: bool = False) -> list[int]:
     """Hashes of the line's own index entries and of those it looks for."""
     # Equal lengths probe their own segments too, so the index entries are among these.
-    found = _hashes(line, places_of(len(line), threshold, min_chars, short))
-    return [k - (1 << 64) if k >> 63 else k for k in found]
+    return hashed([line], places_of(len(line), threshold, min_chars, short))[0].tolist()
 
 
 def within(a: str, b: str, threshold: int) -> bool:
@@ -166,7 +186,7 @@ def _verifier(threshold: int, min_chars: int, short: bool) -> Callable:
 
 
 def _lines(min_chars: int, with_text: bool) -> Callable:
-    """A row for each line that is long enough: where it is, or what it says."""
+    """A row for each line that is long enough: where it is, or what it says and how often in a few MB of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, most=2 << 20, column="text"):
@@ -182,8 +202,11 @@ def _lines(min_chars: int, with_text: bool) -> Callable:
                         texts.append(line)
             digest = pa.array(digests, pa.binary())
             if with_text:
-                text = pa.array(texts, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([digest, text], names=["digest", "text"])
+                counts = Counter(digests)
+                text = pa.array(dict(zip(digests, texts)).values(), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(counts, pa.binary()), text, pa.array(counts.values(), pa.int64())], names=["digest", "text", "n"]
+                )
             else:
                 ids = batch.column("row_key").take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(numbers, pa.int64()), digest], names=["row_key", "line_no", "digest"])
@@ -194,19 +217,24 @@ def _lines(min_chars: int, with_text: bool) -> Callable:
 def _entries(threshold: int, min_chars: int, short: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places: dict[int, list[tuple[int, int, int]]] = {}  # by length, of which lines have few
+        out: list[pa.RecordBatch] = []
         for batch in batches:
-            keys, counts, sizes = [], [], []
-            for line in batch.column("text").to_pylist():
-                length = len(line)
+            lines, nodes = batch.column("text").to_pylist(), np.asarray(batch.column("node"), np.int64)
+            sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+            order = np.argsort(sizes, kind="stable")
+            cuts = np.flatnonzero(np.diff(sizes[order])) + 1
+            for own in np.split(order, cuts) if len(order) else ():
+                length = int(sizes[own[0]])
                 if length not in places:
                     places[length] = places_of(length, threshold, min_chars, short)
-                own = _hashes(line, places[length])
-                keys.extend(own)
-                counts.append(len(own))
-                sizes.append(length)
-            key = np.fromiter(keys, np.uint64, len(keys)).view(np.int64)
-            node, size = (np.repeat(np.asarray(c, np.int64), counts) for c in (batch.column("node"), sizes))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, node, size)], names=["key", "node", "size"])
+                step = max(1, _AT_ONCE // max(1, length))
+                for some in (own[i : i + step] for i in range(0, len(own), step)):
+                    key, counts = hashed([lines[i] for i in some], places[length])
+                    columns = key, np.repeat(nodes[some], counts), np.full(len(key), length)
+                    out.append(pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "size"]))
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                out.clear()
 
     return run
 
@@ -234,9 +262,11 @@ def repeated_lines(
         texts.mapInArrow(_lines(least, False), f"row_key {key_type}, line_no long, digest binary"), "lines", "place"
     )
     distinct = numbered(
-        texts.mapInArrow(_lines(least, True), "digest binary, text string")
+        # Repeats within a few MB are one row already; to sort the rest by task would combine little.
+        texts.mapInArrow(_lines(least, True), "digest binary, text string, n long")
+        .repartition("digest")
         .groupBy("digest")
-        .agg(F.first("text").alias("text")),
+        .agg(F.first("text").alias("text"), F.sum("n").alias("n")),
         "distinct-lines",
         "node",
     )
@@ -256,23 +286,28 @@ def repeated_lines(
         lambda near: near.select("node", "text").mapInArrow(_sketches, "node long, sketch array<long>"),
     )
     rank = F.struct(F.col("row_key").isNull().alias("no_key"), "row_key", "place", "line_no")
-    ranked = places.select("digest", rank.alias("rank"))
-    firsts = ranked.groupBy("digest").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
-    named = labelled(distinct.select("node", "digest"), labels).select("digest", "label")
-    groups = named.join(firsts, "digest")
-    roots = (
-        groups.groupBy("label")
-        .agg(F.min("first").alias("stays"), F.sum("n").alias("all"))
-        .where("all > 1")
-    )
-    stays = groups.join(roots, "label").select("digest", "stays")
+    related = stored(_related(distinct.select("digest", "node", "n"), labels), "related-lines")
+    few = related.count() <= BROADCAST_ROWS
+    ranked = places.join(F.broadcast(related) if few else related, "digest").select("label", rank.alias("rank"))
+    ranked = stored(ranked, "related-places")
+    firsts = ranked.groupBy("label").agg(F.min("rank").alias("stays"))
     return (
-        ranked.join(stays, "digest")
+        ranked.join(firsts, "label")
         .where("rank > stays")
         .select(F.col("rank.row_key").alias(key_col), F.col("rank.line_no").alias("line_no"))
     )
 
 
+def _related(distinct: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(digest, label) of the lines that come again or are linked; all others stay where they are."""
+    if labels is None:
+        return distinct.where("n > 1").select("digest", F.col("node").alias("label"))
+    ends = labels.union(labels.select("component", "component")).distinct()
+    few = labels.count() <= BROADCAST_ROWS // 2
+    joined = distinct.join(F.broadcast(ends) if few else ends, "node", "left").where("n > 1 or component is not null")
+    return joined.select("digest", F.coalesce("component", "node").alias("label"))
+
+
 def deduplicated(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -293,9 +328,12 @@ def deduplicated(
     # The key of a row is its id and, for rows that share one, its number in the stored table.
     rows = numbered(docs.select(*picked), "line-texts")
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id").alias("row_key")
-    gone = repeated_lines(rows.select(key, "text"), "row_key", "text", threshold, min_chars, short)
-    lists = gone.groupBy(F.col("row_key.row_id").alias("row_id")).agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
-    lists = stored(lists, "removed-lines")
+
+    def removed() -> DataFrame:
+        gone = repeated_lines(rows.select(key, "text"), "row_key", "text", threshold, min_chars, short)
+        return gone.groupBy(F.col("row_key.row_id").alias("row_id")).agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+
+    lists = settled(docs.sparkSession, removed, "removed-lines")
     size = lists.agg(F.count(F.lit(1)), F.sum(F.size("removed"))).first()
     few = size[0] <= BROADCAST_ROWS and (size[1] or 0) <= 10 * BROADCAST_ROWS
     joined = rows.join(F.broadcast(lists) if few else lists, "row_id", "left").select(
