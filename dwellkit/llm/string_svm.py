@@ -14,7 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain, combinations
+from itertools import chain, combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,11 @@ RIDGE = 1e-4
 STEPS = 30
 #: Sentences of a document that are one row of the stored table.
 PART = 2048
+#: Sentences whose words are looked up together, and the words of a sentence that are.
+TOGETHER, LONG = 4096, 128
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_OTHERS = re.compile(r"(?:[^\w\n]|[\d_])+")
 # a-z have numbers of their own, other letters share the rest; triples have the cube of that.
 _ALPHABET = 64
 
@@ -59,6 +62,18 @@ def letters_of(word: str) -> str:
     return low if low.isalpha() else "".join(_LETTERS.findall(low))
 
 
+def letters_of_all(words: list[str]) -> list[str]:
+    """``letters_of`` of each of many words without line ends."""
+    if not words:
+        return []
+    low = "\n".join(words).lower().split("\n")
+    marked = [i for i, word in enumerate(low) if not word.isalpha()]
+    if marked:
+        for i, word in zip(marked, _OTHERS.sub("", "\n".join([low[i] for i in marked])).split("\n")):
+            low[i] = word
+    return low
+
+
 def numbers_of(words: list[str]) -> np.ndarray:
     """Letter numbers of words of one length, a row for each."""
     points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(np.int32)
@@ -103,19 +118,19 @@ class Kernel:
         return self.places[n]
 
     def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(codes, norms) of words of one length: the code of each triple of places, a row for
+        """(codes, norms) of words of one length: the code of each triple of places, a column for
         each word, and the norm of its weights once those of equal codes are summed."""
         at, _ = self.triples(len(words[0]))
-        letters = numbers_of(words)
-        codes = (letters[:, at[:, 0]] * _ALPHABET + letters[:, at[:, 1]]) * _ALPHABET + letters[:, at[:, 2]]
+        letters = np.ascontiguousarray(numbers_of(words).T)
+        codes = (letters[at[:, 0]] * _ALPHABET + letters[at[:, 1]]) * _ALPHABET + letters[at[:, 2]]
         # The squared norm is a sum over pairs of triples with equal letters; running sums over
         # pairs of places give it letter by letter.
-        decay = DECAY ** np.arange(letters.shape[1], dtype=np.float64)
-        both = decay[:, None] * decay[None, :]
-        same = (letters[:, :, None] == letters[:, None, :]).astype(np.float64)
+        decay = DECAY ** np.arange(len(letters), dtype=np.float64)
+        both = (decay[:, None] * decay[None, :])[:, :, None]
+        same = (letters[:, None] == letters[None, :]).astype(np.float64)
         second = same * _before(same / both)
-        norms = np.sqrt((same * both * DECAY**2 * _before(second)).sum(axis=(1, 2)))
-        return codes, norms
+        # One place after the other, so that a word's sum is the same beside any other words.
+        return codes, np.sqrt(sum(sum(same * (both * DECAY**2) * _before(second))))
 
     def table(self, landmarks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """(first entry of each triple, landmarks, values, number of landmarks): which landmarks
@@ -123,7 +138,7 @@ class Kernel:
         codes, places, values = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         for j, word in enumerate(landmarks):
             own, norm = self.features([word])
-            distinct, at = np.unique(own[0], return_inverse=True)
+            distinct, at = np.unique(own[:, 0], return_inverse=True)
             codes.append(distinct)
             places.append(np.full(len(distinct), j))
             values.append(np.bincount(at, weights=self.triples(len(word))[1]) / norm[0])
@@ -136,6 +151,7 @@ class Kernel:
         """Kernel of each word with each landmark; the largest of a long word's windows."""
         first, places, values, width = table
         entries = np.diff(first)
+        known = entries > 0
         out = np.zeros((len(words), width), np.float32)
         by_length: dict[int, list[tuple[int, str]]] = {}
         for i, word in enumerate(words):
@@ -143,17 +159,20 @@ class Kernel:
                 by_length.setdefault(len(part), []).append((i, part))
         for n, own in by_length.items():
             weights = self.triples(n)[1]
-            step = max(1, 400_000 // max(1, len(weights)))
+            step = max(1, 100_000 // max(1, len(weights)))
             for start in range(0, len(own), step):
                 some = own[start : start + step]
                 codes, norms = self.features([w for _, w in some])
                 # Triples that no landmark has add nothing; others are spread over the landmarks that have them.
-                row, col = np.nonzero(entries[codes])
-                code = codes[row, col]
+                codes = codes.ravel()
+                which = np.flatnonzero(known[codes])
+                code, col = codes[which], which // len(some)
                 times = entries[code]
-                at = np.arange(times.sum()) + np.repeat(first[code] - (np.cumsum(times) - times), times)
-                cell = np.repeat(row * width, times) + places[at]
-                sums = np.bincount(cell, np.repeat(weights[col], times) * values[at], len(some) * width)
+                stops = np.cumsum(times)
+                each = np.repeat(np.arange(len(code)), times)
+                at = np.arange(len(each)) + (first[code] - (stops - times))[each]
+                cell = ((which - col * len(some)) * width)[each] + places[at]
+                sums = np.bincount(cell, weights[col][each] * values[at], len(some) * width)
                 sums = sums.reshape(len(some), width) / norms[:, None]
                 which = np.array([i for i, _ in some])
                 if n < SPAN:
@@ -164,9 +183,12 @@ class Kernel:
 
 
 def _before(x: np.ndarray) -> np.ndarray:
-    """For each pair of places the sum over all pairs with both places before it."""
+    """For each pair of places, the first two axes, the sum over all pairs with both places before it."""
     out = np.zeros_like(x)
-    out[:, 1:, 1:] = np.cumsum(np.cumsum(x[:, :-1, :-1], axis=1), axis=2)
+    for i in range(1, len(x)):
+        np.add(out[i - 1, 1:], x[i - 1, :-1], out=out[i, 1:])
+    for j in range(2, len(x)):
+        out[:, j] += out[:, j - 1]
     return out
 
 
@@ -237,7 +259,7 @@ def _pooler(landmarks: list[str]) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         describe = Describer(landmarks)
-        for batch in pieces(batches, most=1 << 20, column="text"):
+        for batch in pieces(batches, most=2 << 20, column="text"):
             keys, labels, rows = [], [], []
             found = describe.texts([t or "" for t in batch.column("text").to_pylist()])
             for key, label, own in zip(batch.column("row_id").to_pylist(), batch.column("label").to_pylist(), found):
@@ -259,14 +281,24 @@ class _Numbers(dict):
     def __init__(self) -> None:
         self.words: dict[str, int] = {}
 
-    def __missing__(self, raw: str) -> int:
-        word = letters_of(raw)
-        self[raw] = found = -1 if len(word) == 1 else 0 if len(word) < 3 else self.of(word)
-        return found
+    def add(self, raws: list[str]) -> None:
+        """Looks at many new words at once; words hold no line ends."""
+        words = self.words
+        for raw, word in zip(raws, letters_of_all(raws)):
+            self[raw] = words.setdefault(word, len(words) + 1) if len(word) > 2 else -1 if len(word) == 1 else 0
 
     def of(self, word: str) -> int:
         return self.words.setdefault(word, len(self.words) + 1)
 
+    def kept(self, rows: np.ndarray) -> _Numbers:
+        """With these rows' words alone, numbered in this order."""
+        out, place = _Numbers(), np.zeros(len(self.words) + 1, np.int64)
+        place[rows] = np.arange(1, len(rows) + 1)
+        places = place.tolist()
+        out.words = {word: places[number] for word, number in self.words.items() if places[number]}
+        out.update((raw, places[number]) for raw, number in self.items() if number > 0 and places[number])
+        return out
+
 
 class Describer:
     """Kernel maxima of sentences, each distinct word computed once while it is remembered."""
@@ -276,6 +308,7 @@ class Describer:
         self.table = self.kernel.table(landmarks)
         self.numbers, self.blanks = _Numbers(), blanks()
         self.rows = np.zeros((1, len(landmarks)), np.float32)
+        self.used = np.zeros(1, np.int64)  # how often each row's word came
 
     def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row numbers of the words of all texts, where each sentence begins among them, where each text's
@@ -292,22 +325,29 @@ class Describer:
         start[1:] |= ~white[1:] & white[:-1]
         at = np.flatnonzero(start)
         # A sentence ends with marks before a blank, or with a line: what ``_SENTENCE`` says.
-        stops = np.append(at[1:], len(codes)) - np.add.reduceat(white, at, dtype=np.int64)
+        stop = ~white
+        stop[:-1] &= white[1:] | head[1:]
+        stops, blank = at.copy(), white[at]
+        stops[~blank] = np.flatnonzero(stop) + 1
         last = codes[np.maximum(stops - 1, 0)]
-        over = (stops > at) & ((last == 46) | (last == 33) | (last == 63)) | (np.add.reduceat(codes == 10, at, dtype=np.int64) > 0)
+        over = (stops > at) & (np.append(at[1:], len(codes)) > stops) & ((last == 46) | (last == 33) | (last == 63))
+        over[at.searchsorted(np.flatnonzero(codes == 10), "right") - 1] = True
         first = head[at]
         first[1:] |= over[:-1]
         begins = np.flatnonzero(first)
-        coded = cut(joined, codes, at).dictionary_encode()
-        table = [self.numbers[raw.strip()] for raw in coded.dictionary.to_numpy(zero_copy_only=False)]
-        own = np.array(table, np.int64)[coded.indices.to_numpy()]
+        letters = codes[~white]
+        before = np.cumsum(stops - at) - (stops - at)
+        coded = cut(letters.tobytes().decode("utf-32-le"), letters, before).dictionary_encode()
+        raws = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.numbers.add([raw for raw in raws if raw not in self.numbers])
+        own = np.fromiter(map(self.numbers.__getitem__, raws), np.int64, len(raws))[coded.indices.to_numpy()]
         bounds = at[begins].searchsorted(np.concatenate([[0], ends]))
         alone = own < 0
         if alone.any():
             # Three single letters or more make words together; fewer make none.
             which = np.flatnonzero(np.add.reduceat(alone, begins, dtype=np.int64) > 2)
-            stop = np.append(at[begins], len(codes))
-            more = [[*map(self.numbers.of, words_of(joined[stop[i] : stop[i + 1]]))] for i in which]
+            end = np.append(at[begins], len(codes))
+            more = [[*map(self.numbers.of, words_of(joined[end[i] : end[i + 1]]))] for i in which]
             added = np.fromiter(map(len, more), np.int64, len(more))
             own = np.insert(np.maximum(own, 0), np.repeat(begins[which], added), np.fromiter(chain.from_iterable(more), np.int64, int(added.sum())))
             shift = np.zeros(len(begins) + 1, np.int64)
@@ -315,26 +355,62 @@ class Describer:
             begins = begins + np.cumsum(shift)[:-1]
         return own, begins, bounds
 
+    def forget(self) -> None:
+        """Keeps the words that came again, unless those are many too."""
+        again = np.flatnonzero(self.used > 1)
+        if len(again) > self.most // 2:
+            again = again[:0]
+        self.numbers = self.numbers.kept(again)
+        self.rows = np.concatenate([self.rows[:1], self.rows[again]])
+        self.used = np.zeros(len(self.rows), np.int64)
+
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.numbers) > 2 * self.most or len(self.rows) > self.most:
-            self.numbers, self.rows = _Numbers(), self.rows[:1]
+            self.forget()
         own, begins, bounds = self.sentences(texts)
-        new = list(self.numbers.words)[len(self.rows) - 1 :]
+        new = list(islice(self.numbers.words, len(self.rows) - 1, None))
         if new:
             self.rows = np.concatenate([self.rows, self.kernel.against(new, self.table)])
+        self.used = np.pad(self.used, (0, len(new))) + np.bincount(own, minlength=len(self.rows))
+        self.used[0] = 0
         # Sentences without a word are left out.
         some = np.maximum.reduceat(own, begins) > 0 if len(begins) else np.empty(0, bool)
-        cuts = np.append(begins, len(own))
         out = []
-        for a, b in zip(bounds, bounds[1:]):
-            if a == b:
-                out.append(np.zeros((0, self.rows.shape[1]), np.float32))
-                continue
-            rows = self.rows[own[cuts[a] : cuts[b]]]
-            out.append(np.maximum.reduceat(rows, begins[a:b] - begins[a], axis=0)[some[a:b]])
+        for a, b in _spans(bounds, TOGETHER):
+            best = self.maxima(own, begins[bounds[a] : bounds[b]], begins[bounds[b]] if bounds[b] < len(begins) else len(own))
+            for x, y in zip(bounds[a:b], bounds[a + 1 : b + 1]):
+                out.append(best[x - bounds[a] : y - bounds[a]][some[x:y]])
+        return out
+
+    def maxima(self, own: np.ndarray, begins: np.ndarray, end: int) -> np.ndarray:
+        """The largest value of each landmark over the words of each sentence."""
+        sizes = np.diff(np.append(begins, end))
+        order = np.argsort(-sizes, kind="stable")
+        out = np.zeros((len(begins), self.rows.shape[1]), np.float32)
+        if not len(begins):
+            return out
+        # The k-th words of all sentences that have one at once, longest sentences first; of very long ones the rest by itself.
+        best, falling, starts = out[order], sizes[order], begins[order]
+        for k in range(min(int(falling[0]), LONG)):
+            n = int(np.searchsorted(-falling, -k, "left"))
+            np.maximum(best[:n], self.rows[own[starts[:n] + k]], out=best[:n])
+        for i in range(int(np.searchsorted(-falling, -LONG, "left"))):
+            for at in range(LONG, int(falling[i]), PART):
+                rows = self.rows[own[starts[i] + at : starts[i] + min(at + PART, int(falling[i]))]]
+                np.maximum(best[i], rows.max(axis=0), out=best[i])
+        out[order] = best
         return out
 
 
+def _spans(bounds: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Texts from a to b that have so many sentences together, or a single one."""
+    a = 0
+    while a < len(bounds) - 1:
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + most, "right")) - 1)
+        yield a, b
+        a = b
+
+
 def _whitening(landmarks: list[str]) -> np.ndarray:
     """K^(-1/2) of the landmarks, which turns kernel values into Nyström features."""
     kernel = Kernel()
@@ -495,7 +571,7 @@ def _separator(sentences: DataFrame, white: np.ndarray, start: np.ndarray, least
 def _scorer(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         describe = Describer(model.landmarks) if model.landmarks else None
-        for batch in pieces(batches, most=1 << 20, column="text"):
+        for batch in pieces(batches, most=2 << 20, column="text"):
             scores = []
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for own in describe.texts(texts) if describe else [[]] * len(texts):
