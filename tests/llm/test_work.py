@@ -1,5 +1,6 @@
 """How much work the operators do: rows of joins, files left behind, words split many texts at a time."""
 
+import os
 import random
 import time
 
@@ -9,10 +10,11 @@ from test_pairs import expected
 from test_tokens import PATH, TEXTS, odd_texts
 from tokenizers import Tokenizer
 
-from dwellkit.llm import buckets, line_edit, minhash, repair, string_svm
+from dwellkit.llm import buckets, line_edit, minhash, repair, store, string_svm, winnow
 from dwellkit.llm.pretokens import Splitter, distinct, encode_words, encoded
 from dwellkit.llm.store import numbered, stored
 from dwellkit.llm.text import WordHashes, shingle_set
+from dwellkit.session import shared_dir
 
 
 @pytest.fixture
@@ -157,3 +159,101 @@ def test_pipeline_stores_a_text_once(spark, monkeypatch):
     got = sorted(map(tuple, kept.collect()))
     assert got == [(1, "en", rows[0][2], 31), (2, "en", "another text that stays as it is", 32), (3, None, None, None)]
     assert held == [1, 1]
+
+
+@pytest.fixture
+def folders(spark, monkeypatch):
+    """Purposes of the stored tables whose folder is still there."""
+    made = {}
+
+    def shared(session, purpose):
+        path = shared_dir(session, purpose)
+        made[path] = purpose
+        return path
+
+    monkeypatch.setattr(store, "shared_dir", shared)
+    return lambda: sorted(purpose for path, purpose in made.items() if os.path.exists(path))
+
+
+def test_tables_on_the_way_go(spark, folders):
+    def made():
+        inner = store.settled(spark, lambda: stored(spark.range(9), "inner").where("id > 3"), "inner-result")
+        return stored(inner.where("id > 5"), "outer")
+
+    assert store.settled(spark, made, "result").count() == 3
+    assert folders() == ["result"]
+
+
+def test_only_what_the_rows_need_stays(spark, folders):
+    rows = [(i, f"a line that several texts of this test have\n{'one two three four five six seven ' * 3}{i % 3}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = line_edit.deduplicated(docs)
+    assert folders() == ["line-texts", "removed-lines"]
+    near = minhash.near_duplicates(docs)
+    assert folders() == ["line-texts", "removed-lines", "signed", "together"]
+    assert sum(len(r.removed) for r in lines.collect()) == 8 + 8 and sum(r.kept for r in near.collect()) == 1
+
+
+def test_only_related_lines_are_ranked(spark, monkeypatch):
+    counts = {}
+
+    def counted(df, purpose):
+        out = stored(df, purpose)
+        counts[purpose] = out.count()
+        return out
+
+    monkeypatch.setattr(line_edit, "stored", counted)
+    rng = random.Random(8)
+    alone = ["".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(50)) for _ in range(60)]
+    rows = [(i, x) for i, x in enumerate([*alone, "the same line of text comes here again", "the same line of text comes here again", alone[0][:-1] + "Z"])]
+    got = line_edit.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.removed for r in got if r.removed} == {61: [0], 62: [0]}
+    assert counts == {"related-lines": 3, "related-places": 4}
+
+
+def test_hashes_of_many_lines_are_those_of_each():
+    rng = random.Random(3)
+    for length in (16, 33, 40):
+        lines = ["".join(rng.choice("abé😀 ") for _ in range(length)) for _ in range(20)] + ["a" * length]
+        places = line_edit.places_of(length, 2, 32, True)
+        keys, sizes = line_edit.hashed(lines, places)
+        at = np.append(0, np.cumsum(sizes))
+        for i, line in enumerate(lines):
+            own = keys[at[i] : at[i + 1]].tolist()
+            assert own == line_edit.keys_of(line, 2, 32, True) and len(set(own)) == len(own)
+            assert len(own) == len({(line[a:b], seed) for a, b, seed in places})
+
+
+def test_texts_without_a_hit_meet_nothing(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five")], "doc_id long, text string")
+    items = spark.createDataFrame([("x", "four five")], "item_id string, text string")
+    out = winnow.contamination(docs, items)
+    assert sorted((r.doc_id, r.n_hit) for r in out.collect()) == [(1, 0), (2, 2)]
+    plan = out._jdf.queryExecution().sparkPlan()
+    while plan.nodeName() != "Union":
+        plan = plan.children().apply(0)
+    joins = ["Join" in plan.children().apply(i).toString() for i in range(plan.children().size())]
+    assert joins == [False, True]
+
+
+def test_words_that_came_again_are_remembered(monkeypatch):
+    describe, looked = string_svm.Describer(["stupid", "idiot", "word"], most=30), []
+    against = string_svm.Kernel.against
+    monkeypatch.setattr(string_svm.Kernel, "against", lambda self, words, table: looked.extend(words) or against(self, words, table))
+    rng = random.Random(5)
+    new = ["".join(rng.choice("stupidow") for _ in range(9)) for _ in range(80)]
+    texts = [f"again {' '.join(new[:40])} again.", f"again {' '.join(new[40:])} again s t u p i d", "again and once more"]
+    for text in texts:
+        rows, sentences = describe.texts([text])[0], string_svm._sentences(text)
+        assert [list(r) for r in rows] == [list(against(describe.kernel, s, describe.table).max(axis=0)) for s in sentences]
+    assert looked.count("again") == 1
+
+
+def test_a_very_long_sentence_is_whole():
+    describe, rng = string_svm.Describer(["stupid", "idiot", "word"]), random.Random(6)
+    words = ["".join(rng.choice("stupidow") for _ in range(7)) for _ in range(string_svm.PART + 2 * string_svm.LONG)]
+    for text in (" ".join(words), " ".join(words[: string_svm.LONG]) + ". " + " ".join(words)):
+        rows, sentences = describe.texts([text])[0], string_svm._sentences(text)
+        assert len(rows) == len(sentences)
+        for row, own in zip(rows, sentences):
+            assert (row == describe.kernel.against(own, describe.table).max(axis=0)).all()
